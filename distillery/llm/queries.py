@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, store
+from . import chat, common, edits, neighbours, packing, pii, store, toxicity
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,16 +16,45 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_digests(spark, root)
 
 
+def op2_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(common.table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+def op3_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find(common.table(spark, sf_dir, "documents")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.write_pieces(common.table(spark, sf_dir, "documents"), common.shared_dir(spark, "op4"), end_id=0)
     light = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(light).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.count(edits.stated_edits(common.table(spark, sf_dir, "documents")))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    turns = common.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.toxic_or_not(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
+        "op2_tree_neighbours": op2_tree_neighbours,
+        "op3_anchor_pii": op3_anchor_pii,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op6_edit_aware_counts": op6_edit_aware_counts,
+        "op9_chat_formatting": op9_chat_formatting,
+        "op10_toxicity": op10_toxicity,
     }
 
 
