@@ -54,6 +54,10 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def task_number() -> int:
     from pyspark import TaskContext
 

@@ -168,6 +168,6 @@ def redact(docs: DataFrame) -> DataFrame:
 def digest_columns(found: DataFrame) -> DataFrame:
     """Counts and digests of the base spans, and all spans as text."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    extra = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[len(BASE) :]]
+    count = [F.size(F.filter("spans", common.of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    extra = [F.size(F.filter("spans", common.of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS[len(BASE) :]]
     return found.select("doc_id", *count, F.sha2(common.joined_spans(base).cast("binary"), 256).alias("base_sha256"), common.joined_spans(F.col("spans")).alias("spans"), *extra)
