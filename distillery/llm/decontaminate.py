@@ -1,18 +1,18 @@
 """Benchmark decontamination by a positional inverted index, by DataFrame functions alone.
 
 Each window of WINDOW benchmark words (a shorter item is one window) is looked
-up by its rarest term, counted over all training documents. The index stores
-the postings (document, position) of those terms; adjusted by the term's offset
-in the item, a posting is a diagonal on which document and item may agree. The
-words along each diagonal are compared, and a window counts where all of its
-words are equal: exact phrase matches. ``proximity`` reports windows of which
-at least a stated number of words stand in place.
+up by its two rarest terms, counted over all training documents. The index
+stores the postings (document, position) of such terms. Adjusted by the term's
+offset in the item, a posting is a diagonal on which document and item may
+agree; the two terms' lists are intersected on it, and the words along what is
+left are compared. A window counts where all of its words are equal (exact
+phrase matches); items with most words in place are reported as near.
 
 Words are runs of letters, digits and characters above ASCII, A-Z lowered.
 
 Cases: a null or empty text has no words, is not contaminated and has nothing
 hit; an item without words is never found. Items that repeat an item_id count
-once if any of them is found. Repeated documents are documents of their own.
+once if any of them is found; those of null id count as one, without a name. Repeated documents are documents of their own.
 Either table may be empty. Other columns are not read.
 """
 
@@ -27,6 +27,8 @@ from . import common
 WINDOW = 13
 #: Share of a document's words, one in so many, from which on it is contaminated.
 ONE_IN = 20
+#: Percentage of an item's words in place from which on it is reported as near.
+NEAR = 80
 #: Terms up to which the benchmark's term list is sent to every executor; a longer one is joined by shuffle.
 SENT_TERMS = 100_000
 _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -34,57 +36,111 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    """The words of a text, in order. Only its two ends can give empty pieces."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAP, -1)
-    n = F.size(parts)
-    first = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
-    last = F.when((n > first) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.slice(parts, first + 1, F.greatest(n - first - last, F.lit(0)))
+    """The words of a text, in order; the gaps at its two ends leave empty pieces, which go."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAP, -1), "")
 
 
 def sent_if_small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SENT_TERMS else df
 
 
-def windows_of(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """item, n_item, anchor term and its place: the places that are the rarest term of some window."""
-    rows = items.select("item", "item_words", F.posexplode("item_words").alias("place", "term")).join(counts, "term", "left")
-    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "place")
+def window_terms(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """item, a, b: the places of the two rarest words of each window (the same one in a window of one word)."""
+    rows = items.select("item", F.size("item_words").alias("n"), F.posexplode("item_words").alias("place", "term")).join(counts, "term", "left")
+    rarity = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "term", "place")
     ahead = Window.partitionBy("item").orderBy("place").rowsBetween(0, WINDOW - 1)
-    n = F.size("item_words")
-    full = F.when(n >= WINDOW, F.col("place") <= n - WINDOW).otherwise(F.col("place") == 0)
-    anchors = rows.withColumn("rarest", F.min(rarity).over(ahead)).where(full)
-    return anchors.select("item", F.col("rarest.term").alias("term"), F.col("rarest.place").alias("place")).distinct()
-
-
-class Index:
-    """Benchmark items, their anchors, and the postings of the anchors in the training documents."""
-
-    def __init__(self, docs: DataFrame, benchmark: DataFrame):
-        spark = docs.sparkSession
-        root = common.shared_dir(spark, "positions")
-        text = F.col("text").cast("string")
-        items = benchmark.select(F.col("item_id"), words(text).alias("item_words")).where(F.size("item_words") > 0)
-        self.items = common.stored(items.withColumn("item", F.monotonically_increasing_id()), f"{root}/items")
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-        terms = self.items.select(F.explode("item_words").alias("term")).distinct()
-        terms = common.stored(terms, f"{root}/terms")
-        n_terms = terms.count()
-        each = self.docs.select(F.explode(words(F.col("text"))).alias("term"))
-        counts = each.join(sent_if_small(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-        counts = common.stored(counts, f"{root}/counts")
-        self.anchors = common.stored(windows_of(self.items, counts), f"{root}/anchors")
-        anchor_terms = self.anchors.select("term").distinct()
-        # Every document is in the index once, with its length; only anchors have postings.
-        whole = words(F.col("text"))
-        rows = self.docs.select("doc_id", F.col("text"), F.monotonically_increasing_id().alias("uid"), whole.alias("w"))
-        places = rows.select("uid", "doc_id", F.posexplode_outer("w").alias("position", "term")).join(sent_if_small(anchor_terms.withColumn("kept", F.lit(True)), n_terms), "term", "left")
-        grouped = places.groupBy("uid")
-        del grouped  # postings keep their rows; lengths are stored apart
-        self.root = root
-        self.rows = rows
-        self.places = places
-
-
-def lookup(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    raise NotImplementedError
+    begins = F.when(F.col("n") >= WINDOW, F.col("place") <= F.col("n") - WINDOW).otherwise(F.col("place") == 0)
+    rows = rows.withColumn("rarest", F.slice(F.array_sort(F.collect_list(rarity).over(ahead)), 1, 2)).where(begins)
+    return rows.select("item", F.col("rarest")[0]["place"].alias("a"), F.element_at("rarest", -1)["place"].alias("b")).distinct()
+
+
+def runs(document: Column, item: Column, diagonal: Column) -> Column:
+    """Intervals of the document, along a diagonal, in which at least a window of words equals the item's; and how many words do."""
+    least = F.least(F.size(item), F.lit(WINDOW))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    start = F.struct(F.lit(0).alias("j"), F.lit(0).alias("run"), F.lit(0).alias("same"), none.alias("out"))
+
+    def closed(acc: Column) -> Column:
+        end = diagonal + acc["j"]
+        return F.when(acc["run"] >= least, F.concat(acc["out"], F.array(F.struct((end - acc["run"]).alias("s"), end.alias("e"))))).otherwise(acc["out"])
+
+    def step(acc: Column, word: Column) -> Column:
+        equal = F.coalesce(F.get(document, diagonal + acc["j"]) == word, F.lit(False))
+        return F.struct(
+            (acc["j"] + 1).alias("j"), F.when(equal, acc["run"] + 1).otherwise(0).alias("run"),
+            (acc["same"] + equal.cast("int")).alias("same"), F.when(equal, acc["out"]).otherwise(closed(acc)).alias("out"),
+        )
+
+    return F.aggregate(item, start, step, lambda acc: F.struct(closed(acc).alias("out"), acc["same"].alias("same")))
+
+
+def covered(intervals: Column) -> Column:
+    """How many places a set of intervals covers."""
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["end"], x["s"]))).alias("n"))
+
+    return F.aggregate(F.array_sort(F.array_distinct(intervals)), start, step, lambda acc: acc["n"])
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_words, and of what was found: n_hit, item_ids with an exact window, near_ids of which most words stand in place."""
+    root = common.shared_dir(docs.sparkSession, "positions")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
+    items = common.stored(items.withColumn("item", F.monotonically_increasing_id()), f"{root}/items")
+    terms = common.stored(items.select(F.explode("item_words").alias("term")).distinct(), f"{root}/terms")
+    n_terms = terms.count()
+    # A document is known by its id and its text's hash: rows that share both have the same result.
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    each = texts.select(F.explode(words(F.col("text"))).alias("term"))
+    counts = each.join(sent_if_small(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("seen"))
+    pairs = common.stored(window_terms(items, counts), f"{root}/windows")
+    anchors = pairs.select("item", F.explode(F.array("a", "b")).alias("place")).distinct()
+    anchors = anchors.join(items, "item").select("item", "place", F.get("item_words", F.col("place")).alias("term"))
+    anchors = common.stored(anchors, f"{root}/anchors")
+
+    wanted = sent_if_small(anchors.select("term").distinct(), n_terms)
+    postings = texts.select("id", "h", F.posexplode(words(F.col("text"))).alias("position", "term")).join(wanted, "term", "left_semi")
+    postings = common.stored(postings, f"{root}/postings")
+
+    n_anchors = anchors.count()
+    adjusted = postings.join(sent_if_small(anchors, n_anchors), "term").select("id", "h", "item", "place", (F.col("position") - F.col("place")).alias("diagonal"))
+    both = pairs.groupBy("item").agg(F.collect_set(F.struct("a", "b")).alias("windows")).join(items, "item")
+    lists = adjusted.groupBy("id", "h", "item", "diagonal").agg(F.collect_set("place").alias("places")).join(sent_if_small(both, n_anchors), "item")
+    met = lists.where(F.exists("windows", lambda w: F.array_contains("places", w["a"]) & F.array_contains("places", w["b"])))
+    candidates = met.groupBy("id", "h").agg(F.collect_list(F.struct("item_id", "item_words", "diagonal")).alias("candidates"))
+
+    compared = texts.join(candidates, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", words(F.col("text")).alias("w"), "candidates")
+    found = F.transform("candidates", lambda c: F.struct(c["item_id"].alias("item_id"), F.size(c["item_words"]).alias("n"), runs(F.col("w"), c["item_words"], c["diagonal"]).alias("r")))
+    found = compared.select("id", "h", found.alias("found"))
+    exact = F.filter("found", lambda f: F.size(f["r"]["out"]) > 0)
+    near = F.filter("found", lambda f: f["r"]["same"] * 100 >= f["n"] * NEAR)
+
+    def ids(kept: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.transform(kept, lambda f: f["item_id"])))
+
+    found = found.select("id", "h", covered(F.flatten(F.transform(exact, lambda f: f["r"]["out"]))).alias("n_hit"), ids(exact).alias("item_ids"), ids(near).alias("near_ids"))
+    none = F.array().cast("array<string>")
+    n_words = F.size(words(F.col("text"))).cast("long")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = whole.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), n_words.alias("n_words"))
+    return whole.join(found, ["id", "h"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_ids", none).alias("near_ids"))
+
+
+def verdict() -> Column:
+    return (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))
+
+
+def digest_columns(found: DataFrame) -> DataFrame:
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), verdict().alias("contaminated"), F.size("near_ids").cast("long").alias("n_near_items"),
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated."""
+    bad = matches(docs, benchmark).where(verdict()).select("doc_id").distinct()
+    hit = docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]), "left_anti")
+    return hit

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, edits, neighbours, packing, pii, store, toxicity
+from . import chat, common, decontaminate, edits, neighbours, packing, pii, secrets, store, toxicity
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(light).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.judge(common.table(spark, sf_dir, "documents")))
+
+
 def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.count(edits.stated_edits(common.table(spark, sf_dir, "documents")))
 
 
+def op8_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest_columns(decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
@@ -52,7 +60,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_tree_neighbours": op2_tree_neighbours,
         "op3_anchor_pii": op3_anchor_pii,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_owned_secrets": op5_owned_secrets,
         "op6_edit_aware_counts": op6_edit_aware_counts,
+        "op8_positional_decontamination": op8_positional_decontamination,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_toxicity": op10_toxicity,
     }
