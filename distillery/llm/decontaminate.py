@@ -125,7 +125,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_words = F.size(words(F.col("text"))).cast("long")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     whole = whole.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), n_words.alias("n_words"))
-    return whole.join(found, ["id", "h"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_ids", none).alias("near_ids"))
+    return whole.join(found, ["id", "h"], "left").select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_ids", none).alias("near_ids"))
 
 
 def verdict() -> Column:
@@ -141,6 +141,6 @@ def digest_columns(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
-    bad = matches(docs, benchmark).where(verdict()).select("doc_id").distinct()
-    hit = docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]), "left_anti")
-    return hit
+    bad = matches(docs, benchmark).where(verdict()).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("bad_id"), F.col("h").alias("bad_h")).distinct()
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("bad_h"))
+    return docs.join(bad, same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, edits, neighbours, packing, pii, secrets, store, toxicity
+from . import chat, common, decontaminate, edits, neardup, neighbours, packing, pii, secrets, store, toxicity
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.count(edits.stated_edits(common.table(spark, sf_dir, "documents")))
 
 
+def op7_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(common.table(spark, sf_dir, "documents"))
+
+
 def op8_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_columns(decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_owned_secrets": op5_owned_secrets,
         "op6_edit_aware_counts": op6_edit_aware_counts,
+        "op7_setsketch_neardup": op7_setsketch_neardup,
         "op8_positional_decontamination": op8_positional_decontamination,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_toxicity": op10_toxicity,
