@@ -58,6 +58,11 @@ def of_kind(kind: str):
     return lambda span: span["kind"] == kind
 
 
+def utf8(column) -> list[bytes]:
+    """The bytes of an Arrow column of strings."""
+    return column.cast("binary").to_pylist()
+
+
 def task_number() -> int:
     from pyspark import TaskContext
 

@@ -115,8 +115,7 @@ class CountTree:
 def counter(vocabulary: str):
     """Token counts of texts, by the cached encoder."""
     encode = tokens.encoder(vocabulary)
-    width = np.dtype(encode.dtype).itemsize
-    return lambda texts: [len(x) // width for x in encode.encode(texts)]
+    return lambda texts: [len(x) for x in encode.encode([t.encode() for t in texts])]
 
 
 def count(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -32,6 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .words import GOLDEN as _GOLD
+from .words import MIX_1 as _M1
+from .words import hashed_words, mix
+
+_U = np.uint64
 
 #: Words in a shingle, and the similarity that links, in hundredths.
 SHINGLE, ALIKE = 5, 85
@@ -49,45 +54,9 @@ GROUP_BYTES, BLOCK = 2_000_000, 1024
 #: Bytes of sets in a block.
 BLOCK_BYTES = 16_000_000
 
-_U = np.uint64
-_GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _M1
-    x = (x ^ (x >> _U(27))) * _M2
-    return x ^ (x >> _U(31))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A value for each byte, and powers of an odd number and of its inverse modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        size, odd = max(n, GROUP_BYTES + 65536), 0xD1342543DE82EF95
-        for name, p in (("up", odd), ("down", pow(odd, -1, 1 << 64))):
-            out = np.full(size, p, _U)
-            out[0] = 1
-            _POWERS[name] = np.multiply.accumulate(out)
-        _POWERS["byte"] = mix(np.arange(1, 257, dtype=_U) * _GOLD)
-    return _POWERS["byte"], _POWERS["up"], _POWERS["down"]
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
 def shingles(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each UTF-8 text."""
-    data = np.frombuffer(b"\n" + b"\n".join(texts).lower() + b"\n", np.uint8)
-    byte, up, down = _powers(len(data) + 1)
-    gap = _SPACE[data]
-    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(byte[data] * up[: len(data)], out=total[1:])
-    word = mix((total[ends] - total[starts]) * down[starts])
-    # Where each text begins among the words.
-    at = np.cumsum([1] + [len(t) + 1 for t in texts])
-    first = np.searchsorted(starts, at)
+    word, _, _, first = hashed_words([t.lower() for t in texts])
     five = np.zeros(0, _U)
     if len(word) >= SHINGLE:
         five = word[: len(word) - SHINGLE + 1].copy()
@@ -167,13 +136,9 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
             start, size = k + 1, 0
 
 
-def _bytes(column) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
-
-
 def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = _bytes(batch["text"])
+        texts = common.utf8(batch["text"])
         for a, b in _groups(texts):
             sets = shingles(texts[a:b])
             prints = [fingerprint(s) for s in sets]
@@ -214,7 +179,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, own = None, None
     for batch in batches:
         good = []
-        for a, x, y in zip(batch["a"].to_pylist(), _bytes(batch["t_a"]), _bytes(batch["t_b"]), strict=True):
+        for a, x, y in zip(batch["a"].to_pylist(), common.utf8(batch["t_a"]), common.utf8(batch["t_b"]), strict=True):
             if held != a:
                 held, own = a, shingles([x])[0]
             good.append(alike(own, shingles([y])[0]))
@@ -223,7 +188,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good, texts = [], _bytes(batch["text"])
+        good, texts = [], common.utf8(batch["text"])
         wanted = list(zip(*(batch[c].to_pylist() for c in ("n", "k1", "k2")), strict=True))
         for a, b in _groups(texts):
             good += [(len(s), *fingerprint(s)) == w for s, w in zip(shingles(texts[a:b]), wanted[a:b], strict=True)]

@@ -136,15 +136,15 @@ def slots(bins: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 def _cutter(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary)
-        end, task = np.array([end_id], encode.dtype).tobytes(), common.task_number()
+        end, task = np.array([end_id], encode.dtype), common.task_number()
         ranks: Counter = Counter()
         names = ["task", "local", "doc_id", "piece", "start", "length", "ids"]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for doc_id, raw in encode.groups(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = np.frombuffer(raw + end, encode.dtype).astype("<u4")
+            for doc_id, raw in encode.groups(batch["doc_id"].to_pylist(), common.utf8(batch["text"])):
+                ids = np.concatenate([raw, end]).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     rows.append((task, ranks[len(part)], doc_id, piece, start, len(part), part.tobytes()))

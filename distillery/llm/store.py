@@ -92,7 +92,7 @@ def _cutter(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary)
         table = gear(max(len(encode.ends), end_id + 1))
-        end = np.array([end_id], encode.dtype).tobytes()
+        end = np.array([end_id], encode.dtype)
         uid, seen = common.task_number() << 33, set()
         names = ["uid", "doc_id", "ordinal", "n", "digest", "data"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -103,8 +103,8 @@ def _cutter(vocabulary: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, raw in encode.groups(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids, start = np.frombuffer(raw + end, encode.dtype), 0
+            for doc_id, raw in encode.groups(batch["doc_id"].to_pylist(), common.utf8(batch["text"])):
+                ids, start = np.concatenate([raw, end]), 0
                 for k, stop in enumerate(cuts(ids, table)):
                     data = ids[start:stop].tobytes()
                     key = digest(data)

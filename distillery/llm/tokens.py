@@ -1,8 +1,9 @@
-"""Whole-text encoding by a public vocabulary file, with a bounded cache of words.
+"""Whole-text encoding by a public vocabulary file, with a bounded table of words.
 
 Pre-tokens of these word vocabularies never span white space, so a text's ids
 are the ids of its white-space-separated words in order. Each worker keeps the
-ids of recent words; the tokenizers library encodes the rest.
+ids of recent words in a hash table of arrays, by the hash of a word's bytes;
+the tokenizers library encodes every word that is not there.
 """
 
 from __future__ import annotations
@@ -10,25 +11,22 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 
 import numpy as np
 
-#: Unlike Python, the library does not count these as white space.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_ASCII_SPACE = re.compile("[ \t\n\r\f\v]+")
-_ENCODERS: dict = {}
-
-#: Letters whose lower case depends on neither neighbours nor composition, so that lowering first changes no ids.
-_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+from .words import hashed_words
 
-#: A mark between a letter and white space is a pre-token of its own.
-_LAST_MARK = re.compile("(?<=[a-z])([.,;:!?])(?=[ \n])")
+_ENCODERS: dict = {}
 
-#: Words whose ids a worker keeps in each of two generations; a full one replaces the older.
-CACHE_WORDS = 400_000
-#: Characters of text that are encoded at a time.
-GROUP_CHARS = 2_000_000
+#: Words whose ids a worker keeps; a full table starts afresh.
+TABLE_WORDS = 1_500_000
+#: Bytes of text that are encoded at a time.
+GROUP_BYTES = 2_000_000
+#: Words that the library gets at a time.
+BATCH = 4096
+#: Where characters from U+0300 on may combine, or a special token may stand, letters are not lowered beforehand.
+_MAY_COMBINE = re.compile(b"[\\xcc-\\xff]")
+_MARKS = frozenset(".,;:!?")
 
 
 def default_vocabulary() -> str:
@@ -38,82 +36,137 @@ def default_vocabulary() -> str:
 
 
 class WordEncoder:
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, table_words: int = TABLE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        self.dtype = "<u2" if self.code == "H" else "<u4"
+        self.n_ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = "<u2" if self.n_ids <= 1 << 16 else "<u4"
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends = np.zeros(self.n_ids, bool)
         self.ends[ends] = True
-        self.cache_words = cache_words
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        if not _PLAIN.search(text):
-            text = _LAST_MARK.sub(r" \1", text.lower())
-        if _ODD_SPACE.search(text):
-            return [w for w in _ASCII_SPACE.split(text) if w]
-        return text.split()
-
-    def learn(self, words: set[str]) -> None:
-        missing = words.difference(self.cache)
-        if len(self.cache) + len(missing) > self.cache_words:
-            self.older, self.cache, missing = self.cache, {}, words
-        if self.older:
-            get = self.older.get
-            self.cache.update((w, x) for w in missing if (x := get(w)) is not None)
-            missing = missing.difference(self.cache)
-        if self.ends.any():
-            rest = self._learn_letters(list(missing))
-        else:
-            rest = list(missing)
-        for k in range(0, len(rest), 2048):
-            part = rest[k : k + 2048]
-            for word, encoded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[word] = array(self.code, encoded.ids).tobytes()
-
-    def _learn_letters(self, words: list[str]) -> list[str]:
+        self.table_words = table_words
+        self.slots = 1 << (2 * table_words).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.at = np.zeros(self.slots, np.int64)
+        self.size = np.zeros(self.slots, np.int32)
+        self.ids = np.zeros(1 << 16, self.dtype)
+        self.n_words = self.n_used = 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        mask = np.uint64(self.slots - 1)
+        slot = (h & mask).astype(np.int64)
+        out = np.full(len(h), -1, np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            seen = self.keys[slot[left]]
+            hit = seen == h[left]
+            out[left[hit]] = slot[left[hit]]
+            left = left[~hit & (seen != 0)]
+            slot[left] = (slot[left] + 1) & int(mask)
+        return out
+
+    def _keep(self, h: np.ndarray, encoded: list[np.ndarray]) -> None:
+        size = np.array([len(e) for e in encoded], np.int64)
+        start = self.n_used + np.cumsum(size) - size
+        while self.n_used + size.sum() > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.n_used : self.n_used + size.sum()] = np.concatenate(encoded)
+        self.n_used += int(size.sum())
+        self.n_words += len(h)
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            # Of those that want one slot, the first gets it.
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.at[slot[won]], self.size[slot[won]] = h[won], start[won], size[won]
+            left = left[self.keys[slot[left]] != h[left]]
+            slot[left] = (slot[left] + 1) & (self.slots - 1)
+
+    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Words of letters alone are one pre-token each: a line of them is cut after each id that ends a word."""
-        plain, left = [], []
-        for w in words:
-            (plain if w.isalpha() else left).append(w)
-        lines = [plain[k : k + 256] for k in range(0, len(plain), 256)]
-        for k in range(0, len(lines), 16):
-            part = lines[k : k + 16]
-            for line, encoded in zip(part, self.tokenizer.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False), strict=True):
+        out: list = [None] * len(words)
+        plain, marked, odd = [], [], []
+        by_letters = bool(self.ends.any())
+        for k, w in enumerate(words):
+            if by_letters and w.isalpha():
+                plain.append((k, w))
+            elif by_letters and w[-1] in _MARKS and w[:-1].isalpha():
+                marked.append(k)
+                plain.append((k, w[:-1]))
+            else:
+                odd.append(k)
+        for a in range(0, len(plain), BATCH):
+            lines = [plain[b : b + 256] for b in range(a, min(a + BATCH, len(plain)), 256)]
+            for line, encoded in zip(lines, self.tokenizer.encode_batch_fast([" ".join(w for _, w in x) for x in lines], add_special_tokens=False), strict=True):
                 ids = np.array(encoded.ids, self.dtype)
                 cuts = np.flatnonzero(self.ends[ids]) + 1
                 if len(cuts) != len(line) or cuts[-1] != len(ids):
-                    left += line
+                    odd += [k for k, _ in line]
                     continue
-                raw, size, start = ids.tobytes(), ids.itemsize, 0
-                for word, cut in zip(line, (cuts * size).tolist(), strict=True):
-                    self.cache[word] = raw[start:cut]
+                start = 0
+                for (k, _), cut in zip(line, cuts.tolist(), strict=True):
+                    out[k] = ids[start:cut]
                     start = cut
-        return left
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of this vocabulary's width."""
-        split = [self.words(t) for t in texts]
-        fresh: set[str] = set()
-        for words in split:
-            fresh.update(words)
-        self.learn(fresh)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def groups(self, ids: list, texts: list[str]):
-        """(id, encoded text) of each row, encoding a bounded amount of text at a time."""
+        marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, self.dtype) for m in _MARKS} if marked else {}
+        for k in marked:
+            if out[k] is not None:
+                out[k] = np.concatenate([out[k], marks[words[k][-1]]])
+        odd = sorted(odd)
+        for a in range(0, len(odd), BATCH):
+            part = odd[a : a + BATCH]
+            for k, encoded in zip(part, self.tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False), strict=True):
+                out[k] = np.array(encoded.ids, self.dtype)
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each UTF-8 text."""
+        lowered = [t if not t.isascii() and _MAY_COMBINE.search(t) or b"<|" in t else t.lower() for t in texts]
+        h, spans, whole, first = hashed_words(lowered)
+        h[h == 0] = 1
+        slot = self._find(h)
+        miss = np.flatnonzero(slot < 0)
+        if len(miss):
+            new, where = np.unique(h[miss], return_index=True)
+            if self.n_words and self.n_words + len(new) > self.table_words:
+                self.clear()
+                new, where = np.unique(h, return_index=True)
+                miss = np.arange(len(h))
+            for a in range(0, len(new), 1 << 18):
+                words = [whole[s:e].decode() for s, e in spans[miss[where[a : a + (1 << 18)]]].tolist()]
+                while self.n_words + len(words) > self.slots // 2:
+                    self._grow()
+                self._keep(new[a : a + (1 << 18)], self._encode_words(words))
+            slot = self._find(h)
+        size = self.size[slot].astype(np.int64)
+        end = np.cumsum(size)
+        ids = self.ids[np.repeat(self.at[slot] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        bounds = np.concatenate([[0], end])[first]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _grow(self) -> None:
+        """A larger table, for a text of more distinct words than it holds."""
+        used = np.flatnonzero(self.keys)
+        h, encoded = self.keys[used], [self.ids[a : a + n] for a, n in zip(self.at[used].tolist(), self.size[used].tolist(), strict=True)]
+        self.slots *= 2
+        self.clear()
+        if len(h):
+            self._keep(h, encoded)
+
+    def groups(self, ids: list, texts: list[bytes]):
+        """(id, ids of the text) of each row, encoding a bounded amount of text at a time."""
         start = size = 0
         for k, text in enumerate(texts):
             size += len(text)
-            if size >= GROUP_CHARS or k == len(texts) - 1:
+            if size >= GROUP_BYTES or k == len(texts) - 1:
                 yield from zip(ids[start : k + 1], self.encode(texts[start : k + 1]), strict=True)
                 start, size = k + 1, 0
 
