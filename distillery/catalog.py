@@ -1,19 +1,468 @@
-"""The library's queries and the SQL each is held against."""
+"""The library's queries over the test tables, and the SQL that each is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracles as O
+from .functions import text as X
+from .operators import answers, baselines, choose, classify, evaluate, graphs, score, segment
+from .plans import engine
+from .sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = O.sql(sql)
+        return f
+
+    return keep
+
+
+def _sentences(s, d):
+    return segment.sentences(tables.structured_documents(s, d))
+
+
+def _units(s, d):
+    return classify.units(_sentences(s, d))
+
+
+def _scored(s, d):
+    units = _units(s, d)
+    return score.scored(units, score.question_features(tables.questions(s)), graphs.connectivity(units))
+
+
+def _memory(s, d):
+    memory = engine.ingest(tables.structured_documents(s, d))
+    # Read by every later step: kept after the first use.
+    units = memory.units.persist()
+    return engine.Memory(memory.meta, units, graphs.knowledge_edges(units), graphs.reasoning_edges(units))
+
+
+def _passages(s, d):
+    """Questions from the first six words of benchmark passages."""
+    words = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    return tables.table(s, d, "benchmark").where("item_id < 20").select(F.col("item_id").cast("string").alias("query_id"), words.alias("query"))
+
+
+def _contexts(s, d):
+    """Conversations as contexts of the first question."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    return tables.table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(lines, "\n").alias("context")).select(F.col("conv_id").cast("string").alias("document_id"), F.lit("q0").alias("query_id"), "context")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Every structured document reduced for every question."""
+    return retrieve(spark, sf_dir)
+
+
+@query("SELECT document_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM docs")
+def normalize_text(s, d):
+    return tables.plain_documents(s, d).select("document_id", X.normalize_text(F.col("text")).alias("text"))
+
+
+@query(f"SELECT document_id, {O.tokens('text')} AS tokens FROM docs")
+def estimate_tokens(s, d):
+    return tables.plain_documents(s, d).select("document_id", X.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query(r"SELECT document_id, round(len(regexp_extract_all(text, '\S+')) * CAST(1.3 AS DOUBLE), 4) AS tokens FROM docs")
+def word_tokens(s, d):
+    return tables.plain_documents(s, d).select("document_id", F.round(X.word_tokens(F.col("text")), 4).alias("tokens"))
+
+
+@query("SELECT document_id, text FROM sdocs")
+def structured_docs(s, d):
+    return tables.structured_documents(s, d)
+
+
+@query("SELECT document_id, CAST(pos AS INTEGER) AS pos, line FROM merged")
+def label_merge(s, d):
+    return segment.merged_lines(tables.structured_documents(s, d))
+
+
+@query("SELECT document_id, count(*) AS paragraphs FROM paras GROUP BY document_id")
+def paragraphs(s, d):
+    lines = segment.merged_lines(tables.structured_documents(s, d)).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return lines.select("document_id", F.size(segment.paragraphs_of(F.col("text"))).cast("long").alias("paragraphs")).where("paragraphs > 0")
+
+
+@query(f"SELECT document_id, count(*) AS items FROM merged WHERE {O.item(O.strip('line'))} GROUP BY document_id")
+def list_items(s, d):
+    return segment.merged_lines(tables.structured_documents(s, d)).where(X.is_list_item(X.strip(F.col("line")))).groupBy("document_id").agg(F.count("*").alias("items"))
+
+
+@query("SELECT document_id, sentence_index, text FROM sentences")
+def sentences(s, d):
+    return _sentences(s, d)
+
+
+@query("SELECT document_id, line_no, line FROM plines")
+def line_corpus(s, d):
+    return segment.plain_lines(tables.plain_documents(s, d))
+
+
+@query("SELECT document_id, sentence_index, context_header FROM headed")
+def context_header(s, d):
+    return classify.with_headers(_sentences(s, d)).select("document_id", "sentence_index", "context_header")
+
+
+@query(f"SELECT document_id, sentence_index, {O.CUES} AS unit_type FROM headed")
+def keyword_class(s, d):
+    return classify.with_headers(_sentences(s, d)).select("document_id", "sentence_index", classify.cue_type(F.col("text")).alias("unit_type"))
+
+
+@query("SELECT document_id, unit_pos, sentence_index, unit_type, subject, relation, object, text, context_header FROM units")
+def extract_chain(s, d):
+    return _units(s, d).select("document_id", "unit_pos", "sentence_index", "unit_type", "subject", "relation", "object", "text", "context_header")
+
+
+@query("SELECT document_id, unit_pos, unit_type, subject, object FROM units WHERE workflow_name IS NULL AND regexp_matches(text, '^(?:-\\s*)?\\[[A-Z]+-\\d+\\]')")
+def tag_units(s, d):
+    return _units(s, d).where(F.col("workflow_name").isNull() & F.col("text").rlike(classify.TAG_START)).select("document_id", "unit_pos", "unit_type", "subject", "object")
+
+
+@query("SELECT unit_type, count(*) AS n FROM units WHERE workflow_name IS NULL AND regexp_matches(text, '^[A-Za-z ]+: ') GROUP BY unit_type")
+def kv_units(s, d):
+    return _units(s, d).where(F.col("workflow_name").isNull() & F.col("text").rlike("^[A-Za-z ]+: ")).groupBy("unit_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT document_id, sentence_index, workflow_name, CAST(len(steps) AS INTEGER) AS n_steps, array_to_string(steps, '|') AS steps FROM units WHERE workflow_name IS NOT NULL")
+def workflow_units(s, d):
+    return _units(s, d).where("workflow_name is not null").select("document_id", "sentence_index", "workflow_name", F.size("steps").alias("n_steps"), F.array_join("steps", "|").alias("steps"))
+
+
+@query("SELECT document_id, unit_pos, render_text FROM units WHERE workflow_name IS NOT NULL")
+def workflow_render(s, d):
+    return _units(s, d).where("workflow_name is not null").select("document_id", "unit_pos", "render_text")
+
+
+@query("SELECT document_id, unit_pos, json_extract_string(render_text, '$.name') AS name, CAST(json_array_length(render_text, '$.steps') AS INTEGER) AS n_steps FROM units WHERE workflow_name IS NOT NULL")
+def workflow_decode(s, d):
+    parsed = F.from_json("render_text", "type string, name string, steps array<string>")
+    rows = _units(s, d).where("workflow_name is not null").withColumn("w", parsed)
+    return rows.select("document_id", "unit_pos", F.col("w.name").alias("name"), F.size("w.steps").alias("n_steps"))
+
+
+@query("SELECT document_id, unit_pos, '[Workflow ''' || workflow_name || ''' containing ' || len(steps) || ' steps omitted for brevity]' AS short FROM units WHERE workflow_name IS NOT NULL")
+def workflow_short(s, d):
+    return _units(s, d).where("workflow_name is not null").select("document_id", "unit_pos", classify.shortened_workflow(F.col("workflow_name"), F.col("steps")).alias("short"))
+
+
+@query(f"SELECT document_id, unit_pos, CAST({O.WEIGHT} AS DOUBLE) AS weight FROM units")
+def type_weight_join(s, d):
+    return _units(s, d).select("document_id", "unit_pos", classify.weight(F.col("unit_type")).alias("weight"))
+
+
+@query("SELECT document_id, node, sentence_idx FROM kedges")
+def knowledge_edges(s, d):
+    return graphs.knowledge_edges(_units(s, d))
+
+
+@query("SELECT document_id, unit_pos, connectivity FROM conn")
+def connectivity(s, d):
+    return graphs.connectivity(_units(s, d))
+
+
+@query("SELECT document_id, source_idx, target_idx FROM sedges")
+def reasoning_structural(s, d):
+    return graphs.structural_edges(_units(s, d))
+
+
+@query("SELECT document_id, source_idx, target_idx FROM ledges")
+def reasoning_lexical(s, d):
+    return graphs.lexical_edges(_units(s, d))
+
+
+@query("SELECT document_id, source_idx, target_idx FROM redges")
+def reasoning_edges(s, d):
+    return graphs.reasoning_edges(_units(s, d))
+
+
+@query("SELECT document_id, sentence_index, unit_type, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS label FROM units WHERE (document_id, sentence_index) IN (SELECT document_id, source_idx FROM redges)")
+def graph_nodes(s, d):
+    units = _units(s, d)
+    return graphs.graph_nodes(units, graphs.reasoning_edges(units))
+
+
+@query("SELECT query_id, array_to_string(terms, ',') AS terms, array_to_string(ids, ',') AS ids, phrase FROM features")
+def query_features(s, d):
+    f = score.question_features(tables.questions(s))
+    return f.select("query_id", F.array_join("terms", ",").alias("terms"), F.array_join("hard_identifiers", ",").alias("ids"), F.array_join("clean_words", " ").alias("phrase"))
+
+
+@query(f"SELECT document_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{score.IDENTIFIER}'))), ',') AS ids FROM sdocs")
+def hard_identifiers(s, d):
+    ids = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(score.IDENTIFIER), F.lit(0))))
+    return tables.structured_documents(s, d).select("document_id", F.array_join(ids, ",").alias("ids"))
+
+
+@query("SELECT document_id, term, round(idf, 6) AS idf FROM idf")
+def idf(s, d):
+    return score.idf(_units(s, d)).select("document_id", "term", F.round("idf", 6).alias("idf"))
+
+
+@query(f"SELECT a.document_id, a.unit_pos, round(len(list_intersect({O.words('a.text')}, {O.words('b.text')})) * 1.0 / len(list_distinct(list_concat({O.words('a.text')}, {O.words('b.text')}))), 6) AS jaccard FROM units a JOIN units b ON a.document_id = b.document_id AND b.unit_pos = a.unit_pos + 1 WHERE len({O.words('a.text')}) > 0 AND len({O.words('b.text')}) > 0")
+def jaccard_pairs(s, d):
+    from pyspark.sql.window import Window
+
+    own = _units(s, d).withColumn("words", X.word_set(F.col("text")))
+    pairs = own.withColumn("next", F.lead("words").over(Window.partitionBy("document_id").orderBy("unit_pos"))).where("next is not null and size(words) > 0 and size(next) > 0")
+    return pairs.select("document_id", "unit_pos", F.round(X.jaccard(F.col("words"), F.col("next")), 6).alias("jaccard"))
+
+
+@query("SELECT e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
+def cosine_scores(s, d):
+    e = tables.table(s, d, "embeddings")
+    return baselines.vector_scores(e, e.where("vec_id = 0").select(F.lit("v0").alias("query_id"), "embedding")).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)) WHERE rank <= 6")
+def vector_topn(s, d):
+    e = tables.table(s, d, "embeddings")
+    return baselines.top_vectors(baselines.vector_scores(e, e.where("vec_id = 0").select(F.lit("v0").alias("query_id"), "embedding")), 6).select("vec_id", "rank")
+
+
+@query("SELECT document_id, unit_pos, query_id, round(CAST(lexical AS DOUBLE), 4) AS lexical, CAST(phrase AS DOUBLE) AS phrase, CAST(intent AS DOUBLE) AS intent, CAST(hard AS DOUBLE) AS hard, CAST(priority AS DOUBLE) AS priority FROM scored")
+def score_parts(s, d):
+    return _scored(s, d).select("document_id", "unit_pos", "query_id", F.round("lexical", 4).alias("lexical"), "phrase", "intent", "hard", "priority")
+
+
+@query("SELECT document_id, unit_pos, query_id, round(CAST(score AS DOUBLE), 4) AS score FROM scored")
+def unit_scores(s, d):
+    return _scored(s, d).select("document_id", "unit_pos", "query_id", F.round("score", 4).alias("score"))
+
+
+@query("SELECT document_id, query_id, unit_pos, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id, query_id ORDER BY round(CAST(score AS DOUBLE), 6) DESC, unit_pos) AS rank FROM scored) WHERE rank <= 4")
+def topk_units(s, d):
+    return choose.top_units(_scored(s, d).withColumn("score", F.round("score", 6)), 4).select("document_id", "query_id", "unit_pos", "rank")
+
+
+@query(f"SELECT d.document_id, CAST(length(d.text) AS INTEGER) AS original_chars, CAST(n AS INTEGER) AS original_sentences, {O.tokens('d.text')} AS original_estimated_tokens FROM sdocs d JOIN (SELECT document_id, count(*) AS n FROM sentences GROUP BY ALL) USING (document_id)")
+def doc_metadata(s, d):
+    docs = tables.structured_documents(s, d)
+    return engine.document_meta(docs, segment.sentences(docs))
+
+
+@query("SELECT md5(text) AS document_id, min(text) AS text FROM docs GROUP BY md5(text)")
+def ingest_idempotent(s, d):
+    return engine.new_documents(engine.by_content(tables.plain_documents(s, d)))
+
+
+@query("SELECT document_id, unit_pos, unit_type FROM units WHERE document_id = '3'")
+def units_lookup(s, d):
+    return _units(s, d).where("document_id = '3'").select("document_id", "unit_pos", "unit_type")
+
+
+@query()
+def greedy_select(s, d):
+    rows = choose.gathered(_scored(s, d))
+    return rows.select("document_id", "query_id", F.array_join(choose.greedy(F.col("units"), 4), ",").alias("selected"))
+
+
+@query()
+def greedy_select_max_tokens(s, d):
+    rows = choose.gathered(_scored(s, d))
+    return rows.select("document_id", "query_id", F.array_join(choose.greedy(F.col("units"), 4, max_tokens=120), ",").alias("selected"))
+
+
+@query()
+def retrieve(s, d):
+    return engine.retrieve(_memory(s, d), tables.questions(s))
+
+
+@query()
+def reduction_metadata(s, d):
+    return engine.retrieve(_memory(s, d), tables.questions(s), engine.Settings(max_sentences=6)).drop("context")
+
+
+@query()
+def cost_savings(s, d):
+    return engine.cost_saved(engine.retrieve(_memory(s, d), tables.questions(s)))
+
+
+@query()
+def reduce_flagship(s, d):
+    return engine.reduce(tables.plain_documents(s, d).select("text"), tables.questions(s).where("query_id = 'q0'"))
+
+
+@query("SELECT document_id, line_no, query_id, round(score, 6) AS score FROM bm25")
+def bm25_scores(s, d):
+    return baselines.bm25(segment.plain_lines(tables.plain_documents(s, d)), _passages(s, d)).select("document_id", "line_no", "query_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT document_id, query_id, line_no, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id, query_id ORDER BY round(score, 6) DESC, line_no) AS rank FROM bm25) WHERE rank <= 6")
+def bm25_topn(s, d):
+    scores = bm25_scores(s, d)
+    return baselines.top_lines(scores, 6).select("document_id", "query_id", "line_no", "rank")
+
+
+@query("SELECT document_id, text AS context FROM docs")
+def strategy_raw(s, d):
+    return tables.plain_documents(s, d).select("document_id", F.col("text").alias("context"))
+
+
+@query()
+def strategy_compare(s, d):
+    docs, asked = tables.structured_documents(s, d), tables.questions(s)
+    lines = segment.plain_lines(docs)
+    keyword = baselines.context_of(lines, baselines.top_lines(baselines.bm25(lines, asked), 6))
+    reduced = engine.retrieve(_memory(s, d), asked, engine.Settings(max_sentences=6)).select("document_id", "query_id", "context")
+    raw = docs.join(asked, F.lit(True)).select("document_id", "query_id", F.col("text").alias("context"))
+    rows = None
+    for name, part in (("raw", raw), ("keyword", keyword), ("reduced", reduced)):
+        part = part.withColumn("strategy", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    sized = rows.join(docs, "document_id").select("strategy", evaluate.compression(F.col("text"), F.col("context")).alias("compression_ratio"), X.word_tokens(F.col("context")).alias("context_size_tokens"))
+    return evaluate.averages(sized, ["compression_ratio", "context_size_tokens"])
+
+
+@query("SELECT query_id, regexp_extract(lower(query), '\\b(who|what|where|when|why)\\b', 1) AS wh FROM asked")
+def wh_word(s, d):
+    return tables.questions(s).select("query_id", answers.question_word(F.col("query")).alias("wh"))
+
+
+_STOP = ", ".join(repr(w) for w in answers.STOP_WORDS)
+
+
+def _content(x: str) -> str:
+    return f"list_distinct(list_filter({O.words(x)}, lambda w: w NOT IN ({_STOP}) AND NOT regexp_matches(w, '^[0-9]+$')))"
+
+
+_LINES = f"SELECT document_id, query_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY p) - 1 AS INTEGER) AS line_no, line FROM (SELECT document_id, query_id, regexp_replace({O.strip('unnest(string_split(context, chr(10)))')}, '^\\[S\\d+\\]\\s*', '') AS line, generate_subscripts(string_split(context, chr(10)), 1) AS p FROM ctx) WHERE line <> ''"
+_RANKED = f"SELECT l.*, query, CAST(len(list_intersect({_content('line')}, {_content('query')})) AS INTEGER) AS score FROM ({_LINES}) l JOIN asked USING (query_id)"
+
+
+@query(f"SELECT document_id, query_id, line_no, score FROM ({_RANKED})")
+def line_scores(s, d):
+    return answers.line_scores(answers.context_lines(_contexts(s, d)), tables.questions(s)).select("document_id", "query_id", "line_no", "score")
+
+
+@query()
+def extractive_answer(s, d):
+    return answers.extractive(_contexts(s, d), tables.questions(s))
+
+
+@query()
+def answer_packets(s, d):
+    rows = answers.answered(_contexts(s, d), tables.questions(s))
+    return rows.select("document_id", "query_id", "question", F.col("answer.mode").alias("mode"), F.col("answer.answer").alias("answer"))
+
+
+_PIECES = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: " + O.strip("regexp_replace(" + O.strip("s") + r", '^[*\-\d.\s#>]+', '')") + r"), lambda s: len(regexp_extract_all(s, '\S+')) >= 5 AND NOT starts_with(s, '```') AND NOT ends_with(s, '```'))[1:3]"
+
+
+@query(f"SELECT document_id, array_to_string({_PIECES}, '|') AS phrases FROM docs")
+def expected_phrases(s, d):
+    return tables.plain_documents(s, d).select("document_id", F.array_join(evaluate.phrases(F.col("text")), "|").alias("phrases"))
+
+
+@query("SELECT document_id, unit_pos, step_no, first, second FROM steps")
+def step_dependencies(s, d):
+    return evaluate.step_pairs(_units(s, d))
+
+
+@query("SELECT document_id, round(sum(CAST(step_no % 2 = 0 AS INTEGER)) * 1.0 / count(*), 6) AS recall FROM (SELECT a.document_id, CASE WHEN EXISTS (SELECT 1 FROM steps b WHERE b.document_id = a.document_id AND b.first = a.first AND b.second = a.second AND b.step_no % 2 = 0) THEN 0 ELSE 1 END AS step_no FROM steps a) GROUP BY document_id")
+def dependency_recall(s, d):
+    pairs = evaluate.step_pairs(_units(s, d))
+    return evaluate.dependency_recall(pairs, pairs.where("step_no % 2 = 0")).select("document_id", F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT document_id, round(sum(CAST(source_idx < 10 AND target_idx < 10 AS INTEGER)) * 1.0 / count(*), 6) AS recall FROM redges GROUP BY document_id")
+def graph_recall(s, d):
+    edges = graphs.reasoning_edges(_units(s, d))
+    return evaluate.graph_recall(edges, edges.where("source_idx < 10 and target_idx < 10")).select("document_id", F.round("recall", 6).alias("recall"))
+
+
+_UNIT = "list_dot_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
+
+
+@query(f"SELECT question_id, round(avg(CASE WHEN best >= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM (SELECT e.label AS question_id, e.vec_id, max({_UNIT.format('e', 'f')} / (sqrt({_UNIT.format('e', 'e')}) * sqrt({_UNIT.format('f', 'f')}))) AS best FROM embeddings e JOIN embeddings f ON e.label = f.label WHERE e.vec_id % 2 = 0 AND f.vec_id % 2 = 1 GROUP BY ALL) GROUP BY question_id")
+def semantic_recall(s, d):
+    e = tables.table(s, d, "embeddings").withColumnRenamed("label", "question_id")
+    expected = e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "phrase_no")
+    return evaluate.semantic_recall(expected, e.where("vec_id % 2 = 1").drop("vec_id")).select("question_id", F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT document_id, tag, n FROM (SELECT document_id, tag, count(*) AS n FROM (SELECT document_id, unnest(regexp_extract_all(text, '\\[([A-Z]+)-\\d+\\]', 1)) AS tag FROM sdocs) GROUP BY ALL)")
+def tag_counts(s, d):
+    docs = tables.structured_documents(s, d)
+    return docs.select("document_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[([A-Z]+)-\d+\]"), F.lit(1))).alias("tag")).groupBy("document_id", "tag").agg(F.count("*").alias("n"))
+
+
+_ROWS = "SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS strategy, CASE doc_id % 5 WHEN 0 THEN 'constraint' WHEN 1 THEN 'decision' WHEN 2 THEN 'workflow' WHEN 3 THEN 'reason' ELSE 'general' END AS category, CAST(quality AS DOUBLE) AS recall FROM labels"
+_METRICS = ", ".join(f"CASE WHEN category = '{c}' THEN recall ELSE 1.0 END AS {m}" for c, m in evaluate.METRICS.items())
+_AVERAGES = "SELECT strategy, " + ", ".join(f"round(avg({m}), 4) AS {m}" for m in evaluate.COMPOSITE) + f" FROM (SELECT *, {_METRICS}, recall AS general_retention FROM ({_ROWS})) GROUP BY strategy"
+
+
+def _averages(s, d):
+    rows = tables.table(s, d, "labels").select(
+        F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("strategy"),
+        F.element_at(F.array(*map(F.lit, ("constraint", "decision", "workflow", "reason", "general"))), (F.col("doc_id") % 5 + 1).cast("int")).alias("category"), F.col("quality").cast("double").alias("recall"),
+    )
+    return evaluate.averages(evaluate.category_metrics(rows), list(evaluate.COMPOSITE))
+
+
+@query(_AVERAGES)
+def strategy_averages(s, d):
+    return _averages(s, d)
+
+
+@query("SELECT strategy, round(" + " + ".join(f"{100 * w} * {m}" for m, w in evaluate.COMPOSITE.items()) + f", 4) AS composite FROM ({_AVERAGES})")
+def composite_score(s, d):
+    return _averages(s, d).select("strategy", F.round(evaluate.composite(), 4).alias("composite"))
+
+
+@query("SELECT strategy, round((" + " + ".join(f"{100 * w} * {m}" for m, w in evaluate.COMPOSITE.items()) + f") / greatest(1000.0 / {evaluate.RAW_TOKENS!r}, 0.01), 4) AS efficiency FROM ({_AVERAGES})")
+def efficiency_ratio(s, d):
+    return _averages(s, d).select("strategy", F.round(evaluate.efficiency(evaluate.composite(), F.lit(1000.0)), 4).alias("efficiency"))
+
+
+@query(" UNION ALL ".join(f"SELECT strategy, '{m}' AS metric, round({m} * 100, 4) AS value FROM ({_AVERAGES})" for m in evaluate.COMPOSITE))
+def metrics_unpivot(s, d):
+    return evaluate.unpivoted(_averages(s, d), list(evaluate.COMPOSITE)).withColumn("value", F.round("value", 4))
+
+
+@query()
+def markdown_report(s, d):
+    return evaluate.markdown_report(_averages(s, d), list(evaluate.COMPOSITE))
+
+
+@query("SELECT document_id, contains(lower(trim(regexp_replace(context, '\\s+', ' ', 'g'))), 'the') AS matched FROM ctx")
+def exact_match(s, d):
+    return _contexts(s, d).select("document_id", evaluate.exact_match(F.col("context"), F.lit("The")).alias("matched"))
+
+
+@query(r"SELECT document_id, round(CASE WHEN contains(lower(context), 'because') THEN 0.7 ELSE 0.0 END + 0.3 * len(list_filter(regexp_extract_all(lower(query), '\S+'), lambda w: length(w) > 3 AND contains(lower(context), w))) / len(list_filter(regexp_extract_all(lower(query), '\S+'), lambda w: length(w) > 3)), 6) AS retention FROM ctx JOIN asked USING (query_id)")
+def meaning_retention(s, d):
+    rows = _contexts(s, d).join(tables.questions(s), "query_id")
+    return rows.select("document_id", F.round(evaluate.meaning_retention(F.lit("because"), F.col("query"), F.col("context")), 6).alias("retention"))
+
+
+@query(r"SELECT document_id, round(1 - len(regexp_extract_all(substr(text, 1, length(text) // 2), '\S+')) * 1.3 / greatest(len(regexp_extract_all(text, '\S+')) * 1.3, 1e-9), 4) AS compression FROM docs")
+def compression(s, d):
+    half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    return tables.plain_documents(s, d).select("document_id", F.round(evaluate.compression(F.col("text"), half), 4).alias("compression"))
+
+
+@query("SELECT source AS dataset, round(avg(quality), 4) AS accuracy, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def dataset_accuracy(s, d):
+    rows = tables.table(s, d, "documents").select("doc_id", "source").join(tables.table(s, d, "labels"), "doc_id")
+    return rows.groupBy(F.col("source").alias("dataset")).agg(F.round(F.avg("quality"), 4).alias("accuracy"), F.count("*").alias("n"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
