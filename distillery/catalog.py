@@ -448,10 +448,10 @@ def meaning_retention(s, d):
     return rows.select("document_id", F.round(evaluate.meaning_retention(F.lit("because"), F.col("query"), F.col("context")), 6).alias("retention"))
 
 
-@query(r"SELECT document_id, round(1 - len(regexp_extract_all(substr(text, 1, length(text) // 2), '\S+')) * 1.3 / greatest(len(regexp_extract_all(text, '\S+')) * 1.3, 1e-9), 4) AS compression FROM docs")
+@query(r"SELECT document_id, round(1 - len(regexp_extract_all(substr(text, 1, length(text) // 2), '\S+')) * CAST(1.3 AS DOUBLE) / greatest(len(regexp_extract_all(text, '\S+')) * CAST(1.3 AS DOUBLE), 1e-9), 6) AS compression FROM docs")
 def compression(s, d):
     half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    return tables.plain_documents(s, d).select("document_id", F.round(evaluate.compression(F.col("text"), half), 4).alias("compression"))
+    return tables.plain_documents(s, d).select("document_id", F.round(evaluate.compression(F.col("text"), half), 6).alias("compression"))
 
 
 @query("SELECT source AS dataset, round(avg(quality), 4) AS accuracy, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source")
