@@ -50,7 +50,7 @@ LEAST_ESTIMATE = 0.72
 #: Share of equal registers below which a pair of a block is not held set against set: almost six standard errors under the limit.
 AGREE = 0.7
 #: Bytes of text that are hashed at a time, and rows of a bucket in a block.
-GROUP_BYTES, BLOCK = 2_000_000, 1024
+GROUP_BYTES, BLOCK = 1_000_000, 1024
 #: Bytes of sets in a block.
 BLOCK_BYTES = 16_000_000
 

@@ -19,9 +19,9 @@ from .words import hashed_words
 _ENCODERS: dict = {}
 
 #: Words whose ids a worker keeps; a full table starts afresh.
-TABLE_WORDS = 1_500_000
+TABLE_WORDS = 1_000_000
 #: Bytes of text that are encoded at a time.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 #: Words that the library gets at a time.
 BATCH = 4096
 #: Where characters from U+0300 on may combine, or a special token may stand, letters are not lowered beforehand.

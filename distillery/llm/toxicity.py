@@ -63,7 +63,7 @@ class Machine:
         for word in set(_WORDS.findall(text.lower())):
             k = cache.get(word)
             if k is None:
-                if len(cache) > 500_000:
+                if len(cache) > 200_000:
                     cache.clear()
                 k = cache[word] = self.slot.get(zlib.crc32(word.encode()) % PLACES, -1)
             if k >= 0:

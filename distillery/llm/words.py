@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A value for each byte, and powers of an odd number and of its inverse modulo 2**64."""
     if len(_TABLES.get("up", ())) < n:
-        size = max(n, 2_100_000)
+        size = max(n, 1_100_000)
         for name, p in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
             out = np.full(size, p, _U)
             out[0] = 1
