@@ -39,7 +39,7 @@ _DIGITS = re.compile("[0-9]+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 _PHONE_REST = re.compile(r"[ ().0-9-]*")
-_AFTER_CUE = re.compile(r"(?: ?(?:no\.?|number|nr\.?|#))? ?[:=#]? ?([A-Za-z]{0,4}[0-9](?:[ -]?[A-Za-z0-9]){4,40})(?![A-Za-z0-9])", re.I)
+_AFTER_CUE = re.compile(r"(?: ?(?:no\.?|number|nr\.?|#))? ?[:=#]? ?([A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z]{0,2}[0-9][A-Za-z0-9]*)*)", re.I)
 _ADDRESS = re.compile(r"[^\s\"'<>]+")
 _AUTOMATON: list = []
 
@@ -128,7 +128,7 @@ _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), (
 
 
 def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches):
         rows = [[{"kind": k, "start": s, "end": e} for k, s, e in spans(t)] for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, _SPAN_TYPE)], ["doc_id", "spans"])
 
@@ -157,7 +157,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns with personal data in ``text`` masked; a null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = pa.array([None if t is None else masked(t) for t in batch["text"].to_pylist()], pa.string())
             k = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([texts if i == k else c for i, c in enumerate(batch.columns)], batch.schema.names)
