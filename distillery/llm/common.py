@@ -63,6 +63,13 @@ def utf8(column) -> list[bytes]:
     return column.cast("binary").to_pylist()
 
 
+def slices(batches, rows: int = 512):
+    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def task_number() -> int:
     from pyspark import TaskContext
 

@@ -142,7 +142,7 @@ def _cutter(vocabulary: str, end_id: int, capacity: int):
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         rows: list[tuple] = []
         held = 0
-        for batch in batches:
+        for batch in common.slices(batches):
             for doc_id, raw in encode.groups(batch["doc_id"].to_pylist(), common.utf8(batch["text"])):
                 ids = np.concatenate([raw, end]).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
@@ -150,7 +150,7 @@ def _cutter(vocabulary: str, end_id: int, capacity: int):
                     rows.append((task, ranks[len(part)], doc_id, piece, start, len(part), part.tobytes()))
                     ranks[len(part)] += 1
                     held += part.nbytes
-                if held > 8_000_000:
+                if held > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, held = [], 0
         if rows:

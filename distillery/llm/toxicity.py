@@ -109,7 +109,7 @@ def learn(rows: list[list[int]], labels: np.ndarray, n_terms: int, epochs: int =
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches):
         rows = pa.array([places(t) for t in batch["text"].to_pylist()], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch["toxic"], rows], ["toxic", "places"])
 
@@ -145,9 +145,10 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [t or "" for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(texts), pa.float64())], [*batch.schema.names, "score"])
+        sent.value.cache.clear()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score")
     return docs.drop("score").mapInArrow(run, f"{kinds}, score double")
