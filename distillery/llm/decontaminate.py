@@ -135,7 +135,7 @@ def verdict() -> Column:
 def digest_columns(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), verdict().alias("contaminated"), F.size("near_ids").cast("long").alias("n_near_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), verdict().alias("contaminated"),
     )
 
 

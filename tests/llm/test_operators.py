@@ -361,3 +361,10 @@ def test_contract_columns(spark, sf):
         columns = wanted[name.split("_")[0]]
         assert df.columns[: len(columns)] == columns, name
         assert df.count() > 0
+
+
+def test_decontamination_sql(spark, sf):
+    import oracle
+
+    name = "op8_positional_decontamination"
+    assert oracle.difference(spark, oracle.views(sf), queries.queries()[name], queries.oracle_sql()[name], sf) == ""
