@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles as O
 from .functions import text as X
-from .operators import answers, baselines, choose, classify, evaluate, graphs, score, segment
+from .operators import answers, baselines, choose, classify, datasets, evaluate, graphs, score, segment
 from .plans import engine
 from .sources import tables
 
@@ -460,6 +460,39 @@ def dataset_accuracy(s, d):
     return rows.groupBy(F.col("source").alias("dataset")).agg(F.round(F.avg("quality"), 4).alias("accuracy"), F.count("*").alias("n"))
 
 
+def _sectioned(s, d):
+    """Documents with a header before each of six equal parts of their words."""
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    part = F.floor(F.size("w") / 6).cast("int")
+    rows = tables.plain_documents(s, d).withColumn("w", words).where("size(w) >= 120")
+    heads = ("Summary", "Motivation", "Goals", "Proposal", "Drawbacks", "Alternatives")
+    pieces = [F.concat(F.lit(f"## {h}\n"), F.array_join(F.slice("w", part * k + 1, part), " ")) for k, h in enumerate(heads)]
+    return rows.select(F.concat(F.lpad("document_id", 9, "0"), F.lit(".md")).alias("document_id"), F.concat_ws("\n\n", *pieces).alias("text"))
+
+
+_W = r"regexp_extract_all(text, '\S+')"
+_P = f"len({_W}) // 6"
+_SECTIONS = " UNION ALL ".join(
+    f"SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS document_id, '{name}' AS section, array_to_string({_W}[{_P} * {k} + 1 : {_P} * {k + 1}], ' ') AS content FROM documents WHERE len({_W}) >= 120"
+    for k, name in enumerate(("summary", "motivation", "reasoning", "design", "constraints", "alternatives"))
+)
+
+
+@query(_SECTIONS)
+def sections(s, d):
+    return datasets.sections(_sectioned(s, d))
+
+
+@query(f"SELECT document_id FROM ({_SECTIONS}) GROUP BY document_id HAVING count(*) = 6")
+def strong_docs(s, d):
+    return datasets.strong_documents(_sectioned(s, d)).select("document_id")
+
+
+@query()
+def qa_dataset(s, d):
+    return datasets.question_set(_sectioned(s, d), 50).withColumn("expected_phrases", F.array_join("expected_phrases", "|"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
