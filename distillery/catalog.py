@@ -18,11 +18,11 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, **instead: str):
     def keep(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = O.sql(sql)
+            _SQL[f.__name__] = O.sql(sql, **instead)
         return f
 
     return keep
@@ -263,31 +263,32 @@ def units_lookup(s, d):
     return _units(s, d).where("document_id = '3'").select("document_id", "unit_pos", "unit_type")
 
 
-@query()
+@query("SELECT document_id, query_id, array_to_string(pos, ',') AS selected FROM picked4")
 def greedy_select(s, d):
     rows = choose.gathered(_scored(s, d))
     return rows.select("document_id", "query_id", F.array_join(choose.greedy(F.col("units"), 4), ",").alias("selected"))
 
 
-@query()
+@query("SELECT document_id, query_id, array_to_string(pos, ',') AS selected FROM picked4t")
 def greedy_select_max_tokens(s, d):
     rows = choose.gathered(_scored(s, d))
     return rows.select("document_id", "query_id", F.array_join(choose.greedy(F.col("units"), 4, max_tokens=120), ",").alias("selected"))
 
 
-@query()
+@query("SELECT * FROM reduced4")
 def retrieve(s, d):
     return engine.retrieve(_memory(s, d), tables.questions(s))
 
 
-@query()
+@query("SELECT * EXCLUDE (context) FROM reduced6")
 def reduction_metadata(s, d):
     return engine.retrieve(_memory(s, d), tables.questions(s), engine.Settings(max_sentences=6)).drop("context")
 
 
-@query()
+@query("SELECT document_id, query_id, round((original_estimated_tokens - reduced_estimated_tokens) * CAST(0.000003 AS DOUBLE), 9) AS cost_saved FROM reduced4")
 def cost_savings(s, d):
-    return engine.cost_saved(engine.retrieve(_memory(s, d), tables.questions(s)))
+    saved = engine.cost_saved(engine.retrieve(_memory(s, d), tables.questions(s)))
+    return saved.withColumn("cost_saved", F.round("cost_saved", 9))
 
 
 @query()
@@ -306,6 +307,31 @@ def bm25_topn(s, d):
     return baselines.top_lines(scores, 6).select("document_id", "query_id", "line_no", "rank")
 
 
+def _expanded(s, d):
+    """All units of each pair, the chosen ones, and those after each expansion."""
+    units = _units(s, d)
+    edges = graphs.reasoning_edges(units).groupBy("document_id").agg(F.collect_list(F.struct("source_idx", "target_idx")).alias("edges"))
+    rows = choose.gathered(_scored(s, d)).join(edges, "document_id", "left")
+    rows = rows.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<source_idx:int,target_idx:int>>")))
+    rows = rows.withColumn("near", choose.adjacent(F.col("units"), choose.greedy(F.col("units"), 4), 1))
+    return rows.withColumn("kept", choose.reasoned(F.col("units"), F.col("near"), F.col("edges")))
+
+
+@query("SELECT document_id, query_id, string_agg(unit_pos, ',' ORDER BY unit_pos) AS near FROM near4 GROUP BY ALL")
+def adjacent_context(s, d):
+    return _expanded(s, d).select("document_id", "query_id", F.array_join("near", ",").alias("near"))
+
+
+@query("SELECT document_id, query_id, string_agg(unit_pos, ',' ORDER BY unit_pos) AS kept FROM kept4 GROUP BY ALL")
+def reasoning_chains(s, d):
+    return _expanded(s, d).select("document_id", "query_id", F.array_join("kept", ",").alias("kept"))
+
+
+@query("SELECT document_id, query_id, context FROM context4")
+def assemble_context(s, d):
+    return _expanded(s, d).select("document_id", "query_id", choose.assembled(F.col("units"), F.col("kept")).alias("context"))
+
+
 @query("SELECT document_id, text AS context FROM docs")
 def strategy_raw(s, d):
     return tables.plain_documents(s, d).select("document_id", F.col("text").alias("context"))

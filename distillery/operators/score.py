@@ -96,4 +96,5 @@ def scored(units: DataFrame, features: DataFrame, connectivity: DataFrame, pairs
     rows = rows.withColumn("priority", F.when(F.col("unit_type").isin(*PRESERVED) & related, 2.5).otherwise(0.0))
     near = F.least(F.col("connectivity") * F.lit(0.1), F.lit(1.0))
     parts = weight(F.col("unit_type")) * 2.0 + F.col("lexical") + F.col("phrase") + dense_bonus(F.col("dense")) + F.col("entity") + F.col("noun") + near + F.col("intent") + F.col("hard") + F.col("priority")
-    return rows.withColumn("score", parts)
+    # Rounded, so that the order in which a sum was taken decides no tie.
+    return rows.withColumn("score", F.round(parts, 9))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import baselines, classify, evaluate, graphs, score
+from .operators import baselines, choose, classify, evaluate, graphs, score
 from .sources.tables import LINES, QUESTIONS
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -99,7 +99,7 @@ PARTS = {
     "features": rf"SELECT query_id, query, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(query, '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 2), lambda w: lower(w)))) AS terms, list_sort(list_distinct(regexp_extract_all(query, '{score.IDENTIFIER}'))) AS ids, array_to_string({words('query')}, ' ') AS phrase FROM asked",
     "hits": "SELECT u.document_id, u.unit_pos, query_id, sum(coalesce(i.idf, 1.0)) * pow(1.5, count(*) - 1) AS lexical FROM units u, (SELECT query_id, unnest(terms) AS term FROM features) f LEFT JOIN idf i ON i.document_id = u.document_id AND i.term = f.term WHERE contains(lower(u.text), f.term) GROUP BY ALL",
     "scored": f"""SELECT document_id, unit_pos, query_id, sentence_index, text, lexical, phrase, intent, hard, CASE WHEN unit_type IN ({', '.join(map(repr, score.PRESERVED))}) AND (lexical > 0 OR hard > 0) THEN 2.5 ELSE 0.0 END AS priority,
-        {WEIGHT} * 2.0 + lexical + phrase + least(connectivity * 0.1, 1.0) + intent + hard + CASE WHEN unit_type IN ({', '.join(map(repr, score.PRESERVED))}) AND (lexical > 0 OR hard > 0) THEN 2.5 ELSE 0.0 END AS score FROM (
+        round(CAST({WEIGHT} * 2.0 + lexical + phrase + least(connectivity * 0.1, 1.0) + intent + hard + CASE WHEN unit_type IN ({', '.join(map(repr, score.PRESERVED))}) AND (lexical > 0 OR hard > 0) THEN 2.5 ELSE 0.0 END AS DOUBLE), 9) AS score FROM (
         SELECT u.document_id, u.unit_pos, f.query_id, u.sentence_index, u.text, u.unit_type, connectivity, coalesce(h.lexical, 0.0) AS lexical, CASE WHEN length(phrase) > 4 AND contains(lower(u.text), phrase) THEN 5.0 ELSE 0.0 END AS phrase,
         CASE WHEN list_has_any(string_split(u.unit_type, '_'), terms) THEN 3.0 ELSE 0.0 END + CASE WHEN u.unit_type = 'workflow' AND list_has_any(terms, {list(score.PROCESS_WORDS)}) THEN 3.0 ELSE 0.0 END AS intent,
         len(list_filter(ids, lambda x: contains(u.text, x) OR contains(lower(u.text), lower(x)))) * 15.0 AS hard FROM units u JOIN conn USING (document_id, unit_pos), features f LEFT JOIN hits h ON h.document_id = u.document_id AND h.unit_pos = u.unit_pos AND h.query_id = f.query_id)""",
@@ -116,17 +116,55 @@ PARTS = {
 }
 
 
-def sql(select: str) -> str:
-    """The statement, with the parts that it uses, directly or not."""
+_KEYS = "document_id, query_id"
+_both = "len(list_intersect(a.words, b.words))"
+PARTS["known"] = f"SELECT document_id, unit_pos, sentence_index, text, render_text, context_header, concat_ws(chr(31), unit_type, lower(subject), lower(relation), lower(object)) AS same, list_distinct({words('text')}) AS words, {tokens('render_text')} AS tokens FROM units"
+PARTS["bars"] = f"SELECT a.document_id, a.unit_pos, list(b.unit_pos) AS barred FROM known a JOIN known b ON a.document_id = b.document_id AND a.unit_pos <> b.unit_pos AND (a.same = b.same OR (len(a.words) > 0 AND len(b.words) > 0 AND {_both} / (len(a.words) + len(b.words) - {_both}) > {choose.REPEATS})) GROUP BY ALL"
+PARTS["ranked"] = f"SELECT s.document_id, s.query_id, s.unit_pos, k.tokens, coalesce(b.barred, []) AS barred, row_number() OVER (PARTITION BY s.document_id, s.query_id ORDER BY s.score DESC, s.unit_pos) AS place FROM scored s JOIN known k USING (document_id, unit_pos) LEFT JOIN bars b USING (document_id, unit_pos)"
+PARTS["dmeta"] = f"SELECT d.document_id, CAST(length(d.text) AS INTEGER) AS original_chars, CAST(n AS INTEGER) AS original_sentences, {tokens('d.text')} AS original_estimated_tokens FROM sdocs d JOIN (SELECT document_id, count(*) AS n FROM sentences GROUP BY ALL) USING (document_id)"
+
+
+def choice(tag: str, most: int, max_tokens: int | None = None, floor: int = 250, window: int = 1) -> None:
+    """Adds the parts of one setting of the engine: walk, chosen, near, reached, kept, line and reduced, each with the tag."""
+    over = f"total + tokens > {max_tokens}" if max_tokens else "false"
+    enough = f"(total + tokens >= {floor}" + (f" OR total + tokens >= {max_tokens})" if max_tokens else ")")
+    PARTS[f"walk{tag}"] = f"""SELECT {_KEYS}, CAST(0 AS BIGINT) AS place, CAST([] AS INTEGER[]) AS pos, CAST(0 AS BIGINT) AS total, false AS done FROM ranked GROUP BY ALL UNION ALL
+        SELECT {_KEYS}, place, CASE WHEN repeats OR {over} THEN pos ELSE list_append(pos, unit_pos) END, CASE WHEN repeats OR {over} THEN total ELSE total + tokens END, NOT repeats AND ({over} OR (len(pos) + 1 >= {most} AND {enough}))
+        FROM (SELECT w.document_id, w.query_id, r.place, w.pos, w.total, r.unit_pos, r.tokens, list_has_any(w.pos, r.barred) AS repeats FROM walk{tag} w JOIN ranked r ON r.document_id = w.document_id AND r.query_id = w.query_id AND r.place = w.place + 1 WHERE NOT w.done)"""
+    PARTS[f"picked{tag}"] = f"SELECT {_KEYS}, arg_max(pos, place) AS pos FROM walk{tag} GROUP BY ALL"
+    PARTS[f"chosen{tag}"] = f"SELECT p.document_id, p.query_id, k.unit_pos, k.sentence_index, k.same FROM (SELECT {_KEYS}, unnest(pos) AS unit_pos FROM picked{tag}) p JOIN known k USING (document_id, unit_pos)"
+    PARTS[f"near{tag}"] = f"""SELECT {_KEYS}, unit_pos, sentence_index FROM chosen{tag} UNION SELECT {_KEYS}, min(unit_pos), arg_min(sentence_index, unit_pos) FROM (
+        SELECT c.document_id, c.query_id, k.unit_pos, k.sentence_index, k.same FROM chosen{tag} c JOIN known k ON k.document_id = c.document_id AND abs(k.sentence_index - c.sentence_index) <= {window}) n
+        WHERE NOT EXISTS (SELECT 1 FROM chosen{tag} c WHERE c.document_id = n.document_id AND c.query_id = n.query_id AND c.same = n.same) GROUP BY {_KEYS}, same"""
+    for own, from_, column in ((f"hop{tag}", f"near{tag}", "sentence_index"), (f"reached{tag}", f"hop{tag}", "i")):
+        PARTS[own] = f"SELECT {_KEYS}, {column} AS i FROM {from_} UNION SELECT h.document_id, h.query_id, e.target_idx FROM {from_} h JOIN redges e ON e.document_id = h.document_id AND e.source_idx = h.{column}"
+    PARTS[f"kept{tag}"] = f"SELECT r.document_id, r.query_id, k.* EXCLUDE (document_id) FROM reached{tag} r JOIN known k ON k.document_id = r.document_id AND k.sentence_index = r.i QUALIFY row_number() OVER (PARTITION BY r.document_id, r.query_id, k.same ORDER BY k.unit_pos) = 1"
+    PARTS[f"first{tag}"] = f"SELECT *, context_header <> '' AND NOT starts_with(text, '#') AS headed FROM kept{tag} QUALIFY row_number() OVER (PARTITION BY {_KEYS}, sentence_index ORDER BY unit_pos) = 1"
+    PARTS[f"line{tag}"] = f"SELECT *, coalesce(last_value(CASE WHEN headed THEN context_header END IGNORE NULLS) OVER (PARTITION BY {_KEYS} ORDER BY sentence_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM first{tag}"
+    headed = "CASE WHEN headed AND context_header <> before THEN '[' || context_header || ']' || chr(10) ELSE '' END || render_text"
+    PARTS[f"context{tag}"] = f"SELECT {_KEYS}, {strip(f'string_agg({headed}, chr(10) ORDER BY sentence_index)')} AS context FROM line{tag} GROUP BY ALL"
+    PARTS[f"reduced{tag}"] = f"""SELECT {_KEYS}, coalesce(context, '') AS context, original_sentences, CAST(coalesce(n, 0) AS INTEGER) AS reduced_sentences, CAST(len(pos) AS INTEGER) AS selected_sentence_count, original_chars,
+        CAST(length(coalesce(context, '')) AS INTEGER) AS reduced_chars, original_estimated_tokens, {tokens("coalesce(context, '')")} AS reduced_estimated_tokens, round(1 - length(coalesce(context, '')) / greatest(original_chars, 1), 4) AS reduction_ratio
+        FROM picked{tag} JOIN dmeta USING (document_id) LEFT JOIN context{tag} USING ({_KEYS}) LEFT JOIN (SELECT {_KEYS}, count(*) AS n FROM kept{tag} GROUP BY ALL) USING ({_KEYS})"""
+
+
+choice("4", 4)
+choice("6", 6)
+choice("4t", 4, max_tokens=120)
+
+
+def sql(select: str, **instead: str) -> str:
+    """The statement, with the parts that it uses, directly or not; ``instead`` gives parts another statement."""
     import re
 
+    given = PARTS | instead
     needed, todo = set(), [select]
     while todo:
-        for name in set(re.findall(r"\b\w+\b", todo.pop())) & set(PARTS) - needed:
+        for name in set(re.findall(r"\b\w+\b", todo.pop())) & set(given) - needed:
             needed.add(name)
-            todo.append(PARTS[name])
-    parts = ", ".join(f"{k} AS ({v})" for k, v in PARTS.items() if k in needed)
-    return f"WITH {parts} {select}" if parts else select
+            todo.append(given[name])
+    parts = ", ".join(f"{k} AS ({v})" for k, v in given.items() if k in needed)
+    return f"WITH RECURSIVE {parts} {select}" if parts else select
 
 
 METRIC_WEIGHTS = evaluate.COMPOSITE
