@@ -62,6 +62,11 @@ def greedy(units: Column, max_sentences: int, max_tokens: int | None = None, min
     return F.aggregate(ranked, start, step, lambda acc: F.transform(acc["chosen"], lambda s: s["pos"]))
 
 
+def among(units: Column, chosen: Column) -> Column:
+    """The units at the chosen positions. An optimizer may put the expression for chosen in its place: it is computed once."""
+    return let(chosen, lambda own: F.filter(units, lambda u: F.array_contains(own, u["unit_pos"])))
+
+
 def adjacent(units: Column, chosen: Column, window: int) -> Column:
     """unit_pos of the chosen units and of those within window sentences that are the same as none kept so far."""
     def expanded(own: Column) -> Column:
@@ -74,7 +79,7 @@ def adjacent(units: Column, chosen: Column, window: int) -> Column:
 
         return F.aggregate(units, start, step, lambda acc: F.array_sort(acc["pos"]))
 
-    slim = F.transform(F.filter(units, lambda u: F.array_contains(chosen, u["unit_pos"])), lambda u: F.struct(u["unit_pos"].alias("unit_pos"), u["sentence_index"].alias("sentence_index"), u["same"].alias("same")))
+    slim = F.transform(among(units, chosen), lambda u: F.struct(u["unit_pos"].alias("unit_pos"), u["sentence_index"].alias("sentence_index"), u["same"].alias("same")))
     return let(slim, expanded)
 
 
@@ -83,7 +88,7 @@ def reasoned(units: Column, chosen: Column, edges: Column) -> Column:
     def hop(indices: Column) -> Column:
         return F.array_union(indices, F.transform(F.filter(edges, lambda e: F.array_contains(indices, e["source_idx"])), lambda e: e["target_idx"]))
 
-    own = F.array_distinct(F.transform(F.filter(units, lambda u: F.array_contains(chosen, u["unit_pos"])), lambda u: u["sentence_index"]))
+    own = F.array_distinct(F.transform(among(units, chosen), lambda u: u["sentence_index"]))
     inside = let(let(let(own, hop), hop), lambda reached: F.filter(units, lambda u: F.array_contains(reached, u["sentence_index"])))
     start = F.struct(F.array().cast("array<int>").alias("pos"), F.array().cast("array<string>").alias("same"))
 
@@ -96,7 +101,7 @@ def reasoned(units: Column, chosen: Column, edges: Column) -> Column:
 
 def assembled(units: Column, chosen: Column) -> Column:
     """The context: a sentence's first unit, in order, with its header in brackets where that changes."""
-    own = F.array_sort(F.transform(F.filter(units, lambda u: F.array_contains(chosen, u["unit_pos"])), lambda u: F.struct(u["sentence_index"].alias("i"), u["unit_pos"].alias("pos"), u["text"].alias("text"), u["render_text"].alias("render"), u["context_header"].alias("header"))))
+    own = F.array_sort(F.transform(among(units, chosen), lambda u: F.struct(u["sentence_index"].alias("i"), u["unit_pos"].alias("pos"), u["text"].alias("text"), u["render_text"].alias("render"), u["context_header"].alias("header"))))
     start = F.struct(F.lit(-1).alias("i"), F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, u: Column) -> Column:
