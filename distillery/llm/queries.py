@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,5 +94,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
+_T = chat.Template()
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_CONTROLS = "|".join(re.escape(m) for m in _T.controls)
+_FOLLOWS = " OR ".join(f"(before = {_quoted(a)} AND role IN ({', '.join(map(_quoted, sorted(b)))}))" for a, b in _T.follows.items())
+_LEARNED = ", ".join(map(_quoted, sorted(_T.learned)))
+
+
+def _escaped(x: str) -> str:
+    """Length of an escaped text: a character more for each backslash and each control string."""
+    return f"(length(replace({x}, chr(92), chr(92) || chr(92))) + len(regexp_extract_all({x}, {_quoted(_CONTROLS)})))"
+
+
+_MARKED = "CASE " + " ".join(f"WHEN role = {_quoted(r)} THEN {len(a) + len(b)}" for r, (a, b) in _T.marks.items()) + f" ELSE {sum(map(len, _T.other))} + {_escaped('role')} END"
+
+#: Turns in the formatter's order, digests of what they say, and the formatted size by the template.
+OP9_SQL = f"""
+WITH turns AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, k, CASE WHEN k = 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(k)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM turns),
+seen AS (SELECT *, lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY p) AS before FROM placed)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY p)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role IN ({_LEARNED})), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY p) FILTER (role IN ({_LEARNED})), '')) AS loss_sha256,
+    CAST(sum({_MARKED} + {_escaped('text')}) AS BIGINT) AS formatted_chars,
+    bool_and({_FOLLOWS}) AND arg_max(role, p) IN ({', '.join(map(_quoted, sorted(_T.accepting)))}) AS valid
+FROM seen GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_positional_decontamination": OP8_SQL}
+    return {"op8_positional_decontamination": OP8_SQL, "op9_chat_formatting": OP9_SQL}

@@ -363,8 +363,8 @@ def test_contract_columns(spark, sf):
         assert df.count() > 0
 
 
-def test_decontamination_sql(spark, sf):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, sf, name):
     import oracle
 
-    name = "op8_positional_decontamination"
     assert oracle.difference(spark, oracle.views(sf), queries.queries()[name], queries.oracle_sql()[name], sf) == ""
