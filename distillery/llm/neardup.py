@@ -53,6 +53,9 @@ AGREE = 0.7
 GROUP_BYTES, BLOCK = 1_000_000, 1024
 #: Bytes of sets in a block.
 BLOCK_BYTES = 16_000_000
+#: A bucket with more than one in HOT of a table's rows takes its facts from a broadcast: of HOT buckets at most.
+HOT = 1000
+
 
 def shingles(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each UTF-8 text."""
@@ -127,6 +130,13 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s + _GOLD).sum(dtype=_U).astype(np.int64)), int(mix(s ^ _M1).sum(dtype=_U).astype(np.int64))
 
 
+def by_band(rows: DataFrame, facts: DataFrame, total: int) -> DataFrame:
+    """rows with the facts of their bucket, of total rows that hold whole buckets; hot buckets stay where they are."""
+    hot = F.col("size") * HOT > total
+    cold = rows.where(~hot).join(facts.where(~hot).drop("size"), "band")
+    return cold.unionByName(rows.where(hot).join(F.broadcast(facts.where(hot).drop("size")), "band"))
+
+
 def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for k, t in enumerate(texts):
@@ -260,14 +270,15 @@ class Links:
     def unresolved(self, labels: DataFrame) -> DataFrame:
         """band, cid, component of buckets of three classes or more that are not in one component."""
         own = self.bands.where("size > 2").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        parts = own.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return own.join(parts.select("band"), "band").select("band", "cid", "leader", "size", "component")
+        own = common.stored(own.select("band", "cid", "leader", "size", "component"), f"{self.root}/own{self.round}")
+        parts = own.groupBy("band", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        return by_band(own, parts.select("band", "size"), own.count())
 
     def led_anew(self, open_rows: DataFrame) -> DataFrame:
         """Members of unresolved buckets with another leader: each bucket draws its own, so a class meets as many as it has buckets."""
         draw = F.struct(F.xxhash64("cid", "band").alias("h"), F.col("cid").alias("a"), F.col("component").alias("ca"))
-        leaders = open_rows.groupBy("band").agg(F.min(draw).alias("l"))
-        pairs = open_rows.join(leaders, "band").where("component <> l.ca and leader <> l.a and leader <> cid")
+        leaders = open_rows.groupBy("band", "size").agg(F.min(draw).alias("l"))
+        pairs = by_band(open_rows, leaders, open_rows.count()).where("component <> l.ca and leader <> l.a and leader <> cid")
         return pairs.select(F.least("cid", "l.a").alias("a"), F.greatest("cid", "l.a").alias("b")).distinct()
 
     def in_blocks(self, open_rows: DataFrame) -> DataFrame:
@@ -280,8 +291,8 @@ class Links:
         root = f"{self.root}/round{self.round}"
         texts = self.own_texts(open_rows, f"{root}/texts")
         own = open_rows.join(self.classes.select("cid", "n"), "cid")
-        blocks = own.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-        rows = open_rows.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        blocks = own.groupBy("band", "size").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+        rows = by_band(open_rows, blocks, open_rows.count()).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
         rows = rows.join(self.classes.select("cid", "registers"), "cid").join(texts, "cid")
