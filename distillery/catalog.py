@@ -41,8 +41,8 @@ def _scored(s, d):
     return score.scored(units, score.question_features(tables.questions(s)), graphs.connectivity(units))
 
 
-def _memory(s, d):
-    memory = engine.ingest(tables.structured_documents(s, d))
+def _memory(docs):
+    memory = engine.ingest(docs)
     # Read by every later step: kept after the first use.
     units = memory.units.persist()
     return engine.Memory(memory.meta, units, graphs.knowledge_edges(units), graphs.reasoning_edges(units))
@@ -61,8 +61,8 @@ def _contexts(s, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every structured document reduced for every question."""
-    return retrieve(spark, sf_dir)
+    """Every document, whole, reduced for every question."""
+    return engine.retrieve(_memory(tables.whole_documents(spark, sf_dir)), tables.questions(spark))
 
 
 @query("SELECT document_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM docs")
@@ -277,17 +277,17 @@ def greedy_select_max_tokens(s, d):
 
 @query("SELECT * FROM reduced4")
 def retrieve(s, d):
-    return engine.retrieve(_memory(s, d), tables.questions(s))
+    return engine.retrieve(_memory(tables.structured_documents(s, d)), tables.questions(s))
 
 
 @query("SELECT * EXCLUDE (context) FROM reduced6")
 def reduction_metadata(s, d):
-    return engine.retrieve(_memory(s, d), tables.questions(s), engine.Settings(max_sentences=6)).drop("context")
+    return engine.retrieve(_memory(tables.structured_documents(s, d)), tables.questions(s), engine.Settings(max_sentences=6)).drop("context")
 
 
 @query("SELECT document_id, query_id, round((original_estimated_tokens - reduced_estimated_tokens) * CAST(0.000003 AS DOUBLE), 9) AS cost_saved FROM reduced4")
 def cost_savings(s, d):
-    saved = engine.cost_saved(engine.retrieve(_memory(s, d), tables.questions(s)))
+    saved = engine.cost_saved(engine.retrieve(_memory(tables.structured_documents(s, d)), tables.questions(s)))
     return saved.withColumn("cost_saved", F.round("cost_saved", 9))
 
 
@@ -339,10 +339,10 @@ def strategy_raw(s, d):
 
 @query()
 def strategy_compare(s, d):
-    docs, asked = tables.structured_documents(s, d), tables.questions(s)
+    docs, asked = tables.whole_documents(s, d), tables.questions(s)
     lines = segment.plain_lines(docs)
     keyword = baselines.context_of(lines, baselines.top_lines(baselines.bm25(lines, asked), 6))
-    reduced = engine.retrieve(_memory(s, d), asked, engine.Settings(max_sentences=6)).select("document_id", "query_id", "context")
+    reduced = engine.retrieve(_memory(docs), asked, engine.Settings(max_sentences=6)).select("document_id", "query_id", "context")
     raw = docs.join(asked, F.lit(True)).select("document_id", "query_id", F.col("text").alias("context"))
     rows = None
     for name, part in (("raw", raw), ("keyword", keyword), ("reduced", reduced)):

@@ -13,7 +13,7 @@ QUESTIONS = (
     "What are the steps of the workflow?",
     "Compare SOC2 goal",
 )
-#: Lines of a document that are given a structure.
+#: Lines of a document in the fixture that the SQL describes.
 LINES = 40
 
 
@@ -26,14 +26,13 @@ def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def structured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents whose first lines become headers, lists, labels and tags by a fixed rule."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+def structured(docs: DataFrame, most: int | None = None, header: int | None = None) -> DataFrame:
+    """Documents whose lines become headers, lists, labels and tags by a fixed rule: all lines, or the first ones and so many characters of headers."""
 
     def line(text, i):
         k = (F.col("doc_id") * 7 + i) % 16
         shapes = {
-            0: F.concat(F.lit("# "), F.substring(text, 1, 20)), 1: F.concat(F.lit("- "), text), 2: F.concat(F.lit("- "), text), 3: F.concat(F.lit("1. "), text),
+            0: F.concat(F.lit("# "), F.substring(text, 1, header) if header else text), 1: F.concat(F.lit("- "), text), 2: F.concat(F.lit("- "), text), 3: F.concat(F.lit("1. "), text),
             4: F.concat(F.lit("Decision: "), text), 5: F.concat(F.lit("[CON-01] Limit: "), text), 6: F.concat(F.lit("[REA-02] Why: "), text),
             7: F.concat(F.lit("We selected this because "), F.lower(text)), 8: F.lit("Requirement:"), 9: text, 10: F.concat(F.lit("Goal: "), text),
             11: F.concat(F.lit("Services must never stop. "), text), 12: F.lit("Task: implement the pipeline v2.1"), 13: F.lit("---"),
@@ -45,10 +44,22 @@ def structured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         gap = F.when(i == 0, "").when(k.isin(2, 3, 9), "\n").otherwise("\n\n")
         return F.concat(gap, shaped)
 
-    lines = F.slice(F.split("text", "\n", -1), 1, LINES)
+    lines = F.split("text", "\n", -1)
+    if most:
+        lines = F.slice(lines, 1, most)
     return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.array_join(F.transform(lines, line), "").alias("text"))
 
 
+def structured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture of the SQL: English documents, the first LINES lines, headers of 20 characters."""
+    return structured(table(spark, sf_dir, "documents").where("lang = 'en'"), LINES, 20)
+
+
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, of any language or none; a null text is an empty one."""
+    return structured(table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))))
+
+
 def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"q{k}", q) for k, q in enumerate(QUESTIONS)], "query_id string, query string")
 
