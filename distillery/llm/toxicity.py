@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its distinct lower-case words, hashed to 2**18 places. The
-labelled rows choose the places whose presence depends on the label (chi
-squared), and a second-order factorization machine learns a weight for each
-chosen place and a weight for each pair of them, as products of factors.
+Terms of a text are its distinct lower-case words, hashed to 2**18 places. A
+second-order factorization machine learns a weight for every place that occurs
+in the labelled rows and a weight for each pair of them, as products of
+factors; decay keeps the weights of places that tell nothing near 0.
 
 Labels are learned from at most SAMPLE labelled rows (those of least hash), of
 which none is held out. Everything else, scores above all, covers every row.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PLACES = 1 << 18
-#: Labelled rows to learn from, terms kept, least chi squared and least rows of a term, factors a term.
-SAMPLE, TERMS, LEAST_CHI, LEAST_ROWS, FACTORS = 20_000, 4096, 12.0, 3, 8
+#: Labelled rows to learn from, factors a term.
+SAMPLE, FACTORS = 20_000, 8
 THRESHOLD = 0.7
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -48,6 +48,7 @@ class Machine:
 
     def __init__(self, chosen: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray):
         self.chosen, self.w0, self.w, self.v = chosen, w0, w, v
+        self.own = w - 0.5 * (v * v).sum(1)
         self.slot = {int(p): k for k, p in enumerate(chosen)}
         self.cache: dict[str, int] = {}
 
@@ -74,38 +75,57 @@ class Machine:
         n = np.array([len(r) for r in rows])
         flat = np.array([k for r in rows for k in r], np.int64)
         doc = np.repeat(np.arange(len(rows)), n)
-        out = np.bincount(doc, self.w[flat], len(rows)) + self.w0
+        out = np.bincount(doc, self.own[flat], len(rows)) + self.w0
         for f in range(self.v.shape[1]):
-            s = np.bincount(doc, self.v[flat, f], len(rows))
-            out += 0.5 * (s * s - np.bincount(doc, self.v[flat, f] ** 2, len(rows)))
+            out += 0.5 * np.bincount(doc, self.v[flat, f], len(rows)) ** 2
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits([self.slots(t) for t in texts]), -60, 60)))
 
 
-def learn(rows: list[list[int]], labels: np.ndarray, n_terms: int, epochs: int = 120, rate: float = 0.05, decay: float = 2e-3, seed: int = 7):
-    """Full-batch Adam on the logistic loss; rows hold slots below n_terms."""
-    rng, n = np.random.default_rng(seed), len(rows)
-    count = np.array([len(r) for r in rows])
-    flat = np.array([k for r in rows for k in r], np.int64)
-    doc = np.repeat(np.arange(n), count)
+def learn(flat: np.ndarray, count: np.ndarray, labels: np.ndarray, n_terms: int, epochs: int = 200, rate: float = 0.05, lasso: float = 3.5, decay: float = 0.05, spared: float = 0.1, seed: int = 7):
+    """Full-batch Adam on the logistic loss; flat holds the slots of all rows, each below n_terms and used, and count the slots of each.
+
+    Weights have an L1 penalty of lasso deviations of their gradient, factors an L2 penalty; both fall where a weight is larger than about spared.
+    """
+    rng, n = np.random.default_rng(seed), len(count)
+    used = np.flatnonzero(count)
+    starts = (np.cumsum(count) - count)[used]
+    order = np.argsort(flat, kind="stable")
+    doc = np.repeat(np.arange(n, dtype=np.int32), count)[order]
+    heads = np.searchsorted(flat[order], np.arange(n_terms))
+    del order
+
+    def by_row(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(used):
+            out[used] = np.add.reduceat(x[flat], starts)
+        return out
+
+    def by_term(x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[doc], heads) if n_terms else np.zeros(0)
+
     base = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    p = {"w0": np.array([np.log(base / (1 - base))]), "w": np.zeros(n_terms), "v": rng.normal(0, 0.05, (n_terms, FACTORS))}
+    p = {"w0": np.array([np.log(base / (1 - base))]), "w": np.zeros(n_terms), "v": rng.normal(0, 0.02, (FACTORS, n_terms))}
     m, s = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    # By chance alone a term's gradient has this deviation; a weight below some of them stays 0.
+    least = lasso * np.sqrt(by_term(np.ones(n)) * base * (1 - base)) / n
     for t in range(1, epochs + 1):
-        z = p["w0"][0] + np.bincount(doc, p["w"][flat], n)
-        sums = np.stack([np.bincount(doc, p["v"][flat, f], n) for f in range(FACTORS)], 1)
-        for f in range(FACTORS):
-            z += 0.5 * (sums[:, f] ** 2 - np.bincount(doc, p["v"][flat, f] ** 2, n))
+        sums = np.stack([by_row(x) for x in p["v"]])
+        z = p["w0"][0] + by_row(p["w"] - 0.5 * (p["v"] ** 2).sum(0)) + 0.5 * (sums**2).sum(0)
         err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels) / n
-        g = {"w0": np.array([err.sum()]), "w": np.bincount(flat, err[doc], n_terms) + decay * p["w"] / 50}
-        g["v"] = np.stack([np.bincount(flat, err[doc] * (sums[doc, f] - p["v"][flat, f]), n_terms) for f in range(FACTORS)], 1) + decay * p["v"] / 10
+        each = by_term(err)
+        w = p["w"]
+        g = {"w0": np.array([err.sum()]), "w": np.where(w != 0, each + least * np.sign(w) / (1 + np.abs(w) / spared), np.sign(each) * np.maximum(np.abs(each) - least, 0))}
+        g["v"] = np.stack([by_term(err * x) for x in sums]) - each * p["v"] + decay * p["v"] / (1 + (p["v"] ** 2).sum(0) / spared)
+        side = np.where(w != 0, np.sign(w), -np.sign(g["w"]))
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
-            p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-9)
-    return float(p["w0"][0]), p["w"], p["v"]
+            p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-9)
+        p["w"] = np.where(np.sign(p["w"]) == side, p["w"], 0)
+    return float(p["w0"][0]), p["w"], p["v"].T.copy()
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,23 +145,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
         return Machine(np.zeros(0, np.int64), -60.0, np.zeros(0), np.zeros((0, FACTORS)))
-    by = rows.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("n"))
-    gap = F.col("a") * float(total) - F.col("n") * float(toxic)
-    chi = gap * gap * float(total) / (F.col("n") * (total - F.col("n") + 1e-9) * float(toxic) * float(total - toxic))
-    best = by.where(F.col("n") >= LEAST_ROWS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "place").limit(TERMS)
-    chosen = np.array(sorted(r["place"] for r in best.select("place").collect()), np.int64)
-    slot = {int(p): k for k, p in enumerate(chosen)}
-    kept = F.filter("places", lambda p: p.isin(*map(int, chosen))) if len(chosen) < 200 else F.array_intersect("places", F.array(*[F.lit(int(p)) for p in chosen]))
-    found = rows.select("toxic", kept.alias("places")).collect() if len(chosen) else []
-    if not found:
-        base = toxic / total
-        return Machine(chosen, float(np.log(base / (1 - base))), np.zeros(0), np.zeros((0, FACTORS)))
-    w0, w, v = learn([[slot[p] for p in r["places"]] for r in found], np.array([float(r["toxic"]) for r in found]), len(chosen))
+    # At most SAMPLE rows, each with its distinct places.
+    found = rows.toArrow()
+    lists = found["places"].combine_chunks()
+    chosen, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    w0, w, v = learn(flat.astype(np.int32), lists.value_lengths().to_numpy().astype(np.int64), found["toxic"].to_numpy().astype(float), len(chosen))
     return Machine(chosen, w0, w, v)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of docs with ``score`` added; the machine has at most TERMS weights."""
+    """The rows of docs with ``score`` added; the machine has at most PLACES weights and their factors."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
