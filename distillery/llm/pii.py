@@ -40,8 +40,17 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 _PHONE_REST = re.compile(r"[ ().0-9-]*")
 _AFTER_CUE = re.compile(r"(?: ?(?:no\.?|number|nr\.?|#))? ?[:=#]? ?([A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z]{0,2}[0-9][A-Za-z0-9]*)*)", re.I)
+_AFTER_IBAN = re.compile(r"(?: ?(?:no\.?|number|nr\.?|#))? ?[:=#]? ?([A-Za-z]{2}[ -]?[0-9]{2}(?:[ -]?[A-Za-z0-9])*)", re.I)
+#: Characters of an IBAN by country.
+_IBAN_SIZES = {c: int(n) for n, cs in {
+    "15": "NO", "16": "BE", "18": "DK FI FO GL NL FK SD", "19": "MK SI", "20": "AT BA EE KZ LT LU XK MN", "21": "CH HR LI LV", "22": "BG BH CR DE GB GE IE ME RS VA",
+    "23": "AE GI IL IQ OM SO TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU",
+}.items() for c in cs.split()}
 _ADDRESS = re.compile(r"[^\s\"'<>]+")
 _AUTOMATON: list = []
+#: A-Z lowered alone, so that places stay.
+_LOWERED = {k: k + 32 for k in range(65, 91)}
 
 
 def automaton():
@@ -54,8 +63,7 @@ def automaton():
         for digit in "0123456789":
             a.add_word(digit, ("0", 1))
         for cue in CUES:
-            for form in (cue, cue.capitalize(), cue.upper()):
-                a.add_word(form, ("cue", len(form)))
+            a.add_word(cue, ("cue", len(cue)))
         for scheme in SCHEMES:
             a.add_word(scheme, ("scheme", len(scheme)))
         a.make_automaton()
@@ -73,11 +81,37 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_end(text: str, start: int) -> int:
+    """Where the valid IBAN at a place ends, by its country's length (any, if that is unknown) and check digits; 0 if there is none."""
+    size, plain, out = _IBAN_SIZES.get(text[start : start + 2].upper()), "", 0
+    for at in range(start, len(text)):
+        c = text[at]
+        if c.isascii() and c.isalnum():
+            plain += c
+            whole = len(plain) == size if size else len(plain) >= 15
+            if whole and not text[at + 1 : at + 2].isalnum() and iban(plain):
+                out = at + 1
+        elif c not in " -":
+            break
+        if len(plain) >= (size or 34):
+            break
+    return out
+
+
+def after_cue(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """The identifier that follows a cue, from and to: a valid IBAN after its cue, or enough digits."""
+    if cue == "iban" and (m := _AFTER_IBAN.match(text, at)):
+        end = iban_end(text, m.start(1))
+        return (m.start(1), end) if end else None
+    m = _AFTER_CUE.match(text, at)
+    return m.span(1) if m and sum(c in "0123456789" for c in m[1]) >= LEAST_DIGITS else None
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end), by start and then by kind in the order of KINDS."""
     found: list[tuple[int, int, int]] = []
     email_end = ip_end = card_end = phone_end = run_end = account_end = link_end = 0
-    for last, (what, size) in automaton().iter(text):
+    for last, (what, size) in automaton().iter(text.lower() if text.isascii() else text.translate(_LOWERED)):
         at = last - size + 1
         if what == "0":
             if at < run_end:
@@ -111,12 +145,9 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                         found.append((at, 3, phone_end))
         elif what == "cue":
             word = (at == 0 or not text[at - 1].isalnum()) and not text[last + 1 : last + 2].isalnum()
-            if word and at >= account_end and (m := _AFTER_CUE.match(text, last + 1)):
-                plain = m[1].replace(" ", "").replace("-", "")
-                coded = plain[:2].isalpha() and plain[2:4].isdigit()
-                if sum(c.isdigit() for c in plain) >= LEAST_DIGITS and (not coded or iban(plain)):
-                    account_end = m.end(1)
-                    found.append((m.start(1), 4, account_end))
+            if word and at >= account_end and (m := after_cue(text, last + 1, text[at : last + 1].lower())):
+                account_end = m[1]
+                found.append((m[0], 4, account_end))
         elif at >= link_end and (m := _ADDRESS.match(text, last + 1)) and "@" in m[0]:
             link_end = m.end()
             found.append((at, 5, link_end))
