@@ -8,7 +8,7 @@ and language) and owners (sources) it occurs. A value of one owner looks live;
 a value of several is a copied example.
 
 Base kinds are assign, access and hex. The method adds ``bearer``, ``jwt``,
-``key`` (a private key's header) and ``login`` (a password in an address),
+``key`` (a private key, through its last line) and ``login`` (a password in an address),
 which are kept when their value has one owner; base matches always stay.
 
 Cases: null and empty texts have no spans. Texts of any length are scanned
@@ -32,11 +32,14 @@ BASE = {
     "access": (r"(AKIA[A-Z0-9]+)", 1, 18),
     "hex": (r"([0-9a-f]{16,})", 1, 16),
 }
+_KEY = "[A-Z ]{0,20}PRIVATE KEY-----"
+#: What follows the header of a key without its last line: its own headers and the lines of its body.
+_OPEN = r"(?:[\r\n]+[A-Z][A-Za-z-]*:\x20[^\r\n]*+){0,64}\s?[A-Za-z0-9+/=\r\n]*+"
 ADDED = {
     "bearer": (r"(?:[Bb]earer|BEARER)\x20+([A-Za-z0-9._~+/-]{20,}=*)", 1, 20),
     "jwt": (r"(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*)", 1, 22),
-    "key": (r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{0,200})", 1, 24),
-    "login": (r"://[^\s/:@]{1,64}:([^\s/:@]{4,128})@", 1, 4),
+    "key": (rf"(-----BEGIN {_KEY}(?:[^-]*+(?:-(?!----)[^-]*+){{0,999}}-----END {_KEY}|{_OPEN}))", 1, 24),
+    "login": (r"://[^\s/:@]*:([^\s/:@]{4,})@", 1, 4),
 }
 KINDS = (*BASE, *ADDED)
 #: Strings of which a text with a match holds one; finding them is cheaper than the expression.
