@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path for one run's tables in the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Where that is unset, a local master gets
-    a temporary folder and a cluster gets a folder in the warehouse.
+    ``spark.checkpoint.dir`` names it; where that is unset, it is in the warehouse.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        app = spark.sparkContext.applicationId
-        base = _LOCAL_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="distillery-"))
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/distillery/{label}-{uuid.uuid4().hex[:12]}"
 
 
@@ -40,6 +31,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names that clash with nothing (c0, c1, ...), and the own names of those columns in order."""
+    own = {f"c{k}": name for k, name in enumerate(docs.columns)}
+    return docs.toDF(*own), own
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -6,24 +6,31 @@ exponentially distributed values, on a scale of powers of BASE and truncated to
 16 bits; sketches merge by maximum. Documents of equal sets form a class and are
 sketched once. Bands of registers propose classes that may be alike, a joint
 likelihood of the registers and set sizes estimates their similarity, and the
-full sets decide: linked if ``100 * intersection >= 85 * union``.
+full sets, compared by the words' bytes, decide: linked if
+``100 * intersection >= 85 * union``.
 
 In a band's bucket, members are first held against one leader, and confirmed
 links join classes into components. A bucket whose members are then in one
-component has nothing left to tell. In the others, members of different
-components are compared in blocks, register by register, so that no link
-between them is lost to the choice of leader.
+component has nothing left to tell. The classes of the others meet again by
+their rarest shingles: of two sets that are alike, one of the 15 % rarest
+shingles of either is in both, whereas texts that fill one template differ in
+them. Members of different components that share such a shingle are compared
+register by register, in blocks, so that no link is lost to the choice of
+leader; registers alone are sent there, and texts of likely pairs alone.
 
 Cases: null, empty and blank texts have no set and are linked with nothing.
-Rows of equal sets are linked, however many. Rows that repeat a doc_id share
-its result if their sets are linked and differ otherwise. A null doc_id never
-names a component while there is another. An empty table gives an empty
-result. Other columns are not read.
+Rows of equal sets are linked, however many. Every row is known by a number of
+its own, so rows that repeat a doc_id, or have none, are told apart. A null
+doc_id never names a component while there is another. A text of any length is
+one set. An empty table gives an empty result. ``groups`` does not read other
+columns; ``distinct`` keeps them, whatever they are called.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,32 +41,46 @@ from pyspark.sql import functions as F
 from . import common
 from .words import GOLDEN as _GOLD
 from .words import MIX_1 as _M1
-from .words import hashed_words, mix
+from .words import Words, mix
 
 _U = np.uint64
 
-#: Words in a shingle, and the similarity that links, in hundredths.
-SHINGLE, ALIKE = 5, 85
+#: Words in a shingle.
+SHINGLE = 5
 #: Bands and registers in a band: two sets of similarity 0.85 miss each other with a chance of 3e-7.
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Scale of the registers.
 BASE, SHIFT = 1.001, 10_000.0
-#: Estimated similarity below which a pair is not confirmed: five standard errors under the limit.
-LEAST_ESTIMATE = 0.72
-#: Share of equal registers below which a pair of a block is not held set against set: almost six standard errors under the limit.
-AGREE = 0.7
 #: Bytes of text that are hashed at a time, and rows of a bucket in a block.
 GROUP_BYTES, BLOCK = 1_000_000, 1024
-#: Bytes of sets in a block.
-BLOCK_BYTES = 16_000_000
+#: Rows of a bucket whose pairs are formed from one array; in larger ones they are compared in blocks first.
+SMALL = 32
+#: Counters that approximate how often a shingle occurs, to tell rare ones: any order of them gives the same links.
+COUNTERS = 1 << 18
 #: A bucket with more than one in HOT of a table's rows takes its facts from a broadcast: of HOT buckets at most.
 HOT = 1000
 
 
+@dataclass(frozen=True)
+class Limits:
+    """alike: the similarity that links, in hundredths.
+
+    estimate and agree: estimated similarity and share of equal registers below
+    which a pair of one bucket is not held set against set: five and almost six
+    standard errors under 0.85, a loss of fewer than one pair in a million. At
+    0, every pair of a bucket is.
+    """
+
+    alike: int = 85
+    estimate: float = 0.72
+    agree: float = 0.7
+
+
 def shingles(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each UTF-8 text."""
-    word, _, _, first = hashed_words([t.lower() for t in texts])
+    words = Words([t.lower() for t in texts])
+    word, first = words.hashes(), words.first
     five = np.zeros(0, _U)
     if len(word) >= SHINGLE:
         five = word[: len(word) - SHINGLE + 1].copy()
@@ -146,17 +167,23 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
             start, size = k + 1, 0
 
 
-def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches):
-        texts = common.utf8(batch["text"])
-        for a, b in _groups(texts):
-            sets = shingles(texts[a:b])
-            prints = [fingerprint(s) for s in sets]
-            registers = [r.tobytes() for r in sketch(sets)]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"][a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([p for p, _ in prints], pa.int64()), pa.array([p for _, p in prints], pa.int64()), pa.array(registers, pa.binary())],
-                ["doc_id", "n", "k1", "k2", "registers"],
-            )
+def _sketcher(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = common.task_number() << 33
+        for batch in common.slices(batches):
+            texts = [t or b"" for t in common.utf8(batch[text])]
+            for a, b in _groups(texts):
+                sets = shingles(texts[a:b])
+                prints = [fingerprint(s) for s in sets]
+                part = batch.slice(a, b - a)
+                columns = [
+                    pa.array(np.arange(uid, uid + b - a)), pa.array([len(s) for s in sets], pa.int64()), pa.array([p for p, _ in prints], pa.int64()), pa.array([p for _, p in prints], pa.int64()),
+                    pa.array([r.tobytes() for r in sketch(sets)], pa.binary()),
+                ]
+                uid += b - a
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, "uid", "n", "k1", "k2", "registers"])
+
+    return run
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,67 +198,90 @@ def _registers(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            n = [batch[c].to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")]
-            good = estimate(_registers(batch["r_a"]), _registers(batch["r_b"]), *n) >= LEAST_ESTIMATE
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+def _likely(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = [batch[c].to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")]
+                good = estimate(_registers(batch["r_a"]), _registers(batch["r_b"]), *n) >= least
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
+    return run
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= ALIKE * (len(a) + len(b) - both)
 
+class WordIds:
+    """A number for each word by its bytes, and for each shingle by its words' numbers."""
+
+    def __init__(self):
+        self.words: dict[bytes, int] = {}
+
+    def shingles(self, text: bytes) -> set[tuple[int, ...]]:
+        words = self.words
+        ids = [words.setdefault(w, len(words)) for w in text.lower().split()]
+        if len(ids) < SHINGLE:
+            return {tuple(ids)} if ids else set()
+        return set(zip(*(ids[k:] for k in range(SHINGLE)), strict=False))
+
+
+def alike(a: set, b: set, limit: int = 85) -> bool:
+    both = len(a & b)
+    return 100 * both >= limit * (len(a) + len(b) - both)
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of a, whose set is kept until the next one."""
-    held, own = None, None
-    for batch in common.slices(batches):
-        good = []
-        for a, x, y in zip(batch["a"].to_pylist(), common.utf8(batch["t_a"]), common.utf8(batch["t_b"]), strict=True):
-            if held != a:
-                held, own = a, shingles([x])[0]
-            good.append(alike(own, shingles([y])[0]))
-        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+def _confirmed(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of a, whose set is kept until the next one."""
+        held = own = ids = None
+        for batch in common.slices(batches, 64):
+            good = []
+            for a, x, y in zip(batch["a"].to_pylist(), common.utf8(batch["t_a"]), common.utf8(batch["t_b"]), strict=True):
+                if held != a or len(ids.words) > 1_000_000:
+                    held, ids = a, WordIds()
+                    own = ids.shingles(x)
+                good.append(alike(own, ids.shingles(y), limit))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task fall on each counter."""
+    total = np.zeros(COUNTERS, np.int64)
     for batch in common.slices(batches):
-        good, texts = [], common.utf8(batch["text"])
-        wanted = list(zip(*(batch[c].to_pylist() for c in ("n", "k1", "k2")), strict=True))
+        texts = common.utf8(batch["text"])
         for a, b in _groups(texts):
-            good += [(len(s), *fingerprint(s)) == w for s, w in zip(shingles(texts[a:b]), wanted[a:b], strict=True)]
-        yield batch.select(["cid", "text"]).filter(pa.array(good, pa.bool_()))
+            total += np.bincount((np.concatenate(shingles(texts[a:b])) % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["counter", "seen"])
 
 
-#: Stands for a null doc_id.
-_NO_ID = -(1 << 63)
+def rarest(s: np.ndarray, seen: np.ndarray, limit: int) -> np.ndarray:
+    """So many of a set's rarest shingles that a set that is alike has one of them among its own."""
+    n = len(s) - math.ceil(limit * len(s) / 100) + 1
+    return s[np.lexsort((s, seen[(s % _U(COUNTERS)).astype(np.int64)]))[:n]]
 
 
 class Links:
-    """Classes of equal sets, and the links between them."""
-
-    def __init__(self, docs: DataFrame):
-        self.spark, self.root = docs.sparkSession, common.shared_dir(docs.sparkSession, "neardup")
-        self.texts = common.doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-        schema = "doc_id long, n long, k1 long, k2 long, registers binary"
-        self.rows = common.stored(self.texts.mapInArrow(_sketcher, schema), f"{self.root}/rows")
-        sets = self.rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.max("doc_id").alias("doc_id"), F.min(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id"))).alias("name"), F.first("registers").alias("registers"))
-        self.classes = common.stored(sets.withColumn("cid", F.monotonically_increasing_id()), f"{self.root}/classes")
+    """Classes of equal sets, and the links between them. A class is known by the least number of its rows."""
+
+    def __init__(self, docs: DataFrame, limits: Limits | None = None):
+        self.spark, self.limits = docs.sparkSession, limits or Limits()
+        self.root = common.shared_dir(docs.sparkSession, "neardup")
+        rows, self.names = common.numbered(docs)
+        own = {name.lower(): c for c, name in self.names.items()}
+        self.doc_id, text = F.col(own["doc_id"]).cast("long"), own["text"]
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", uid long, n long, k1 long, k2 long, registers binary"
+        self.rows = common.stored(rows.mapInArrow(_sketcher(text), schema), f"{self.root}/rows")
+        sets = self.rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("uid").alias("cid"), F.min(self.doc_id).alias("name"), F.first("registers").alias("registers"))
+        self.classes = common.stored(sets, f"{self.root}/classes")
+        # Equal sets: any row's text will do.
+        self.texts = self.rows.select(F.col("uid").alias("cid"), F.coalesce(text, F.lit("")).alias("text"))
         bands = self.classes.select("cid", "registers").mapInArrow(_banded, "band long, cid long")
         # Only buckets of two classes or more say anything.
         size = bands.groupBy("band").agg(F.min("cid").alias("leader"), F.count("*").alias("size")).where("size > 1")
         self.bands = common.stored(bands.join(size, "band"), f"{self.root}/bands")
         self.round = 0
 
-    def own_texts(self, cids: DataFrame, path: str) -> DataFrame:
-        """cid and text of the named classes, one text of each."""
-        wanted = self.classes.select("cid", "doc_id", "n", "k1", "k2").join(cids.select("cid").distinct(), "cid")
-        texts = self.texts.join(wanted, "doc_id").select("cid", "n", "k1", "k2", "text")
-        # A doc_id may have several texts: the class's own is known by its set.
-        return common.stored(texts.mapInArrow(_own_text, "cid long, text string").dropDuplicates(["cid"]), path)
-
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Those of distinct pairs (a, b) of classes whose sets are alike: first by estimate, then on the full sets."""
         self.round += 1
@@ -239,12 +289,16 @@ class Links:
         c = self.classes
         a = c.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
         b = c.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
-        size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * ALIKE
-        likely = pairs.join(a, "a").join(b, "b").where(size).mapInArrow(_likely, "a long, b long")
+        size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.limits.alike
+        likely = pairs.join(a, "a").join(b, "b").where(size).mapInArrow(_likely(self.limits.estimate), "a long, b long")
         likely = common.stored(likely, f"{root}/likely")
-        texts = self.own_texts(likely.select(F.explode(F.array("a", "b")).alias("cid")), f"{root}/texts")
+        texts = self.texts.join(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
+        texts = common.stored(texts, f"{root}/texts")
         full = likely.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("t_b")), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("t_a")), "a")
-        return common.stored(full.mapInArrow(_confirmed, "a long, b long"), f"{root}/links")
+        links = common.stored(full.mapInArrow(_confirmed(self.limits.alike), "a long, b long"), f"{root}/links")
+        for name in ("likely", "texts"):
+            common.drop_path(self.spark, f"{root}/{name}")
+        return links
 
     def components(self, links: DataFrame) -> DataFrame:
         """cid and component (its least cid) of every class that has a link: least labels, with pointer jumping."""
@@ -281,87 +335,101 @@ class Links:
         pairs = by_band(open_rows, leaders, open_rows.count()).where("component <> l.ca and leader <> l.a and leader <> cid")
         return pairs.select(F.least("cid", "l.a").alias("a"), F.greatest("cid", "l.a").alias("b")).distinct()
 
-    def in_blocks(self, open_rows: DataFrame) -> DataFrame:
-        """Links between different components, from all pairs of blocks of each unresolved bucket.
-
-        Pairs are compared and confirmed within a task, the likeliest first, and
-        only a link that joins two parts is returned.
-        """
+    def by_rarest(self, open_rows: DataFrame) -> DataFrame:
+        """Pairs of classes of different components that are likely to be alike and share one of their rarest shingles."""
         self.round += 1
-        root = f"{self.root}/round{self.round}"
-        texts = self.own_texts(open_rows, f"{root}/texts")
-        own = open_rows.join(self.classes.select("cid", "n"), "cid")
-        blocks = own.groupBy("band", "size").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-        rows = by_band(open_rows, blocks, open_rows.count()).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        rows = rows.join(self.classes.select("cid", "registers"), "cid").join(texts, "cid")
-        links = rows.select("band", "i", "j", "own", "cid", "component", "registers", "text").groupBy("band", "i", "j").applyInPandas(_linked, "a long, b long")
-        return common.stored(links.distinct(), f"{root}/links")
+        root, limit = f"{self.root}/round{self.round}", self.limits.alike
+        own = common.stored(self.texts.join(open_rows.select("cid", "component").distinct(), "cid"), f"{root}/texts")
+        # COUNTERS rows at most reach the driver, whatever the input.
+        seen = np.zeros(COUNTERS, np.int64)
+        for r in own.select("text").mapInArrow(_counted, "counter int, seen long").groupBy("counter").agg(F.sum("seen").alias("seen")).toLocalIterator():
+            seen[r["counter"]] = r["seen"]
+        sent = self.spark.sparkContext.broadcast(seen)
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in common.slices(batches, 64):
+                if not batch.num_rows:
+                    continue
+                keys = [rarest(s, sent.value, limit).astype(np.int64) for s in shingles(common.utf8(batch["text"]))]
+                n = [len(k) for k in keys]
+                cid, component = (np.repeat(batch[c].to_numpy(zero_copy_only=False), n) for c in ("cid", "component"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(cid), pa.array(component)], ["band", "cid", "component"])
+
+        keys = common.stored(own.mapInArrow(keyed, "band long, cid long, component long"), f"{root}/keys")
+        # The largest component of a bucket is not held against itself: what is left of the bucket meets it, and itself.
+        sizes = keys.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", "n").alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("size")).where("size > 1")
+        sizes, total = common.stored(sizes, f"{root}/sizes"), keys.count()
+        parts = sizes.where("size > in_main").select("band", "size", "main", F.ceil(F.col("in_main") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("size") - F.col("in_main")) / BLOCK).cast("int").alias("others"))
+        few, many = parts.where(F.col("size") <= SMALL), parts.where(F.col("size") > SMALL)
+        each = keys.join(few.select("band"), "band").groupBy("band").agg(F.collect_list(F.struct("cid", "component")).alias("members"))
+        apart = F.transform("members", lambda x: F.transform(F.filter("members", lambda y: (y["cid"] > x["cid"]) & (y["component"] != x["component"])), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b"))))
+        pairs = each.select(F.inline(F.flatten(apart)))
+        # Of HOT buckets at most; their rows stay where they are.
+        hot = F.col("size") * HOT > total
+        cold = keys.join(F.broadcast(sizes.where(hot).select("band")), "band", "left_anti").join(many.where(~hot), "band")
+        rows = cold.unionByName(keys.join(F.broadcast(many.where(hot)), "band"))
+        hashed, main = F.xxhash64("cid"), F.col("component") == F.col("main")
+        # Blocks of the main component count on from those of the others.
+        rows = rows.withColumn("own", F.when(main, F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
+        met = F.sequence(F.lit(0), F.when(main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+        rows = rows.withColumn("other", F.explode(met)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+        rows = rows.join(self.classes.select("cid", "n", "registers"), "cid").select("band", "i", "j", "own", "cid", "component", "n", "registers")
+        return pairs.union(rows.groupBy("band", "i", "j").applyInPandas(_paired(self.limits), "a long, b long")).distinct()
 
     def resolve(self) -> DataFrame:
         """cid and component of every class that has a link."""
         links = self.confirm(self.led())
         labels = self.components(links)
-        for search in (lambda rows: self.confirm(self.led_anew(rows)), self.in_blocks):
+        for search in (self.led_anew, self.by_rarest):
             open_rows = common.stored(self.unresolved(labels), f"{self.root}/open{self.round}")
             if not open_rows.take(1):
                 break
-            more = search(open_rows)
+            more = self.confirm(search(open_rows))
             if more.take(1):
                 links = links.union(more)
                 labels = self.components(links)
         return labels
 
-    def result(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, kept for every document."""
+    def assigned(self) -> DataFrame:
+        """The rows, with their set's component (null without words) and the component's least doc_id."""
         own = self.classes.select("k1", "k2", "n", "cid", "name").join(self.resolve(), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         names = own.groupBy("component").agg(F.min("name").alias("component_id"))
-        named = own.join(names, "component").select("k1", "k2", "n", "component_id", F.lit(True).alias("has_set"))
-        rows = self.rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
-        doc_id = F.when(F.col("doc_id") != _NO_ID, F.col("doc_id"))
-        rows = rows.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("has_set"), F.col("component_id")).otherwise(doc_id).alias("component_id"))
+        return self.rows.join(own.join(names, "component").select("k1", "k2", "n", "component", "component_id"), ["k1", "k2", "n"], "left")
+
+    def result(self) -> DataFrame:
+        """doc_id, n_shingles, component_id, kept for every document."""
+        name = F.when(F.col("component").isNull(), self.doc_id).otherwise(F.col("component_id"))
+        rows = self.assigned().select(self.doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), name.alias("component_id"))
         return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
+    def kept(self) -> DataFrame:
+        """All columns of the rows that stay: of each component the one of least doc_id (nulls last), and all without words."""
+        order = F.struct(self.doc_id.isNull().alias("none"), self.doc_id.alias("doc_id"), "uid")
+        first = self.assigned().select("uid", "component", order.alias("o")).groupBy(F.coalesce("component", -F.col("uid") - 1).alias("g")).agg(F.min("o").alias("o"))
+        return self.rows.join(first.select(F.col("o.uid").alias("uid")), "uid", "left_semi").select(*[F.col(c).alias(name) for c, name in self.names.items()])
 
-def _linked(rows: pd.DataFrame) -> pd.DataFrame:
-    registers = np.frombuffer(b"".join(rows["registers"]), "<u2").reshape(-1, REGISTERS)
-    cid, component, own = (rows[c].to_numpy() for c in ("cid", "component", "own"))
-    crossing = rows["i"].iloc[0] != rows["j"].iloc[0]
-    sets = shingles([t.encode() for t in rows["text"]])
-    size = np.array([len(s) for s in sets])
-    parent = {c: c for c in component.tolist()}
-
-    def top(c):
-        while parent[c] != c:
-            parent[c] = c = parent[parent[c]]
-        return c
-
-    pairs = []
-    for k in range(len(cid) - 1):
-        at = np.arange(k + 1, len(cid))
-        fits = (component[at] != component[k]) & (100 * np.minimum(size[at], size[k]) >= ALIKE * np.maximum(size[at], size[k]))
-        at = at[fits & (own[at] != own[k])] if crossing else at[fits]
-        same = (registers[at] == registers[k]).sum(1)
-        good = same >= AGREE * REGISTERS
-        pairs.append(np.stack([same[good], np.full(good.sum(), k), at[good]], 1))
-    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
-    out = []
-    for _, k, l in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
-        x, y = top(component[k]), top(component[l])
-        if x != y and alike(sets[k], sets[l]):
-            parent[x] = y
-            out.append((min(cid[k], cid[l]), max(cid[k], cid[l])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+def _paired(limits: Limits):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        registers = np.frombuffer(b"".join(rows["registers"]), "<u2").reshape(-1, REGISTERS)
+        cid, component, own, size = (rows[c].to_numpy() for c in ("cid", "component", "own", "n"))
+        crossing, out = rows["i"].iloc[0] != rows["j"].iloc[0], []
+        for k in range(len(cid) - 1):
+            at = np.arange(k + 1, len(cid))
+            fits = (component[at] != component[k]) & (100 * np.minimum(size[at], size[k]) >= limits.alike * np.maximum(size[at], size[k]))
+            at = at[fits & (own[at] != own[k])] if crossing else at[fits]
+            at = at[(registers[at] == registers[k]).sum(1) >= limits.agree * REGISTERS]
+            out.append(np.stack([np.minimum(cid[at], cid[k]), np.maximum(cid[at], cid[k])], 1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+    return run
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document of docs."""
-    return Links(docs).result()
+    return Links(docs.select("doc_id", "text"), limits).result()
 
 
-def distinct(docs: DataFrame) -> DataFrame:
+def distinct(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """The rows of docs, all columns, that stay: one document of each group, and every document without words."""
-    kept = groups(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    stays = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return stays.dropDuplicates(["doc_id", "text"])
+    return Links(docs, limits).kept()

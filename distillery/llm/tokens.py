@@ -2,8 +2,9 @@
 
 Pre-tokens of these word vocabularies never span white space, so a text's ids
 are the ids of its white-space-separated words in order. Each worker keeps the
-ids of recent words in a hash table of arrays, by the hash of a word's bytes;
-the tokenizers library encodes every word that is not there.
+ids of recent words: words of up to 16 bytes in a hash table of arrays whose
+keys are those bytes, longer ones in a dictionary. A word is found by its bytes
+alone; the tokenizers library encodes every word that is not there.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ import re
 
 import numpy as np
 
-from .words import hashed_words
+from .words import GOLDEN, Words, mix
 
 _ENCODERS: dict = {}
 
-#: Words whose ids a worker keeps; a full table starts afresh.
-TABLE_WORDS = 1_000_000
+#: Words whose ids a worker keeps, bytes of words too long for the table, and ids; beyond one of them it starts afresh.
+TABLE_WORDS, LONG_BYTES, KEPT_IDS = 1_000_000, 16_000_000, 16_000_000
+#: Bytes of a word that is kept at all.
+KEPT_WORD = 1024
 #: Bytes of text that are encoded at a time.
 GROUP_BYTES = 1_000_000
 #: Words that the library gets at a time.
@@ -48,49 +51,72 @@ class WordEncoder:
         self.ends = np.zeros(self.n_ids, bool)
         self.ends[ends] = True
         self.table_words = table_words
-        self.slots = 1 << (2 * table_words).bit_length()
+        self.slots = self.first_slots = 1 << (2 * table_words).bit_length()
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(self.slots, np.uint64)
-        self.at = np.zeros(self.slots, np.int64)
-        self.size = np.zeros(self.slots, np.int32)
+        self.low, self.high = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64)
+        #: Bytes of the word in each slot; 0 where it is free.
+        self.length = np.zeros(self.slots, np.uint8)
+        self.at, self.size = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
         self.ids = np.zeros(1 << 16, self.dtype)
-        self.n_words = self.n_used = 0
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The slot of each hash, or -1."""
-        mask = np.uint64(self.slots - 1)
-        slot = (h & mask).astype(np.int64)
-        out = np.full(len(h), -1, np.int64)
-        left = np.arange(len(h))
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.n_words = self.n_used = self.long_bytes = 0
+
+    def _slot(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return (mix(mix(high * GOLDEN + length.astype(np.uint64)) ^ low) & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The slot of each word of up to 16 bytes, or -1."""
+        slot = self._slot(low, high, length)
+        out = np.full(len(low), -1, np.int64)
+        left = np.arange(len(low))
         while len(left):
-            seen = self.keys[slot[left]]
-            hit = seen == h[left]
-            out[left[hit]] = slot[left[hit]]
-            left = left[~hit & (seen != 0)]
-            slot[left] = (slot[left] + 1) & int(mask)
+            at = slot[left]
+            hit = (self.low[at] == low[left]) & (self.high[at] == high[left]) & (self.length[at] == length[left])
+            out[left[hit]] = at[hit]
+            left = left[~hit & (self.length[at] != 0)]
+            slot[left] = (slot[left] + 1) & (self.slots - 1)
         return out
 
-    def _keep(self, h: np.ndarray, encoded: list[np.ndarray]) -> None:
+    def _append(self, encoded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Keeps ids; where each word's begin, and how many they are."""
         size = np.array([len(e) for e in encoded], np.int64)
-        start = self.n_used + np.cumsum(size) - size
-        while self.n_used + size.sum() > len(self.ids):
+        start, total = self.n_used + np.cumsum(size) - size, int(size.sum())
+        while self.n_used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.n_used : self.n_used + size.sum()] = np.concatenate(encoded)
-        self.n_used += int(size.sum())
-        self.n_words += len(h)
-        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
-        left = np.arange(len(h))
+        if total:
+            self.ids[self.n_used : self.n_used + total] = np.concatenate(encoded)
+        self.n_used += total
+        return start, size
+
+    def _put(self, low: np.ndarray, high: np.ndarray, length: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Distinct words that are not in the table yet."""
+        self.n_words += len(low)
+        while self.n_words > self.slots // 2:
+            self._grow()
+        slot = self._slot(low, high, length)
+        left = np.arange(len(low))
         while len(left):
-            free = left[self.keys[slot[left]] == 0]
+            free = left[self.length[slot[left]] == 0]
             # Of those that want one slot, the first gets it.
             _, first = np.unique(slot[free], return_index=True)
             won = free[first]
-            self.keys[slot[won]], self.at[slot[won]], self.size[slot[won]] = h[won], start[won], size[won]
-            left = left[self.keys[slot[left]] != h[left]]
+            at = slot[won]
+            self.low[at], self.high[at], self.length[at], self.at[at], self.size[at] = low[won], high[won], length[won], start[won], size[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + 1) & (self.slots - 1)
 
+    def _grow(self) -> None:
+        """A table of twice as many slots, for a text of more distinct words than it holds."""
+        used = np.flatnonzero(self.length)
+        held = [x[used] for x in (self.low, self.high, self.length, self.at, self.size)]
+        self.slots *= 2
+        self.low, self.high = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64)
+        self.length, self.at, self.size = np.zeros(self.slots, np.uint8), np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
+        self.n_words -= len(used)
+        self._put(*held)
+
     def _encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Words of letters alone are one pre-token each: a line of them is cut after each id that ends a word."""
         out: list = [None] * len(words)
@@ -127,40 +153,57 @@ class WordEncoder:
                 out[k] = np.array(encoded.ids, self.dtype)
         return out
 
+    def _short(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these words of up to 16 bytes begin, and how many they are."""
+        length = (words.ends[which] - words.starts[which]).astype(np.uint8)
+        low, high = words.block(which, 0), np.zeros(len(which), np.uint64)
+        two = np.flatnonzero(length > 8)
+        high[two] = words.block(which[two], 1)
+        slot = self._find(low, high, length)
+        miss = np.flatnonzero(slot < 0)
+        while len(miss):
+            # One word of each home slot at a time; the others that lack are found or come in the next round.
+            _, one = np.unique(self._slot(low[miss], high[miss], length[miss]), return_index=True)
+            new = miss[one]
+            spans = np.stack([words.starts[which[new]], words.ends[which[new]]], 1).tolist()
+            encoded = self._encode_words([words.whole[s:e].decode() for s, e in spans])
+            self._put(low[new], high[new], length[new], *self._append(encoded))
+            lacking = self._find(low[miss], high[miss], length[miss]) < 0
+            miss = miss[lacking]
+            if not len(miss):
+                slot = self._find(low, high, length)
+        return self.at[slot], self.size[slot]
+
+    def _longer(self, words: Words, which: np.ndarray) -> tuple[list[int], list[int]]:
+        each = [words.whole[s:e] for s, e in zip(words.starts[which].tolist(), words.ends[which].tolist(), strict=True)]
+        new = list({w for w in each if w not in self.long})
+        found = self.long
+        if new:
+            start, size = self._append(self._encode_words([w.decode() for w in new]))
+            places = dict(zip(new, zip(start.tolist(), size.tolist(), strict=True), strict=True))
+            kept = {w: p for w, p in places.items() if len(w) <= KEPT_WORD}
+            self.long.update(kept)
+            self.long_bytes += sum(map(len, kept))
+            found = self.long if len(kept) == len(places) else self.long | places
+        return [found[w][0] for w in each], [found[w][1] for w in each]
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text."""
-        lowered = [t if not t.isascii() and _MAY_COMBINE.search(t) or b"<|" in t else t.lower() for t in texts]
-        h, spans, whole, first = hashed_words(lowered)
-        h[h == 0] = 1
-        slot = self._find(h)
-        miss = np.flatnonzero(slot < 0)
-        if len(miss):
-            new, where = np.unique(h[miss], return_index=True)
-            if self.n_words and self.n_words + len(new) > self.table_words:
-                self.clear()
-                new, where = np.unique(h, return_index=True)
-                miss = np.arange(len(h))
-            for a in range(0, len(new), 1 << 18):
-                words = [whole[s:e].decode() for s, e in spans[miss[where[a : a + (1 << 18)]]].tolist()]
-                while self.n_words + len(words) > self.slots // 2:
-                    self._grow()
-                self._keep(new[a : a + (1 << 18)], self._encode_words(words))
-            slot = self._find(h)
-        size = self.size[slot].astype(np.int64)
+        if self.n_words > self.table_words or self.n_used > KEPT_IDS or self.long_bytes > LONG_BYTES:
+            self.slots = self.first_slots
+            self.clear()
+        words = Words([t if not t.isascii() and _MAY_COMBINE.search(t) or b"<|" in t else t.lower() for t in texts])
+        length = words.ends - words.starts
+        start, size = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        for pick, places in ((length <= 16, self._short), (length > 16, self._longer)):
+            which = np.flatnonzero(pick)
+            if len(which):
+                start[which], size[which] = places(words, which)
         end = np.cumsum(size)
-        ids = self.ids[np.repeat(self.at[slot] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
-        bounds = np.concatenate([[0], end])[first]
+        ids = self.ids[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        bounds = np.concatenate([[0], end])[words.first]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
-    def _grow(self) -> None:
-        """A larger table, for a text of more distinct words than it holds."""
-        used = np.flatnonzero(self.keys)
-        h, encoded = self.keys[used], [self.ids[a : a + n] for a, n in zip(self.at[used].tolist(), self.size[used].tolist(), strict=True)]
-        self.slots *= 2
-        self.clear()
-        if len(h):
-            self._keep(h, encoded)
-
     def groups(self, ids: list, texts: list[bytes]):
         """(id, ids of the text) of each row, encoding a bounded amount of text at a time."""
         start = size = 0

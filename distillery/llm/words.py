@@ -1,4 +1,4 @@
-"""Hashes of all words of many texts at once."""
+"""The words of many texts at once: where they are, what they are, and hashes of them."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ import numpy as np
 
 _U = np.uint64
 GOLDEN, MIX_1, MIX_2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_ODD = 0xD1342543DE82EF95
-_TABLES: dict[str, np.ndarray] = {}
 
 #: The space and the five control characters next to the tab.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The first n bytes of a block of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,32 +20,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A value for each byte, and powers of an odd number and of its inverse modulo 2**64."""
-    if len(_TABLES.get("up", ())) < n:
-        size = max(n, 1_100_000)
-        for name, p in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
-            out = np.full(size, p, _U)
-            out[0] = 1
-            _TABLES[name] = np.multiply.accumulate(out)
-        _TABLES["byte"] = mix(np.arange(1, 257, dtype=_U) * GOLDEN)
-    return _TABLES["byte"], _TABLES["up"], _TABLES["down"]
-
-
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
-    """Hash and (start, end) of each word, the bytes they lie in, and each text's first word and one past the last's.
-
-    Words are what white space parts. A word's hash is a polynomial of its
-    bytes, taken from differences of one running sum over all texts.
-    """
-    whole = b"\n" + b"\n".join(texts) + b"\n"
-    data = np.frombuffer(whole, np.uint8)
-    byte, up, down = _tables(len(data) + 1)
-    gap = SPACE[data]
-    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    starts, ends = edge[0::2], edge[1::2]
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(byte[data] * up[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U))
-    at = np.cumsum([1] + [len(t) + 1 for t in texts])
-    return hashes, np.stack([starts, ends], 1), whole, np.searchsorted(starts, at)
+class Words:
+    """Words are what white space parts: ``starts`` and ``ends`` in ``whole``, and in ``first`` each text's first word and one past the last's."""
+
+    def __init__(self, texts: list[bytes]):
+        self.whole = b"\n" + b"\n".join(texts) + b"\n" + bytes(8)
+        data = np.frombuffer(self.whole, np.uint8)[: len(self.whole) - 8]
+        gap = SPACE[data]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        self.starts, self.ends = edge[0::2], edge[1::2]
+        self.first = np.searchsorted(self.starts, np.cumsum([1] + [len(t) + 1 for t in texts]))
+        self.eights = np.ndarray((len(data) + 1,), "<u8", self.whole, strides=(1,))
+
+    def block(self, which: np.ndarray | slice, k: int) -> np.ndarray:
+        """Bytes 8k to 8k + 7 of these words as a number, zeros past a word's end; all of them begin before byte 8k + 1."""
+        start = self.starts[which] + 8 * k
+        return self.eights[start] & _FIRST[np.clip(self.ends[which] - start, 0, 8)]
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word's length and bytes, eight at a time, mixed after each step."""
+        length = self.ends - self.starts
+        h = mix(length.astype(_U) * GOLDEN)
+        left, k = slice(None), 0
+        while True:
+            h[left] = mix((h[left] ^ self.block(left, k)) * GOLDEN + _U(k + 1))
+            k += 1
+            left = np.flatnonzero(length > 8 * k)
+            if not len(left):
+                return h
