@@ -1,23 +1,38 @@
 """Benchmark decontamination by a positional inverted index, by DataFrame functions alone.
 
-Each window of WINDOW benchmark words (a shorter item is one window) is looked
-up by its two rarest terms, counted over all training documents. The index
-stores the postings (document, position) of such terms. Adjusted by the term's
-offset in the item, a posting is a diagonal on which document and item may
-agree; the two terms' lists are intersected on it, and the words along what is
-left are compared. A window counts where all of its words are equal (exact
-phrase matches); items with most words in place are reported as near.
+The index has each training document's words, numbered by row, and a posting
+(term, row, position) for every one of them; both are stored, and one
+tokenisation serves all that follows. The words of a benchmark item are looked
+up from its rarest terms, counted over the index:
+
+Exact phrases: each window of WINDOW item words (a shorter item is one window)
+has its two rarest places. Adjusted by the place, a posting is a diagonal on
+which document and item may agree; the two lists are intersected on it, and the
+words along what is left are compared. A window that several items share is
+looked up once.
+
+Proximity: an item is near where some stretch of the document, SLACK words
+longer than the item, holds NEAR percent of its distinct words, in any order. A
+stretch that does must hold two of the item's rarest terms (one more than may
+be missing, and another), so their postings say which documents to look at;
+there, all of the item's words are swept once by position.
 
 Words are runs of letters, digits and characters above ASCII, A-Z lowered.
 
 Cases: a null or empty text has no words, is not contaminated and has nothing
 hit; an item without words is never found. Items that repeat an item_id count
-once if any of them is found; those of null id count as one, without a name. Repeated documents are documents of their own.
-Either table may be empty. Other columns are not read.
+once if any of them is found; those of null id count as one, without a name.
+Rows are told apart by number, so repeated and null doc_ids are documents of
+their own. An item of fewer than LEAST_NEAR distinct words is never near. Very
+long texts give long word lists, and nothing is collected by document but its
+own item ids. Either table may be empty. ``clean`` keeps all other columns,
+whatever they are called.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,10 +42,10 @@ from . import common
 WINDOW = 13
 #: Share of a document's words, one in so many, from which on it is contaminated.
 ONE_IN = 20
-#: Percentage of an item's words in place from which on it is reported as near.
-NEAR = 80
-#: Terms up to which the benchmark's term list is sent to every executor; a longer one is joined by shuffle.
-SENT_TERMS = 100_000
+#: Percentage of an item's distinct words, and the words more than the item's, of a stretch that is near it; least distinct words.
+NEAR, SLACK, LEAST_NEAR = 80, 8, 5
+#: Benchmark words, or rows of a table made from them, up to which they are sent to every executor; more are joined by shuffle.
+SENT = 500_000
 _GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,106 +56,164 @@ def words(text: Column) -> Column:
 
 
 def sent_if_small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= SENT_TERMS else df
+    return F.broadcast(df) if n <= SENT else df
+
+
+@dataclass(frozen=True)
+class Index:
+    """rows: uid, words and the documents' columns as c0, c1, ...; postings: term, uid, position."""
+
+    rows: DataFrame
+    postings: DataFrame
+    names: dict[str, str]
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str) -> Index:
+        numbered, names = common.numbered(docs)
+        text = next(c for c, name in names.items() if name.lower() == "text")
+        rows = common.stored(numbered.select("*", F.monotonically_increasing_id().alias("uid"), words(F.col(text)).alias("words")), f"{path}/rows")
+        # Dealt by document, as the rows are: nothing is shuffled to build the index.
+        postings = rows.select("uid", F.posexplode("words").alias("position", "term"))
+        return cls(rows, common.stored(postings, f"{path}/postings"), names)
+
+    def column(self, name: str) -> Column:
+        return F.col(next(c for c, own in self.names.items() if own.lower() == name))
 
 
 def window_terms(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """item, a, b: the places of the two rarest words of each window (the same one in a window of one word)."""
+    """item, j, a, b: each window's number, and the places of its two rarest words (the same one in a window of one word). Equal windows count once."""
     rows = items.select("item", F.size("item_words").alias("n"), F.posexplode("item_words").alias("place", "term")).join(counts, "term", "left")
     rarity = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "term", "place")
     ahead = Window.partitionBy("item").orderBy("place").rowsBetween(0, WINDOW - 1)
     begins = F.when(F.col("n") >= WINDOW, F.col("place") <= F.col("n") - WINDOW).otherwise(F.col("place") == 0)
-    rows = rows.withColumn("rarest", F.slice(F.array_sort(F.collect_list(rarity).over(ahead)), 1, 2)).where(begins)
-    return rows.select("item", F.col("rarest")[0]["place"].alias("a"), F.element_at("rarest", -1)["place"].alias("b")).distinct()
+    rows = rows.withColumn("ranked", F.array_sort(F.collect_list(rarity).over(ahead))).withColumn("window", F.collect_list("term").over(ahead)).where(begins)
+    first = F.min(F.struct("item", F.col("place").alias("j"), F.col("ranked")[0]["place"].alias("a"), F.get("ranked", F.least(F.lit(1), F.size("ranked") - 1))["place"].alias("b")))
+    return rows.groupBy("window").agg(first.alias("o")).select("o.*")
 
 
-def runs(document: Column, item: Column, diagonal: Column) -> Column:
-    """Intervals of the document, along a diagonal, in which at least a window of words equals the item's; and how many words do."""
+def equal_runs(document: Column, item: Column, diagonal: Column) -> Column:
+    """Stretches of the item, as (s, e), in which at least a window of words equals the document's along a diagonal."""
     least = F.least(F.size(item), F.lit(WINDOW))
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    start = F.struct(F.lit(0).alias("j"), F.lit(0).alias("run"), F.lit(0).alias("same"), none.alias("out"))
-
-    def closed(acc: Column) -> Column:
-        end = diagonal + acc["j"]
-        return F.when(acc["run"] >= least, F.concat(acc["out"], F.array(F.struct((end - acc["run"]).alias("s"), end.alias("e"))))).otherwise(acc["out"])
-
-    def step(acc: Column, word: Column) -> Column:
-        equal = F.coalesce(F.get(document, diagonal + acc["j"]) == word, F.lit(False))
-        return F.struct(
-            (acc["j"] + 1).alias("j"), F.when(equal, acc["run"] + 1).otherwise(0).alias("run"),
-            (acc["same"] + equal.cast("int")).alias("same"), F.when(equal, acc["out"]).otherwise(closed(acc)).alias("out"),
-        )
-
-    return F.aggregate(item, start, step, lambda acc: F.struct(closed(acc).alias("out"), acc["same"].alias("same")))
-
+    # Places that differ, with one before the first and one past the last; a run lies between neighbours.
+    differs = F.filter(F.sequence(F.lit(0), F.size(item) - 1), lambda j: ~F.coalesce(F.get(document, diagonal + j) == F.get(item, j), F.lit(False)))
+    bars = F.concat(F.array(F.lit(-1)), differs, F.array(F.size(item)))
+    runs = F.zip_with(F.slice(bars, 1, F.size(bars) - 1), F.slice(bars, 2, F.size(bars) - 1), lambda x, y: F.struct((x + 1).alias("s"), y.alias("e")))
+    return F.filter(runs, lambda r: r["e"] - r["s"] >= least)
 
-def covered(intervals: Column) -> Column:
-    """How many places a set of intervals covers."""
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["end"], x["s"]))).alias("n"))
-
-    return F.aggregate(F.array_sort(F.array_distinct(intervals)), start, step, lambda acc: acc["n"])
-
-
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, and of what was found: n_hit, item_ids with an exact window, near_ids of which most words stand in place."""
-    root = common.shared_dir(docs.sparkSession, "positions")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
-    items = common.stored(items.withColumn("item", F.monotonically_increasing_id()), f"{root}/items")
-    terms = common.stored(items.select(F.explode("item_words").alias("term")).distinct(), f"{root}/terms")
-    n_terms = terms.count()
-    # A document is known by its id and its text's hash: rows that share both have the same result.
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    each = texts.select(F.explode(words(F.col("text"))).alias("term"))
-    counts = each.join(sent_if_small(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("seen"))
-    pairs = common.stored(window_terms(items, counts), f"{root}/windows")
+def exact_hits(index: Index, items: DataFrame, pairs: DataFrame, size: int, path: str) -> DataFrame:
+    """uid, s, e, item, n: stretches of documents along which windows of an item stand."""
     anchors = pairs.select("item", F.explode(F.array("a", "b")).alias("place")).distinct()
-    anchors = anchors.join(items, "item").select("item", "place", F.get("item_words", F.col("place")).alias("term"))
-    anchors = common.stored(anchors, f"{root}/anchors")
-
-    wanted = sent_if_small(anchors.select("term").distinct(), n_terms)
-    postings = texts.select("id", "h", F.posexplode(words(F.col("text"))).alias("position", "term")).join(wanted, "term", "left_semi")
-    postings = common.stored(postings, f"{root}/postings")
-
-    n_anchors = anchors.count()
-    adjusted = postings.join(sent_if_small(anchors, n_anchors), "term").select("id", "h", "item", "place", (F.col("position") - F.col("place")).alias("diagonal"))
-    both = pairs.groupBy("item").agg(F.collect_set(F.struct("a", "b")).alias("windows")).join(items, "item")
-    lists = adjusted.groupBy("id", "h", "item", "diagonal").agg(F.collect_set("place").alias("places")).join(sent_if_small(both, n_anchors), "item")
-    met = lists.where(F.exists("windows", lambda w: F.array_contains("places", w["a"]) & F.array_contains("places", w["b"])))
-    candidates = met.groupBy("id", "h").agg(F.collect_list(F.struct("item_id", "item_words", "diagonal")).alias("candidates"))
-
-    compared = texts.join(candidates, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "h", words(F.col("text")).alias("w"), "candidates")
-    found = F.transform("candidates", lambda c: F.struct(c["item_id"].alias("item_id"), F.size(c["item_words"]).alias("n"), runs(F.col("w"), c["item_words"], c["diagonal"]).alias("r")))
-    found = compared.select("id", "h", found.alias("found"))
-    exact = F.filter("found", lambda f: F.size(f["r"]["out"]) > 0)
-    near = F.filter("found", lambda f: f["r"]["same"] * 100 >= f["n"] * NEAR)
-
-    def ids(kept: Column) -> Column:
-        return F.array_sort(F.array_distinct(F.transform(kept, lambda f: f["item_id"])))
-
-    found = found.select("id", "h", covered(F.flatten(F.transform(exact, lambda f: f["r"]["out"]))).alias("n_hit"), ids(exact).alias("item_ids"), ids(near).alias("near_ids"))
+    anchors = common.stored(anchors.join(items, "item").select("item", "place", F.get("item_words", F.col("place")).alias("term")), f"{path}/anchors")
+    adjusted = index.postings.join(sent_if_small(anchors, size), "term").select("uid", "item", "place", (F.col("position") - F.col("place")).alias("diagonal"))
+    wanted = pairs.groupBy("item").agg(F.collect_set(F.struct("a", "b")).alias("windows"))
+    lists = adjusted.groupBy("uid", "item", "diagonal").agg(F.collect_set("place").alias("places")).join(sent_if_small(wanted, size), "item")
+    met = lists.where(F.exists("windows", lambda w: F.array_contains("places", w["a"]) & F.array_contains("places", w["b"]))).select("uid", "item", "diagonal")
+    met = common.stored(met, f"{path}/met")
+    compared = index.rows.select("uid", "words").join(sent_if_small(met, met.count()), "uid").join(sent_if_small(items.select("item", "item_words"), size), "item")
+    runs = compared.select("uid", "item", "diagonal", F.size("item_words").alias("n"), F.inline(equal_runs(F.col("words"), F.col("item_words"), F.col("diagonal"))))
+    return common.stored(runs.select("uid", (F.col("s") + F.col("diagonal")).alias("s"), (F.col("e") + F.col("diagonal")).alias("e"), "item", "n", F.col("s").alias("j")), f"{path}/exact")
+
+
+def covered(hits: DataFrame) -> DataFrame:
+    """uid, n_hit: how many places of a document the stretches cover."""
+    order = Window.partitionBy("uid").orderBy("s", "e")
+    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(before, F.lit(0))))
+    return hits.select("uid", "s", "e").distinct().withColumn("new", new).groupBy("uid").agg(F.sum("new").cast("long").alias("n_hit"))
+
+
+def items_hit(hits: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """uid, item_id of every item of which a window stands in the document: also of items that share a window with the one it was found by."""
+    window = F.when(F.col("n") >= WINDOW, F.slice("item_words", F.col("j") + 1, WINDOW)).otherwise(F.col("item_words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("item_words") - WINDOW, F.lit(0)))
+    each = items.select("item", "item_id", F.size("item_words").alias("n"), "item_words", F.explode(starts).alias("j")).select("item", "item_id", "j", window.alias("window"))
+    shared = each.groupBy("window").agg(F.count("*").alias("uses")).where("uses > 1").select("window")
+    each = each.join(shared, "window", "left_semi")
+    spans = hits.select("uid", "item", "j", (F.col("j") + F.col("e") - F.col("s")).alias("end"), "n").distinct()
+    direct = spans.join(sent_if_small(items.select("item", "item_id"), size), "item").select("uid", "item_id")
+    last = F.when(F.col("n") >= WINDOW, F.col("end") - WINDOW).otherwise(F.col("j"))
+    windows = spans.select("uid", "item", F.explode(F.sequence("j", last)).alias("j")).join(sent_if_small(each.select("item", "j", "window"), size), ["item", "j"]).select("uid", "window").distinct()
+    return direct.union(windows.join(sent_if_small(each.select("window", "item_id"), size), "window").select("uid", "item_id")).distinct()
+
+
+def near_hits(index: Index, items: DataFrame, counts: DataFrame, size: int, path: str) -> DataFrame:
+    """uid, item_id of every item that a document comes near to."""
+    own = items.select("item", "item_id", (F.size("item_words") + SLACK).alias("stretch"), F.array_distinct("item_words").alias("own")).where(F.size("own") >= LEAST_NEAR)
+    own = own.withColumn("need", F.ceil(F.size("own") * NEAR / 100).cast("int"))
+    terms = own.select("item", "stretch", "need", F.size("own").alias("n"), F.explode("own").alias("term")).join(counts, "term", "left")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("seen", F.lit(0)), "term"))
+    rare = terms.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.col("need") + 2).select("item", "stretch", "term")
+    rare = common.stored(rare, f"{path}/rare")
+    met = index.postings.join(sent_if_small(rare, size), "term")
+    order = Window.partitionBy("uid", "item").orderBy("position")
+    # Two of them within a stretch: then two neighbours that differ are.
+    close = (F.lag("term").over(order) != F.col("term")) & (F.col("position") - F.lag("position").over(order) < F.col("stretch"))
+    met = common.stored(met.withColumn("close", close).where("close").select("uid", "item").distinct(), f"{path}/close")
+    looked = index.rows.select("uid", "words").join(sent_if_small(met, met.count()), "uid").join(sent_if_small(own, size), "item")
+    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("q"))), lambda x: F.array_contains("own", x["term"]))
+    places = looked.select("uid", "item", "item_id", "stretch", "need", F.inline(places))
+    # A stretch from i counts a word at q if that is its first there: after the last such word before q, and no more than a stretch before q.
+    last = F.lag("q").over(Window.partitionBy("uid", "item", "term").orderBy("q"))
+    begin = F.greatest(F.coalesce(last, F.lit(-(1 << 30))), F.col("q") - F.col("stretch")) + 1
+    steps = places.withColumn("begin", begin).select("uid", "item", "item_id", "need", F.inline(F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("d")), F.struct((F.col("q") + 1).alias("at"), F.lit(-1).alias("d")))))
+    sums = F.sum("d").over(Window.partitionBy("uid", "item").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("held", sums).where("held >= need").select("uid", "item_id").distinct()
+
+
+def matches(index: Index, benchmark: DataFrame, path: str, *columns: Column) -> DataFrame:
+    """Per row, after further columns of the index's rows: uid, n_words, n_hit (words inside windows), n_full (words inside windows of full length), item_ids with an exact window, near_ids."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
+    items = common.stored(items.withColumn("item", F.monotonically_increasing_id()), f"{path}/items")
+    terms = items.select(F.explode("item_words").alias("term")).distinct()
+    # Bounds every table of items, windows or terms that is sent.
+    size = items.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0))).first()[0]
+    counts = common.stored(index.postings.join(sent_if_small(terms, size), "term", "left_semi").groupBy("term").agg(F.count("*").alias("seen")), f"{path}/counts")
+    pairs = common.stored(window_terms(items, counts), f"{path}/windows")
+    hits = exact_hits(index, items, pairs, size, path)
+    near = near_hits(index, items, counts, size, path)
+
+    def ids(found: DataFrame, name: str) -> DataFrame:
+        return found.groupBy("uid").agg(F.array_sort(F.collect_set("item_id")).alias(name))
+
+    out = index.rows.select(*columns, "uid", F.size("words").cast("long").alias("n_words"))
+    for part in (covered(hits), covered(hits.where(F.col("n") >= WINDOW)).withColumnRenamed("n_hit", "n_full"), ids(items_hit(hits, items, size), "item_ids"), ids(near, "near_ids")):
+        out = out.join(part, "uid", "left")
     none = F.array().cast("array<string>")
-    n_words = F.size(words(F.col("text"))).cast("long")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = whole.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), n_words.alias("n_words"))
-    return whole.join(found, ["id", "h"], "left").select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_ids", none).alias("near_ids"))
+    first = [c for c in out.columns if c not in ("n_hit", "n_full", "item_ids", "near_ids")]
+    return out.select(*first, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_full")], *[F.coalesce(c, none).alias(c) for c in ("item_ids", "near_ids")])
 
 
 def verdict() -> Column:
+    """Contaminated by share: one word in ONE_IN or more is hit."""
     return (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))
 
 
+def leaks() -> Column:
+    """Not fit to train on: a whole window stands anywhere, however long the document; items shorter than a window count by their share."""
+    return (F.col("n_full") > 0) | verdict()
+
+
+def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id with what ``matches`` says of each row."""
+    path = common.shared_dir(docs.sparkSession, "positions")
+    index = Index.build(docs.select("doc_id", "text"), f"{path}/index")
+    return matches(index, benchmark, path, index.column("doc_id").cast("long").alias("doc_id")).drop("uid")
+
+
 def digest_columns(found: DataFrame) -> DataFrame:
+    def sha(ids: str) -> Column:
+        return F.sha2(F.array_join(ids, ",").cast("binary"), 256)
+
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), verdict().alias("contaminated"),
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), sha("item_ids").alias("items_sha256"), verdict().alias("contaminated"),
+        F.size("near_ids").cast("long").alias("n_near"), sha("near_ids").alias("near_sha256"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated."""
-    bad = matches(docs, benchmark).where(verdict()).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("bad_id"), F.col("h").alias("bad_h")).distinct()
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("bad_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("bad_h"))
-    return docs.join(bad, same, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, rejected: Column | None = None) -> DataFrame:
+    """The rows of docs, all columns, without those that ``verdict()``, or another condition on the columns of ``matches``, rejects."""
+    path = common.shared_dir(docs.sparkSession, "positions")
+    index = Index.build(docs, f"{path}/index")
+    bad = common.stored(matches(index, benchmark, path).where(verdict() if rejected is None else rejected).select("uid"), f"{path}/bad")
+    return index.rows.join(sent_if_small(bad, bad.count()), "uid", "left_anti").select(*[F.col(c).alias(name) for c, name in index.names.items()])

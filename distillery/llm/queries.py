@@ -44,7 +44,7 @@ def op7_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest_columns(decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")))
+    return decontaminate.digest_columns(decontaminate.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +88,14 @@ ahead AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS
 runs AS (SELECT doc_id, i, k, l[1:k] AS g FROM ahead, sizes WHERE len(l) >= k),
 hits AS (SELECT doc_id, i, k, item_id FROM runs JOIN windows USING (g)),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+asked AS (SELECT item_id, len(w) + {decontaminate.SLACK} AS l, (len(list_distinct(w)) * {decontaminate.NEAR} + 99) // 100 AS need, unnest(list_distinct(w)) AS word FROM items WHERE len(list_distinct(w)) >= {decontaminate.LEAST_NEAR}),
+held AS (SELECT doc_id, item_id, need, count(DISTINCT word) OVER (PARTITION BY doc_id, item_id ORDER BY i RANGE BETWEEN CURRENT ROW AND l - 1 FOLLOWING) AS n FROM each JOIN asked USING (word)),
+close AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM held WHERE n >= need) GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)"""
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+    CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near, '')) AS near_sha256
+FROM docs LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN close USING (doc_id)"""
 
 
 _T = chat.Template()
