@@ -37,6 +37,20 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*own), own
 
 
+#: A key with more than one in HOT of a table's rows takes its facts from a broadcast: of HOT keys at most.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], uses: str, total: int) -> DataFrame:
+    """rows joined with the facts of their keys; ``uses`` of the facts says how many of the ``total`` rows have them.
+
+    Rows of a hot key stay where they are; facts may leave keys out, and their rows go.
+    """
+    hot = F.broadcast(facts.where(F.col(uses) * HOT > total).drop(uses))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(facts.where(F.col(uses) * HOT <= total).drop(uses), keys)
+    return cold.unionByName(rows.join(hot, keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
