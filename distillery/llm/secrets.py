@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership, by DataFrame functions alone.
 
 Each kind's matches come from one regular expression; splitting the text by the
-same expression gives the lengths between them, and so their places (code
-points, end exclusive). Candidates are then counted over the whole corpus: by
+same expression gives the lengths between them, whose running sums are their
+places (code points, end exclusive). Candidates are then counted over the whole corpus: by
 the hash of the candidate's value, in how many distinct repositories (source
 and language) and owners (sources) it occurs. A value of one owner looks live;
 a value of several is a copied example.
@@ -23,6 +23,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -49,54 +50,55 @@ COPIED = 2
 
 
 def matches(text: Column, kind: str) -> Column:
-    """array<struct<kind, rank, start, end, value>> of a kind's matches in the text, those that are long enough."""
-    pattern, group, least = (BASE | ADDED)[kind]
+    """array<struct<rank, gap, size, n, h1, h2>> of a kind's matches in the text, in order: what precedes each since the last one, and its length."""
+    pattern, group, _ = (BASE | ADDED)[kind]
     whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["whole"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["value"].alias("v")))).alias("out"))
-
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    found = F.aggregate(zipped, start, step, lambda acc: acc["out"])
-    kept = F.transform(
-        F.filter(found, lambda m: F.length(m["v"]) >= least),
-        lambda m: F.struct(m["s"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["e"].alias("end"), F.xxhash64(m["v"]).alias("h1"), F.hash(m["v"]).alias("h2"), F.lit(kind).alias("kind")),
-    )
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,h1:bigint,h2:int,kind:string>>")
+    found = F.transform(zipped, lambda m: F.struct(
+        F.lit(KINDS.index(kind)).alias("rank"), F.length(m["gap"]).alias("gap"), F.length(m["whole"]).alias("size"), F.length(m["value"]).alias("n"),
+        F.xxhash64(m["value"]).alias("h1"), F.hash(m["value"]).alias("h2"),
+    ))
+    none = F.array().cast("array<struct<rank:int,gap:int,size:int,n:int,h1:bigint,h2:int>>")
     hinted = F.lit(True) if kind not in HINTS else functools.reduce(Column.__or__, (F.contains(text, F.lit(h)) for h in HINTS[kind]))
-    return F.when(hinted & (F.size(whole) > 0), kept).otherwise(none)
+    return F.when(hinted & (F.size(whole) > 0), found).otherwise(none)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, owner, repository and candidates of each document's whole text."""
+    """uid, doc_id, owner, repository and matches of each document's whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     owner = F.col("source").cast("string")
     repository = F.xxhash64(F.col("source").cast("string"), F.col("lang").cast("string"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner.alias("owner"), repository.alias("repository"), F.concat(*[matches(text, k) for k in KINDS]).alias("found"))
-    return rows.withColumn("found", F.array_sort("found"))
+    return rows.withColumn("uid", F.monotonically_increasing_id())
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """uid, owner, repository, rank, start, end, h1, h2 of the matches that are long enough; places are running sums."""
+    each = rows.where(F.size("found") > 0).select("uid", "owner", "repository", F.posexplode("found").alias("p", "m")).select("uid", "owner", "repository", "p", "m.*")
+    order = Window.partitionBy("uid", "rank").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order).cast("int"))
+    least = functools.reduce(lambda other, k: F.when(F.col("rank") == KINDS.index(k), F.lit((BASE | ADDED)[k][2])).otherwise(other), KINDS, F.lit(0))
+    return each.where(F.col("n") >= least).select("uid", "owner", "repository", "rank", (F.col("end") - F.col("size")).alias("start"), "end", "h1", "h2")
 
 
-def ownership(candidates: DataFrame) -> DataFrame:
+def ownership(each: DataFrame) -> DataFrame:
     """Distinct owners and repositories of each value. Copies within one owner collapse before anything is shuffled on."""
-    each = candidates.select(F.explode("found").alias("m"), "owner", "repository").select(F.col("m.h1").alias("h1"), F.col("m.h2").alias("h2"), "owner", "repository")
-    each = each.groupBy("h1", "h2", "owner", "repository").count()
-    owners = each.groupBy("h1", "h2", "owner").agg(F.count("*").alias("r"), F.sum("count").alias("n"))
+    counted = each.groupBy("h1", "h2", "owner", "repository").count()
+    owners = counted.groupBy("h1", "h2", "owner").agg(F.count("*").alias("r"), F.sum("count").alias("n"))
     return owners.groupBy("h1", "h2").agg(F.count("*").alias("n_owners"), F.sum("r").alias("n_repositories"), F.sum("n").alias("n_uses"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, base matches and all spans, each with the ownership of its value."""
-    spark = docs.sparkSession
+    root = common.shared_dir(docs.sparkSession, "secrets")
     # Scanned once; both the counts and the result read the stored candidates.
-    rows = scan(docs).withColumn("uid", F.monotonically_increasing_id())
-    rows = common.stored(rows, common.shared_dir(spark, "secrets"))
-    each = rows.where(F.size("found") > 0).select("uid", F.explode("found").alias("m")).select("uid", "m", F.col("m.h1").alias("h1"), F.col("m.h2").alias("h2"))
-    judged = each.join(ownership(rows), ["h1", "h2"])
-    span = F.struct(F.col("m.start").alias("start"), F.col("m.rank").alias("rank"), F.col("m.end").alias("end"), F.col("m.kind").alias("kind"), "n_owners", "n_repositories")
+    rows = common.stored(scan(docs), f"{root}/rows")
+    each = common.stored(placed(rows), f"{root}/matches")
+    # A value that is copied everywhere takes its counts from a broadcast.
+    judged = common.hot_join(each, ownership(each), ["h1", "h2"], "n_uses", each.count())
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.col("rank"))
+    span = F.struct("start", "rank", "end", kind.alias("kind"), "n_owners", "n_repositories")
     # A document's own matches, no more than its text holds.
     by_doc = judged.groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     whole = rows.select("uid", "doc_id").join(by_doc, "uid", "left")
