@@ -58,8 +58,6 @@ GROUP_BYTES, BLOCK = 1_000_000, 1024
 SMALL = 32
 #: Counters that approximate how often a shingle occurs, to tell rare ones: any order of them gives the same links.
 COUNTERS = 1 << 18
-#: A bucket with more than one in HOT of a table's rows takes its facts from a broadcast: of HOT buckets at most.
-HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -153,7 +151,7 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 def by_band(rows: DataFrame, facts: DataFrame, total: int) -> DataFrame:
     """rows with the facts of their bucket, of total rows that hold whole buckets; hot buckets stay where they are."""
-    hot = F.col("size") * HOT > total
+    hot = F.col("size") * common.HOT > total
     cold = rows.where(~hot).join(facts.where(~hot).drop("size"), "band")
     return cold.unionByName(rows.where(hot).join(F.broadcast(facts.where(hot).drop("size")), "band"))
 
@@ -364,10 +362,7 @@ class Links:
         each = keys.join(few.select("band"), "band").groupBy("band").agg(F.collect_list(F.struct("cid", "component")).alias("members"))
         apart = F.transform("members", lambda x: F.transform(F.filter("members", lambda y: (y["cid"] > x["cid"]) & (y["component"] != x["component"])), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b"))))
         pairs = each.select(F.inline(F.flatten(apart)))
-        # Of HOT buckets at most; their rows stay where they are.
-        hot = F.col("size") * HOT > total
-        cold = keys.join(F.broadcast(sizes.where(hot).select("band")), "band", "left_anti").join(many.where(~hot), "band")
-        rows = cold.unionByName(keys.join(F.broadcast(many.where(hot)), "band"))
+        rows = common.hot_join(keys, many, ["band"], "size", total)
         hashed, main = F.xxhash64("cid"), F.col("component") == F.col("main")
         # Blocks of the main component count on from those of the others.
         rows = rows.withColumn("own", F.when(main, F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
