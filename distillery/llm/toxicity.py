@@ -11,7 +11,8 @@ which none is held out. Everything else, scores above all, covers every row.
 Cases: null and empty texts get the score of no terms. With no positive or no
 negative label to learn from, every score is 0. Repeated rows score alike; a
 doc_id that is labelled twice counts as toxic if either label is. Rows with a
-null doc_id are scored and never learned from. Other columns are not read.
+null doc_id are scored and never learned from. Other columns are kept, also one
+that is called ``score``.
 """
 
 from __future__ import annotations
@@ -153,18 +154,31 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     return Machine(chosen, w0, w, v)
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of docs with ``score`` added; the machine has at most PLACES weights and their factors."""
+def score(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
+    """The rows of docs, all columns, and a score; underscores are put after its name while docs has one of that name.
+
+    The machine has at most PLACES weights and their factors.
+    """
+    while column.lower() in (c.lower() for c in docs.columns):
+        column += "_"
     sent = docs.sparkSession.sparkContext.broadcast(machine)
+    rows, names = common.numbered(docs)
+    text = next(c for c, name in names.items() if name.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            texts = [t or "" for t in batch["text"].to_pylist()]
+            texts = [t or "" for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(texts), pa.float64())], [*batch.schema.names, "score"])
         sent.value.cache.clear()
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score")
-    return docs.drop("score").mapInArrow(run, f"{kinds}, score double")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, score double").toDF(*docs.columns, column)
+
+
+def fit(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The rows of docs, all columns, that are not predicted to be toxic."""
+    scored = score(docs, machine)
+    return scored.where(F.col(f"`{scored.columns[-1]}`") < THRESHOLD).drop(scored.columns[-1])
 
 
 def toxic_or_not(docs: DataFrame, machine: Machine) -> DataFrame:
