@@ -16,21 +16,33 @@ from distillery.llm import common, decontaminate, neardup, packing, pii, toxicit
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine does not reject; learned from those of the labels that are not held out."""
+    """Documents that the machine does not reject; learned from those of the labels that are not held out.
+
+    Null and empty texts get the score of no terms, and repeated rows the same one.
+    """
     machine = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, machine).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.fit(docs, machine)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.distinct(docs).select(*docs.columns)
+    """One document of each group of texts whose word shingles are alike at 0.85 or more; all without words stay.
+
+    The document of least doc_id (nulls last) stays, whatever else its rows say.
+    """
+    return neardup.distinct(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents in which no window of 13 benchmark words stands, however long they are.
+
+    Items of fewer words are common phrases: a document goes for them where
+    they make up one word in twenty. Null and empty texts stay.
+    """
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"), decontaminate.leaks())
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with personal data masked, and their lengths as they then are."""
+    """The same documents with personal data masked, and their lengths as they then are; a null text stays null."""
     masked = pii.redact(docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
@@ -38,6 +50,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 2048 tokens; a null text is the end id alone, repeated rows are packed each."""
     pieces = packing.write_pieces(docs, common.shared_dir(spark, "packing"), end_id=0)
     light = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(light).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
