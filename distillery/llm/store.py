@@ -2,17 +2,20 @@
 
 A rolling hash over the ids cuts each document's stream into chunks; a chunk is
 kept once under the digest of its bytes. Recipes list each document's chunk
-digests in ascending doc_id order, and Merkle roots over digests, documents and
-blocks of documents verify what is read back.
+digests in ascending doc_id order. A document's root is the Merkle root of its
+digests and lengths, with its id; roots of documents are hashed by blocks,
+blocks by segments of the file, and segments to one root of the corpus. What is
+read back is verified on all levels: bytes against digests, recipes against
+their roots, and those against the manifest.
 
-Tables under ``root``: ``chunks`` (digest, n, data: one row with data for each
-distinct chunk, rows without data where a document refers to a chunk),
-``recipes`` (seg, pos, doc_id, digests, lengths, n_tokens, root), ``manifest``
-(level, seg, block, root).
+Tables under ``root``: ``chunks`` (digest, n, data: one row for each distinct
+chunk), ``recipes`` (seg, doc_id, uid, digests, lengths, n_tokens, root),
+``manifest`` (level, seg, block, root; the corpus root has level -1).
 
 Cases: a null text is the empty one, a document of the end id alone. Rows that
 repeat a doc_id are documents of their own, next to one another. A null doc_id
-comes first. An empty table gives an empty store. Other columns are not read.
+comes first. A very long text is many chunks and one recipe. An empty table
+gives an empty store. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -125,29 +128,14 @@ def _cutter(vocabulary: str, end_id: int):
 
 def write(docs: DataFrame, root: str, vocabulary: str | None = None, end_id: int = 2) -> None:
     """Encodes every document and writes the store's tables under ``root``."""
-    vocabulary = vocabulary or tokens.default_vocabulary()
-    cut = common.doc_texts(docs).mapInArrow(_cutter(vocabulary, end_id), CHUNKS)
-    # Bytes meet by digest, so that one row of each keeps them; references stay spread by document.
-    key = F.when(F.col("data").isNotNull(), F.col("digest")).otherwise(F.concat(F.lit("ref"), F.col("uid").cast("string")).cast("binary"))
-    first = F.row_number().over(Window.partitionBy("key").orderBy("uid", "ordinal"))
-    cut.withColumn("key", key).withColumn("rn", first).select(
-        "uid", "doc_id", "ordinal", "n", "digest", F.when(F.col("rn") == 1, F.col("data")).alias("data")
-    ).write.option("compression", "zstd").parquet(f"{root}/chunks")
-    _recipes(docs.sparkSession, root)
-
-
-def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        roots = pa.array([merkle(d) for d in batch["digests"].to_pylist()], pa.binary())
-        seg = pa.array([common.task_number()] * len(roots), pa.int32())
-        yield pa.RecordBatch.from_arrays([seg, *batch.columns, roots], ["seg", *batch.schema.names, "root"])
-
-
-def _recipes(spark: SparkSession, root: str) -> None:
+    spark, vocabulary = docs.sparkSession, vocabulary or tokens.default_vocabulary()
+    cut = common.stored(common.doc_texts(docs).mapInArrow(_cutter(vocabulary, end_id), CHUNKS), f"{root}/cut")
+    # A task has each chunk's bytes about once, and keeps one of them before anything is shuffled.
+    whole = cut.where(F.col("data").isNotNull()).groupBy("digest").agg(F.first("n").alias("n"), F.first("data").alias("data"))
+    whole.write.option("compression", "zstd").parquet(f"{root}/chunks")
     part = F.struct("ordinal", "n", "digest")
     by_doc = (
-        spark.read.parquet(f"{root}/chunks").select("uid", "doc_id", "ordinal", "n", "digest")
-        .groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(part)).alias("parts"))
+        cut.select("uid", "doc_id", "ordinal", "n", "digest").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(part)).alias("parts"))
         .select("doc_id", "uid", F.col("parts.digest").alias("digests"), F.col("parts.n").alias("lengths"), F.aggregate("parts.n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
     )
     # Stored first: finding the ranges would otherwise group twice.
@@ -156,18 +144,49 @@ def _recipes(spark: SparkSession, root: str) -> None:
     schema = "seg int, doc_id long, uid long, digests array<binary>, lengths array<int>, n_tokens long, root binary"
     ranged = by_doc.repartitionByRange(n, "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
     ranged.mapInArrow(_rooted, schema).write.option("compression", "zstd").parquet(f"{root}/recipes")
-    common.drop_path(spark, f"{root}/unordered")
-
-    level, k = recipes(spark, root).select("seg", F.floor((F.col("pos") - 1) / FAN_OUT).alias("block"), F.struct("pos", "root").alias("leaf")), 0
+    for name in ("cut", "unordered"):
+        common.drop_path(spark, f"{root}/{name}")
+    level, k = nodes(recipes(spark, root).select("seg", "pos", "root"), "pos", 0), 0
     while True:
-        nodes = level.groupBy("seg", "block").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
-        nodes = nodes.select(F.lit(k).alias("level"), "seg", "block", F.sha2(F.array_join(F.transform("leaves", lambda x: F.hex(x["root"])), "").cast("binary"), 256).cast("binary").alias("root"))
-        nodes.write.mode("append").parquet(f"{root}/manifest")
+        level.write.mode("append").parquet(f"{root}/manifest")
         done = spark.read.parquet(f"{root}/manifest").where(F.col("level") == k)
-        if k > 8 or not done.where("block > 0").take(1):
+        if not done.where("block > 0").take(1):
             break
         k += 1
-        level = done.select("seg", F.floor(F.col("block") / FAN_OUT).alias("block"), F.struct(F.col("block").alias("pos"), "root").alias("leaf"))
+        level = nodes(done.select("seg", (F.col("block") + 1).alias("pos"), "root"), "pos", k)
+    corpus_root(done.select("seg", "root")).write.mode("append").parquet(f"{root}/manifest")
+
+
+def recipe_root(doc_id: int | None, digests: list[bytes], lengths: list[int]) -> bytes:
+    leaves = [d + int(n).to_bytes(4, "little") for d, n in zip(digests, lengths, strict=True)] if len(digests) == len(lengths) else []
+    return digest(b"\2" + (b"" if doc_id is None else int(doc_id).to_bytes(8, "little", signed=True)) + merkle(leaves))
+
+
+def _roots(batch: pa.RecordBatch) -> pa.Array:
+    return pa.array([recipe_root(*x) for x in zip(*(batch[c].to_pylist() for c in ("doc_id", "digests", "lengths")), strict=True)], pa.binary())
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seg = pa.array([common.task_number()] * batch.num_rows, pa.int32())
+        yield pa.RecordBatch.from_arrays([seg, *batch.columns, _roots(batch)], ["seg", *batch.schema.names, "root"])
+
+
+def _hashed(roots: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(roots, lambda x: F.hex(x["root"])), "").cast("binary"), 256).cast("binary")
+
+
+def nodes(rows: DataFrame, place: str, level: int) -> DataFrame:
+    """The manifest's nodes over rows (seg, place from 1, root): FAN_OUT neighbours of a segment each."""
+    block = F.floor((F.col(place) - 1) / FAN_OUT)
+    grouped = rows.groupBy("seg", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct(place, "root"))).alias("leaves"))
+    return grouped.select(F.lit(level).alias("level"), "seg", "block", _hashed(F.col("leaves")).alias("root"))
+
+
+def corpus_root(segments: DataFrame) -> DataFrame:
+    """The node over the roots of all segments, as many as the file has partitions."""
+    leaves = F.array_sort(F.collect_list(F.struct("seg", "root")))
+    return segments.agg(leaves.alias("leaves")).select(F.lit(-1).alias("level"), F.lit(-1).alias("seg"), F.lit(-1).cast("long").alias("block"), _hashed(F.col("leaves")).alias("root"))
 
 
 def recipes(spark: SparkSession, root: str) -> DataFrame:
@@ -216,7 +235,8 @@ def _verified(dtype: str):
             keys, data = batch["digest"].to_pylist(), batch["data"].to_pylist()
             crc = [zlib.crc32(np.frombuffer(x, dtype).astype("<u4").tobytes()) for x in data]
             good = [digest(x) == k for k, x in zip(keys, data, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], ["digest", "crc", "good"])
+            size = [len(x) // np.dtype(dtype).itemsize for x in data]
+            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(crc, pa.int64()), pa.array(size, pa.int32()), pa.array(good, pa.bool_())], ["digest", "crc", "size", "good"])
 
     return run
 
@@ -228,29 +248,66 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["uid"], moved, batch["good"]], ["uid", "part", "good"])
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of each recipe, with its length and that of all that follows it."""
+    for batch in batches:
+        for uid, digests, lengths in zip(*(batch[c].to_pylist() for c in ("uid", "digests", "lengths")), strict=True):
+            size = np.resize(np.array(lengths, np.int64), len(digests)) if lengths else np.zeros(len(digests), np.int64)
+            after = size[::-1].cumsum()[::-1] - size
+            yield pa.RecordBatch.from_arrays([pa.array([uid] * len(size), pa.int64()), pa.array(digests, pa.binary()), pa.array(size.astype(np.int32)), pa.array(after)], ["uid", "digest", "length", "after"])
+
+
+def _rooted_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch["uid"], _roots(batch)], ["uid", "found_root"])
+
+
+def verified(spark: SparkSession, root: str) -> DataFrame:
+    """uid, sound, whole_store: whether a recipe is as written, and so are those of its block; and whether the whole store is."""
+    kept = spark.read.parquet(f"{root}/recipes")
+    again = kept.select("uid", "doc_id", "digests", "lengths").mapInArrow(_rooted_again, "uid long, found_root binary")
+    rows = recipes(spark, root).select("uid", "seg", "pos", F.col("root").alias("said")).join(again, "uid")
+    manifest = spark.read.parquet(f"{root}/manifest")
+    found = nodes(rows.select("seg", "pos", F.col("found_root").alias("root")), "pos", 0)
+    said = manifest.where("level = 0").select("seg", "block", F.col("root").alias("node"))
+    same = found.join(said, ["seg", "block"], "full").select("seg", "block", F.coalesce(F.col("root") == F.col("node"), F.lit(False)).alias("fits"))
+    # The levels above are recomputed from the manifest's own first level.
+    top, k = manifest.where("level = 0").select("seg", "block", "root"), 0
+    while top.where("block > 0").take(1):
+        k += 1
+        top = nodes(top.select("seg", (F.col("block") + 1).alias("pos"), "root"), "pos", k).select("seg", "block", "root")
+    last = manifest.where("level = -1").select(F.col("root").alias("kept_root"))
+    upper = corpus_root(top.select("seg", "root")).join(last, F.lit(True), "left").agg(F.coalesce(F.bool_and(F.coalesce(F.col("root") == F.col("kept_root"), F.lit(False))), F.lit(False)).alias("upper"))
+    # One row.
+    whole = same.agg(F.coalesce(F.bool_and("fits"), F.lit(True)).alias("lower")).join(upper, F.lit(True)).select((F.col("lower") & F.col("upper")).alias("whole_store"))
+    block = F.floor((F.col("pos") - 1) / FAN_OUT).alias("block")
+    each = rows.select("uid", "seg", block, (F.col("said") == F.col("found_root")).alias("own")).join(same, ["seg", "block"])
+    return each.select("uid", (F.col("own") & F.col("fits")).alias("sound")).join(F.broadcast(whole), F.lit(True))
+
+
 def read_digests(spark: SparkSession, root: str, vocabulary: str | None = None) -> DataFrame:
-    """Reads the store back: per document its place, length, CRC-32 and whether all its chunks are whole.
+    """Reads the store back: per document its place, length, CRC-32, whether it is intact, and whether the whole store is.
 
     Each chunk's bytes are read and checked against its digest once; documents
     combine their chunks' checksums, so no bytes move.
     """
     dtype = tokens.encoder(vocabulary or tokens.default_vocabulary()).dtype
-    kept = spark.read.parquet(f"{root}/chunks").where(F.col("data").isNotNull()).select("digest", "data").mapInArrow(_verified(dtype), "digest binary, crc long, good boolean")
+    kept = spark.read.parquet(f"{root}/chunks").select("digest", "data").mapInArrow(_verified(dtype), "digest binary, crc long, size int, good boolean")
     rows = recipes(spark, root)
-    parts = spark.read.parquet(f"{root}/recipes").select("uid", "lengths", F.posexplode("digests").alias("k", "digest"))
-    after = F.aggregate(F.slice("lengths", F.col("k") + 2, F.size("lengths")), F.lit(0).cast("long"), lambda a, x: a + x)
-    parts = parts.select("uid", "digest", after.alias("after")).join(kept, "digest")
+    parts = spark.read.parquet(f"{root}/recipes").select("uid", "digests", "lengths").mapInArrow(_listed, "uid long, digest binary, length int, after long").join(kept, "digest")
+    parts = parts.withColumn("good", F.col("good") & (F.col("length") == F.col("size")))
     sums = parts.select("uid", "crc", "after", "good").mapInArrow(_shifted, "uid long, part long, good boolean").groupBy("uid").agg(
         F.bit_xor("part").alias("ids_crc32"), F.count("*").alias("found"), F.bool_and("good").alias("good")
     )
     n = F.size("digests").cast("long")
-    whole = F.coalesce(F.col("good") & (F.col("found") == n), F.lit(False))
-    return rows.join(sums, "uid", "left").select("doc_id", "start", "n_tokens", "ids_crc32", n.alias("n_chunks"), whole.alias("intact"))
+    whole = F.coalesce(F.col("good") & (F.col("found") == n) & F.col("sound"), F.lit(False))
+    rows = rows.join(sums, "uid", "left").join(verified(spark, root), "uid", "left")
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32", n.alias("n_chunks"), whole.alias("intact"), F.coalesce("whole_store", F.lit(False)).alias("store_intact"))
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """doc_id and the bytes of its ids, rebuilt from the store."""
-    kept = spark.read.parquet(f"{root}/chunks").where(F.col("data").isNotNull()).select("digest", "data")
+    kept = spark.read.parquet(f"{root}/chunks").select("digest", "data")
     parts = spark.read.parquet(f"{root}/recipes").select("uid", "doc_id", F.posexplode("digests").alias("k", "digest")).join(kept, "digest")
     whole = parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "data"))).alias("parts"))
     joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), ""))
