@@ -1,10 +1,11 @@
 """Best-fit packing by exact complements over a histogram of piece lengths.
 
 Lengths are at most the capacity, so the histogram and the plan made from it
-are bounded however many pieces there are. The plan takes the longest length,
-looks for one, two or three available lengths whose sum exactly fills the gap,
-and uses that pattern as often as the counts allow; what has no exact
-complement is packed best-fit decreasing. Pieces find their slot by their rank
+are bounded however many pieces there are. Sums of one, two and three available
+lengths are indexed. The plan takes the longest length, looks its gap up there
+for a combination that exactly fills it and that the counts allow, and uses it
+as often as they do; what has no exact complement is packed best-fit
+decreasing. Pieces find their slot by their rank
 within their length.
 
 Cases: a null text is the empty one (a piece of the end id alone). Repeated
@@ -29,76 +30,87 @@ CAPACITY = 2048
 PIECES = "task int, local long, doc_id long, piece int, start long, length long, ids binary"
 
 
-def _sums(available: int, limit: int) -> int:
-    """Bit s is set if two available lengths add up to s. Bit n of available: there is a piece of length n."""
+def _sums(available: int, other: int, limit: int) -> int:
+    """Bit s is set if an available length and one of other add up to s. Bit n: there is a length n."""
     out, rest = 0, available
     while rest:
         low = rest & -rest
-        out |= available << (low.bit_length() - 1)
+        out |= other << (low.bit_length() - 1)
         rest ^= low
     return out & ((1 << limit + 1) - 1)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(lengths in a bin with their counts, number of such bins)."""
-    left = Counter({k: int(v) for k, v in histogram.items() if v > 0})
-    if any(not 0 < k <= capacity for k in left):
-        raise ValueError("lengths must be from 1 to the capacity")
-    bits = sum(1 << k for k in left)
-    pairs = _sums(bits, capacity)
-    bins: list[tuple[dict[int, int], int]] = []
-    residual: Counter = Counter()
+class Complements:
+    """Available lengths with their counts, and which sums one, two and three of them have."""
 
-    def two(gap: int) -> tuple[int, int] | None:
-        if not pairs >> gap & 1:
-            return None
-        best, most = None, 0
-        for a in range(gap // 2, 0, -1):
-            b = gap - a
-            if bits >> a & 1 and bits >> b & 1 and (n := min(left[a], left[b]) if a != b else left[a] // 2) > most:
-                best, most = (a, b), n
-        return best
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.left, self.capacity = Counter(histogram), capacity
+        self._index()
+
+    def _index(self) -> None:
+        self.one = sum(1 << k for k in self.left)
+        self.two = _sums(self.one, self.one, self.capacity)
+        self.three = _sums(self.one, self.two, self.capacity)
+
+    def uses(self, lengths: tuple[int, ...]) -> int:
+        """How often the counts allow this combination."""
+        return min(self.left[k] // v for k, v in Counter(lengths).items())
 
-    def fill(gap: int) -> tuple[int, ...] | None:
+    def fill(self, first: int) -> tuple[int, ...] | None:
+        """The available length first with none, one, two or three others that fill the rest exactly; of two, the pair that can be used most."""
+        gap, one = self.capacity - first, self.one
         if gap == 0:
-            return ()
-        if bits >> gap & 1:
-            return (gap,)
-        if found := two(gap):
-            return found
-        rest = bits & ((1 << gap) - 1)
+            return (first,)
+        if one >> gap & 1 and self.uses((first, gap)):
+            return (first, gap)
+        if self.two >> gap & 1 and (best := self._pair((first,), gap)):
+            return best
+        rest = one & ((1 << gap) - 1) if self.three >> gap & 1 else 0
         while rest:
             a = rest.bit_length() - 1
             rest ^= 1 << a
-            if pairs >> gap - a & 1 and (found := two(gap - a)):
-                need = Counter((a, *found))
-                if all(left[k] >= v for k, v in need.items()):
-                    return (a, *found)
+            if self.two >> gap - a & 1 and self.uses((first, a)) and (best := self._pair((first, a), gap - a)):
+                return best
         return None
 
-    def take(need: Counter) -> int:
-        nonlocal bits, pairs
-        n = min(left[k] // v for k, v in need.items())
-        gone = False
+    def _pair(self, held: tuple[int, ...], gap: int) -> tuple[int, ...] | None:
+        best, most = None, 0
+        for a in range(gap // 2, 0, -1):
+            if self.one >> a & 1 and self.one >> gap - a & 1 and (n := self.uses((*held, a, gap - a))) > most:
+                best, most = (*held, a, gap - a), n
+        return best
+
+    def take(self, lengths: tuple[int, ...]) -> tuple[dict[int, int], int]:
+        """Consumes a combination as often as the counts allow."""
+        need, n = Counter(lengths), self.uses(lengths)
         for k, v in need.items():
-            left[k] -= n * v
-            if not left[k]:
-                del left[k]
-                bits ^= 1 << k
-                gone = True
-        if gone:
-            pairs = _sums(bits, capacity)
+            self.left[k] -= n * v
+            if not self.left[k]:
+                del self.left[k]
+        if any(k not in self.left for k in need):
+            self._index()
+        return dict(need), n
+
+    def drop(self, length: int) -> int:
+        n = self.left.pop(length)
+        self._index()
         return n
 
-    for length in sorted(left, reverse=True):
-        while left[length]:
-            need = Counter((length, *found)) if (found := fill(capacity - length)) is not None else None
-            if need is None or not (n := min(left[k] // v for k, v in need.items())):
-                residual[length] = left.pop(length)
-                bits ^= 1 << length
-                pairs = _sums(bits, capacity)
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """(lengths in a bin with their counts, number of such bins)."""
+    wanted = {k: int(v) for k, v in histogram.items() if v > 0}
+    if any(not 0 < k <= capacity for k in wanted):
+        raise ValueError("lengths must be from 1 to the capacity")
+    index, bins = Complements(wanted, capacity), []
+    residual: Counter = Counter()
+    for length in sorted(wanted, reverse=True):
+        while index.left[length]:
+            found = index.fill(length)
+            if found is None:
+                residual[length] = index.drop(length)
                 break
-            bins.append((dict(need), take(need)))
+            bins.append(index.take(found))
     left, bits = residual, sum(1 << k for k in residual)
     while bits:
         spare, need, gap = left.copy(), Counter(), capacity
