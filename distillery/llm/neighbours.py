@@ -150,7 +150,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, tree_seed: int = 11) -> Da
     # Members that can be among the k nearest: the k + 1 smallest ids of a vector.
     least = Window.partitionBy("v").orderBy("vec_id")
     members = rows.withColumn("rn", F.row_number().over(least)).where(F.col("rn") <= k + 1)
-    members = common.stored(members.groupBy("v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")), f"{root}/members")
+    uses = rows.groupBy("v").agg(F.count("*").alias("uses"))
+    members = members.groupBy("v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids")).join(uses, "v")
+    members = common.stored(members, f"{root}/members")
     sample = members.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -172,7 +174,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, tree_seed: int = 11) -> Da
                 yield pa.RecordBatch.from_arrays([leaves, batch["rep"], batch["v"]], ["leaves", "rep", "v"])
 
     bins = common.stored(members.select("rep", "v").mapInArrow(placed, "leaf long, rep long, v array<double>"), f"{root}/leaves")
-    queries = rows.where(is_query(F.col("vec_id"))).join(members.select("v", "rep"), "v").select(F.col("vec_id").alias("query_id"), "rep")
+    # A vector that is everywhere takes its representative from a broadcast.
+    queries = common.hot_join(rows.where(is_query(F.col("vec_id"))), members.select("v", "rep", "uses"), ["v"], "uses", rows.count()).select(F.col("vec_id").alias("query_id"), "rep")
     queries = common.stored(queries, f"{root}/queries")
     asked = members.join(queries.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
     walks = common.stored(asked.mapInArrow(walked, "leaves array<long>, rep long, v array<double>"), f"{root}/walks")
@@ -189,15 +192,22 @@ def search(vectors: DataFrame, is_query, k: int = 20, tree_seed: int = 11) -> Da
     def meet(qs: pd.DataFrame, ms: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ms):
             return pd.DataFrame({"rep": [], "found": [], "score": []}).astype({"rep": "int64", "found": "int64"})
-        x = np.stack(ms["v"].to_numpy())
-        ids, out = ms["rep"].to_numpy(), []
+        x, asked = np.stack(ms["v"].to_numpy()), np.stack(qs["v"].to_numpy())
+        ids, reps, out = ms["rep"].to_numpy(), qs["rep"].to_numpy(), []
         keep = min(k + 1, len(ids))
-        for rep, v in zip(qs["rep"].to_numpy(), qs["v"].to_numpy(), strict=True):
-            score = (x * v).sum(1)
-            # All that tie with the last are candidates, so that ids decide.
-            at = np.flatnonzero(score >= np.partition(score, len(score) - keep)[len(score) - keep])
-            at = at[np.lexsort((ids[at], -score[at]))[:keep]]
-            out.append(pd.DataFrame({"rep": rep, "found": ids[at], "score": score[at]}))
+        for a in range(0, len(asked), 256):
+            some = asked[a : a + 256]
+            rough = some @ x.T
+            # A product of matrices may differ in its last bits: what comes that near to the last is measured anew.
+            slack = 1e-9 * np.sqrt((some**2).sum(1) * (x**2).sum(1).max())
+            least = np.partition(rough, len(ids) - keep, 1)[:, len(ids) - keep] - slack
+            q, at = np.nonzero(rough >= least[:, None])
+            score = (x[at] * some[q]).sum(1)
+            order = np.lexsort((ids[at], -score, q))
+            q, at, score = q[order], at[order], score[order]
+            first = np.searchsorted(q, np.arange(len(some)))
+            best = np.arange(len(q)) - first[q] < keep
+            out.append(pd.DataFrame({"rep": reps[a + q[best]], "found": ids[at[best]], "score": score[best]}))
         return pd.concat(out)
 
     keys = ["leaf", "mb", "qb"]
