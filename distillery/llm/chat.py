@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 
 @dataclass(frozen=True)
 class Template:
@@ -83,7 +85,7 @@ def _formatter(template: Template):
             if conv is not nothing:
                 rows.append((conv, k, "", False, ok and state in template.accepting))
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for conv_id, role, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if conv_id != conv:
                     close()
@@ -126,7 +128,7 @@ def _reader(template: Template):
             role, text, inside = "", "", ""
 
         restart()
-        for batch in batches:
+        for batch in common.slices(batches):
             for conv_id, part, learned, valid in zip(*(batch[c].to_pylist() for c in ("conv_id", "text", "loss", "valid")), strict=True):
                 all_turns[2] += len(part)
                 if valid is not None:
@@ -157,9 +159,10 @@ def _reader(template: Template):
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """Per conversation, what its segments say: turns, text under the loss, and size. Segments come in their own order."""
+    """Per conversation, what its segments say: turns, text under the loss, and size. Segments may come in any order, as from files."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
-    return segments.mapInArrow(_reader(template or Template()), schema)
+    rows = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return rows.mapInArrow(_reader(template or Template()), schema)
 
 
 def parse(formatted: str, template: Template | None = None) -> list[tuple[str, str]]:

@@ -36,7 +36,8 @@ def op5_owned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.count(edits.stated_edits(common.table(spark, sf_dir, "documents")))
+    trees = edits.build(common.table(spark, sf_dir, "documents"), common.shared_dir(spark, "op6"))
+    return edits.report(edits.apply(edits.stated_edits(trees)))
 
 
 def op7_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     turns = common.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+    return chat.read_back(common.stored(chat.format_conversations(turns.unionByName(extra)), common.shared_dir(spark, "op9")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

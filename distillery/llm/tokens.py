@@ -187,8 +187,8 @@ class WordEncoder:
             found = self.long if len(kept) == len(places) else self.long | places
         return [found[w][0] for w in each], [found[w][1] for w in each]
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each UTF-8 text."""
+    def _placed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word's ids begin, how many they are, and each text's first word."""
         if self.n_words > self.table_words or self.n_used > KEPT_IDS or self.long_bytes > LONG_BYTES:
             self.slots = self.first_slots
             self.clear()
@@ -199,11 +199,21 @@ class WordEncoder:
             which = np.flatnonzero(pick)
             if len(which):
                 start[which], size[which] = places(words, which)
+        return start, size, words.first
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each UTF-8 text."""
+        start, size, first = self._placed(texts)
         end = np.cumsum(size)
         ids = self.ids[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
-        bounds = np.concatenate([[0], end])[words.first]
+        bounds = np.concatenate([[0], end])[first]
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """How many ids each UTF-8 text has."""
+        _, size, first = self._placed(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(size)])[first])
+
     def groups(self, ids: list, texts: list[bytes]):
         """(id, ids of the text) of each row, encoding a bounded amount of text at a time."""
         start = size = 0
