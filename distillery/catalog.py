@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from . import oracles as O
 from .functions import text as X
 from .operators import answers, baselines, choose, classify, datasets, evaluate, graphs, score, segment
 from .plans import engine
-from .sources import tables
+from .sources import sinks, tables
+from .streaming.ingest import SCHEMA, ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -36,33 +38,46 @@ def _units(s, d):
     return classify.units(_sentences(s, d))
 
 
-def _scored(s, d):
+def _kept_units(s, d):
+    """Units, written once, for queries that read them several times."""
+    path = tables.work_dir(s, "units")
     units = _units(s, d)
+    units.write.parquet(path)
+    return s.read.schema(units.schema).parquet(path)
+
+
+def _scored(s, d, units=None):
+    units = units or _kept_units(s, d)
     return score.scored(units, score.question_features(tables.questions(s)), graphs.connectivity(units))
 
 
 def _memory(docs):
-    memory = engine.ingest(docs)
-    # Read by every later step: kept after the first use.
-    units = memory.units.persist()
-    return engine.Memory(memory.meta, units, graphs.knowledge_edges(units), graphs.reasoning_edges(units))
+    """The memory of documents, saved once and read by every later step."""
+    return engine.ingest(docs).save(tables.work_dir(docs.sparkSession, "memory"))
 
 
 def _passages(s, d):
     """Questions from the first six words of benchmark passages."""
     words = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    return tables.table(s, d, "benchmark").where("item_id < 20").select(F.col("item_id").cast("string").alias("query_id"), words.alias("query"))
+    return tables.table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), words.alias("query"))
+
+
+def _pairs(s, d):
+    """Each document with one of the passages' questions, in turn."""
+    n = tables.table(s, d, "benchmark").agg(F.count("*").alias("n"))
+    return tables.table(s, d, "documents").crossJoin(F.broadcast(n)).select(F.col("doc_id").cast("string").alias("document_id"), F.pmod("doc_id", "n").cast("string").alias("query_id"))
 
 
 def _contexts(s, d):
-    """Conversations as contexts of the first question."""
+    """Conversations as contexts, each of one of the answer queries' questions, in turn."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
-    return tables.table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(lines, "\n").alias("context")).select(F.col("conv_id").cast("string").alias("document_id"), F.lit("q0").alias("query_id"), "context")
+    rows = tables.table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(lines, "\n").alias("context"))
+    return rows.select(F.col("conv_id").cast("string").alias("document_id"), F.concat(F.lit("q"), (F.col("conv_id") % len(O.ANSWERED)).cast("string")).alias("query_id"), "context")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whole, reduced for every question."""
-    return engine.retrieve(_memory(tables.whole_documents(spark, sf_dir)), tables.questions(spark))
+    return engine.retrieve(_memory(tables.structured_documents(spark, sf_dir)), tables.questions(spark))
 
 
 @query("SELECT document_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM docs")
@@ -148,8 +163,7 @@ def workflow_render(s, d):
 
 @query("SELECT document_id, unit_pos, json_extract_string(render_text, '$.name') AS name, CAST(json_array_length(render_text, '$.steps') AS INTEGER) AS n_steps FROM units WHERE workflow_name IS NOT NULL")
 def workflow_decode(s, d):
-    parsed = F.from_json("render_text", "type string, name string, steps array<string>")
-    rows = _units(s, d).where("workflow_name is not null").withColumn("w", parsed)
+    rows = _units(s, d).where("workflow_name is not null").withColumn("w", classify.decoded_workflow(F.col("render_text")))
     return rows.select("document_id", "unit_pos", F.col("w.name").alias("name"), F.size("w.steps").alias("n_steps"))
 
 
@@ -170,7 +184,7 @@ def knowledge_edges(s, d):
 
 @query("SELECT document_id, unit_pos, connectivity FROM conn")
 def connectivity(s, d):
-    return graphs.connectivity(_units(s, d))
+    return graphs.connectivity(_kept_units(s, d))
 
 
 @query("SELECT document_id, source_idx, target_idx FROM sedges")
@@ -185,12 +199,12 @@ def reasoning_lexical(s, d):
 
 @query("SELECT document_id, source_idx, target_idx FROM redges")
 def reasoning_edges(s, d):
-    return graphs.reasoning_edges(_units(s, d))
+    return graphs.reasoning_edges(_kept_units(s, d))
 
 
 @query("SELECT document_id, sentence_index, unit_type, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS label FROM units WHERE (document_id, sentence_index) IN (SELECT document_id, source_idx FROM redges)")
 def graph_nodes(s, d):
-    units = _units(s, d)
+    units = _kept_units(s, d)
     return graphs.graph_nodes(units, graphs.reasoning_edges(units))
 
 
@@ -208,7 +222,7 @@ def hard_identifiers(s, d):
 
 @query("SELECT document_id, term, round(idf, 6) AS idf FROM idf")
 def idf(s, d):
-    return score.idf(_units(s, d)).select("document_id", "term", F.round("idf", 6).alias("idf"))
+    return score.idf(_kept_units(s, d)).select("document_id", "term", F.round("idf", 6).alias("idf"))
 
 
 @query(f"SELECT a.document_id, a.unit_pos, round(len(list_intersect({O.words('a.text')}, {O.words('b.text')})) * 1.0 / len(list_distinct(list_concat({O.words('a.text')}, {O.words('b.text')}))), 6) AS jaccard FROM units a JOIN units b ON a.document_id = b.document_id AND b.unit_pos = a.unit_pos + 1 WHERE len({O.words('a.text')}) > 0 AND len({O.words('b.text')}) > 0")
@@ -260,7 +274,7 @@ def ingest_idempotent(s, d):
 
 @query("SELECT document_id, unit_pos, unit_type FROM units WHERE document_id = '3'")
 def units_lookup(s, d):
-    return _units(s, d).where("document_id = '3'").select("document_id", "unit_pos", "unit_type")
+    return _memory(tables.structured_documents(s, d)).of("3").units.select("document_id", "unit_pos", "unit_type")
 
 
 @query("SELECT document_id, query_id, array_to_string(pos, ',') AS selected FROM picked4")
@@ -291,27 +305,57 @@ def cost_savings(s, d):
     return saved.withColumn("cost_saved", F.round("cost_saved", 9))
 
 
-@query()
+_BY_CONTENT = "SELECT md5(text) AS document_id, text FROM (SELECT DISTINCT text FROM docs)"
+
+
+@query("SELECT * FROM reduced4", sdocs=_BY_CONTENT)
 def reduce_flagship(s, d):
-    return engine.reduce(tables.plain_documents(s, d).select("text"), tables.questions(s).where("query_id = 'q0'"))
+    return engine.reduce(tables.plain_documents(s, d).select("text"), tables.questions(s))
+
+
+@query("SELECT * FROM reduced4a")
+def retrieve_alone(s, d):
+    """Without neighbours of the chosen sentences."""
+    return engine.retrieve(_memory(tables.structured_documents(s, d)), tables.questions(s), engine.Settings(context_window=0))
+
+
+@query("SELECT * FROM (SELECT document_id, count(*) AS units, CAST(sum(length(text)) AS BIGINT) AS chars FROM units GROUP BY ALL) LEFT JOIN (SELECT document_id, count(*) AS knowledge FROM kedges GROUP BY ALL) USING (document_id) LEFT JOIN (SELECT document_id, count(*) AS reasoning FROM redges GROUP BY ALL) USING (document_id) JOIN dmeta USING (document_id)")
+def memory_tables(s, d):
+    """What is read back of a saved memory: all four tables."""
+    memory = _memory(tables.structured_documents(s, d))
+    rows = memory.units.groupBy("document_id").agg(F.count("*").alias("units"), F.sum(F.length("text")).alias("chars"))
+    for name in ("knowledge", "reasoning"):
+        rows = rows.join(getattr(memory, name).groupBy("document_id").agg(F.count("*").alias(name)), "document_id", "left")
+    return rows.join(memory.meta.drop("bucket"), "document_id")
+
+
+@query("SELECT document_id, count(*) AS units FROM units GROUP BY ALL")
+def stream_ingest(s, d):
+    """Documents that come as a stream, the second half again with the first: each is known once."""
+    source, path = tables.work_dir(s, "stream"), tables.work_dir(s, "memory")
+    docs = tables.structured_documents(s, d)
+    for part in (docs.where("cast(document_id as long) % 2 = 1"), docs):
+        part.write.mode("append").parquet(source)
+        ingest_stream(s.readStream.schema(SCHEMA).parquet(source), path, f"{path}-checkpoint").awaitTermination()
+    return engine.Memory.load(s, path).units.groupBy("document_id").agg(F.count("*").alias("units"))
 
 
 @query("SELECT document_id, line_no, query_id, round(score, 6) AS score FROM bm25")
 def bm25_scores(s, d):
-    return baselines.bm25(segment.plain_lines(tables.plain_documents(s, d)), _passages(s, d)).select("document_id", "line_no", "query_id", F.round("score", 6).alias("score"))
+    return baselines.bm25(segment.plain_lines(tables.plain_documents(s, d)), _passages(s, d), _pairs(s, d)).select("document_id", "line_no", "query_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT document_id, query_id, line_no, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id, query_id ORDER BY round(score, 6) DESC, line_no) AS rank FROM bm25) WHERE rank <= 6")
+@query("SELECT document_id, query_id, line_no, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY document_id, query_id ORDER BY round(score, 6) DESC, line_no) AS rank FROM bfull) WHERE rank <= 6")
 def bm25_topn(s, d):
-    scores = bm25_scores(s, d)
-    return baselines.top_lines(scores, 6).select("document_id", "query_id", "line_no", "rank")
+    every = baselines.with_the_rest(bm25_scores(s, d), segment.plain_lines(tables.plain_documents(s, d)), _pairs(s, d))
+    return baselines.top_lines(every, 6).select("document_id", "query_id", "line_no", "rank")
 
 
 def _expanded(s, d):
     """All units of each pair, the chosen ones, and those after each expansion."""
-    units = _units(s, d)
+    units = _kept_units(s, d)
     edges = graphs.reasoning_edges(units).groupBy("document_id").agg(F.collect_list(F.struct("source_idx", "target_idx")).alias("edges"))
-    rows = choose.gathered(_scored(s, d)).join(edges, "document_id", "left")
+    rows = choose.gathered(_scored(s, d, units)).join(edges, "document_id", "left")
     rows = rows.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<source_idx:int,target_idx:int>>")))
     rows = rows.withColumn("near", choose.adjacent(F.col("units"), choose.greedy(F.col("units"), 4), 1))
     return rows.withColumn("kept", choose.reasoned(F.col("units"), F.col("near"), F.col("edges")))
@@ -337,18 +381,48 @@ def strategy_raw(s, d):
     return tables.plain_documents(s, d).select("document_id", F.col("text").alias("context"))
 
 
-@query()
-def strategy_compare(s, d):
-    docs, asked = tables.whole_documents(s, d), tables.questions(s)
+def _letters(x: str) -> str:
+    return f"list_transform(range(26), lambda k: CAST(length(lower({x})) - length(replace(lower({x}), chr(CAST(97 + k AS INTEGER)), '')) AS DOUBLE))"
+
+
+_LIKE = "coalesce(list_dot_product(v, q) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q)), 0), 0)"
+_WORDY = r"len(regexp_extract_all({0}, '\S+')) * CAST(1.3 AS DOUBLE)"
+_ALL_PAIRS = {
+    "bq": "SELECT query_id, query FROM asked", "bpairs": "SELECT document_id, query_id FROM sdocs, asked",
+    "plines": f"SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1 AS INTEGER) AS line_no, line FROM (SELECT document_id, {O.strip('unnest(string_split(text, chr(10)))')} AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM sdocs) WHERE line <> ''",
+}
+_VECTORS = f"SELECT *, row_number() OVER (PARTITION BY document_id, query_id ORDER BY round({_LIKE}, 9) DESC, line_no) AS rank FROM (SELECT l.document_id, l.line_no, l.line, p.query_id, {_letters('l.line')} AS v, {_letters('a.query')} AS q FROM plines l JOIN bpairs p USING (document_id) JOIN asked a USING (query_id))"
+_STRATEGIES = f"""SELECT 'raw' AS strategy, document_id, query_id, text AS context FROM sdocs, asked
+    UNION ALL SELECT 'keyword', document_id, query_id, string_agg(line, chr(10) ORDER BY rank) FROM (SELECT *, row_number() OVER (PARTITION BY document_id, query_id ORDER BY round(score, 6) DESC, line_no) AS rank FROM bfull) JOIN plines USING (document_id, line_no) WHERE rank <= 6 GROUP BY ALL
+    UNION ALL SELECT 'vector', document_id, query_id, string_agg(line, chr(10) ORDER BY line_no) FROM ({_VECTORS}) WHERE rank <= 6 GROUP BY ALL
+    UNION ALL SELECT 'reduced', document_id, query_id, context FROM reduced6"""
+
+
+def _strategies(s, d):
+    """strategy, document_id, query_id, context of the four strategies, for every document and question."""
+    docs, asked = tables.structured_documents(s, d), tables.questions(s)
     lines = segment.plain_lines(docs)
-    keyword = baselines.context_of(lines, baselines.top_lines(baselines.bm25(lines, asked), 6))
+    pairs = docs.select("document_id").crossJoin(F.broadcast(asked.select("query_id")))
+    scores = baselines.bm25(lines, asked, pairs).withColumn("score", F.round("score", 6))
+    keyword = baselines.context_of(lines, baselines.top_lines(baselines.with_the_rest(scores, lines, pairs), 6))
+    like = baselines.line_vector_scores(lines, asked, pairs, baselines.letter_counts).withColumn("score", F.round("score", 9))
+    vector = baselines.context_of(lines, baselines.top_vectors(like, 6, keys=("document_id", "query_id"), place="line_no"), by="line_no")
     reduced = engine.retrieve(_memory(docs), asked, engine.Settings(max_sentences=6)).select("document_id", "query_id", "context")
-    raw = docs.join(asked, F.lit(True)).select("document_id", "query_id", F.col("text").alias("context"))
-    rows = None
-    for name, part in (("raw", raw), ("keyword", keyword), ("reduced", reduced)):
-        part = part.withColumn("strategy", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part)
-    sized = rows.join(docs, "document_id").select("strategy", evaluate.compression(F.col("text"), F.col("context")).alias("compression_ratio"), X.word_tokens(F.col("context")).alias("context_size_tokens"))
+    raw = docs.crossJoin(F.broadcast(asked)).select("document_id", "query_id", F.col("text").alias("context"))
+    parts = [part.withColumn("strategy", F.lit(name)) for name, part in (("raw", raw), ("keyword", keyword), ("vector", vector), ("reduced", reduced))]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query(f"SELECT strategy, count(*) AS n, CAST(sum(length(context)) AS BIGINT) AS chars, md5(string_agg(md5(document_id || query_id || context), '' ORDER BY md5(document_id || query_id || context))) AS contexts FROM ({_STRATEGIES}) GROUP BY ALL", **_ALL_PAIRS)
+def strategy_contexts(s, d):
+    each = F.md5(F.concat("document_id", "query_id", "context").cast("binary"))
+    rows = _strategies(s, d).withColumn("own", each)
+    return rows.groupBy("strategy").agg(F.count("*").alias("n"), F.sum(F.length("context")).alias("chars"), F.md5(F.array_join(F.array_sort(F.collect_list("own")), "").cast("binary")).alias("contexts"))
+
+
+@query(f"SELECT strategy, round(avg(1 - {_WORDY.format('context')} / greatest({_WORDY.format('text')}, 1e-9)), 4) AS compression_ratio, round(avg({_WORDY.format('context')}), 4) AS context_size_tokens FROM ({_STRATEGIES}) JOIN sdocs USING (document_id) GROUP BY strategy", **_ALL_PAIRS)
+def strategy_compare(s, d):
+    sized = _strategies(s, d).join(tables.structured_documents(s, d), "document_id").select("strategy", evaluate.compression(F.col("text"), F.col("context")).alias("compression_ratio"), X.word_tokens(F.col("context")).alias("context_size_tokens"))
     return evaluate.averages(sized, ["compression_ratio", "context_size_tokens"])
 
 
@@ -361,29 +435,103 @@ _STOP = ", ".join(repr(w) for w in answers.STOP_WORDS)
 
 
 def _content(x: str) -> str:
-    return f"list_distinct(list_filter({O.words(x)}, lambda w: w NOT IN ({_STOP}) AND NOT regexp_matches(w, '^[0-9]+$')))"
+    return f"list_filter({O.words(x)}, lambda w: w NOT IN ({_STOP}) AND NOT regexp_matches(w, '^[0-9]+$'))"
+
+
+@query(f"SELECT document_id, array_to_string({_content('text')}, ' ') AS terms FROM docs")
+def content_terms(s, d):
+    return tables.plain_documents(s, d).select("document_id", F.array_join(answers.content_terms(F.col("text")), " ").alias("terms"))
+
+
+_LINES = f"SELECT document_id, query_id, CAST(row_number() OVER (PARTITION BY document_id, query_id ORDER BY p) - 1 AS INTEGER) AS line_no, line FROM (SELECT document_id, query_id, regexp_replace({O.strip('unnest(string_split(context, chr(10)))')}, '^\\[S\\d+\\]\\s*', '') AS line, generate_subscripts(string_split(context, chr(10)), 1) AS p FROM ctx) WHERE line <> ''"
+_LEXICAL = f"SELECT l.*, query, CAST(len(list_intersect(list_distinct({_content('line')}), {_content('query')})) AS DOUBLE) AS score FROM ({_LINES}) l JOIN said USING (query_id)"
+#: What a parser might say, by plain rules in its place.
+_NAMES, _ROOT, _SUBJECT, _OBJECT = r"\b[A-Z][a-z]{2,}\b", r"^\S+\s+(\w+)", r"^([A-Z][a-z]*\s\w+)", r"\b(?:of|to|in|the)\s(\w+)"
+_PARSED = f"SELECT *, regexp_extract_all(line, '{_NAMES}') AS names, regexp_extract(line, '{_ROOT}', 1) AS root, regexp_extract(line, '{_SUBJECT}', 1) AS subject, regexp_extract(line, '{_OBJECT}', 1) AS object FROM ({_LEXICAL})"
+_HOOKED = f"SELECT *, score + 1.5 * len(list_filter(names, lambda e: contains(lower(query), lower(e)))) + CASE WHEN asked_root = '' THEN 0 WHEN asked_root = lower(root) THEN 3.0 WHEN list_contains({_content('line')}, asked_root) THEN 1.5 ELSE 0 END AS hooked FROM (SELECT *, lower(regexp_extract(query, '{_ROOT}', 1)) AS asked_root FROM ({_PARSED}))"
+
+
+def _answer(rows: str, score_: str, who: str, what: str) -> str:
+    why = f"CASE WHEN contains(lower(line), 'because') THEN {O.strip(chr(115) + 'plit_part(regexp_replace(' + O.strip('substr(line, position(' + chr(39) + 'because' + chr(39) + ' IN lower(line)) + 7)') + ', ' + chr(39) + '[.]+$' + chr(39) + ', ' + chr(39) * 2 + '), ' + chr(39) + ',' + chr(39) + ', 1)')} END"
+    wh = r"regexp_extract(lower(query), '\b(who|what|where|when|why)\b', 1)"
+    return f"""SELECT document_id, query_id, coalesce(said_, top, '{answers.UNKNOWN}') AS answer FROM ctx LEFT JOIN (
+        SELECT document_id, query_id, arg_min(line, rank) AS top, arg_min(taken, rank) FILTER (taken IS NOT NULL) AS said_ FROM (
+        SELECT *, row_number() OVER (PARTITION BY document_id, query_id ORDER BY {score_} DESC, line_no) AS rank,
+        CASE {wh} WHEN 'who' THEN {who} WHEN 'why' THEN {why} WHEN '' THEN NULL ELSE {what} END AS taken FROM ({rows})) GROUP BY ALL) USING (document_id, query_id)"""
+
+
+_PLAIN_ANSWERS = _answer(_LEXICAL, "score", "NULL", "NULL")
+_HOOKED_ANSWERS = _answer(_HOOKED, "hooked", "coalesce(nullif(subject, ''), nullif(names[1], ''))", "nullif(object, '')")
+
+
+def _parsed_lines(s, d):
+    line = F.col("line")
+    names = F.regexp_extract_all("line", F.lit(_NAMES), F.lit(0))
+    return answers.context_lines(_contexts(s, d)).select(
+        "document_id", "query_id", "line_no", names.alias("entities"), names.alias("names"), F.regexp_extract(line, _ROOT, 1).alias("root"), F.regexp_extract(line, _SUBJECT, 1).alias("subject"), F.regexp_extract(line, _OBJECT, 1).alias("object"),
+    )
 
 
-_LINES = f"SELECT document_id, query_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY p) - 1 AS INTEGER) AS line_no, line FROM (SELECT document_id, query_id, regexp_replace({O.strip('unnest(string_split(context, chr(10)))')}, '^\\[S\\d+\\]\\s*', '') AS line, generate_subscripts(string_split(context, chr(10)), 1) AS p FROM ctx) WHERE line <> ''"
-_RANKED = f"SELECT l.*, query, CAST(len(list_intersect({_content('line')}, {_content('query')})) AS INTEGER) AS score FROM ({_LINES}) l JOIN asked USING (query_id)"
+def _said(s):
+    return tables.questions(s, O.ANSWERED)
 
 
-@query(f"SELECT document_id, query_id, line_no, score FROM ({_RANKED})")
+def _rooted(s):
+    return _said(s).withColumn("root", F.regexp_extract("query", _ROOT, 1))
+
+
+@query(f"SELECT document_id, query_id, line_no, score FROM ({_LEXICAL})")
 def line_scores(s, d):
-    return answers.line_scores(answers.context_lines(_contexts(s, d)), tables.questions(s)).select("document_id", "query_id", "line_no", "score")
+    return answers.line_scores(answers.context_lines(_contexts(s, d)), _said(s)).select("document_id", "query_id", "line_no", "score")
+
 
+@query(f"SELECT document_id, query_id, line_no, CAST(hooked AS DOUBLE) AS score FROM ({_HOOKED})")
+def line_scores_parsed(s, d):
+    return answers.line_scores(answers.context_lines(_contexts(s, d)), _rooted(s), _parsed_lines(s, d)).select("document_id", "query_id", "line_no", "score")
 
-@query()
+
+@query(f"SELECT document_id, query_id, line_no, CAST(row_number() OVER (PARTITION BY document_id, query_id ORDER BY score DESC, line_no) AS INTEGER) AS rank FROM ({_LEXICAL})")
+def line_ranking(s, d):
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("document_id", "query_id").orderBy(F.desc("score"), "line_no")
+    return line_scores(s, d).select("document_id", "query_id", "line_no", F.row_number().over(order).alias("rank"))
+
+
+@query(_PLAIN_ANSWERS)
 def extractive_answer(s, d):
-    return answers.extractive(_contexts(s, d), tables.questions(s))
+    return answers.extractive(_contexts(s, d), _said(s))
+
 
+@query(_HOOKED_ANSWERS)
+def parsed_answer(s, d):
+    """Subjects answer who, objects what, where and when."""
+    return answers.extractive(_contexts(s, d), _rooted(s), _parsed_lines(s, d))
 
-@query()
+
+_PROMPT = "'Use nothing but the context to answer. If it does not hold the answer, say so.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Answer:'"
+
+
+@query(f"SELECT document_id, query_id, query AS question, 'extractive' AS mode, answer FROM ({_PLAIN_ANSWERS}) JOIN said USING (query_id)")
 def answer_packets(s, d):
-    rows = answers.answered(_contexts(s, d), tables.questions(s))
+    rows = answers.answered(_contexts(s, d), _said(s))
     return rows.select("document_id", "query_id", "question", F.col("answer.mode").alias("mode"), F.col("answer.answer").alias("answer"))
 
 
+@query(f"SELECT document_id, query_id, 'model' AS mode, CAST(length({_PROMPT}) AS VARCHAR) || ' ' || md5({_PROMPT}) AS answer FROM ctx JOIN said USING (query_id)")
+def model_answers(s, d):
+    """The prompts that a model gets; this one says how long they are."""
+    rows = answers.answered(_contexts(s, d), _said(s), lambda p: F.concat_ws(" ", F.lit(" "), F.length(p).cast("string"), F.md5(p.cast("binary"))))
+    return rows.select("document_id", "query_id", F.col("answer.mode").alias("mode"), F.col("answer.answer").alias("answer"))
+
+
+@query(f"SELECT document_id, query_id, query AS question, answer, reduced_estimated_tokens FROM ({_PLAIN_ANSWERS}) JOIN said USING (query_id) JOIN reduced4 USING (document_id, query_id)", sdocs=_BY_CONTENT, ctx="SELECT document_id, query_id, context FROM reduced4", said="SELECT * FROM asked")
+def run_packets(s, d):
+    """Reduced and answered in one call."""
+    rows = engine.run(tables.plain_documents(s, d).select("text"), tables.questions(s))
+    return rows.select("document_id", "query_id", "question", F.col("answer.answer").alias("answer"), "metadata.reduced_estimated_tokens")
+
+
 _PIECES = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda s: " + O.strip("regexp_replace(" + O.strip("s") + r", '^[*\-\d.\s#>]+', '')") + r"), lambda s: len(regexp_extract_all(s, '\S+')) >= 5 AND NOT starts_with(s, '```') AND NOT ends_with(s, '```'))[1:3]"
 
 
@@ -397,32 +545,97 @@ def step_dependencies(s, d):
     return evaluate.step_pairs(_units(s, d))
 
 
-@query("SELECT document_id, round(sum(CAST(step_no % 2 = 0 AS INTEGER)) * 1.0 / count(*), 6) AS recall FROM (SELECT a.document_id, CASE WHEN EXISTS (SELECT 1 FROM steps b WHERE b.document_id = a.document_id AND b.first = a.first AND b.second = a.second AND b.step_no % 2 = 0) THEN 0 ELSE 1 END AS step_no FROM steps a) GROUP BY document_id")
-def dependency_recall(s, d):
-    pairs = evaluate.step_pairs(_units(s, d))
-    return evaluate.dependency_recall(pairs, pairs.where("step_no % 2 = 0")).select("document_id", F.round("recall", 6).alias("recall"))
+def _found(s, d, memory):
+    """Contexts to measure: what is retrieved for each question, and the first half and the whole of each document."""
+    docs = tables.structured_documents(s, d)
+    half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    rows = engine.retrieve(memory, tables.questions(s)).select("document_id", "query_id", "context")
+    for name, text in (("half", half), ("whole", F.col("text"))):
+        rows = rows.union(docs.select("document_id", F.lit(name), text))
+    return rows
+
+
+def _again(contexts):
+    """Contexts ingested as documents of their own, then under the names of document and question again."""
+    memory = _memory(contexts.select(F.concat_ws("\x1f", "document_id", "query_id").alias("document_id"), F.col("context").alias("text")))
+    names = F.split("document_id", "\x1f")
+    return [df.withColumn("query_id", names[1]).withColumn("document_id", names[0]) for df in (memory.units, memory.reasoning)]
+
+
+_HIT = "SELECT document_id, query_id, count(*) AS hit FROM (SELECT e.document_id, e.query_id, a.mapped AS s, b.mapped AS t FROM (SELECT split_part(document_id, chr(31), 1) AS document_id, split_part(document_id, chr(31), 2) AS query_id, source_idx, target_idx FROM redgesr) e JOIN mapping a ON a.document_id = e.document_id AND a.query_id = e.query_id AND a.sentence_index = e.source_idx JOIN mapping b ON b.document_id = e.document_id AND b.query_id = e.query_id AND b.sentence_index = e.target_idx) m WHERE EXISTS (SELECT 1 FROM redges r WHERE r.document_id = m.document_id AND ((r.source_idx = s AND r.target_idx = t) OR (r.source_idx = t AND r.target_idx = s))) GROUP BY ALL"
+_RECALL = "SELECT document_id, query_id, round(CASE WHEN n IS NULL THEN NULL WHEN query_id = 'whole' THEN 1.0 ELSE coalesce(hit, 0) * 1.0 / n END, 6) AS recall FROM found LEFT JOIN ({0}) USING (document_id) LEFT JOIN ({1}) USING (document_id, query_id)"
 
 
-@query("SELECT document_id, round(sum(CAST(source_idx < 10 AND target_idx < 10 AS INTEGER)) * 1.0 / count(*), 6) AS recall FROM redges GROUP BY document_id")
+@query(_RECALL.format("SELECT document_id, count(*) AS n FROM redges GROUP BY ALL", _HIT))
 def graph_recall(s, d):
-    edges = graphs.reasoning_edges(_units(s, d))
-    return evaluate.graph_recall(edges, edges.where("source_idx < 10 and target_idx < 10")).select("document_id", F.round("recall", 6).alias("recall"))
+    memory = _memory(tables.structured_documents(s, d))
+    contexts = _found(s, d, memory)
+    units, edges = _again(contexts)
+    rows = evaluate.graph_recall(memory.units, memory.reasoning, contexts, units, edges, ["query_id"], whole=F.col("query_id") == "whole")
+    return rows.withColumn("recall", F.round("recall", 6))
+
+
+_STEPS_ALIKE = f"SELECT document_id, query_id, count(*) AS hit FROM (SELECT DISTINCT o.document_id, f.query_id, o.unit_pos, o.step_no FROM steps o JOIN (SELECT * EXCLUDE (document_id), split_part(document_id, chr(31), 1) AS document_id, split_part(document_id, chr(31), 2) AS query_id FROM stepsr) f ON f.document_id = o.document_id WHERE {O.likeness('o.first', 'f.first')} >= 0.8 AND {O.likeness('o.second', 'f.second')} >= 0.8) GROUP BY ALL"
+
+
+@query(_RECALL.format("SELECT document_id, count(*) AS n FROM steps GROUP BY ALL", _STEPS_ALIKE))
+def dependency_recall(s, d):
+    memory = _memory(tables.structured_documents(s, d))
+    contexts = _found(s, d, memory)
+    units, _ = _again(contexts)
+    rows = evaluate.dependency_recall(evaluate.step_pairs(memory.units), evaluate.step_pairs(units, ["query_id"]), contexts, ["query_id"], whole=F.col("query_id") == "whole")
+    return rows.withColumn("recall", F.round("recall", 6))
 
 
 _UNIT = "list_dot_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
 
 
-@query(f"SELECT question_id, round(avg(CASE WHEN best >= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM (SELECT e.label AS question_id, e.vec_id, max({_UNIT.format('e', 'f')} / (sqrt({_UNIT.format('e', 'e')}) * sqrt({_UNIT.format('f', 'f')}))) AS best FROM embeddings e JOIN embeddings f ON e.label = f.label WHERE e.vec_id % 2 = 0 AND f.vec_id % 2 = 1 GROUP BY ALL) GROUP BY question_id")
+@query(f"SELECT question_id, round(avg(CASE WHEN best >= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM (SELECT e.label AS question_id, e.vec_id, max(coalesce({_UNIT.format('e', 'f')} / nullif(sqrt({_UNIT.format('e', 'e')}) * sqrt({_UNIT.format('f', 'f')}), 0), 0)) AS best FROM embeddings e LEFT JOIN embeddings f ON e.label = f.label AND f.vec_id % 2 = 1 AND f.label % 3 <> 0 WHERE e.vec_id % 2 = 0 GROUP BY ALL) GROUP BY question_id UNION ALL SELECT -1, 1.0")
 def semantic_recall(s, d):
+    """By label: even vectors are expected, odd ones found; for every third label nothing was found, and label -1 expects nothing."""
     e = tables.table(s, d, "embeddings").withColumnRenamed("label", "question_id")
     expected = e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "phrase_no")
-    return evaluate.semantic_recall(expected, e.where("vec_id % 2 = 1").drop("vec_id")).select("question_id", F.round("recall", 6).alias("recall"))
+    asked = e.where("vec_id % 2 = 0").select("question_id").distinct().union(s.range(1).select(F.lit(-1)))
+    return evaluate.semantic_recall(expected, e.where("vec_id % 2 = 1 and question_id % 3 <> 0").drop("vec_id"), asked).select("question_id", F.round("recall", 6).alias("recall"))
 
 
 @query("SELECT document_id, tag, n FROM (SELECT document_id, tag, count(*) AS n FROM (SELECT document_id, unnest(regexp_extract_all(text, '\\[([A-Z]+)-\\d+\\]', 1)) AS tag FROM sdocs) GROUP BY ALL)")
 def tag_counts(s, d):
-    docs = tables.structured_documents(s, d)
-    return docs.select("document_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[([A-Z]+)-\d+\]"), F.lit(1))).alias("tag")).groupBy("document_id", "tag").agg(F.count("*").alias("n"))
+    return evaluate.tag_counts(tables.structured_documents(s, d))
+
+
+def _spans(x: str) -> str:
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{raw}', '{escaped}')"
+    for kind in sorted(set(evaluate.TAG_CLASSES.values())):
+        names = "|".join(k for k, v in evaluate.TAG_CLASSES.items() if v == kind)
+        x = f"regexp_replace({x}, '\\[((?:{names})-\\d+)\\]', '<span class=\"tag-{kind}\">' || chr(57344) || '\\1' || chr(57345) || '</span>', 'g')"
+    x = f"regexp_replace({x}, '\\[([A-Z]+-\\d+)\\]', '<span class=\"tag-generic\">[\\1]</span>', 'g')"
+    return f"replace(translate({x}, chr(57344) || chr(57345), '[]'), chr(10), '<br>')"
+
+
+@query(f"SELECT document_id, {_spans('text')} AS html FROM sdocs")
+def tags_highlighted(s, d):
+    return tables.structured_documents(s, d).select("document_id", evaluate.highlighted(F.col("text")).alias("html"))
+
+
+@query("SELECT document_id, query_id, 'Tokens: ' || format('{:,}', original_estimated_tokens) || ' ' || chr(8594) || ' ' || format('{:,}', reduced_estimated_tokens) || ' | Sentences: ' || original_sentences || ' ' || chr(8594) || ' ' || reduced_sentences || ' | Reduction: ' || printf('%.1f%%', round(reduction_ratio * 1000) / 10) AS banner FROM reduced4 WHERE original_estimated_tokens > 0")
+def compression_banner(s, d):
+    return evaluate.banner(engine.retrieve(_memory(tables.structured_documents(s, d)), tables.questions(s)))
+
+
+_F1 = "len(list_intersect(a, b))"
+
+
+@query(f"SELECT document_id, round(CASE WHEN {_F1} = 0 THEN 0 ELSE 2.0 * {_F1} / (len(a) + len(b)) END, 6) AS f1 FROM (SELECT document_id, list_distinct({O.words('context')}) AS a, list_distinct({O.words('query')}) AS b FROM ctx JOIN said USING (query_id))")
+def token_f1(s, d):
+    return _contexts(s, d).join(_said(s), "query_id").select("document_id", F.round(evaluate.token_f1(F.col("context"), F.col("query")), 6).alias("f1"))
+
+
+@query(f"SELECT question_id, round(coalesce(avg(alike), 1.0), 6) AS consistency FROM (SELECT conv_id AS question_id, CASE WHEN before IS NULL THEN NULL ELSE {O.likeness('before', 'text')} END AS alike FROM (SELECT conv_id, coalesce(text, '') AS text, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)) GROUP BY question_id")
+def answer_consistency(s, d):
+    runs = tables.table(s, d, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("run"), F.coalesce("text", F.lit("")).alias("answer"))
+    return evaluate.consistency(runs).withColumn("consistency", F.round("consistency", 6))
 
 
 _ROWS = "SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS strategy, CASE doc_id % 5 WHEN 0 THEN 'constraint' WHEN 1 THEN 'decision' WHEN 2 THEN 'workflow' WHEN 3 THEN 'reason' ELSE 'general' END AS category, CAST(quality AS DOUBLE) AS recall FROM labels"
@@ -458,9 +671,181 @@ def metrics_unpivot(s, d):
     return evaluate.unpivoted(_averages(s, d), list(evaluate.COMPOSITE)).withColumn("value", F.round("value", 4))
 
 
-@query()
+_PERCENTS = [m for m in evaluate.COMPOSITE if m != "general_retention"]
+_SCORED = f"SELECT 'A_' || strategy || '_rows' AS strategy, {', '.join(evaluate.COMPOSITE)} FROM ({_AVERAGES})"
+_SHOWN = "replace(regexp_replace(strategy, '^[^_]*_', ''), '_', ' ') AS name, " + ", ".join(f"printf('%.2f%%', round({m} * 10000) / 100) AS {m}" for m in _PERCENTS)
+
+
+def _named(s, d):
+    return _averages(s, d).withColumn("strategy", F.concat(F.lit("A_"), "strategy", F.lit("_rows")))
+
+
+@query(f"SELECT general_retention, {_SHOWN} FROM ({_SCORED})")
+def results_table(s, d):
+    return evaluate.results_table(_named(s, d), ["general_retention"], _PERCENTS)
+
+
+_HEAD = f"'## Evaluation' || chr(10) || chr(10) || '| Strategy | general_retention | {' | '.join(_PERCENTS)} |' || chr(10) || '|{'---|' * (len(_PERCENTS) + 2)}' || chr(10)"
+_REPORT = f"SELECT {_HEAD} || string_agg(line, chr(10) ORDER BY line) || chr(10) AS report FROM (SELECT '| **' || name || '** | ' || printf('%.2f', round(general_retention, 2)) || ' | ' || {' || chr(32) || chr(124) || chr(32) || '.join(_PERCENTS)} || ' |' AS line FROM (SELECT general_retention, {_SHOWN} FROM ({_SCORED})))"
+
+
+@query(_REPORT)
 def markdown_report(s, d):
-    return evaluate.markdown_report(_averages(s, d), list(evaluate.COMPOSITE))
+    return evaluate.markdown_report(_named(s, d), ["general_retention"], _PERCENTS)
+
+
+@query(f"SELECT 'Notes' || chr(10) || chr(10) || report AS report FROM ({_REPORT})")
+def report_file(s, d):
+    """A report that is written twice, the second time over its own section, and read back."""
+    path = tables.work_dir(s, "report")
+    section = markdown_report(s, d)
+    for _ in range(2):
+        sinks.update_report(section, path, first="Notes")
+    return sinks.read_report(s, path)
+
+
+@query(f"SELECT strategy, {', '.join(evaluate.COMPOSITE)} FROM ({_AVERAGES})")
+def results_json(s, d):
+    path = tables.work_dir(s, "results")
+    sinks.write_results(_averages(s, d), path)
+    return sinks.read_results(s, path).select("strategy", *evaluate.COMPOSITE)
+
+
+@query(f"SELECT strategy, CAST(2 AS BIGINT) AS runs, general_retention FROM ({_AVERAGES})")
+def results_history(s, d):
+    path = tables.work_dir(s, "history")
+    for _ in range(2):
+        sinks.append_history(_averages(s, d), path)
+    return s.read.parquet(path).groupBy("strategy", "general_retention").agg(F.count("*").alias("runs")).select("strategy", "runs", "general_retention")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS question_id, CAST(quality AS DOUBLE) AS recall, CASE WHEN toxic = 1 THEN NULL ELSE CAST(0.5 AS DOUBLE) END AS graph_recall FROM labels")
+def results_csv(s, d):
+    """Detail rows with measures that are missing, written as CSV and read back."""
+    path = tables.work_dir(s, "details")
+    rows = tables.table(s, d, "labels").select(F.col("doc_id").cast("string").alias("question_id"), F.col("quality").cast("double").alias("recall"), F.when(F.col("toxic") == 1, None).otherwise(0.5).alias("graph_recall"))
+    sinks.write_details(rows, path)
+    return s.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@query("SELECT 'n_nationkey=' || n_nationkey AS document_id, n_name || chr(10) AS text FROM nation")
+def text_source(s, d):
+    """A file for each nation, read back by path."""
+    path = tables.work_dir(s, "files")
+    tables.table(s, d, "nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(path)
+    rows = tables.text_files(s, path, "*.txt")
+    return rows.select(F.element_at(F.split("document_id", "/"), -2).alias("document_id"), "text")
+
+
+@query("SELECT 'n_nationkey=' || n_nationkey AS document_id FROM nation ORDER BY document_id LIMIT 7")
+def first_files(s, d):
+    path = tables.work_dir(s, "files")
+    tables.table(s, d, "nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(path)
+    return tables.first_files(tables.text_files(s, path, "*.txt"), 7).select(F.element_at(F.split("document_id", "/"), -2).alias("document_id"))
+
+
+_FLAT = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT 'Q-' || lpad(CAST(item_id AS VARCHAR), 4, '0') AS question_id, {_FLAT.format('text')} AS question, {_FLAT.format('text')} || ' So it is.' AS answer FROM benchmark")
+def question_bank(s, d):
+    """Banks written from the benchmark's texts, read back and joined."""
+    path = tables.work_dir(s, "bank")
+    rows = tables.table(s, d, "benchmark").select(F.format_string("[Q-%04d]", "item_id").alias("id"), X.normalize_text(F.col("text")).alias("text"))
+    rows.select(F.concat("id", F.lit(" "), "text").alias("value")).write.text(f"{path}/questions")
+    rows.select(F.concat("id", F.lit(" ANSWER KEY:\n  "), "text", F.lit("\n  So it is.\n")).alias("value")).write.text(f"{path}/answers")
+    return tables.question_bank(s, f"{path}/questions", f"{path}/answers")
+
+
+@query(r"SELECT document_id, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 0 ELSE CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) END AS tokens FROM docs")
+def tokenizer_tokens(s, d):
+    """Tokens as a tokenizer that a caller brings counts them: here, words."""
+    return tables.plain_documents(s, d).select("document_id", X.estimate_tokens(F.col("text"), X.word_count).alias("tokens"))
+
+
+@query("SELECT document_id, sentence_index, text FROM sentences", cuts=r"SELECT *, CASE WHEN whole THEN [piece] ELSE string_split(regexp_replace(piece, '([.!?;,])\s+', '\1' || chr(1), 'g'), chr(1)) END AS parts FROM pieces")
+def split_sentences(s, d):
+    """Sentences by a splitter that a caller brings: here, at commas too."""
+    return segment.sentences(tables.structured_documents(s, d), lambda c: F.split(c, r"(?<=[.!?;,])\s+", -1))
+
+
+_THREE, _TWO, _KINDS = r"^([a-z]+)\s+(\w+)[.:]\s*(.*)", r"^(Goal|Task|Rule): (.*)", {"COMPARE": "comparison", "SERVICES": "constraint"}
+
+
+@query(rf"""SELECT document_id, sentence_index, CASE WHEN three THEN CASE upper(regexp_extract(text, '(?i){_THREE}', 1)) WHEN 'COMPARE' THEN 'comparison' WHEN 'SERVICES' THEN 'constraint' ELSE 'state' END ELSE CASE lower(regexp_extract(text, '(?i){_TWO}', 1)) WHEN 'rule' THEN 'constraint' ELSE lower(regexp_extract(text, '(?i){_TWO}', 1)) END END AS unit_type,
+    CASE WHEN three THEN {O.strip(f"regexp_extract(text, '(?i){_THREE}', 2)")} ELSE '' END AS subject, CASE WHEN three THEN {O.strip(f"regexp_extract(text, '(?i){_THREE}', 3)")} ELSE regexp_extract(text, '(?i){_TWO}', 2) END AS object
+    FROM (SELECT *, regexp_matches(text, '(?i){_THREE}') AS three, regexp_matches(text, '(?i){_TWO}') AND regexp_extract(text, '(?i){_TWO}', 2) <> '' AS two FROM w7 WHERE workflow_name IS NULL) WHERE three OR two""")
+def pattern_units(s, d):
+    """Extractors made from a caller's expressions."""
+    chain = (classify.pattern_unit(_THREE, _KINDS, "state"), classify.pattern_unit(_TWO))
+    return classify.units(_sentences(s, d), chain).where("workflow_name is null").select("document_id", "sentence_index", "unit_type", "subject", "object")
+
+
+_FIRST, _SECOND, _REST, _PURPOSE, _CAUSE = r"^(\w+)", r"^\w+\s+(\w+)", r"^\w+\s+\w+\s+(.*)$", r"\bto\s+(\w+)\s+(\w+)", r"because\s+(.*)$"
+
+
+def _parse(text):
+    """A parser's part, by plain rules: first word, second word, the rest; to + two words; what follows because."""
+    def group(pattern, k=1):
+        return F.regexp_extract(text, pattern, k)
+
+    purposes = F.array(F.struct(group(_PURPOSE).alias("verb"), group(_PURPOSE, 2).alias("object")))
+    causes = F.when(text.rlike(_CAUSE), F.array(F.struct(group(_FIRST).alias("subject"), group(_SECOND).alias("verb"), group(_CAUSE).alias("clause"))))
+    return F.struct(group(_FIRST).alias("subject"), group(_SECOND).alias("relation"), group(_REST).alias("object"), purposes.alias("purposes"), F.coalesce(causes, F.array().cast("array<struct<subject:string,verb:string,clause:string>>")).alias("causes"))
+
+
+_SRO = rf"""SELECT *, regexp_extract(text, '{_FIRST}', 1) AS s_, regexp_extract(text, '{_SECOND}', 1) AS r_, regexp_extract(text, '{_REST}', 1) AS o_ FROM k1"""
+_PARSED_UNITS = rf"""SELECT document_id, sentence_index, 0 AS part, CASE WHEN s_ || r_ || o_ <> '' THEN {O.CUES} ELSE 'fact' END AS unit_type, s_ AS subject, r_ AS relation, CASE WHEN s_ || r_ || o_ <> '' THEN o_ ELSE text END AS object FROM ({_SRO}) WHERE workflow_name IS NULL AND NOT tagged AND NOT labelled
+    UNION ALL SELECT document_id, sentence_index, 1, 'goal', s_, regexp_extract(text, '{_PURPOSE}', 1), regexp_extract(text, '{_PURPOSE}', 2) FROM ({_SRO}) WHERE workflow_name IS NULL AND NOT tagged AND NOT labelled AND regexp_matches(text, '{_PURPOSE}')
+    UNION ALL SELECT document_id, sentence_index, 2, 'outcome', s_, r_, regexp_extract(text, '{_CAUSE}', 1) FROM ({_SRO}) WHERE workflow_name IS NULL AND NOT tagged AND NOT labelled AND regexp_matches(text, '{_CAUSE}') AND s_ <> ''"""
+
+
+@query(f"SELECT document_id, sentence_index, unit_type, subject, relation, object, count(*) AS n FROM ({_PARSED_UNITS}) GROUP BY ALL")
+def parsed_units(s, d):
+    """Several units a sentence, by a parser that a caller brings."""
+    units = classify.units(_sentences(s, d), (classify.tag_unit, classify.label_unit, classify.parsed_units(_parse)))
+    own = units.where(F.col("workflow_name").isNull() & ~F.col("text").rlike(f"(?i){classify.TAG_PATTERN}") & classify.label_unit(F.col("text")).isNull())
+    return own.groupBy("document_id", "sentence_index", "unit_type", "subject", "relation", "object").agg(F.count("*").alias("n"))
+
+
+_ENTITY, _CHUNK = r"\b[A-Z][A-Za-z0-9-]+\b", r"\bthe\s+\w+"
+_HOOKS = f"list_sort(list_distinct(list_transform(regexp_extract_all(query, '{_ENTITY}'), lambda x: lower(x)))) AS entities, list_sort(list_distinct(regexp_extract_all(lower(query), '{_CHUNK}'))) AS chunks"
+
+
+def _hooked(s):
+    found = [F.array_sort(F.array_distinct(x)) for x in (F.transform(F.regexp_extract_all("query", F.lit(_ENTITY), F.lit(0)), F.lower), F.regexp_extract_all(F.lower("query"), F.lit(_CHUNK), F.lit(0)))]
+    return tables.questions(s).select("*", found[0].alias("entities"), found[1].alias("noun_chunks"), F.regexp_extract("query", _SECOND, 1).alias("root_lemma"))
+
+
+@query(f"SELECT query_id, array_to_string(entities, ',') AS entities, array_to_string(chunks, ',') AS chunks, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_]+'), lambda w: lower(w)), lambda w: w IN ('who', 'what', 'where', 'when', 'why')))), ',') AS wh, lower(regexp_extract(query, '{_SECOND}', 1)) AS root FROM (SELECT *, {_HOOKS} FROM asked)")
+def question_hooks(s, d):
+    f = score.question_features(_hooked(s))
+    return f.select("query_id", F.array_join("entities", ",").alias("entities"), F.array_join("noun_chunks", ",").alias("chunks"), F.array_join("wh_words", ",").alias("wh"), F.col("root_lemma").alias("root"))
+
+
+_DENSE = "CASE WHEN dense > 0.65 THEN dense * 12.0 WHEN dense > 0.45 THEN dense * 6.0 ELSE dense * 2.0 END"
+
+
+@query(f"""SELECT document_id, unit_pos, query_id, entity, noun, round(CAST(score - priority + CASE WHEN preserved AND (lexical > 0 OR hard > 0 OR entity > 0 OR noun > 0 OR dense > 0.45) THEN 2.5 ELSE 0 END + entity + noun + {_DENSE} AS DOUBLE), 4) AS score FROM (
+    SELECT s.*, u.unit_type IN ({', '.join(map(repr, score.PRESERVED))}) AS preserved, CAST((s.unit_pos % 10) / 10.0 AS DOUBLE) AS dense, CAST(2.0 * len(list_filter(chunks, lambda x: contains(lower(s.text), x))) AS DOUBLE) AS noun,
+    CAST(3.0 * len(list_filter(entities, lambda x: contains(lower(s.text), x))) + CASE WHEN len(entities) > 0 AND list_has_any(regexp_extract_all(lower(s.text), '\\S+'), {list(score.PRONOUNS)}) THEN 1 ELSE 0 END AS DOUBLE) AS entity
+    FROM scored s JOIN units u USING (document_id, unit_pos) JOIN (SELECT query_id, {_HOOKS} FROM asked) USING (query_id))""")
+def score_hooks(s, d):
+    """Scores with what a parser says of the questions and an embedder of the units."""
+    units = _kept_units(s, d)
+    dense = units.crossJoin(F.broadcast(tables.questions(s))).select("document_id", "unit_pos", "query_id", (F.col("unit_pos") % 10 / 10.0).cast("double").alias("dense"))
+    rows = score.scored(units, score.question_features(_hooked(s)), graphs.connectivity(units), dense=dense)
+    return rows.select("document_id", "unit_pos", "query_id", "entity", "noun", F.round("score", 4).alias("score"))
+
+
+_LAYERS = "CASE unit_type " + " ".join(f"WHEN '{t}' THEN {k}" for k, t in enumerate(sorted(classify.WEIGHTS, key=lambda t: (-classify.WEIGHTS[t], t)))) + f" ELSE {len(classify.WEIGHTS)} END"
+
+
+@query(f"SELECT document_id, sentence_index, CAST(layer AS INTEGER) AS layer, CAST(row_number() OVER (PARTITION BY document_id, layer ORDER BY sentence_index) - 1 AS INTEGER) AS slot, coalesce(degree, 0) AS degree FROM (SELECT document_id, sentence_index, min({_LAYERS}) AS layer FROM units WHERE (document_id, sentence_index) IN (SELECT document_id, source_idx FROM redges) GROUP BY ALL) LEFT JOIN (SELECT document_id, source_idx AS sentence_index, count(*) AS degree FROM redges GROUP BY ALL) USING (document_id, sentence_index)")
+def graph_layout(s, d):
+    units = _kept_units(s, d)
+    edges = graphs.reasoning_edges(units)
+    return graphs.graph_layout(graphs.graph_nodes(units, edges), edges)
 
 
 @query("SELECT document_id, contains(lower(trim(regexp_replace(context, '\\s+', ' ', 'g'))), 'the') AS matched FROM ctx")
@@ -487,21 +872,25 @@ def dataset_accuracy(s, d):
 
 
 def _sectioned(s, d):
-    """Documents with a header before each of six equal parts of their words."""
-    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
-    part = F.floor(F.size("w") / 6).cast("int")
-    rows = tables.plain_documents(s, d).withColumn("w", words).where("size(w) >= 120")
+    """Every document, with a header before each of six about equal parts of its words."""
+    words = F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))
+    rows = tables.plain_documents(s, d).withColumn("w", words).withColumn("n", F.size("w"))
     heads = ("Summary", "Motivation", "Goals", "Proposal", "Drawbacks", "Alternatives")
-    pieces = [F.concat(F.lit(f"## {h}\n"), F.array_join(F.slice("w", part * k + 1, part), " ")) for k, h in enumerate(heads)]
+
+    def part(k: int):
+        before, after = (F.floor(F.col("n") * j / 6).cast("int") for j in (k, k + 1))
+        return F.array_join(F.slice("w", before + 1, after - before), " ")
+
+    pieces = [F.concat(F.lit(f"## {h}\n"), part(k)) for k, h in enumerate(heads)]
     return rows.select(F.concat(F.lpad("document_id", 9, "0"), F.lit(".md")).alias("document_id"), F.concat_ws("\n\n", *pieces).alias("text"))
 
 
 _W = r"regexp_extract_all(text, '\S+')"
-_P = f"len({_W}) // 6"
 _SECTIONS = " UNION ALL ".join(
-    f"SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' AS document_id, '{name}' AS section, array_to_string({_W}[{_P} * {k} + 1 : {_P} * {k + 1}], ' ') AS content FROM documents WHERE len({_W}) >= 120"
+    f"SELECT lpad(document_id, 9, '0') || '.md' AS document_id, '{name}' AS section, array_to_string({_W}[len({_W}) * {k} // 6 + 1 : len({_W}) * {k + 1} // 6], ' ') AS content FROM docs"
     for k, name in enumerate(("summary", "motivation", "reasoning", "design", "constraints", "alternatives"))
 )
+_STRONG = rf"SELECT document_id FROM ({_SECTIONS}) GROUP BY document_id HAVING count(*) FILTER (len(regexp_extract_all(content, '\S+')) >= 15) = 6"
 
 
 @query(_SECTIONS)
@@ -509,14 +898,47 @@ def sections(s, d):
     return datasets.sections(_sectioned(s, d))
 
 
-@query(f"SELECT document_id FROM ({_SECTIONS}) GROUP BY document_id HAVING count(*) = 6")
+@query(_STRONG)
 def strong_docs(s, d):
     return datasets.strong_documents(_sectioned(s, d)).select("document_id")
 
 
-@query()
+_CORPORA = f"SELECT document_id, odd, row_number() OVER (PARTITION BY odd ORDER BY document_id) - 1 AS k FROM (SELECT document_id, CAST(regexp_extract(document_id, '^[0-9]+') AS BIGINT) % 2 AS odd FROM ({_STRONG}))"
+_WANTED = "SELECT document_id, 'first' AS corpus, unnest(CASE WHEN k % 2 = 0 THEN ['summary', 'design'] ELSE ['motivation', 'alternatives'] END) AS section FROM corpora WHERE odd = 0 AND k < 25 UNION ALL SELECT document_id, 'second', ['summary', 'motivation', 'design', 'alternatives'][k % 4 + 1] FROM corpora WHERE odd = 1 AND k < 50"
+_ASK = "CASE section " + " ".join(f"WHEN '{k}' THEN replace('{q}', '%s', name)" for k, (q, _) in datasets.ASKS.items()) + " END AS question, CASE section " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, (_, c) in datasets.ASKS.items()) + " END AS category"
+_QUESTIONS = f"SELECT document_id, name || '-' || section AS question_id, {_ASK}, array_to_string({_PIECES.replace('(text,', '(content,')}, '|') AS expected_phrases, corpus FROM (SELECT *, regexp_replace(document_id, '[.]md$', '') AS name FROM ({_WANTED}) JOIN ({_SECTIONS}) USING (document_id, section))"
+
+
+def _questions(s, d):
+    docs = _sectioned(s, d)
+    odd = F.regexp_extract("document_id", "^[0-9]+", 0).cast("long") % 2
+    return datasets.two_corpora(docs.where(odd == 0), docs.where(odd == 1)).withColumn("expected_phrases", F.array_join("expected_phrases", "|"))
+
+
+@query(_QUESTIONS, corpora=_CORPORA)
 def qa_dataset(s, d):
-    return datasets.question_set(_sectioned(s, d), 50).withColumn("expected_phrases", F.array_join("expected_phrases", "|"))
+    """Two questions about each of 25 documents, one about each of 50 others."""
+    return _questions(s, d)
+
+
+@query(f"SELECT document_id, name || '-' || section AS question_id, {_ASK} FROM (SELECT *, regexp_replace(document_id, '[.]md$', '') AS name FROM (SELECT document_id, unnest(['summary', 'motivation', 'design', 'alternatives', 'reasoning']) AS section FROM ({_STRONG})))")
+def qa_templates(s, d):
+    """Every template asked of every document that is worth it."""
+    docs = _sectioned(s, d)
+    rows = datasets.question_set(docs, docs.count(), each=5)
+    return rows.select("document_id", "question_id", "question", "category")
+
+
+@query(f"SELECT DISTINCT document_id FROM ({_QUESTIONS})", corpora=_CORPORA)
+def document_names(s, d):
+    return datasets.document_names(_questions(s, d))
+
+
+@query(f"SELECT question_id, question FROM ({_QUESTIONS}) WHERE document_id = (SELECT max(document_id) FROM ({_QUESTIONS}))", corpora=_CORPORA)
+def questions_of_document(s, d):
+    rows = _questions(s, d)
+    last = rows.agg(F.max("document_id")).first()[0]
+    return datasets.questions_of(rows, last or "").select("question_id", "question")
 
 
 def queries() -> dict[str, Query]:

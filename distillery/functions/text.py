@@ -22,9 +22,10 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def estimate_tokens(c: Column) -> Column:
-    """A quarter of the characters, rounded up; nothing for blank text."""
-    return F.when(strip(c) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(F.length(c) / 4))).cast("int")
+def estimate_tokens(c: Column, tokenizer=None) -> Column:
+    """A quarter of the characters, rounded up, or what a tokenizer counts (a function of a column, say a pandas UDF); nothing for blank text."""
+    n = tokenizer(c) if tokenizer else F.greatest(F.lit(1), F.ceil(F.length(c) / 4))
+    return F.when(strip(c) == "", F.lit(0)).otherwise(n).cast("int")
 
 
 def word_count(c: Column) -> Column:
@@ -65,9 +66,15 @@ def more_alike_than(a: Column, b: Column, limit: float) -> Column:
     return F.when(fits, jaccard(a, b) > limit).otherwise(F.lit(False))
 
 
+def set_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays of distinct words, each word a dimension; 0 where either is empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.sqrt(F.size(a).cast("double") * F.size(b)))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Of two numeric arrays, summed in double precision."""
+    """Of two numeric arrays, summed in double precision; null where either is zero."""
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import strip, word_set
+from ..functions.text import strip, words
 
+# Fixed value: the answer where there is no context.
 UNKNOWN = "I cannot determine that from the context."
-# Words that carry no content.
+# What a shared entity and a shared root are worth beside a shared word.
+ENTITY_WORTH, SAME_ROOT, ROOT_AMONG_TERMS = 1.5, 3.0, 1.5
+#: Words that carry no content, where no parser says so.
 STOP_WORDS = tuple("a an and are as at be been but by do does for from had has have how i if in is it its of on or our so that the their they this to was we were what when where which who why will with you your".split())
 
 
-def content_words(c: Column) -> Column:
-    return F.filter(word_set(c), lambda w: ~w.isin(*STOP_WORDS) & ~w.rlike("^[0-9]+$"))
+def content_terms(c: Column) -> Column:
+    """Words of content in order, repeats included."""
+    return F.filter(words(c), lambda w: ~w.isin(*STOP_WORDS) & ~w.rlike("^[0-9]+$"))
 
 
 def question_word(query: Column) -> Column:
@@ -28,11 +32,28 @@ def context_lines(contexts: DataFrame) -> DataFrame:
     return contexts.select("document_id", "query_id", F.posexplode(lines).alias("line_no", "line"))
 
 
-def line_scores(lines: DataFrame, queries: DataFrame) -> DataFrame:
-    """Content words that a line shares with its question."""
-    rows = lines.join(queries.select("query_id", "query"), "query_id")
-    shared = F.size(F.array_intersect(content_words(F.col("line")), content_words(F.col("query"))))
-    return rows.withColumn("score", shared)
+#: What a parser may say of a line, as columns of the parsed lines: its terms, entities, root, and the phrases that answers are taken from.
+PARSED = {"terms": "array<string>", "entities": "array<string>", "root": "string", "subject": "string", "names": "array<string>", "object": "string"}
+
+
+def line_scores(lines: DataFrame, queries: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Terms that a line shares with its question, and where a parser gave them, entities of the line in the question and its root.
+
+    parsed has document_id, query_id, line_no and any of the columns of PARSED;
+    queries may have terms and root. What is missing is taken from the words,
+    or adds nothing.
+    """
+    known = [] if parsed is None else [c for c in PARSED if c in parsed.columns]
+    rows = lines if parsed is None else lines.join(parsed.select("document_id", "query_id", "line_no", *known), ["document_id", "query_id", "line_no"], "left")
+    rows = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in PARSED.items() if c not in known])
+    own = [F.col(c).alias(f"asked_{c}") if c in queries.columns else F.lit(None).cast(PARSED[c]).alias(f"asked_{c}") for c in ("terms", "root")]
+    rows = rows.join(queries.select("query_id", "query", *own), "query_id")
+    terms = F.array_distinct(F.coalesce("terms", content_terms(F.col("line"))))
+    shared = F.size(F.array_intersect(terms, F.coalesce("asked_terms", content_terms(F.col("query")))))
+    entities = F.size(F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: F.contains(F.lower("query"), F.lower(e))))
+    root = F.lower(F.trim(F.coalesce("asked_root", F.lit(""))))
+    rooted = F.when(root == "", 0.0).when(root == F.lower(F.trim("root")), SAME_ROOT).when(F.array_contains(terms, root), ROOT_AMONG_TERMS).otherwise(0.0)
+    return rows.withColumn("score", shared + entities * F.lit(ENTITY_WORTH) + rooted)
 
 
 def _reason(line: Column) -> Column:
@@ -41,13 +62,23 @@ def _reason(line: Column) -> Column:
     return strip(F.split(F.regexp_replace(strip(first), r"\.+$", ""), ",")[0])
 
 
-def extractive(contexts: DataFrame, queries: DataFrame) -> DataFrame:
-    """document_id, query_id, answer: the best line, or for "why" what follows its because."""
-    ranked = line_scores(context_lines(contexts), queries).withColumn("wh", question_word(F.col("query")))
+def extractive(contexts: DataFrame, queries: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """document_id, query_id, answer, from the lines in order of their score.
+
+    "who" takes the first line's subject, or else its first name, of the first
+    line that has one; "what", "where" and "when" the first object; "why" what
+    follows the first because. Otherwise, and where there is none, the best
+    line answers.
+    """
+    ranked = line_scores(context_lines(contexts), queries, parsed).withColumn("wh", question_word(F.col("query")))
     order = Window.partitionBy("document_id", "query_id").orderBy(F.desc("score"), "line_no")
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).withColumn("why", (F.col("wh") == "why") & F.lower("line").contains("because"))
-    best = ranked.groupBy("document_id", "query_id").agg(F.min_by("line", "rank").alias("top"), F.min_by(F.when(F.col("why"), F.col("line")), F.when(F.col("why"), F.col("rank"))).alias("reason"))
-    answer = F.coalesce(_reason(F.col("reason")), F.col("top"), F.lit(UNKNOWN))
+    blank = F.lit("")
+    who = F.coalesce(F.nullif("subject", blank), F.nullif(F.get("names", F.lit(0)), blank))
+    why = F.when(F.contains(F.lower("line"), F.lit("because")), _reason(F.col("line")))
+    taken = F.when(F.col("wh") == "who", who).when(F.col("wh").isin("what", "where", "when"), F.nullif("object", blank)).when(F.col("wh") == "why", why)
+    ranked = ranked.withColumn("rank", F.row_number().over(order)).withColumn("taken", taken)
+    best = ranked.groupBy("document_id", "query_id").agg(F.min_by("line", "rank").alias("top"), F.min_by("taken", F.when(F.col("taken").isNotNull(), F.col("rank"))).alias("said"))
+    answer = F.coalesce("said", "top", F.lit(UNKNOWN))
     return contexts.select("document_id", "query_id").join(best, ["document_id", "query_id"], "left").select("document_id", "query_id", answer.alias("answer"))
 
 
@@ -55,12 +86,12 @@ def prompt(query: Column, context: Column) -> Column:
     return F.concat(F.lit("Use nothing but the context to answer. If it does not hold the answer, say so.\n\nContext:\n"), context, F.lit("\n\nQuestion: "), query, F.lit("\nAnswer:"))
 
 
-def answered(contexts: DataFrame, queries: DataFrame, model=None) -> DataFrame:
+def answered(contexts: DataFrame, queries: DataFrame, model=None, parsed: DataFrame | None = None) -> DataFrame:
     """Answer packets. model maps a column of prompts to answers (a pandas UDF, say); without it answers are extractive."""
     asked = contexts.join(queries.select("query_id", "query"), "query_id")
     if model is None:
-        rows = asked.join(extractive(contexts, queries), ["document_id", "query_id"])
+        rows = asked.join(extractive(contexts, queries, parsed), ["document_id", "query_id"])
         mode = "extractive"
     else:
-        rows, mode = asked.withColumn("answer", model(prompt(F.col("query"), F.col("context")))), "model"
+        rows, mode = asked.withColumn("answer", F.trim(model(prompt(F.col("query"), F.col("context"))))), "model"
     return rows.select("document_id", "query_id", F.col("query").alias("question"), F.col("context").alias("reduced_context"), F.struct(F.lit(mode).alias("mode"), "answer").alias("answer"))

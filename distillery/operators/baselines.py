@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import cosine
+from ..functions.text import cosine, let
 
 # BM25's saturation, length weight, and share of the mean that replaces a negative weight.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def bm25(lines: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25(lines: DataFrame, queries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """document_id, line_no, query_id, score of the lines that hold a word of the question. Words are split at white space, case kept.
 
-    Weights belong to a document; one of its lines is one text.
+    Weights belong to a document; one of its lines is one text. pairs names
+    (document_id, query_id); without it every document is asked everything.
     """
     each = lines.select("document_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"(?U)\S+"), F.lit(0))).alias("term"))
     tf = each.groupBy("document_id", "line_no", "term").agg(F.count("*").alias("tf"))
@@ -27,12 +28,20 @@ def bm25(lines: DataFrame, queries: DataFrame) -> DataFrame:
     floor = idf.groupBy("document_id").agg((F.avg("raw") * EPSILON).alias("floor"))
     idf = idf.join(floor, "document_id").select("document_id", "term", "mean", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("query_id", F.explode(F.regexp_extract_all("query", F.lit(r"(?U)\S+"), F.lit(0))).alias("term"))
-    hits = tf.join(asked, "term").join(idf, ["document_id", "term"]).join(size, ["document_id", "line_no"])
+    hits = tf.join(asked, "term") if pairs is None else tf.join(pairs.join(asked, "query_id"), ["document_id", "term"])
+    hits = hits.join(idf, ["document_id", "term"]).join(size, ["document_id", "line_no"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     return hits.groupBy("document_id", "line_no", "query_id").agg(F.sum(part).alias("score"))
 
 
+def with_the_rest(scores: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Scores of all lines of the pairs' documents: 0 for lines that hold none of the question's words."""
+    every = lines.select("document_id", "line_no").join(pairs.select("document_id", "query_id"), "document_id")
+    return every.join(scores, ["document_id", "line_no", "query_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def top_lines(scores: DataFrame, n: int) -> DataFrame:
+    """The n best lines of each pair; ties by place."""
     order = Window.partitionBy("document_id", "query_id").orderBy(F.desc("score"), "line_no")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
@@ -45,12 +54,26 @@ def context_of(lines: DataFrame, chosen: DataFrame, by: str = "rank") -> DataFra
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, vec_id, score: cosine of each vector with each of a few question vectors."""
+    """query_id, vec_id, score: cosine of each vector with each of a few question vectors, which every executor gets."""
     q = queries.select("query_id", F.col("embedding").alias("asked"))
-    return vectors.join(q, F.lit(True)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("asked")).alias("score"))
+    return vectors.crossJoin(F.broadcast(q)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("asked")).alias("score"))
+
+
+def line_vector_scores(lines: DataFrame, queries: DataFrame, pairs: DataFrame, embed) -> DataFrame:
+    """document_id, line_no, query_id, score: cosine of each line's vector with its question's, for lines that are like it at all.
+
+    embed is a function of a column of text that gives its vector (a pandas UDF, say).
+    """
+    own = lines.select("document_id", "line_no", embed(F.col("line")).alias("v")).join(pairs.select("document_id", "query_id"), "document_id")
+    return own.join(queries.select("query_id", embed(F.col("query")).alias("q")), "query_id").select("document_id", "line_no", "query_id", F.coalesce(cosine(F.col("v"), F.col("q")), F.lit(0.0)).alias("score"))
+
+
+def letter_counts(text: Column) -> Column:
+    """A stand-in for a sentence embedder: how often each letter from a to z occurs."""
+    return let(F.lower(text), lambda low: F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"]))
 
 
-def top_vectors(scores: DataFrame, n: int, library_top: int = 10) -> DataFrame:
+def top_vectors(scores: DataFrame, n: int, library_top: int = 10, keys: tuple[str, ...] = ("query_id",), place: str = "vec_id") -> DataFrame:
     """The n best of each question's library_top, for a context in order of place."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), place)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(n, library_top))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import LIST_ITEM, normalize_text, strip
+from ..functions.text import LIST_ITEM, let, normalize_text, strip
 
 # Weights of the unit types, and the weight of any other.
 WEIGHTS = {
@@ -27,8 +28,8 @@ CUES = (
     ("comparison", ("compare", "vs", "versus", "better than", "faster", "lighter")),
     ("task", ("task", "implement", "benchmark", "create", "generate")),
 )
-TAG_PATTERN = r"(?i)^(?:-\s*)?\[([A-Z]+)-\d+\]\s*([^:]+):\s*(.*)"
-LABEL_PATTERN = r"(?i)^(?:#+\s*)?([\p{L}\p{N}_\s-]+):\s*(.*)"
+TAG_PATTERN = r"^(?:-\s*)?\[([A-Z]+)-\d+\]\s*([^:]+):\s*(.*)"
+LABEL_PATTERN = r"^(?:#+\s*)?([\p{L}\p{N}_\s-]+):\s*(.*)"
 TAG_START = r"^(?:-\s*)?\[[A-Z]+-\d+\]"
 RULE = r"^[-*=_\s]{3,}$"
 
@@ -47,18 +48,30 @@ def _mapped(pairs: dict[str, str], key: Column, default: Column) -> Column:
     return out
 
 
-def tag_unit(text: Column) -> Column:
-    """[TAG-n] title: value."""
-    kind = _mapped(TAGS, F.upper(F.regexp_extract(text, TAG_PATTERN, 1)), F.lit("fact"))
-    return F.when(text.rlike(TAG_PATTERN), unit(kind, strip(F.regexp_extract(text, TAG_PATTERN, 2)), F.lit(""), strip(F.regexp_extract(text, TAG_PATTERN, 3))))
+def pattern_unit(pattern: str, types: dict[str, str] | None = None, default: str = "fact") -> Extractor:
+    """An extractor from an expression (any case) with three groups, tag, title and value, or with two, label and value.
 
+    A tag's type is looked up in ``types``; a label is its own type where that is known, and needs a value.
+    """
+    pattern = f"(?i){pattern}"
+    three = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")).groups == 3
 
-def label_unit(text: Column) -> Column:
-    """Label: value, where the value is not empty."""
-    label = F.lower(F.replace(normalize_text(F.regexp_extract(text, LABEL_PATTERN, 1)), F.lit(" "), F.lit("_")))
-    value = F.regexp_extract(text, LABEL_PATTERN, 2)
-    known = F.when(label.isin(*WEIGHTS), label).otherwise(F.lit("fact"))
-    return F.when(text.rlike(LABEL_PATTERN) & (value != ""), unit(_mapped(LABELS, label, known), F.lit(""), F.lit(""), value))
+    def tagged(text: Column) -> Column:
+        kind = _mapped(types or {}, F.upper(F.regexp_extract(text, pattern, 1)), F.lit(default))
+        return F.when(text.rlike(pattern), unit(kind, strip(F.regexp_extract(text, pattern, 2)), F.lit(""), strip(F.regexp_extract(text, pattern, 3))))
+
+    def labelled(text: Column) -> Column:
+        label = F.lower(F.replace(normalize_text(F.regexp_extract(text, pattern, 1)), F.lit(" "), F.lit("_")))
+        value = F.regexp_extract(text, pattern, 2)
+        known = F.when(label.isin(*WEIGHTS), label).otherwise(F.lit("fact"))
+        return F.when(text.rlike(pattern) & (value != ""), unit(_mapped(LABELS, label, known), F.lit(""), F.lit(""), value))
+
+    return tagged if three else labelled
+
+
+#: [TAG-n] title: value, and label: value.
+tag_unit = pattern_unit(TAG_PATTERN, TAGS)
+label_unit = pattern_unit(LABEL_PATTERN)
 
 
 def cue_type(text: Column) -> Column:
@@ -75,23 +88,65 @@ def cue_unit(text: Column) -> Column:
     return unit(cue_type(text), F.lit(""), F.lit(""), text)
 
 
+PARSE = "struct<subject:string,relation:string,object:string,purposes:array<struct<verb:string,object:string>>,causes:array<struct<subject:string,verb:string,clause:string>>>"
+
+
+def parsed_units(parse: Callable[[Column], Column]) -> Extractor:
+    """An extractor from a parser that a caller brings: a function of a column that gives a PARSE struct (a pandas UDF, say).
+
+    The main unit has the sentence's subject, root and object (a fact of the
+    sentence itself without any). Each purpose clause adds a goal, each cause an
+    outcome, so a sentence may give several units.
+    """
+
+    def units_of(text: Column) -> Column:
+        def typed(kind: str, subject: Column, relation: Column, obj: Column) -> Column:
+            return unit(F.lit(kind), *[F.coalesce(c, F.lit("")) for c in (subject, relation, obj)])
+
+        def all_of(p: Column) -> Column:
+            some = F.concat_ws("", p["subject"], p["relation"], p["object"]) != ""
+            main = F.when(some, unit(cue_type(text), *[F.coalesce(p[c], F.lit("")) for c in ("subject", "relation", "object")])).otherwise(unit(F.lit("fact"), F.lit(""), F.lit(""), text))
+            none = F.array().cast(f"array<{UNIT}>")
+            goals = F.transform(F.filter(p["purposes"], lambda x: (x["verb"] != "") & (x["object"] != "")), lambda x: typed("goal", p["subject"], x["verb"], x["object"]))
+            outcomes = F.transform(F.filter(p["causes"], lambda x: x["subject"] != ""), lambda x: typed("outcome", x["subject"], x["verb"], x["clause"]))
+            return F.concat(F.array(main), F.coalesce(goals, none), F.coalesce(outcomes, none))
+
+        return let(parse(text), all_of)
+
+    units_of.several = True
+    return units_of
+
+
 #: STRICT leaves sentences without tag or label untyped; LEXICAL types every sentence.
 STRICT: tuple[Extractor, ...] = (tag_unit, label_unit)
 LEXICAL: tuple[Extractor, ...] = (tag_unit, label_unit, cue_unit)
 
 
 def _json_text(c: Column) -> Column:
-    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+    """A JSON string of printable ASCII: escapes for quotes, backslashes and control characters, code units for all else."""
+    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"), ("\b", "\\b"), ("\f", "\\f")):
         c = F.replace(c, F.lit(raw), F.lit(escaped))
-    return F.concat(F.lit('"'), c, F.lit('"'))
+
+    def escape(ch: Column) -> Column:
+        units = F.hex(F.encode(ch, "UTF-16BE"))
+        four = F.concat(F.lit("\\u"), F.lower(F.substring(units, 1, 4)))
+        return F.when((ch >= " ") & (ch <= "~"), ch).when(F.length(units) > 4, F.concat(four, F.lit("\\u"), F.lower(F.substring(units, 5, 4)))).otherwise(four)
+
+    each = F.array_join(F.transform(F.filter(F.split(c, ""), lambda ch: ch != ""), escape), "")
+    return F.concat(F.lit('"'), F.when(c.rlike("[^ -~]"), each).otherwise(c), F.lit('"'))
 
 
 def rendered_workflow(name: Column, steps: Column) -> Column:
-    """JSON of a workflow, indented by two; text outside ASCII stays as it is."""
+    """JSON of a workflow, indented by two."""
     listed = F.array_join(F.transform(steps, lambda s: F.concat(F.lit("    "), _json_text(s))), ",\n")
     return F.concat(F.lit('{\n  "type": "workflow",\n  "name": '), _json_text(name), F.lit(',\n  "steps": [\n'), listed, F.lit("\n  ]\n}"))
 
 
+def decoded_workflow(rendered: Column) -> Column:
+    """Type, name and steps of a rendered workflow; null where it is none."""
+    return F.from_json(rendered, "type string, name string, steps array<string>")
+
+
 def shortened_workflow(name: Column, steps: Column) -> Column:
     return F.format_string("[Workflow '%s' containing %d steps omitted for brevity]", name, F.size(steps))
 
@@ -108,29 +163,35 @@ def with_headers(sentences: DataFrame) -> DataFrame:
 
 
 def units(sentences: DataFrame, extractors: Sequence[Extractor] = LEXICAL) -> DataFrame:
-    """document_id, unit_pos, sentence_index, text, unit_type, subject, relation, object, context_header, render_text, steps, workflow_name."""
+    """document_id, unit_pos, sentence_index, text, unit_type, subject, relation, object, context_header, render_text, steps, workflow_name.
+
+    A run of list items and the sentence right before it, unless that is a rule, are one group; every other sentence is its own.
+    """
     order = Window.partitionBy("document_id").orderBy("sentence_index")
     item = F.col("text").rlike(LIST_ITEM) & ~F.col("text").rlike(TAG_START)
-    rows = with_headers(sentences).withColumn("item", item).withColumn("rule", F.col("text").rlike(RULE))
+    rows = with_headers(sentences).withColumn("item", item)
     starts = F.col("item") & ~F.coalesce(F.lag("item").over(order), F.lit(False))
-    rows = rows.withColumn("starts", starts).withColumn("run", F.sum(starts.cast("int")).over(order))
-    onward = Window.partitionBy("document_id", "run", "item").orderBy("sentence_index").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("steps", F.when(F.col("starts"), F.collect_list("text").over(onward)))
-    rows = rows.withColumn("next_steps", F.lead("steps").over(order))
-    led = F.coalesce(F.lag(~F.col("item") & ~F.col("rule")).over(order), F.lit(False))
-    rows = rows.withColumn("led", led)
-    header = ~F.col("item") & ~F.col("rule") & F.col("next_steps").isNotNull()
-    alone = F.col("starts") & ~F.col("led")
-    rows = rows.where(~F.col("item") | alone).withColumn("header", header)
-    name = F.when(F.col("header"), strip(F.regexp_replace("text", ":+$", ""))).when(F.col("item"), F.lit("Unnamed Workflow"))
-    steps = F.when(F.col("header"), F.col("next_steps")).when(F.col("item"), F.col("steps"))
+    rows = rows.withColumn("run", F.sum(starts.cast("int")).over(order)).withColumn("leads", ~F.col("text").rlike(RULE) & F.coalesce(F.lead("item").over(order), F.lit(False)))
+    rows = rows.withColumn("group", F.when(F.col("item"), F.col("run")).when(F.col("leads"), F.col("run") + 1).otherwise(-F.col("sentence_index") - 1))
+    # Dealt by document already: groups are gathered without a shuffle.
+    place = F.struct("sentence_index", "context_header", "text")
+    rows = rows.groupBy("document_id", "group").agg(
+        F.min(F.when(~F.col("item"), place)).alias("head"), F.min(F.when(F.col("item"), place)).alias("first"),
+        F.array_sort(F.collect_list(F.when(F.col("item"), F.struct("sentence_index", "text")))).alias("items"),
+    ).withColumn("listed", F.transform("items", lambda x: x["text"])).withColumn("own", F.coalesce("head", "first"))
+    listed = F.size("listed") > 0
+    name = F.when(listed & F.col("head").isNotNull(), strip(F.regexp_replace("head.text", ":+$", ""))).when(listed, F.lit("Unnamed Workflow"))
+    steps = F.when(listed, F.col("listed"))
+    text = F.when(listed, F.concat_ws("\n", "head.text", F.array_join("listed", "\n"))).otherwise(F.col("head.text"))
+    rows = rows.select("document_id", "own.sentence_index", "own.context_header", name.alias("workflow_name"), steps.alias("steps"), text.alias("text"))
     none = F.lit("")
-    typed = F.when(name.isNotNull(), unit(F.lit("workflow"), none, none, none)).otherwise(F.coalesce(*[e(F.col("text")) for e in extractors]))
-    text = F.when(F.col("header"), F.concat("text", F.lit("\n"), F.array_join("next_steps", "\n"))).when(F.col("item"), F.array_join("steps", "\n")).otherwise(F.col("text"))
-    rows = rows.select("document_id", "sentence_index", text.alias("text"), "context_header", name.alias("workflow_name"), steps.alias("steps"), typed.alias("u")).where("u is not null")
+    # The first extractor that says anything; some say several things.
+    found = [e(F.col("text")) if getattr(e, "several", False) else let(e(F.col("text")), lambda u: F.when(u.isNotNull(), F.array(u))) for e in extractors]
+    typed = F.when(F.col("workflow_name").isNotNull(), F.array(unit(F.lit("workflow"), none, none, none))).otherwise(F.coalesce(*found))
+    rows = rows.select("*", F.posexplode(typed).alias("part", "u"))
     render = F.when(F.col("workflow_name").isNotNull(), rendered_workflow(F.col("workflow_name"), F.col("steps"))).otherwise(F.col("text"))
     return rows.select(
-        "document_id", (F.row_number().over(order) - 1).alias("unit_pos"), "sentence_index", "text", "u.unit_type", "u.subject", "u.relation", "u.object", "context_header",
+        "document_id", (F.row_number().over(Window.partitionBy("document_id").orderBy("sentence_index", "part")) - 1).alias("unit_pos"), "sentence_index", "text", "u.unit_type", "u.subject", "u.relation", "u.object", "context_header",
         render.alias("render_text"), "steps", "workflow_name",
     )
 

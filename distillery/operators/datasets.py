@@ -17,7 +17,10 @@ HEADERS = {
 ASKS = {
     "summary": ("What is the summary of document %s?", "general"), "motivation": ("What is the motivation for document %s?", "constraint"),
     "design": ("What is the proposed detailed design of document %s?", "workflow"), "alternatives": ("What are the alternatives considered in document %s?", "decision"),
+    "reasoning": ("What is the reasoning and unresolved questions in document %s?", "reason"),
 }
+#: Sections that are asked about in turn.
+TURNS = ("summary", "motivation", "design", "alternatives")
 #: Least words of each section of a document that is asked about.
 LEAST_WORDS = 15
 LEFT_OUT = ("template", "owners", "license", "triagebot")
@@ -57,15 +60,16 @@ def strong_documents(docs: DataFrame) -> DataFrame:
 
 
 def question_set(docs: DataFrame, n: int, each: int = 1) -> DataFrame:
-    """Questions about the first n strong documents by id: two of each document in turn, or one of four in turn."""
+    """Questions about the first n strong documents by id: two of each document in turn, one of four in turn, or about all five sections (each=5)."""
     first = strong_documents(docs).orderBy("document_id").limit(n)
     # At most n rows: a stated bound.
     first = first.withColumn("k", F.row_number().over(Window.orderBy("document_id")) - 1)
-    order = list(ASKS)
     if each == 2:
         wanted = F.when(F.col("k") % 2 == 0, F.array(F.lit("summary"), F.lit("design"))).otherwise(F.array(F.lit("motivation"), F.lit("alternatives")))
+    elif each == 5:
+        wanted = F.array(*map(F.lit, ASKS))
     else:
-        wanted = F.array(F.element_at(F.array(*map(F.lit, order)), (F.col("k") % 4 + 1).cast("int")))
+        wanted = F.array(F.element_at(F.array(*map(F.lit, TURNS)), (F.col("k") % 4 + 1).cast("int")))
     asked = first.select("document_id", F.explode(wanted).alias("section")).join(sections(docs), ["document_id", "section"])
     name = F.regexp_replace(F.element_at(F.split("document_id", "/"), -1), r"\.md$", "")
     question, category = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -73,3 +77,18 @@ def question_set(docs: DataFrame, n: int, each: int = 1) -> DataFrame:
         question = F.when(F.col("section") == section, F.format_string(template, name)).otherwise(question)
         category = F.when(F.col("section") == section, F.lit(kind)).otherwise(category)
     return asked.select("document_id", F.concat_ws("-", name, "section").alias("question_id"), question.alias("question"), phrases(F.col("content")).alias("expected_phrases"), category.alias("category"))
+
+
+def two_corpora(first: DataFrame, second: DataFrame, n_first: int = 25, n_second: int = 50) -> DataFrame:
+    """Two questions about each of the first corpus, one about each of the second; corpus says which."""
+    parts = [question_set(docs, n, each).withColumn("corpus", F.lit(name)) for name, docs, n, each in (("first", first, n_first, 2), ("second", second, n_second, 1))]
+    return parts[0].unionByName(parts[1])
+
+
+def document_names(questions: DataFrame) -> DataFrame:
+    """The documents that are asked about, by name."""
+    return questions.select("document_id").distinct().orderBy("document_id")
+
+
+def questions_of(questions: DataFrame, document_id: str) -> DataFrame:
+    return questions.where(F.col("document_id") == document_id)

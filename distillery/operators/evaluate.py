@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import cosine, normalize_text, strip, word_tokens
+from ..functions.text import cosine, let, normalize_text, set_cosine, strip, word_set, word_tokens
 
 ALIKE = 0.8
 # Weights of the composite score, a raw context's tokens, and the metric of each category.
@@ -27,34 +27,85 @@ def compression(original: Column, reduced: Column) -> Column:
     return 1 - word_tokens(reduced) / F.greatest(word_tokens(original), F.lit(1e-9))
 
 
-def semantic_recall(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """question_id, recall: share of expected vectors that some found vector of the question is like; 0 where nothing was found."""
+def semantic_recall(expected: DataFrame, found: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """question_id, recall: share of expected vectors that some found vector of the question is like; 0 where nothing was found.
+
+    questions names all of them: those that expect nothing get 1.
+    """
     pairs = expected.withColumnRenamed("embedding", "e").join(found.withColumnRenamed("embedding", "f"), "question_id", "left")
     best = pairs.groupBy("question_id", "phrase_no").agg(F.max(cosine(F.col("e"), F.col("f"))).alias("best"))
-    return best.groupBy("question_id").agg(F.avg(F.when(F.coalesce("best", F.lit(0.0)) >= ALIKE, 1.0).otherwise(0.0)).alias("recall"))
-
-
-def graph_recall(original: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """document_id, recall: share of directed original edges that stand, either way, among the retrieved ones (mapped to original sentences)."""
-    n = original.groupBy("document_id").agg(F.count("*").alias("n"))
-    both = retrieved.select("document_id", "source_idx", "target_idx").union(retrieved.select("document_id", "target_idx", "source_idx")).distinct()
-    hit = original.join(both, ["document_id", "source_idx", "target_idx"], "left_semi").groupBy("document_id").agg(F.count("*").alias("hit"))
-    return n.join(hit, "document_id", "left").select("document_id", (F.coalesce("hit", F.lit(0)) / F.col("n")).alias("recall"))
-
-
-def step_pairs(units: DataFrame) -> DataFrame:
-    """document_id, unit_pos, step_no, first, second: neighbouring steps of each workflow."""
-    steps = units.where("steps is not null").select("document_id", "unit_pos", F.posexplode("steps").alias("step_no", "first"))
-    order = Window.partitionBy("document_id", "unit_pos").orderBy("step_no")
+    rows = best.groupBy("question_id").agg(F.avg(F.when(F.coalesce("best", F.lit(0.0)) >= ALIKE, 1.0).otherwise(0.0)).alias("recall"))
+    if questions is None:
+        return rows
+    return questions.select("question_id").join(rows, "question_id", "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))
+
+
+def text_likeness(a: Column, b: Column) -> Column:
+    """Of two texts, by the words that they share; an embedder's cosine may stand in its place."""
+    return let(word_set(a), lambda x: let(word_set(b), lambda y: set_cosine(x, y)))
+
+
+def aligned(original: DataFrame, retrieved: DataFrame, keys: list[str], likeness=text_likeness) -> DataFrame:
+    """keys, document_id, sentence_index, mapped: the original sentence that each retrieved one is most like, if it is at all.
+
+    retrieved has document_id and keys (a context's names beside it, such as query_id).
+    """
+    own = original.select("document_id", F.col("unit_pos").alias("place"), F.col("sentence_index").alias("mapped"), F.col("text").alias("own"))
+    rows = retrieved.select("document_id", *keys, "unit_pos", "sentence_index", "text").join(own, "document_id").withColumn("like", likeness(F.col("text"), F.col("own")))
+    # Of equals, the earliest; a sentence of several units takes what its last one says.
+    best = rows.groupBy("document_id", *keys, "unit_pos", "sentence_index").agg(F.max(F.struct("like", (-F.col("place")).alias("p"), "mapped")).alias("b"))
+    best = best.where(F.col("b.like") >= ALIKE)
+    return best.groupBy("document_id", *keys, "sentence_index").agg(F.max_by(F.col("b.mapped"), "unit_pos").alias("mapped"))
+
+
+def _share(counted: DataFrame, contexts: DataFrame, hit: DataFrame, keys: list[str], whole: Column | None) -> DataFrame:
+    """hit over n; null where a document has nothing to find, 1 for the whole document itself."""
+    rows = contexts.join(counted, "document_id", "left").join(hit, ["document_id", *keys], "left")
+    share = F.when(F.col("n").isNull(), None)
+    if whole is not None:
+        share = share.when(whole, 1.0)
+    return rows.select("document_id", *keys, share.otherwise(F.coalesce("hit", F.lit(0)) / F.col("n")).alias("recall"))
+
+
+def graph_recall(units: DataFrame, edges: DataFrame, contexts: DataFrame, found_units: DataFrame, found_edges: DataFrame, keys: list[str], likeness=text_likeness, whole: Column | None = None) -> DataFrame:
+    """document_id, keys, recall of each context: retrieved edges whose ends, mapped to original sentences, are an original edge either way, over original edges.
+
+    found_units and found_edges are those of the contexts, ingested as documents
+    of their own. Null for documents without edges; whole tells the contexts
+    that are the document itself, of recall 1.
+    """
+    n = edges.groupBy("document_id").agg(F.count("*").alias("n"))
+    to = aligned(units, found_units, keys, likeness)
+    names = ["document_id", *keys]
+    ends = found_edges.select(*names, "source_idx", "target_idx")
+    for end in ("source", "target"):
+        ends = ends.join(to.select(*names, F.col("sentence_index").alias(f"{end}_idx"), F.col("mapped").alias(end)), [*names, f"{end}_idx"])
+    both = edges.select("document_id", F.col("source_idx").alias("source"), F.col("target_idx").alias("target"))
+    both = both.union(both.select("document_id", "target", "source")).distinct()
+    hit = ends.join(both, ["document_id", "source", "target"], "left_semi").groupBy(*names).agg(F.count("*").alias("hit"))
+    return _share(n, contexts.select(*names), hit, keys, whole)
+
+
+def step_pairs(units: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """document_id, keys, unit_pos, step_no, first, second: neighbouring steps of each workflow."""
+    names = ["document_id", *(keys or []), "unit_pos"]
+    steps = units.where("steps is not null").select(*names, F.posexplode("steps").alias("step_no", "first"))
+    order = Window.partitionBy(*names).orderBy("step_no")
     return steps.withColumn("second", F.lead("first").over(order)).where("second is not null")
 
 
-def dependency_recall(original: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Share of a document's step pairs that the retrieved workflows keep, by equal text."""
-    keys = ["document_id", "first", "second"]
+def dependency_recall(original: DataFrame, found: DataFrame, contexts: DataFrame, keys: list[str], likeness=text_likeness, whole: Column | None = None) -> DataFrame:
+    """document_id, keys, recall of each context: original step pairs of which both steps are like those of some retrieved pair, over all of them.
+
+    Null for documents without step pairs; whole as for graph_recall.
+    """
     n = original.groupBy("document_id").agg(F.count("*").alias("n"))
-    hit = original.join(retrieved.select(*keys).distinct(), keys, "left_semi").groupBy("document_id").agg(F.count("*").alias("hit"))
-    return n.join(hit, "document_id", "left").select("document_id", (F.coalesce("hit", F.lit(0)) / F.col("n")).alias("recall"))
+    names = ["document_id", *keys]
+    theirs = found.select(*names, strip(F.col("first")).alias("x"), strip(F.col("second")).alias("y"))
+    ours = original.select("document_id", "unit_pos", "step_no", strip(F.col("first")).alias("a"), strip(F.col("second")).alias("b"))
+    rows = ours.join(theirs, "document_id").where((likeness(F.col("a"), F.col("x")) >= ALIKE) & (likeness(F.col("b"), F.col("y")) >= ALIKE))
+    hit = rows.select(*names, "unit_pos", "step_no").distinct().groupBy(*names).agg(F.count("*").alias("hit"))
+    return _share(n, contexts.select(*names), hit, keys, whole)
 
 
 def category_metrics(rows: DataFrame) -> DataFrame:
@@ -93,14 +144,80 @@ def unpivoted(rows: DataFrame, metrics: list[str]) -> DataFrame:
     return rows.unpivot(["strategy"], metrics, "metric", "value").withColumn("value", F.col("value") * 100)
 
 
-def markdown_report(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row: a Markdown table with a line for each strategy."""
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", "strategy", *[F.format_number(m, 4) for m in metrics]), F.lit(" |"))
-    head = f"| strategy | {' | '.join(metrics)} |\n|{'---|' * (len(metrics) + 1)}\n"
-    return rows.agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("report"))
+def display_name(strategy: Column) -> Column:
+    """What follows the first underscore, with spaces for those that are left."""
+    return F.replace(F.regexp_replace(strategy, "^[^_]*_", ""), F.lit("_"), F.lit(" "))
+
+
+def percent(c: Column, digits: int = 2) -> Column:
+    return F.format_string(f"%.{digits}f%%", F.round(c.cast("double") * (100 * 10**digits)) / 10**digits)
+
+
+def results_table(rows: DataFrame, plain: list[str], percents: list[str]) -> DataFrame:
+    """name, the plain metrics as they are, the others as percentages."""
+    return rows.select(display_name(F.col("strategy")).alias("name"), *plain, *[percent(F.col(m)).alias(m) for m in percents])
+
+
+def markdown_report(rows: DataFrame, plain: list[str], percents: list[str], title: str = "Evaluation") -> DataFrame:
+    """One row: a section with a table that has a line for each strategy, by name."""
+    shown = results_table(rows.select("strategy", *[F.round(m, 2).alias(m) for m in plain], *percents), plain, percents)
+    cells = [F.format_string("%.2f", F.col(m).cast("double")) for m in plain] + [F.col(m) for m in percents]
+    line = F.concat(F.lit("| **"), F.col("name"), F.lit("** | "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = f"## {title}\n\n| Strategy | {' | '.join([*plain, *percents])} |\n|{'---|' * (len(plain) + len(percents) + 1)}\n"
+    return shown.agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n")).alias("report"))
+
+
+def with_section(report: Column, section: Column, title: str = "Evaluation") -> Column:
+    """A report whose section of that title, and all that follows, is replaced."""
+    before = strip(F.substring_index(report, f"## {title}", 1))
+    return F.concat(before, F.lit("\n\n"), section)
+
+
+#: Classes of highlighted tags by their prefix; others are generic.
+TAG_CLASSES = {"DEC": "dec", "CON": "con", "REA": "rea", "REASON": "rea", "FACT": "fact", "FCT": "fact", "WRK": "wrk", "WRKFLOW": "wrk"}
+TAG = r"\[([A-Z]+)-(\d+)\]"
+
+
+def highlighted(text: Column) -> Column:
+    """HTML of a text: its marks escaped, each tag in a span of its class, lines broken."""
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(escaped))
+    for kind in sorted(set(TAG_CLASSES.values())):
+        names = "|".join(k for k, v in TAG_CLASSES.items() if v == kind)
+        text = F.regexp_replace(text, rf"\[((?:{names})-\d+)\]", f'<span class="tag-{kind}">\ue000$1\ue001</span>')
+    text = F.regexp_replace(text, r"\[([A-Z]+-\d+)\]", '<span class="tag-generic">[$1]</span>')
+    return F.replace(F.translate(text, "\ue000\ue001", "[]"), F.lit("\n"), F.lit("<br>"))
 
 
 def tag_counts(docs: DataFrame) -> DataFrame:
-    """How often each tag prefix occurs."""
-    tags = F.regexp_extract_all("text", F.lit(r"\[([A-Z]+)-\d+\]"), F.lit(1))
-    return docs.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    """document_id, tag, n: how often each tag prefix occurs."""
+    tags = F.regexp_extract_all("text", F.lit(TAG), F.lit(1))
+    return docs.select("document_id", F.explode(tags).alias("tag")).groupBy("document_id", "tag").agg(F.count("*").alias("n"))
+
+
+def banner(reduced: DataFrame) -> DataFrame:
+    """document_id, query_id, banner of what a reduction saved, for documents that have tokens at all."""
+    def arrow(a: str, b: str) -> Column:
+        return F.concat(F.format_number(a, 0), F.lit(" \u2192 "), F.format_number(b, 0))
+
+    text = F.concat(
+        F.lit("Tokens: "), arrow("original_estimated_tokens", "reduced_estimated_tokens"), F.lit(" | Sentences: "), F.concat_ws(" \u2192 ", F.col("original_sentences").cast("string"), F.col("reduced_sentences").cast("string")),
+        F.lit(" | Reduction: "), percent(F.col("reduction_ratio"), 1),
+    )
+    return reduced.where("original_estimated_tokens > 0").select("document_id", "query_id", text.alias("banner"))
+
+
+def token_f1(answer: Column, expected: Column) -> Column:
+    """Harmonic mean of precision and recall of an answer's distinct words; 0 where none is shared."""
+    def f1(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        return F.when(both == 0, F.lit(0.0)).otherwise(2 * both / (F.size(a) + F.size(b)))
+
+    return let(word_set(answer), lambda a: let(word_set(expected), lambda b: f1(a, b)))
+
+
+def consistency(answers: DataFrame, likeness=text_likeness) -> DataFrame:
+    """question_id, consistency: mean likeness of the answers of neighbouring runs; 1 for a single one."""
+    order = Window.partitionBy("question_id").orderBy("run")
+    rows = answers.withColumn("like", likeness(F.lag("answer").over(order), F.col("answer")))
+    return rows.groupBy("question_id").agg(F.coalesce(F.avg("like"), F.lit(1.0)).alias("consistency"))

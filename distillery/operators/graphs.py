@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .classify import WEIGHTS
+
 # Which earlier types a type links back to, how far, and the causal markers.
 LOOKS_BACK = {
     "reason": ("decision",), "decision": ("constraint", "requirement", "goal"),
@@ -67,3 +69,14 @@ def graph_nodes(units: DataFrame, edges: DataFrame) -> DataFrame:
     label = F.when(F.length("text") > 120, F.concat(F.substring("text", 1, 120), F.lit("..."))).otherwise(F.col("text"))
     ends = edges.select("document_id", F.explode(F.array("source_idx", "target_idx")).alias("sentence_index")).distinct()
     return units.join(ends, ["document_id", "sentence_index"], "left_semi").select("document_id", "sentence_index", "unit_type", label.alias("label"))
+
+
+def graph_layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """document_id, sentence_index, layer, slot: a drawing in layers. A node's layer is its type's, in order of weight; its slot counts in the layer by place."""
+    degree = edges.groupBy("document_id", F.col("source_idx").alias("sentence_index")).agg(F.count("*").alias("degree"))
+    layer = F.lit(len(WEIGHTS))
+    for k, kind in reversed(list(enumerate(sorted(WEIGHTS, key=lambda t: (-WEIGHTS[t], t))))):
+        layer = F.when(F.col("unit_type") == kind, k).otherwise(layer)
+    rows = nodes.groupBy("document_id", "sentence_index").agg(F.min(layer).alias("layer")).join(degree, ["document_id", "sentence_index"], "left")
+    slot = F.row_number().over(Window.partitionBy("document_id", "layer").orderBy("sentence_index")) - 1
+    return rows.select("document_id", "sentence_index", "layer", slot.alias("slot"), F.coalesce("degree", F.lit(0)).alias("degree"))

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.text import WORD, words
 from .classify import weight
 
-# The patterns of hard identifiers, words that ask for a process, pronouns, and types worth preserving.
+# The patterns of hard identifiers, words that ask for a process, pronouns, types worth preserving, and what each part of the score is worth.
 IDENTIFIER = r"\b[A-Z]+-[A-Z0-9\-]+\b|\b[A-Z0-9]{3,}\b|\[[A-Z]+-\d+\]|\b[A-Z][a-z]+[A-Z][a-zA-Z0-9]*\b|\bv\d+(?:\.\d+)*\b"
 PROCESS_WORDS = ("pipeline", "workflow", "process", "steps", "stages")
 PRONOUNS = ("he", "she", "it", "its", "his", "her", "they", "their")
 PRESERVED = ("decision", "constraint", "goal", "workflow", "task", "question")
 QUESTION_WORDS = ("who", "what", "where", "when", "why")
+TYPE_WORTH, FURTHER_TERM, PHRASE_WORTH, INTENT_WORTH, IDENTIFIER_WORTH, ENTITY_WORTH, PRONOUN_WORTH, NOUN_WORTH, PRIORITY = 2.0, 1.5, 5.0, 3.0, 15.0, 3.0, 1.0, 2.0, 2.5
+CLOSE, CLOSE_WORTH, NEAR, NEAR_WORTH, FAR_WORTH, LINK_WORTH, MOST_LINKS = 0.65, 12.0, 0.45, 6.0, 2.0, 0.1, 1.0
+#: Questions that every document may be asked without naming pairs.
+MOST_QUESTIONS = 1000
 
 
 def question_features(queries: DataFrame) -> DataFrame:
-    """query_id, query, terms, hard_identifiers, clean_words, wh_words; entities and noun_chunks come from a hook, else empty."""
+    """query_id, query, terms, hard_identifiers, clean_words, wh_words; entities, noun_chunks and root_lemma are columns that a parser gave, else empty."""
     plain = F.regexp_extract_all("query", F.lit(WORD), F.lit(0))
     terms = F.array_sort(F.array_distinct(F.transform(F.filter(plain, lambda w: F.length(w) > 2), F.lower)))
     clean = F.regexp_extract_all(F.lower("query"), F.lit(WORD), F.lit(0))
@@ -25,6 +29,7 @@ def question_features(queries: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     hooked = [F.col(c) if c in queries.columns else none.alias(c) for c in ("entities", "noun_chunks")]
     ids = F.array_sort(F.array_distinct(F.regexp_extract_all("query", F.lit(IDENTIFIER), F.lit(0))))
+    hooked.append(F.lower(F.trim("root_lemma")).alias("root_lemma") if "root_lemma" in queries.columns else F.lit("").alias("root_lemma"))
     return queries.select("query_id", "query", terms.alias("terms"), ids.alias("hard_identifiers"), clean.alias("clean_words"), wh.alias("wh_words"), *hooked)
 
 
@@ -50,51 +55,56 @@ def matched_terms(low: Column, terms: Column) -> Column:
 def lexical_score(matched: Column, weights: Column) -> Column:
     """Sum of term weights (1 if unknown), raised by half for each further term."""
     total = F.aggregate(matched, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(weights, t), F.lit(1.0)))
-    return total * F.pow(F.lit(1.5), F.greatest(F.size(matched) - 1, F.lit(0)))
+    return total * F.pow(F.lit(FURTHER_TERM), F.greatest(F.size(matched) - 1, F.lit(0)))
 
 
 def phrase_bonus(low: Column, clean: Column) -> Column:
     phrase = F.array_join(clean, " ")
-    return F.when((F.length(phrase) > 4) & F.contains(low, phrase), 5.0).otherwise(0.0)
+    return F.when((F.length(phrase) > 4) & F.contains(low, phrase), PHRASE_WORTH).otherwise(0.0)
 
 
 def dense_bonus(d: Column) -> Column:
-    return F.when(d > 0.65, d * 12.0).when(d > 0.45, d * 6.0).otherwise(F.greatest(d, F.lit(0.0)) * 2.0)
+    return F.when(d > CLOSE, d * CLOSE_WORTH).when(d > NEAR, d * NEAR_WORTH).otherwise(F.greatest(d, F.lit(0.0)) * FAR_WORTH)
 
 
 def intent_bonus(kind: Column, terms: Column) -> Column:
-    typed = F.when(F.arrays_overlap(F.split(kind, "_"), terms), 3.0).otherwise(0.0)
+    typed = F.when(F.arrays_overlap(F.split(kind, "_"), terms), INTENT_WORTH).otherwise(0.0)
     process = F.arrays_overlap(terms, F.array(*map(F.lit, PROCESS_WORDS)))
-    return typed + F.when((kind == "workflow") & process, 3.0).otherwise(0.0)
+    return typed + F.when((kind == "workflow") & process, INTENT_WORTH).otherwise(0.0)
 
 
 def identifier_boost(text: Column, low: Column, ids: Column) -> Column:
-    return F.size(F.filter(ids, lambda h: F.contains(text, h) | F.contains(low, F.lower(h)))) * F.lit(15.0)
+    return F.size(F.filter(ids, lambda h: F.contains(text, h) | F.contains(low, F.lower(h)))) * F.lit(IDENTIFIER_WORTH)
 
 
 def entity_bonus(low: Column, entities: Column) -> Column:
-    found = F.size(F.filter(entities, lambda e: F.contains(low, e))) * F.lit(3.0)
+    found = F.size(F.filter(entities, lambda e: F.contains(low, e))) * F.lit(ENTITY_WORTH)
     pronoun = F.arrays_overlap(F.regexp_extract_all(low, F.lit(r"(?U)\S+"), F.lit(0)), F.array(*map(F.lit, PRONOUNS)))
-    return found + F.when((F.size(entities) > 0) & pronoun, 1.0).otherwise(0.0)
+    return found + F.when((F.size(entities) > 0) & pronoun, PRONOUN_WORTH).otherwise(0.0)
 
 
 def scored(units: DataFrame, features: DataFrame, connectivity: DataFrame, pairs: DataFrame | None = None, dense: DataFrame | None = None) -> DataFrame:
-    """Units with a score for each question. pairs names (document_id, query_id); without it every document is asked everything.
+    """Units with a score for each question. pairs names (document_id, query_id); without it every document is asked each of a few questions.
 
     dense gives (document_id, unit_pos, query_id, dense), 0 where absent.
     """
     rows = units.join(connectivity, ["document_id", "unit_pos"]).join(asked_idf(units, features), "document_id", "left")
-    rows = rows.join(pairs, "document_id").join(features, "query_id") if pairs is not None else rows.join(features, F.lit(True))
+    if pairs is None:
+        if len(features.select("query_id").head(MOST_QUESTIONS + 1)) > MOST_QUESTIONS:
+            raise ValueError(f"name the pairs of documents and questions: there are more than {MOST_QUESTIONS} questions")
+        rows = rows.crossJoin(F.broadcast(features))
+    else:
+        rows = rows.join(pairs.select("document_id", "query_id"), "document_id").join(features, "query_id")
     rows = rows.join(dense, ["document_id", "unit_pos", "query_id"], "left").withColumn("dense", F.coalesce("dense", F.lit(0.0))) if dense is not None else rows.withColumn("dense", F.lit(0.0))
     rows = rows.withColumn("idf", F.coalesce("idf", F.create_map().cast("map<string,double>"))).withColumn("low", F.lower("text"))
     low, text = F.col("low"), F.col("text")
     rows = rows.withColumn("lexical", lexical_score(matched_terms(low, F.col("terms")), F.col("idf")))
     rows = rows.withColumn("hard", identifier_boost(text, low, F.col("hard_identifiers"))).withColumn("entity", entity_bonus(low, F.col("entities")))
-    rows = rows.withColumn("noun", F.size(F.filter("noun_chunks", lambda n: F.contains(F.col("low"), n))) * F.lit(2.0))
+    rows = rows.withColumn("noun", F.size(F.filter("noun_chunks", lambda n: F.contains(F.col("low"), n))) * F.lit(NOUN_WORTH))
     rows = rows.withColumn("phrase", phrase_bonus(low, F.col("clean_words"))).withColumn("intent", intent_bonus(F.col("unit_type"), F.col("terms")))
-    related = (F.col("lexical") > 0) | (F.col("entity") > 0) | (F.col("noun") > 0) | (F.col("dense") > 0.45) | (F.col("hard") > 0)
-    rows = rows.withColumn("priority", F.when(F.col("unit_type").isin(*PRESERVED) & related, 2.5).otherwise(0.0))
-    near = F.least(F.col("connectivity") * F.lit(0.1), F.lit(1.0))
-    parts = weight(F.col("unit_type")) * 2.0 + F.col("lexical") + F.col("phrase") + dense_bonus(F.col("dense")) + F.col("entity") + F.col("noun") + near + F.col("intent") + F.col("hard") + F.col("priority")
+    related = (F.col("lexical") > 0) | (F.col("entity") > 0) | (F.col("noun") > 0) | (F.col("dense") > NEAR) | (F.col("hard") > 0)
+    rows = rows.withColumn("priority", F.when(F.col("unit_type").isin(*PRESERVED) & related, PRIORITY).otherwise(0.0))
+    near = F.least(F.col("connectivity") * F.lit(LINK_WORTH), F.lit(MOST_LINKS))
+    parts = weight(F.col("unit_type")) * TYPE_WORTH + F.col("lexical") + F.col("phrase") + dense_bonus(F.col("dense")) + F.col("entity") + F.col("noun") + near + F.col("intent") + F.col("hard") + F.col("priority")
     # Rounded, so that the order in which a sum was taken decides no tie.
     return rows.withColumn("score", F.round(parts, 9))

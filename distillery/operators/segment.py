@@ -32,17 +32,26 @@ def paragraphs_of(text):
     return F.filter(F.transform(F.split(text, "\n\n", -1), strip), lambda p: p != "")
 
 
-def _pieces(paragraph):
+def by_capitals(text):
+    """Sentences of a text: cut after . ! or ? where white space and a capital follow."""
+    return F.split(text, SENTENCE_END, -1)
+
+
+def _pieces(paragraph, splitter):
     lines = F.transform(F.split(paragraph, "\n", -1), strip)
-    whole = F.flatten(F.transform(F.filter(lines, lambda s: s != ""), lambda s: F.when(is_list_item(s) | s.endswith(":"), F.array(s)).otherwise(F.split(s, SENTENCE_END, -1))))
-    return F.when(F.exists(lines, is_list_item), whole).otherwise(F.split(paragraph, SENTENCE_END, -1))
+    whole = F.flatten(F.transform(F.filter(lines, lambda s: s != ""), lambda s: F.when(is_list_item(s) | s.endswith(":"), F.array(s)).otherwise(splitter(s))))
+    return F.when(F.exists(lines, is_list_item), whole).otherwise(splitter(paragraph))
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """document_id, sentence_index, text. One shuffle, by document."""
+def sentences(docs: DataFrame, splitter=by_capitals) -> DataFrame:
+    """document_id, sentence_index, text. One shuffle, by document.
+
+    splitter maps a column of text to an array of its sentences; list items and
+    lines that end in a colon never come to it.
+    """
     line = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
     texts = merged_lines(docs).groupBy("document_id").agg(F.array_join(line, "\n").alias("text"))
-    pieces = F.filter(F.flatten(F.transform(paragraphs_of(F.col("text")), _pieces)), lambda s: normalize_text(s) != "")
+    pieces = F.filter(F.flatten(F.transform(paragraphs_of(F.col("text")), lambda p: _pieces(p, splitter))), lambda s: normalize_text(s) != "")
     return texts.select("document_id", F.posexplode(pieces).alias("sentence_index", "text"))
 
 

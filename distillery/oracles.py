@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .operators import baselines, choose, classify, evaluate, graphs, score
-from .sources.tables import LINES, QUESTIONS
+from .sources.tables import QUESTIONS
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _ITEM = r"regexp_matches({0}, '^(\d+\.\s|[*-]\s)')"
@@ -38,19 +38,25 @@ _kind = _case(classify.LABELS, "label", f"CASE WHEN label IN ({', '.join(map(rep
 WEIGHT = _case(classify.WEIGHTS, "unit_type", str(classify.OTHER_WEIGHT))
 MARKERS = " OR ".join(f"contains(lower(a.text), '{m}')" for m in graphs.MARKERS)
 _back = " OR ".join("(unit_type = '{}' AND back IN ({}))".format(k, ", ".join(map(repr, v))) for k, v in graphs.LOOKS_BACK.items())
-_json = "replace(replace(replace({0}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')"
+_plain = "replace(replace(replace(replace(replace(replace(replace({0}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r'), chr(8), chr(92) || 'b'), chr(12), chr(92) || 'f')"
+_unit16 = "chr(92) || 'u' || lower(lpad(to_hex({0}), 4, '0'))"
+#: A JSON string's inside: characters that are not printable ASCII as one or two UTF-16 code units.
+_json = f"array_to_string(list_transform(string_split({_plain}, ''), lambda c: CASE WHEN c = '' OR ord(c) BETWEEN 32 AND 126 THEN c WHEN ord(c) < 65536 THEN {_unit16.format('ord(c)')} ELSE {_unit16.format('(55296 + (ord(c) - 65536) // 1024)')} || {_unit16.format('(56320 + (ord(c) - 65536) % 1024)')} END), '')"
 _shapes = {
-    0: "'# ' || substr(line, 1, 20)", 1: "'- ' || line", 2: "'- ' || line", 3: "'1. ' || line", 4: "'Decision: ' || line", 5: "'[CON-01] Limit: ' || line", 6: "'[REA-02] Why: ' || line",
+    0: "'# ' || line", 1: "'- ' || line", 2: "'- ' || line", 3: "'1. ' || line", 4: "'Decision: ' || line", 5: "'[CON-01] Limit: ' || line", 6: "'[REA-02] Why: ' || line",
     7: "'We selected this because ' || lower(line)", 8: "'Requirement:'", 9: "line", 10: "'Goal: ' || line", 11: "'Services must never stop. ' || line",
     12: "'Task: implement the pipeline v2.1'", 13: "'---'", 14: "'Is AGENT-INT-03 ready?'", 15: "'Compare versus SOC2. ' || line",
 }
+#: Questions of the answer queries: each kind that is answered in its own way.
+ANSWERED = ("Who asks about the request?", "What is in the answer?", "Where is the answer to the question?", "When was the request made?", "Why is this the answer?", "Compare the answers")
+_said = ", ".join(f"('q{k}', '{q}')" for k, q in enumerate(ANSWERED))
 _asked = ", ".join(f"('q{k}', '{q}')" for k, q in enumerate(QUESTIONS))
 
 #: In order: each part may use those before it.
 PARTS = {
     "docs": "SELECT CAST(doc_id AS VARCHAR) AS document_id, coalesce(text, '') AS text FROM documents",
-    "raw": "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents WHERE lang = 'en'",
-    "shaped": f"SELECT doc_id, idx, (doc_id * 7 + idx) % 16 AS k, line FROM raw WHERE idx < {LINES}",
+    "raw": "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
+    "shaped": "SELECT doc_id, idx, (doc_id * 7 + idx) % 16 AS k, line FROM raw",
     "sdocs": "SELECT CAST(doc_id AS VARCHAR) AS document_id, string_agg(CASE WHEN idx = 0 THEN '' WHEN k IN (2, 3, 9) THEN chr(10) ELSE chr(10) || chr(10) END || CASE k " + " ".join(f"WHEN {k} THEN {v}" for k, v in _shapes.items()) + " END, '' ORDER BY idx) AS text FROM shaped GROUP BY doc_id",
     "asked": f"SELECT * FROM (VALUES {_asked}) t(query_id, query)",
     "lines": "SELECT document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM sdocs",
@@ -104,15 +110,18 @@ PARTS = {
         CASE WHEN list_has_any(string_split(u.unit_type, '_'), terms) THEN 3.0 ELSE 0.0 END + CASE WHEN u.unit_type = 'workflow' AND list_has_any(terms, {list(score.PROCESS_WORDS)}) THEN 3.0 ELSE 0.0 END AS intent,
         len(list_filter(ids, lambda x: contains(u.text, x) OR contains(lower(u.text), lower(x)))) * 15.0 AS hard FROM units u JOIN conn USING (document_id, unit_pos), features f LEFT JOIN hits h ON h.document_id = u.document_id AND h.unit_pos = u.unit_pos AND h.query_id = f.query_id)""",
     "plines": f"SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1 AS INTEGER) AS line_no, line FROM (SELECT document_id, {strip('unnest(string_split(text, chr(10)))')} AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs) WHERE line <> ''",
-    "bq": "SELECT CAST(item_id AS VARCHAR) AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark WHERE item_id < 20",
+    "bq": "SELECT CAST(item_id AS VARCHAR) AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark",
+    "bpairs": "SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(doc_id % (SELECT count(*) FROM benchmark) AS VARCHAR) AS query_id FROM documents",
     "btf": r"SELECT document_id, line_no, term, count(*) AS tf FROM (SELECT document_id, line_no, unnest(regexp_extract_all(line, '\S+')) AS term FROM plines) GROUP BY ALL",
     "bsize": "SELECT document_id, line_no, sum(tf) AS size FROM btf GROUP BY ALL",
     "bmean": "SELECT document_id, count(*) AS n, sum(size) / count(*) AS mean FROM bsize GROUP BY ALL",
     "braw": "SELECT document_id, term, mean, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT document_id, term, count(*) AS df FROM btf GROUP BY ALL) JOIN bmean USING (document_id)",
     "bidf": f"SELECT document_id, term, mean, CASE WHEN raw < 0 THEN floor_w ELSE raw END AS idf FROM braw JOIN (SELECT document_id, avg(raw) * {baselines.EPSILON} AS floor_w FROM braw GROUP BY ALL) USING (document_id)",
-    "bm25": f"SELECT document_id, line_no, query_id, sum(idf * tf * {baselines.K1 + 1} / (tf + {baselines.K1} * (1 - {baselines.B} + {baselines.B} * size / mean))) AS score FROM btf JOIN (SELECT query_id, unnest(regexp_extract_all(query, '\\S+')) AS term FROM bq) USING (term) JOIN bidf USING (document_id, term) JOIN bsize USING (document_id, line_no) GROUP BY ALL",
+    "bm25": f"SELECT document_id, line_no, query_id, sum(idf * tf * {baselines.K1 + 1} / (tf + {baselines.K1} * (1 - {baselines.B} + {baselines.B} * size / mean))) AS score FROM btf JOIN (SELECT query_id, unnest(regexp_extract_all(query, '\\S+')) AS term FROM bq) USING (term) JOIN bpairs USING (document_id, query_id) JOIN bidf USING (document_id, term) JOIN bsize USING (document_id, line_no) GROUP BY ALL",
+    "bfull": "SELECT l.document_id, l.line_no, p.query_id, coalesce(b.score, 0) AS score FROM plines l JOIN bpairs p USING (document_id) LEFT JOIN bm25 b ON b.document_id = l.document_id AND b.line_no = l.line_no AND b.query_id = p.query_id",
     "steps": "SELECT document_id, unit_pos, step_no, first, second FROM (SELECT *, lead(first) OVER (PARTITION BY document_id, unit_pos ORDER BY step_no) AS second FROM (SELECT document_id, unit_pos, unnest(steps) AS first, CAST(generate_subscripts(steps, 1) - 1 AS INTEGER) AS step_no FROM units WHERE steps IS NOT NULL)) WHERE second IS NOT NULL",
-    "ctx": f"SELECT CAST(c.conv_id AS VARCHAR) AS document_id, 'q0' AS query_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS context FROM conversations c GROUP BY conv_id",
+    "said": f"SELECT * FROM (VALUES {_said}) t(query_id, query)",
+    "ctx": f"SELECT CAST(c.conv_id AS VARCHAR) AS document_id, 'q' || (conv_id % {len(ANSWERED)}) AS query_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS context FROM conversations c GROUP BY conv_id",
 }
 
 
@@ -151,6 +160,36 @@ def choice(tag: str, most: int, max_tokens: int | None = None, floor: int = 250,
 choice("4", 4)
 choice("6", 6)
 choice("4t", 4, max_tokens=120)
+choice("4a", 4, window=0)
+
+
+_CHAIN = "lines labels1 labels2 labels3 labels4 labels5 merged mtexts paras0 paras pieces0 pieces cuts split sentences h1 h2 h3 headed w1 w2 w3 w4 w5 w6 w7 k1 units slinks sedges llinks ledges redges steps".split()
+
+
+def again(tag: str, source: str) -> None:
+    """Adds the parts from lines to redges and steps once more, with the tag, for other documents than sdocs."""
+    import re
+
+    for name in _CHAIN:
+        body = PARTS[name]
+        for own in _CHAIN:
+            body = re.sub(rf"(FROM|JOIN) {own}\b", rf"\1 {own}{tag}", body)
+        PARTS[f"{name}{tag}"] = body.replace("FROM sdocs", f"FROM ({source})")
+
+
+#: The contexts of reduced4, and the first half and the whole of each document, as documents of their own.
+PARTS["found"] = "SELECT document_id, query_id, context FROM reduced4 UNION ALL SELECT document_id, 'half', substr(text, 1, length(text) // 2) FROM sdocs UNION ALL SELECT document_id, 'whole', text FROM sdocs"
+again("r", "SELECT document_id || chr(31) || query_id AS document_id, context AS text FROM found")
+
+
+def likeness(a: str, b: str) -> str:
+    x, y = (f"list_distinct({words(c)})" for c in (a, b))
+    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0 ELSE len(list_intersect({x}, {y})) / sqrt(CAST(len({x}) AS DOUBLE) * len({y})) END"
+
+
+_split = "split_part(document_id, chr(31), 1) AS document_id, split_part(document_id, chr(31), 2) AS query_id"
+PARTS["alike"] = f"SELECT r.document_id, r.query_id, r.unit_pos, r.sentence_index, u.unit_pos AS place, u.sentence_index AS mapped, {likeness('r.text', 'u.text')} AS score FROM (SELECT * EXCLUDE (document_id), {_split} FROM unitsr) r JOIN units u ON u.document_id = r.document_id"
+PARTS["mapping"] = "SELECT document_id, query_id, sentence_index, arg_max(mapped, unit_pos) AS mapped FROM (SELECT * FROM alike QUALIFY row_number() OVER (PARTITION BY document_id, query_id, unit_pos ORDER BY score DESC, place) = 1) WHERE score >= 0.8 GROUP BY ALL"
 
 
 def sql(select: str, **instead: str) -> str:
@@ -158,13 +197,14 @@ def sql(select: str, **instead: str) -> str:
     import re
 
     given = PARTS | instead
-    needed, todo = set(), [select]
-    while todo:
-        for name in set(re.findall(r"\b\w+\b", todo.pop())) & set(given) - needed:
-            needed.add(name)
-            todo.append(given[name])
-    parts = ", ".join(f"{k} AS ({v})" for k, v in given.items() if k in needed)
-    return f"WITH RECURSIVE {parts} {select}" if parts else select
+    parts: dict[str, str] = {}
 
+    def need(statement: str, *above: str) -> None:
+        for name in re.findall(r"\b\w+\b", statement):
+            if name in given and name not in parts and name not in above:
+                need(given[name], *above, name)
+                parts[name] = given[name]
 
-METRIC_WEIGHTS = evaluate.COMPOSITE
+    need(select)
+    listed = ", ".join(f"{k} AS ({v})" for k, v in parts.items())
+    return f"WITH RECURSIVE {listed} {select}" if parts else select

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import estimate_tokens
-from ..operators import choose, classify, graphs, score, segment
+from ..operators import answers, choose, classify, graphs, score, segment
 
 
 @dataclass(frozen=True)
@@ -20,12 +19,40 @@ class Settings:
     context_window: int = 1
     min_tokens: int = 250
     extractors: Sequence[classify.Extractor] = classify.LEXICAL
+    splitter: Callable[[Column], Column] = segment.by_capitals
+
+    #: Ranges and first values that a user may choose from.
+    OFFERED = {"max_sentences": (3, 12, 6), "context_window": (0, 3, 1), "min_tokens": (100, 1000, 250)}
+
+    @classmethod
+    def offered(cls, **chosen: int) -> Settings:
+        """Settings within the offered ranges; what is not chosen has its first value."""
+        for name, value in chosen.items():
+            low, high, _ = cls.OFFERED[name]
+            if not low <= value <= high:
+                raise ValueError(f"{name} must be from {low} to {high}")
+        return cls(**{name: first for name, (_, _, first) in cls.OFFERED.items()} | chosen)
 
     def __post_init__(self):
         if self.max_sentences < 1 or self.context_window < 0 or self.min_tokens < 0 or (self.max_tokens or 0) < 0:
             raise ValueError("settings must not be negative, and at least one sentence is chosen")
 
 
+#: Tables of a memory.
+SCHEMAS = {
+    "units": "document_id string, unit_pos int, sentence_index int, text string, unit_type string, subject string, relation string, object string, context_header string, render_text string, steps array<string>, workflow_name string",
+    "knowledge": "document_id string, node string, sentence_idx int",
+    "reasoning": "document_id string, source_idx int, target_idx int",
+    "meta": "document_id string, original_chars int, original_sentences int, original_estimated_tokens int",
+}
+#: Partitions by the hash of document_id, by which a lookup finds its files.
+BUCKETS = 64
+
+
+def bucket(document_id: Column) -> Column:
+    return F.pmod(F.xxhash64(document_id), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass(frozen=True)
 class Memory:
     """What ingesting leaves: documents_meta, units, and the two graphs' edges."""
@@ -35,16 +62,35 @@ class Memory:
     knowledge: DataFrame
     reasoning: DataFrame
 
-    NAMES = ("meta", "units", "knowledge", "reasoning")
+    #: In the order in which they are written. A document is known by its row in meta, so that comes last.
+    NAMES = ("units", "knowledge", "reasoning", "meta")
 
-    def save(self, path: str) -> Memory:
+    def save(self, path: str, batch: str = "0") -> Memory:
+        """Writes the tables under a batch, over what an earlier attempt at it left."""
+        spark = self.units.sparkSession
         for name in self.NAMES:
-            getattr(self, name).write.mode("append").parquet(f"{path}/{name}")
-        return self.load(self.units.sparkSession, path)
+            rows = getattr(self, name).select(*[F.col(c.split()[0]) for c in SCHEMAS[name].split(", ")])
+            where = f"{path}/{name}/batch={batch}"
+            rows.withColumn("bucket", bucket(F.col("document_id"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(where)
+            if name == "units":
+                # The edges are made from what was stored, not from the documents again.
+                units = spark.read.schema(SCHEMAS["units"]).parquet(where)
+                self = Memory(self.meta, units, graphs.knowledge_edges(units), graphs.reasoning_edges(units))
+        return self.load(spark, path)
 
     @classmethod
-    def load(cls, spark, path: str) -> Memory:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in cls.NAMES))
+    def load(cls, spark: SparkSession, path: str) -> Memory:
+        return cls(**{name: spark.read.schema(f"{SCHEMAS[name]}, batch string, bucket int").parquet(f"{path}/{name}").drop("batch") for name in cls.NAMES})
+
+    def of(self, document_id: str) -> Memory:
+        """The memory of one document, read from its bucket alone."""
+        one = (F.col("document_id") == document_id) & (F.col("bucket") == bucket(F.lit(document_id)))
+        return Memory(*[getattr(self, n).where(one).drop("bucket") for n in ("meta", "units", "knowledge", "reasoning")])
+
+
+def by_document(queries: DataFrame) -> DataFrame:
+    """The pairs of questions that name their document."""
+    return queries.select("document_id", "query_id")
 
 
 def new_documents(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -67,7 +113,7 @@ def document_meta(docs: DataFrame, sentences: DataFrame) -> DataFrame:
 def ingest(docs: DataFrame, settings: Settings | None = None, known: DataFrame | None = None) -> Memory:
     settings = settings or Settings()
     docs = new_documents(docs, known)
-    sentences = segment.sentences(docs)
+    sentences = segment.sentences(docs, settings.splitter)
     units = classify.units(sentences, settings.extractors)
     return Memory(document_meta(docs, sentences), units, graphs.knowledge_edges(units), graphs.reasoning_edges(units))
 
@@ -104,5 +150,12 @@ def cost_saved(reduced: DataFrame, per_token: float = 0.000003) -> DataFrame:
     return reduced.select("document_id", "query_id", ((F.col("original_estimated_tokens") - F.col("reduced_estimated_tokens")) * per_token).alias("cost_saved"))
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("rn = 1").drop("rn")
+def run(texts: DataFrame, queries: DataFrame, settings: Settings | None = None, model=None, parsed: DataFrame | None = None) -> DataFrame:
+    """Reduces each text for each question and answers from what is left: question, reduced_context, metadata and answer.
+
+    Answers are extractive without a model, a function of a column of prompts.
+    """
+    reduced = reduce(texts, queries, settings)
+    sizes_ = F.struct(*[c for c in reduced.columns if c not in ("document_id", "query_id", "context")])
+    packets = answers.answered(reduced.select("document_id", "query_id", "context"), queries, model, parsed)
+    return packets.join(reduced.select("document_id", "query_id", sizes_.alias("metadata")), ["document_id", "query_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,26 +15,30 @@ QUESTIONS = (
     "What are the steps of the workflow?",
     "Compare SOC2 goal",
 )
-#: Lines of a document in the fixture that the SQL describes.
-LINES = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names, which driver and executors share; in the warehouse where it is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/distillery/{label}-{uuid.uuid4().hex[:12]}"
+
+
 def plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id and text of the documents table."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def structured(docs: DataFrame, most: int | None = None, header: int | None = None) -> DataFrame:
-    """Documents whose lines become headers, lists, labels and tags by a fixed rule: all lines, or the first ones and so many characters of headers."""
+def structured(docs: DataFrame) -> DataFrame:
+    """Documents whose lines become headers, lists, labels and tags by a fixed rule, all of them."""
 
     def line(text, i):
         k = (F.col("doc_id") * 7 + i) % 16
         shapes = {
-            0: F.concat(F.lit("# "), F.substring(text, 1, header) if header else text), 1: F.concat(F.lit("- "), text), 2: F.concat(F.lit("- "), text), 3: F.concat(F.lit("1. "), text),
+            0: F.concat(F.lit("# "), text), 1: F.concat(F.lit("- "), text), 2: F.concat(F.lit("- "), text), 3: F.concat(F.lit("1. "), text),
             4: F.concat(F.lit("Decision: "), text), 5: F.concat(F.lit("[CON-01] Limit: "), text), 6: F.concat(F.lit("[REA-02] Why: "), text),
             7: F.concat(F.lit("We selected this because "), F.lower(text)), 8: F.lit("Requirement:"), 9: text, 10: F.concat(F.lit("Goal: "), text),
             11: F.concat(F.lit("Services must never stop. "), text), 12: F.lit("Task: implement the pipeline v2.1"), 13: F.lit("---"),
@@ -45,34 +51,31 @@ def structured(docs: DataFrame, most: int | None = None, header: int | None = No
         return F.concat(gap, shaped)
 
     lines = F.split("text", "\n", -1)
-    if most:
-        lines = F.slice(lines, 1, most)
     return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.array_join(F.transform(lines, line), "").alias("text"))
 
 
 def structured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture of the SQL: English documents, the first LINES lines, headers of 20 characters."""
-    return structured(table(spark, sf_dir, "documents").where("lang = 'en'"), LINES, 20)
-
-
-def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document, of any language or none; a null text is an empty one."""
     return structured(table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))))
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"q{k}", q) for k, q in enumerate(QUESTIONS)], "query_id string, query string")
+def questions(spark: SparkSession, asked: tuple[str, ...] = QUESTIONS) -> DataFrame:
+    return spark.createDataFrame([(f"q{k}", q) for k, q in enumerate(asked)], "query_id string, query string")
 
 
-def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """document_id (the path) and text of each file under a path."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("document_id"), F.col("value").alias("text"))
+def text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """document_id (the path) and text of each file at any depth under a path whose name fits the pattern, each once, by path."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
+    return files.select(F.input_file_name().alias("document_id"), F.col("value").alias("text")).dropDuplicates(["document_id"]).orderBy("document_id")
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
-    """Markdown files at any depth, each once."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return files.select(F.input_file_name().alias("document_id"), F.col("value").alias("text")).dropDuplicates(["document_id"])
+    return text_files(spark, path, "*.md")
+
+
+def first_files(files: DataFrame, n: int) -> DataFrame:
+    """The first n files by path."""
+    return files.orderBy("document_id").limit(n)
 
 
 def question_bank(spark: SparkSession, questions_path: str, answers_path: str) -> DataFrame:
