@@ -27,5 +27,8 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "h")).count() == 4
     sinks.write_details(rows, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
-    sinks.write_report(evaluate.markdown_report(rows, ["recall"]), str(tmp_path / "m"))
-    assert "| a | 1.0000 |" in [r.value for r in spark.read.text(str(tmp_path / "m")).collect()]
+    report = evaluate.markdown_report(rows, [], ["recall"])
+    for _ in range(2):
+        sinks.update_report(report, str(tmp_path / "m"), first="# Notes")
+    lines = [r.value for r in spark.read.text(str(tmp_path / "m")).collect()]
+    assert lines.count("| **a** | 100.00% |") == 1 and lines.count("## Evaluation") == 1 and lines[0] == "# Notes"

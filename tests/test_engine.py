@@ -1,13 +1,15 @@
 """Quirks of segmentation, units, graphs and choice, on rows made by hand."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from distillery.operators import answers, baselines, choose, classify, evaluate, graphs, segment
+from distillery.operators import answers, baselines, choose, classify, evaluate, graphs, score, segment
 from distillery.plans import engine
 from distillery.sources import tables
+from distillery.streaming import ingest as ingest_module
 from distillery.streaming.ingest import SCHEMA, ingest_stream
 
 
@@ -58,6 +60,40 @@ def test_types(spark, text, want):
     assert typed(spark, text)[0][1:] == want
 
 
+def test_parsed_sentences_give_several_units(spark):
+    """What a parser says: purposes are goals, causes outcomes; a sentence of which it says nothing is a fact."""
+    def parse(text):
+        said = F.struct(
+            F.lit("the team").alias("subject"), F.lit("chose").alias("relation"), F.lit("rust").alias("object"), F.array(F.struct(F.lit("gain").alias("verb"), F.lit("speed").alias("object"))).alias("purposes"),
+            F.array(F.struct(F.lit("go").alias("subject"), F.lit("was").alias("verb"), F.lit("go was slow").alias("clause"))).alias("causes"),
+        ).cast(classify.PARSE)
+        return F.when(text.startswith("The team"), said).otherwise(F.lit(None).cast(classify.PARSE))
+
+    rows = typed(spark, "The team chose it.\n\nOther words.", (classify.tag_unit, classify.label_unit, classify.parsed_units(parse)))
+    assert rows == [(0, "decision", "the team", "rust"), (0, "goal", "the team", "speed"), (0, "outcome", "go", "go was slow"), (1, "fact", "", "Other words.")]
+
+
+def test_workflow_json_is_ascii_and_read_back(spark):
+    steps = ["- a\x08b\x0c\"q\" \\ /", "- é 日本 👍 \u2028", "- \x00\x1f\x7f"]
+    row = spark.createDataFrame([("n\u00e9", steps)], "name string, steps array<string>").select(classify.rendered_workflow(F.col("name"), F.col("steps")).alias("r"))
+    text = row.first().r
+    assert text == json.dumps({"type": "workflow", "name": "n\u00e9", "steps": steps}, indent=2).replace("\x7f", "\\u007f") and text.isascii()
+    back = row.select(classify.decoded_workflow(F.col("r")).alias("w")).first().w
+    assert (back.type, back.name, back.steps) == ("workflow", "n\u00e9", steps)
+
+
+def test_long_lists_take_linear_time(spark):
+    rows = classify.units(segment.sentences(docs(spark, "Do:\n" + "\n".join(f"- step {k}" for k in range(20_000))))).collect()
+    assert len(rows) == 1 and len(rows[0].steps) == 20_000
+
+
+def test_questions_without_pairs_are_few(spark):
+    units = classify.units(segment.sentences(docs(spark, "One thing.")))
+    many = score.question_features(spark.range(score.MOST_QUESTIONS + 1).select(F.col("id").cast("string").alias("query_id"), F.lit("what").alias("query")))
+    with pytest.raises(ValueError):
+        score.scored(units, many, graphs.connectivity(units))
+
+
 def test_strict_leaves_plain_sentences_out(spark):
     assert typed(spark, "Plain text here.", classify.STRICT) == []
 
@@ -121,6 +157,30 @@ def test_ingest_keeps_what_is_known(spark, tmp_path):
 def test_settings_are_checked():
     with pytest.raises(ValueError):
         engine.Settings(max_sentences=0)
+    assert engine.Settings.offered(context_window=3).max_sentences == 6
+    for wrong in ({"max_sentences": 2}, {"context_window": 4}, {"min_tokens": 99}):
+        with pytest.raises(ValueError):
+            engine.Settings.offered(**wrong)
+
+
+def test_a_batch_that_failed_is_written_again(spark, tmp_path, monkeypatch):
+    path, real = str(tmp_path / "m"), graphs.reasoning_edges
+
+    def fails(units):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(graphs, "reasoning_edges", lambda units: real(units))
+    memory = engine.ingest(docs(spark, "One thing. Another thing."))
+    monkeypatch.setattr(graphs, "reasoning_edges", fails)
+    with pytest.raises(RuntimeError):
+        memory.save(path, "0")
+    monkeypatch.setattr(graphs, "reasoning_edges", real)
+    assert ingest_module._known(spark, path) is None
+    memory.save(path, "0")
+    engine.ingest(docs(spark, "One thing. Another thing.", "New."), known=ingest_module._known(spark, path)).save(path, "1")
+    loaded = engine.Memory.load(spark, path)
+    assert sorted((r.document_id, r.text) for r in loaded.units.collect()) == [("0", "Another thing."), ("0", "One thing."), ("1", "New.")]
+    assert [r.document_id for r in loaded.of("1").meta.collect()] == ["1"]
 
 
 def test_stream_ingests_each_document_once(spark, tmp_path):
@@ -138,6 +198,25 @@ def test_why_answer_and_unknown(spark):
     assert {r.document_id: r.answer for r in answers.extractive(contexts, asked).collect()} == {"d": "it is fast", "e": answers.UNKNOWN}
 
 
+def test_answers_from_parsed_lines(spark):
+    contexts = spark.createDataFrame([("d", "who", "It rains.\nAnna wrote the parser."), ("d", "what", "It rains.\nAnna wrote the parser."), ("d", "where", "It rains.")], "document_id string, query_id string, context string")
+    asked = spark.createDataFrame([("who", "Who wrote the parser?", "write"), ("what", "What was written?", "write"), ("where", "Where does it rain?", "rain")], "query_id string, query string, root string")
+    parsed = spark.createDataFrame([("d", q, 1, ["write", "parser"], ["Anna"], "write", None, ["Anna"], "the parser") for q in ("who", "what")], "document_id string, query_id string, line_no int, terms array<string>, entities array<string>, root string, subject string, names array<string>, object string")
+    assert {r.query_id: r.answer for r in answers.extractive(contexts, asked, parsed).collect()} == {"who": "Anna", "what": "the parser", "where": "It rains."}
+    scores = {(r.query_id, r.line_no): r.score for r in answers.line_scores(answers.context_lines(contexts), asked, parsed).collect()}
+    # A shared term and the same root; Anna is not in the question.
+    assert scores["who", 1] == 1 + 3.0
+
+
+def test_recall_of_nothing_and_of_everything(spark):
+    memory = engine.ingest(docs(spark, "Plain words."))
+    contexts = spark.createDataFrame([("0", "q", "Plain words.")], "document_id string, query_id string, context string")
+    found = [df.withColumn("query_id", F.lit("q")) for df in (memory.units, memory.reasoning)]
+    assert [r.recall for r in evaluate.graph_recall(memory.units, memory.reasoning, contexts, *found, ["query_id"]).collect()] == [None]
+    pairs = evaluate.step_pairs(memory.units)
+    assert [r.recall for r in evaluate.dependency_recall(pairs, pairs.withColumn("query_id", F.lit("q")), contexts, ["query_id"]).collect()] == [None]
+
+
 def test_exact_match_with_an_empty_side(spark):
     row = spark.range(1).select(evaluate.exact_match(F.lit(""), F.lit("x")).alias("m")).first()
     assert row.m
