@@ -51,6 +51,11 @@ def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], uses: str, tota
     return cold.unionByName(rows.join(hot, keys))
 
 
+def few(keys: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A table of one number a row, to be sent to every executor if it has no more rows than the limit, which it is asked."""
+    return F.broadcast(keys) if keys.count() <= limit else keys
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -11,12 +11,11 @@ full sets, compared by the words' bytes, decide: linked if
 
 In a band's bucket, members are first held against one leader, and confirmed
 links join classes into components. A bucket whose members are then in one
-component has nothing left to tell. The classes of the others meet again by
-their rarest shingles: of two sets that are alike, one of the 15 % rarest
-shingles of either is in both, whereas texts that fill one template differ in
-them. Members of different components that share such a shingle are compared
-register by register, in blocks, so that no link is lost to the choice of
-leader; registers alone are sent there, and texts of likely pairs alone.
+component has nothing left to tell. Of two sets that are alike, one of the 15 %
+rarest shingles of either is in both, whereas texts that fill one template
+differ in them: classes of which no such shingle is in another component are
+done. Those that are left are compared, bucket by bucket and in blocks, with
+classes of other components, so that no link is lost to the choice of leader.
 
 Cases: null, empty and blank texts have no set and are linked with nothing.
 Rows of equal sets are linked, however many. Every row is known by a number of
@@ -54,8 +53,6 @@ REGISTERS = BANDS * ROWS
 BASE, SHIFT = 1.001, 10_000.0
 #: Bytes of text that are hashed at a time, and rows of a bucket in a block.
 GROUP_BYTES, BLOCK = 1_000_000, 1024
-#: Rows of a bucket whose pairs are formed from one array; in larger ones they are compared in blocks first.
-SMALL = 32
 #: Counters that approximate how often a shingle occurs, to tell rare ones: any order of them gives the same links.
 COUNTERS = 1 << 18
 
@@ -290,11 +287,11 @@ class Links:
         size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.limits.alike
         likely = pairs.join(a, "a").join(b, "b").where(size).mapInArrow(_likely(self.limits.estimate), "a long, b long")
         likely = common.stored(likely, f"{root}/likely")
-        texts = self.texts.join(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
-        texts = common.stored(texts, f"{root}/texts")
+        named = common.stored(likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), f"{root}/named")
+        texts = common.stored(self.texts.join(common.few(named), "cid", "left_semi"), f"{root}/texts")
         full = likely.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("t_b")), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("t_a")), "a")
         links = common.stored(full.mapInArrow(_confirmed(self.limits.alike), "a long, b long"), f"{root}/links")
-        for name in ("likely", "texts"):
+        for name in ("likely", "named", "texts"):
             common.drop_path(self.spark, f"{root}/{name}")
         return links
 
@@ -333,11 +330,12 @@ class Links:
         pairs = by_band(open_rows, leaders, open_rows.count()).where("component <> l.ca and leader <> l.a and leader <> cid")
         return pairs.select(F.least("cid", "l.a").alias("a"), F.greatest("cid", "l.a").alias("b")).distinct()
 
-    def by_rarest(self, open_rows: DataFrame) -> DataFrame:
-        """Pairs of classes of different components that are likely to be alike and share one of their rarest shingles."""
+    def suspects(self, open_rows: DataFrame) -> DataFrame:
+        """The classes of unresolved buckets of which one of the rarest shingles is in a class of another component; with component and text."""
         self.round += 1
         root, limit = f"{self.root}/round{self.round}", self.limits.alike
-        own = common.stored(self.texts.join(open_rows.select("cid", "component").distinct(), "cid"), f"{root}/texts")
+        named = common.stored(open_rows.select("cid", "component").distinct(), f"{root}/named")
+        own = common.stored(self.texts.join(common.few(named), "cid"), f"{root}/texts")
         # COUNTERS rows at most reach the driver, whatever the input.
         seen = np.zeros(COUNTERS, np.int64)
         for r in own.select("text").mapInArrow(_counted, "counter int, seen long").groupBy("counter").agg(F.sum("seen").alias("seen")).toLocalIterator():
@@ -351,31 +349,38 @@ class Links:
                 keys = [rarest(s, sent.value, limit).astype(np.int64) for s in shingles(common.utf8(batch["text"]))]
                 n = [len(k) for k in keys]
                 cid, component = (np.repeat(batch[c].to_numpy(zero_copy_only=False), n) for c in ("cid", "component"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(cid), pa.array(component)], ["band", "cid", "component"])
-
-        keys = common.stored(own.mapInArrow(keyed, "band long, cid long, component long"), f"{root}/keys")
-        # The largest component of a bucket is not held against itself: what is left of the bucket meets it, and itself.
-        sizes = keys.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", "n").alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("size")).where("size > 1")
-        sizes, total = common.stored(sizes, f"{root}/sizes"), keys.count()
-        parts = sizes.where("size > in_main").select("band", "size", "main", F.ceil(F.col("in_main") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("size") - F.col("in_main")) / BLOCK).cast("int").alias("others"))
-        few, many = parts.where(F.col("size") <= SMALL), parts.where(F.col("size") > SMALL)
-        each = keys.join(few.select("band"), "band").groupBy("band").agg(F.collect_list(F.struct("cid", "component")).alias("members"))
-        apart = F.transform("members", lambda x: F.transform(F.filter("members", lambda y: (y["cid"] > x["cid"]) & (y["component"] != x["component"])), lambda y: F.struct(x["cid"].alias("a"), y["cid"].alias("b"))))
-        pairs = each.select(F.inline(F.flatten(apart)))
-        rows = common.hot_join(keys, many, ["band"], "size", total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(cid), pa.array(component)], ["shingle", "cid", "component"])
+
+        keys = common.stored(own.mapInArrow(keyed, "shingle long, cid long, component long"), f"{root}/keys")
+        shared = keys.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+        met = common.hot_join(keys.select("shingle", "cid"), shared.select("shingle", "size"), ["shingle"], "size", keys.count()).select("cid").distinct()
+        return common.stored(own.join(met, "cid"), f"{root}/suspects")
+
+    def in_blocks(self, open_rows: DataFrame) -> DataFrame:
+        """Links between different components, from pairs of blocks of each unresolved bucket's suspects.
+
+        The largest component of a bucket is not held against itself. Pairs are
+        compared within a task, the likeliest first, and only a link that joins
+        two parts is returned.
+        """
+        suspects = self.suspects(open_rows)
+        rows = common.stored(open_rows.select("band", "cid").join(suspects.select("cid", "component"), "cid"), f"{self.root}/suspected{self.round}")
+        each = rows.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", "n").alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("size"))
+        parts = each.where("size > in_main").select("band", "size", "main", F.ceil(F.col("in_main") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("size") - F.col("in_main")) / BLOCK).cast("int").alias("others"))
+        rows = common.hot_join(rows, parts, ["band"], "size", rows.count())
         hashed, main = F.xxhash64("cid"), F.col("component") == F.col("main")
         # Blocks of the main component count on from those of the others.
         rows = rows.withColumn("own", F.when(main, F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
         met = F.sequence(F.lit(0), F.when(main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
         rows = rows.withColumn("other", F.explode(met)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        rows = rows.join(self.classes.select("cid", "n", "registers"), "cid").select("band", "i", "j", "own", "cid", "component", "n", "registers")
-        return pairs.union(rows.groupBy("band", "i", "j").applyInPandas(_paired(self.limits), "a long, b long")).distinct()
+        rows = rows.join(self.classes.select("cid", "registers"), "cid").join(suspects.select("cid", "text"), "cid")
+        return rows.select("band", "i", "j", "own", "cid", "component", "registers", "text").groupBy("band", "i", "j").applyInPandas(_linked(self.limits), "a long, b long").distinct()
 
     def resolve(self) -> DataFrame:
         """cid and component of every class that has a link."""
         links = self.confirm(self.led())
         labels = self.components(links)
-        for search in (self.led_anew, self.by_rarest):
+        for search in (self.led_anew, self.in_blocks):
             open_rows = common.stored(self.unresolved(labels), f"{self.root}/open{self.round}")
             if not open_rows.take(1):
                 break
@@ -404,18 +409,38 @@ class Links:
         return self.rows.join(first.select(F.col("o.uid").alias("uid")), "uid", "left_semi").select(*[F.col(c).alias(name) for c, name in self.names.items()])
 
 
-def _paired(limits: Limits):
+def _linked(limits: Limits):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         registers = np.frombuffer(b"".join(rows["registers"]), "<u2").reshape(-1, REGISTERS)
-        cid, component, own, size = (rows[c].to_numpy() for c in ("cid", "component", "own", "n"))
-        crossing, out = rows["i"].iloc[0] != rows["j"].iloc[0], []
+        cid, component, own = (rows[c].to_numpy() for c in ("cid", "component", "own"))
+        crossing = rows["i"].iloc[0] != rows["j"].iloc[0]
+        sets = shingles([t.encode() for t in rows["text"]])
+        size = np.array([len(s) for s in sets])
+        parent = {c: c for c in component.tolist()}
+
+        def top(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        pairs = []
         for k in range(len(cid) - 1):
             at = np.arange(k + 1, len(cid))
             fits = (component[at] != component[k]) & (100 * np.minimum(size[at], size[k]) >= limits.alike * np.maximum(size[at], size[k]))
             at = at[fits & (own[at] != own[k])] if crossing else at[fits]
-            at = at[(registers[at] == registers[k]).sum(1) >= limits.agree * REGISTERS]
-            out.append(np.stack([np.minimum(cid[at], cid[k]), np.maximum(cid[at], cid[k])], 1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+            same = (registers[at] == registers[k]).sum(1)
+            good = same >= limits.agree * REGISTERS
+            pairs.append(np.stack([same[good], np.full(good.sum(), k), at[good]], 1))
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+        out = []
+        for _, k, l in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
+            x, y = top(component[k]), top(component[l])
+            if x != y:
+                both = len(np.intersect1d(sets[k], sets[l], assume_unique=True))
+                if 100 * both >= limits.alike * (size[k] + size[l] - both):
+                    parent[x] = y
+                    out.append((min(cid[k], cid[l]), max(cid[k], cid[l])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
