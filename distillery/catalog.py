@@ -53,7 +53,7 @@ def _scored(s, d, units=None):
 
 def _memory(docs):
     """The memory of documents, saved once and read by every later step."""
-    return engine.ingest(docs).save(tables.work_dir(docs.sparkSession, "memory"))
+    return engine.ingest(docs).save(tables.work_dir(docs.sparkSession, "memory"), buckets=1)
 
 
 def _passages(s, d):
@@ -274,7 +274,8 @@ def ingest_idempotent(s, d):
 
 @query("SELECT document_id, unit_pos, unit_type FROM units WHERE document_id = '3'")
 def units_lookup(s, d):
-    return _memory(tables.structured_documents(s, d)).of("3").units.select("document_id", "unit_pos", "unit_type")
+    memory = engine.ingest(tables.structured_documents(s, d)).save(tables.work_dir(s, "memory"), buckets=8)
+    return memory.of("3").units.select("document_id", "unit_pos", "unit_type")
 
 
 @query("SELECT document_id, query_id, array_to_string(pos, ',') AS selected FROM picked4")
@@ -326,7 +327,7 @@ def memory_tables(s, d):
     rows = memory.units.groupBy("document_id").agg(F.count("*").alias("units"), F.sum(F.length("text")).alias("chars"))
     for name in ("knowledge", "reasoning"):
         rows = rows.join(getattr(memory, name).groupBy("document_id").agg(F.count("*").alias(name)), "document_id", "left")
-    return rows.join(memory.meta.drop("bucket"), "document_id")
+    return rows.join(memory.meta.drop("bucket", "buckets"), "document_id")
 
 
 @query("SELECT document_id, count(*) AS units FROM units GROUP BY ALL")

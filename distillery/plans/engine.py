@@ -45,12 +45,12 @@ SCHEMAS = {
     "reasoning": "document_id string, source_idx int, target_idx int",
     "meta": "document_id string, original_chars int, original_sentences int, original_estimated_tokens int",
 }
-#: Partitions by the hash of document_id, by which a lookup finds its files.
+#: Parts by the hash of document_id, of which a lookup reads one.
 BUCKETS = 64
 
 
-def bucket(document_id: Column) -> Column:
-    return F.pmod(F.xxhash64(document_id), F.lit(BUCKETS)).cast("int")
+def bucket(document_id: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(document_id), buckets).cast("int")
 
 
 @dataclass(frozen=True)
@@ -65,13 +65,18 @@ class Memory:
     #: In the order in which they are written. A document is known by its row in meta, so that comes last.
     NAMES = ("units", "knowledge", "reasoning", "meta")
 
-    def save(self, path: str, batch: str = "0") -> Memory:
+    def save(self, path: str, batch: str = "0", buckets: int = BUCKETS) -> Memory:
         """Writes the tables under a batch, over what an earlier attempt at it left."""
         spark = self.units.sparkSession
+        spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
         for name in self.NAMES:
             rows = getattr(self, name).select(*[F.col(c.split()[0]) for c in SCHEMAS[name].split(", ")])
+            rows = rows.withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket(F.col("document_id"), F.lit(buckets)))
+            if buckets > 1:
+                # A bucket is written by several tasks where there are more tasks than buckets.
+                rows = rows.repartition("bucket", F.pmod(F.hash("document_id"), F.lit(spread)))
             where = f"{path}/{name}/batch={batch}"
-            rows.withColumn("bucket", bucket(F.col("document_id"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(where)
+            rows.write.mode("overwrite").partitionBy("buckets", "bucket").parquet(where)
             if name == "units":
                 # The edges are made from what was stored, not from the documents again.
                 units = spark.read.schema(SCHEMAS["units"]).parquet(where)
@@ -80,17 +85,12 @@ class Memory:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Memory:
-        return cls(**{name: spark.read.schema(f"{SCHEMAS[name]}, batch string, bucket int").parquet(f"{path}/{name}").drop("batch") for name in cls.NAMES})
+        return cls(**{name: spark.read.schema(f"{SCHEMAS[name]}, batch string, buckets int, bucket int").parquet(f"{path}/{name}").drop("batch") for name in cls.NAMES})
 
     def of(self, document_id: str) -> Memory:
         """The memory of one document, read from its bucket alone."""
-        one = (F.col("document_id") == document_id) & (F.col("bucket") == bucket(F.lit(document_id)))
-        return Memory(*[getattr(self, n).where(one).drop("bucket") for n in ("meta", "units", "knowledge", "reasoning")])
-
-
-def by_document(queries: DataFrame) -> DataFrame:
-    """The pairs of questions that name their document."""
-    return queries.select("document_id", "query_id")
+        one = (F.col("document_id") == document_id) & (F.col("bucket") == bucket(F.lit(document_id), F.col("buckets")))
+        return Memory(*[getattr(self, n).where(one).drop("bucket", "buckets") for n in ("meta", "units", "knowledge", "reasoning")])
 
 
 def new_documents(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ SCHEMA = T.StructType([T.StructField("document_id", T.StringType()), T.StructFie
 
 def _known(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.schema(f"{SCHEMAS['meta']}, batch string, bucket int").parquet(f"{path}/meta")
+        return spark.read.schema(f"{SCHEMAS['meta']}, batch string, buckets int, bucket int").parquet(f"{path}/meta")
     except AnalysisException:
         return None
 
