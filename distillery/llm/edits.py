@@ -79,7 +79,8 @@ class CountTree:
         """Characters and tokens of the leaves that are not empty."""
         a, b = self.size, self.size + len(self.leaves)
         full = self.chars[a:b] > 0
-        return self.chars[a:b][full].tolist(), self.sums[a:b][full].tolist()
+        # A text without characters has one leaf without any.
+        return self.chars[a:b][full].tolist() or [0], self.sums[a:b][full].tolist() or [0]
 
     def _find(self, at: int) -> tuple[int, int]:
         """The leaf that holds this character, and how far into it the character is."""
