@@ -142,12 +142,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # At most SAMPLE ids: bounded, so sent to every executor.
     rows = common.doc_texts(docs).join(F.broadcast(known), "doc_id").mapInArrow(_placed, "toxic int, places array<int>")
-    rows = common.stored(rows, common.shared_dir(spark, "toxicity"))
+    path = common.shared_dir(spark, "toxicity")
+    rows = common.stored(rows, path)
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < total:
         return Machine(np.zeros(0, np.int64), -60.0, np.zeros(0), np.zeros((0, FACTORS)))
     # At most SAMPLE rows, each with its distinct places.
     found = rows.toArrow()
+    common.drop_path(spark, path)
     lists = found["places"].combine_chunks()
     chosen, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     w0, w, v = learn(flat.astype(np.int32), lists.value_lengths().to_numpy().astype(np.int64), found["toxic"].to_numpy().astype(float), len(chosen))
