@@ -31,6 +31,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_others(spark: SparkSession, path: str, kept: set[str]) -> None:
+    """Deletes what is under a path but for the names that later reads need."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(p):
+        if status.getPath().getName() not in kept:
+            fs.delete(status.getPath(), True)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs under names that clash with nothing (c0, c1, ...), and the own names of those columns in order."""
     own = {f"c{k}": name for k, name in enumerate(docs.columns)}

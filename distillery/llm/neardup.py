@@ -388,6 +388,8 @@ class Links:
             if more.take(1):
                 links = links.union(more)
                 labels = self.components(links)
+        labels = common.stored(labels, f"{self.root}/components")
+        common.drop_others(self.spark, self.root, {"rows", "classes", "components"})
         return labels
 
     def assigned(self) -> DataFrame:
