@@ -5,6 +5,7 @@ import zlib
 import corpus_pipeline
 from distillery.llm import packing, pii, tokens, toxicity
 from test_operators import encoded, plain_groups, plain_hits
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 
@@ -18,7 +19,8 @@ def test_rows(spark, sf):
     groups = plain_groups(texts)
     texts = {k: t for k, t in texts.items() if groups[k][1] == k}
     hits = plain_hits(texts, [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
-    texts = {k: pii.masked(t or "") for k, t in texts.items() if not hits[k][3]}
+    # All items of this table have a window's length or more.
+    texts = {k: pii.masked(t or "") for k, t in texts.items() if not hits[k][1]}
     tokenizer = Tokenizer.from_file(tokens.default_vocabulary())
     want = set()
     for k, t in texts.items():
@@ -35,3 +37,20 @@ def test_stages_keep_the_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
         assert stage(spark, docs.limit(0), sf).columns == docs.columns
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Null texts and ids, repeated rows and ids, a long text, and columns of the names that operators use."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    texts = [None, "", "one two three four five six", "one two three four five six", "mail me@example.com", "x " * 200_000 + item, "y " * 100_000]
+    rows = [(k, t, "en", "s", len(t or ""), 0.25, 7, b"r") for k, t in [*enumerate(texts), (2, "another text of id two"), (None, "no id"), (None, "no id")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, uid int, registers binary").withColumn("kept_id", F.lit(1)).withColumn("bad_id", F.lit(2))
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        counts[name] = sorted(r.doc_id if r.doc_id is not None else -1 for r in out.select("doc_id").collect())
+        if name != "packing":
+            assert out.columns == docs.columns and {r.score for r in out.collect()} == {0.25}
+    assert counts["near_duplicates"] == [-1, 0, 1, 2, 2, 4, 5, 6]
+    assert counts["decontamination"] == [-1, -1, 0, 1, 2, 2, 3, 4, 6] and counts["personal_data"] == sorted([-1, -1, 0, 1, 2, 2, 3, 4, 5, 6])
+    assert set(counts["packing"]) == {-1, 0, 1, 2, 3, 4, 5, 6}
