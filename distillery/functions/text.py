@@ -67,9 +67,9 @@ def more_alike_than(a: Column, b: Column, limit: float) -> Column:
 
 
 def set_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of distinct words, each word a dimension; 0 where either is empty."""
+    """Cosine of two arrays of distinct words, each word a dimension; 0 where either is empty, null where either is."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.sqrt(F.size(a).cast("double") * F.size(b)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).when(a.isNotNull() & b.isNotNull(), both / F.sqrt(F.size(a).cast("double") * F.size(b)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,18 +42,19 @@ def semantic_recall(expected: DataFrame, found: DataFrame, questions: DataFrame
     return questions.select("question_id").join(rows, "question_id", "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))
 
 
-def text_likeness(a: Column, b: Column) -> Column:
-    """Of two texts, by the words that they share; an embedder's cosine may stand in its place."""
-    return let(word_set(a), lambda x: let(word_set(b), lambda y: set_cosine(x, y)))
+#: How texts are likened: what stands for a text, and how two of those compare. An embedder and ``cosine`` may stand in its place.
+Likeness = tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]
+BY_WORDS: Likeness = (word_set, set_cosine)
 
 
-def aligned(original: DataFrame, retrieved: DataFrame, keys: list[str], likeness=text_likeness) -> DataFrame:
+def aligned(original: DataFrame, retrieved: DataFrame, keys: list[str], likeness: Likeness = BY_WORDS) -> DataFrame:
     """keys, document_id, sentence_index, mapped: the original sentence that each retrieved one is most like, if it is at all.
 
     retrieved has document_id and keys (a context's names beside it, such as query_id).
     """
-    own = original.select("document_id", F.col("unit_pos").alias("place"), F.col("sentence_index").alias("mapped"), F.col("text").alias("own"))
-    rows = retrieved.select("document_id", *keys, "unit_pos", "sentence_index", "text").join(own, "document_id").withColumn("like", likeness(F.col("text"), F.col("own")))
+    stands, like = likeness
+    own = original.select("document_id", F.col("unit_pos").alias("place"), F.col("sentence_index").alias("mapped"), stands(F.col("text")).alias("own"))
+    rows = retrieved.select("document_id", *keys, "unit_pos", "sentence_index", stands(F.col("text")).alias("v")).join(own, "document_id").withColumn("like", like(F.col("v"), F.col("own")))
     # Of equals, the earliest; a sentence of several units takes what its last one says.
     best = rows.groupBy("document_id", *keys, "unit_pos", "sentence_index").agg(F.max(F.struct("like", (-F.col("place")).alias("p"), "mapped")).alias("b"))
     best = best.where(F.col("b.like") >= ALIKE)
@@ -67,7 +70,7 @@ def _share(counted: DataFrame, contexts: DataFrame, hit: DataFrame, keys: list[s
     return rows.select("document_id", *keys, share.otherwise(F.coalesce("hit", F.lit(0)) / F.col("n")).alias("recall"))
 
 
-def graph_recall(units: DataFrame, edges: DataFrame, contexts: DataFrame, found_units: DataFrame, found_edges: DataFrame, keys: list[str], likeness=text_likeness, whole: Column | None = None) -> DataFrame:
+def graph_recall(units: DataFrame, edges: DataFrame, contexts: DataFrame, found_units: DataFrame, found_edges: DataFrame, keys: list[str], likeness: Likeness = BY_WORDS, whole: Column | None = None) -> DataFrame:
     """document_id, keys, recall of each context: retrieved edges whose ends, mapped to original sentences, are an original edge either way, over original edges.
 
     found_units and found_edges are those of the contexts, ingested as documents
@@ -94,16 +97,17 @@ def step_pairs(units: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return steps.withColumn("second", F.lead("first").over(order)).where("second is not null")
 
 
-def dependency_recall(original: DataFrame, found: DataFrame, contexts: DataFrame, keys: list[str], likeness=text_likeness, whole: Column | None = None) -> DataFrame:
+def dependency_recall(original: DataFrame, found: DataFrame, contexts: DataFrame, keys: list[str], likeness: Likeness = BY_WORDS, whole: Column | None = None) -> DataFrame:
     """document_id, keys, recall of each context: original step pairs of which both steps are like those of some retrieved pair, over all of them.
 
     Null for documents without step pairs; whole as for graph_recall.
     """
     n = original.groupBy("document_id").agg(F.count("*").alias("n"))
     names = ["document_id", *keys]
-    theirs = found.select(*names, strip(F.col("first")).alias("x"), strip(F.col("second")).alias("y"))
-    ours = original.select("document_id", "unit_pos", "step_no", strip(F.col("first")).alias("a"), strip(F.col("second")).alias("b"))
-    rows = ours.join(theirs, "document_id").where((likeness(F.col("a"), F.col("x")) >= ALIKE) & (likeness(F.col("b"), F.col("y")) >= ALIKE))
+    stands, like = likeness
+    theirs = found.select(*names, *[stands(strip(F.col(c))).alias(k) for c, k in (("first", "x"), ("second", "y"))])
+    ours = original.select("document_id", "unit_pos", "step_no", *[stands(strip(F.col(c))).alias(k) for c, k in (("first", "a"), ("second", "b"))])
+    rows = ours.join(theirs, "document_id").where((like(F.col("a"), F.col("x")) >= ALIKE) & (like(F.col("b"), F.col("y")) >= ALIKE))
     hit = rows.select(*names, "unit_pos", "step_no").distinct().groupBy(*names).agg(F.count("*").alias("hit"))
     return _share(n, contexts.select(*names), hit, keys, whole)
 
@@ -216,8 +220,9 @@ def token_f1(answer: Column, expected: Column) -> Column:
     return let(word_set(answer), lambda a: let(word_set(expected), lambda b: f1(a, b)))
 
 
-def consistency(answers: DataFrame, likeness=text_likeness) -> DataFrame:
+def consistency(answers: DataFrame, likeness: Likeness = BY_WORDS) -> DataFrame:
     """question_id, consistency: mean likeness of the answers of neighbouring runs; 1 for a single one."""
     order = Window.partitionBy("question_id").orderBy("run")
-    rows = answers.withColumn("like", likeness(F.lag("answer").over(order), F.col("answer")))
+    rows = answers.withColumn("v", likeness[0](F.col("answer")))
+    rows = rows.withColumn("like", likeness[1](F.lag("v").over(order), F.col("v")))
     return rows.groupBy("question_id").agg(F.coalesce(F.avg("like"), F.lit(1.0)).alias("consistency"))

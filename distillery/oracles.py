@@ -188,7 +188,8 @@ def likeness(a: str, b: str) -> str:
 
 
 _split = "split_part(document_id, chr(31), 1) AS document_id, split_part(document_id, chr(31), 2) AS query_id"
-PARTS["alike"] = f"SELECT r.document_id, r.query_id, r.unit_pos, r.sentence_index, u.unit_pos AS place, u.sentence_index AS mapped, {likeness('r.text', 'u.text')} AS score FROM (SELECT * EXCLUDE (document_id), {_split} FROM unitsr) r JOIN units u ON u.document_id = r.document_id"
+_w = f"list_distinct({words('text')}) AS w"
+PARTS["alike"] = f"SELECT r.document_id, r.query_id, r.unit_pos, r.sentence_index, u.unit_pos AS place, u.sentence_index AS mapped, CASE WHEN len(r.w) = 0 OR len(u.w) = 0 THEN 0 ELSE len(list_intersect(r.w, u.w)) / sqrt(CAST(len(r.w) AS DOUBLE) * len(u.w)) END AS score FROM (SELECT * EXCLUDE (document_id), {_split}, {_w} FROM unitsr) r JOIN (SELECT *, {_w} FROM units) u ON u.document_id = r.document_id"
 PARTS["mapping"] = "SELECT document_id, query_id, sentence_index, arg_max(mapped, unit_pos) AS mapped FROM (SELECT * FROM alike QUALIFY row_number() OVER (PARTITION BY document_id, query_id, unit_pos ORDER BY score DESC, place) = 1) WHERE score >= 0.8 GROUP BY ALL"
 
 
