@@ -214,7 +214,11 @@ def query_features(s, d):
     return f.select("query_id", F.array_join("terms", ",").alias("terms"), F.array_join("hard_identifiers", ",").alias("ids"), F.array_join("clean_words", " ").alias("phrase"))
 
 
-@query(f"SELECT document_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{score.IDENTIFIER}'))), ',') AS ids FROM sdocs")
+#: Letters beyond ASCII are parts of words, of which the SQL's word boundary does not know.
+_ASCII = r"regexp_replace(regexp_replace(text, '[^\p{L}\p{N}\p{M}\x00-\x7F]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g')"
+
+
+@query(f"SELECT document_id, array_to_string(list_sort(list_distinct(regexp_extract_all({_ASCII}, '{score.IDENTIFIER}'))), ',') AS ids FROM sdocs")
 def hard_identifiers(s, d):
     ids = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(score.IDENTIFIER), F.lit(0))))
     return tables.structured_documents(s, d).select("document_id", F.array_join(ids, ",").alias("ids"))
