@@ -451,7 +451,7 @@ def content_terms(s, d):
 _LINES = f"SELECT document_id, query_id, CAST(row_number() OVER (PARTITION BY document_id, query_id ORDER BY p) - 1 AS INTEGER) AS line_no, line FROM (SELECT document_id, query_id, regexp_replace({O.strip('unnest(string_split(context, chr(10)))')}, '^\\[S\\d+\\]\\s*', '') AS line, generate_subscripts(string_split(context, chr(10)), 1) AS p FROM ctx) WHERE line <> ''"
 _LEXICAL = f"SELECT l.*, query, CAST(len(list_intersect(list_distinct({_content('line')}), {_content('query')})) AS DOUBLE) AS score FROM ({_LINES}) l JOIN said USING (query_id)"
 #: What a parser might say, by plain rules in its place.
-_NAMES, _ROOT, _SUBJECT, _OBJECT = r"\b[A-Z][a-z]{2,}\b", r"^\S+\s+(\w+)", r"^([A-Z][a-z]*\s\w+)", r"\b(?:of|to|in|the)\s(\w+)"
+_NAMES, _ROOT, _SUBJECT, _OBJECT = r"[A-Z][a-z]{2,}", r"^\S+\s+(\w+)", r"^([A-Z][a-z]*\s\w+)", r"\s(?:of|to|in|the)\s(\w+)"
 _PARSED = f"SELECT *, regexp_extract_all(line, '{_NAMES}') AS names, regexp_extract(line, '{_ROOT}', 1) AS root, regexp_extract(line, '{_SUBJECT}', 1) AS subject, regexp_extract(line, '{_OBJECT}', 1) AS object FROM ({_LEXICAL})"
 _HOOKED = f"SELECT *, score + 1.5 * len(list_filter(names, lambda e: contains(lower(query), lower(e)))) + CASE WHEN asked_root = '' THEN 0 WHEN asked_root = lower(root) THEN 3.0 WHEN list_contains({_content('line')}, asked_root) THEN 1.5 ELSE 0 END AS hooked FROM (SELECT *, lower(regexp_extract(query, '{_ROOT}', 1)) AS asked_root FROM ({_PARSED}))"
 
