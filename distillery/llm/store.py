@@ -266,7 +266,8 @@ def verified(spark: SparkSession, root: str) -> DataFrame:
     """uid, sound, whole_store: whether a recipe is as written, and so are those of its block; and whether the whole store is."""
     kept = spark.read.parquet(f"{root}/recipes")
     again = kept.select("uid", "doc_id", "digests", "lengths").mapInArrow(_rooted_again, "uid long, found_root binary")
-    rows = recipes(spark, root).select("uid", "seg", "pos", F.col("root").alias("said")).join(again, "uid")
+    # A row for each recipe, without its digests: hashed once, and read by all that follows.
+    rows = common.stored(recipes(spark, root).select("uid", "seg", "pos", F.col("root").alias("said")).join(again, "uid"), common.shared_dir(spark, "verified"))
     manifest = spark.read.parquet(f"{root}/manifest")
     found = nodes(rows.select("seg", "pos", F.col("found_root").alias("root")), "pos", 0)
     said = manifest.where("level = 0").select("seg", "block", F.col("root").alias("node"))
