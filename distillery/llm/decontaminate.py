@@ -68,13 +68,14 @@ class Index:
     names: dict[str, str]
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str) -> Index:
+    def build(cls, docs: DataFrame, path: str, with_text: bool = True) -> Index:
         numbered, names = common.numbered(docs)
         text = next(c for c, name in names.items() if name.lower() == "text")
-        rows = common.stored(numbered.select("*", F.monotonically_increasing_id().alias("uid"), words(F.col(text)).alias("words")), f"{path}/rows")
+        kept = {c: name for c, name in names.items() if with_text or c != text}
+        rows = common.stored(numbered.select(*kept, F.monotonically_increasing_id().alias("uid"), words(F.col(text)).alias("words")), f"{path}/rows")
         # Dealt by document, as the rows are: nothing is shuffled to build the index.
         postings = rows.select("uid", F.posexplode("words").alias("position", "term"))
-        return cls(rows, common.stored(postings, f"{path}/postings"), names)
+        return cls(rows, common.stored(postings, f"{path}/postings"), kept)
 
     def column(self, name: str) -> Column:
         return F.col(next(c for c, own in self.names.items() if own.lower() == name))
@@ -101,11 +102,15 @@ def equal_runs(document: Column, item: Column, diagonal: Column) -> Column:
     return F.filter(runs, lambda r: r["e"] - r["s"] >= least)
 
 
-def exact_hits(index: Index, items: DataFrame, pairs: DataFrame, size: int, path: str) -> DataFrame:
-    """uid, s, e, item, n: stretches of documents along which windows of an item stand."""
+def anchor_terms(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """item, place, term of the places that windows are looked up by."""
     anchors = pairs.select("item", F.explode(F.array("a", "b")).alias("place")).distinct()
-    anchors = common.stored(anchors.join(items, "item").select("item", "place", F.get("item_words", F.col("place")).alias("term")), f"{path}/anchors")
-    adjusted = index.postings.join(sent_if_small(anchors, size), "term").select("uid", "item", "place", (F.col("position") - F.col("place")).alias("diagonal"))
+    return anchors.join(items, "item").select("item", "place", F.get("item_words", F.col("place")).alias("term"))
+
+
+def exact_hits(index: Index, postings: DataFrame, items: DataFrame, pairs: DataFrame, anchors: DataFrame, size: int, path: str) -> DataFrame:
+    """uid, s, e, item, n: stretches of documents along which windows of an item stand."""
+    adjusted = postings.join(sent_if_small(anchors, size), "term").select("uid", "item", "place", (F.col("position") - F.col("place")).alias("diagonal"))
     wanted = pairs.groupBy("item").agg(F.collect_set(F.struct("a", "b")).alias("windows"))
     lists = adjusted.groupBy("uid", "item", "diagonal").agg(F.collect_set("place").alias("places")).join(sent_if_small(wanted, size), "item")
     met = lists.where(F.exists("windows", lambda w: F.array_contains("places", w["a"]) & F.array_contains("places", w["b"]))).select("uid", "item", "diagonal")
@@ -137,15 +142,18 @@ def items_hit(hits: DataFrame, items: DataFrame, size: int) -> DataFrame:
     return direct.union(windows.join(sent_if_small(each.select("window", "item_id"), size), "window").select("uid", "item_id")).distinct()
 
 
-def near_hits(index: Index, items: DataFrame, counts: DataFrame, size: int, path: str) -> DataFrame:
-    """uid, item_id of every item that a document comes near to."""
+def near_terms(items: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The items that may be near (item, item_id, own, stretch, need), and of each the rarest terms of which a stretch that is near has two."""
     own = items.select("item", "item_id", (F.size("item_words") + SLACK).alias("stretch"), F.array_distinct("item_words").alias("own")).where(F.size("own") >= LEAST_NEAR)
     own = own.withColumn("need", F.ceil(F.size("own") * NEAR / 100).cast("int"))
     terms = own.select("item", "stretch", "need", F.size("own").alias("n"), F.explode("own").alias("term")).join(counts, "term", "left")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("seen", F.lit(0)), "term"))
-    rare = terms.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.col("need") + 2).select("item", "stretch", "term")
-    rare = common.stored(rare, f"{path}/rare")
-    met = index.postings.join(sent_if_small(rare, size), "term")
+    return own, terms.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.col("need") + 2).select("item", "stretch", "term")
+
+
+def near_hits(index: Index, postings: DataFrame, own: DataFrame, rare: DataFrame, size: int, path: str) -> DataFrame:
+    """uid, item_id of every item that a document comes near to."""
+    met = postings.join(sent_if_small(rare, size), "term")
     order = Window.partitionBy("uid", "item").orderBy("position")
     # Two of them within a stretch: then two neighbours that differ are.
     close = (F.lag("term").over(order) != F.col("term")) & (F.col("position") - F.lag("position").over(order) < F.col("stretch"))
@@ -170,8 +178,14 @@ def matches(index: Index, benchmark: DataFrame, path: str, *columns: Column) ->
     size = items.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0))).first()[0]
     counts = common.stored(index.postings.join(sent_if_small(terms, size), "term", "left_semi").groupBy("term").agg(F.count("*").alias("seen")), f"{path}/counts")
     pairs = common.stored(window_terms(items, counts), f"{path}/windows")
-    hits = exact_hits(index, items, pairs, size, path)
-    near = near_hits(index, items, counts, size, path)
+    anchors = common.stored(anchor_terms(items, pairs), f"{path}/anchors")
+    own, rare = near_terms(items, counts)
+    rare = common.stored(rare, f"{path}/rare")
+    # The index is read once more, for all lists that are wanted.
+    wanted = anchors.select("term").union(rare.select("term")).distinct()
+    lists = common.stored(index.postings.join(sent_if_small(wanted, size), "term", "left_semi"), f"{path}/lists")
+    hits = exact_hits(index, lists, items, pairs, anchors, size, path)
+    near = near_hits(index, lists, own, rare, size, path)
 
     def ids(found: DataFrame, name: str) -> DataFrame:
         return found.groupBy("uid").agg(F.array_sort(F.collect_set("item_id")).alias(name))
@@ -197,7 +211,7 @@ def leaks() -> Column:
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id with what ``matches`` says of each row."""
     path = common.shared_dir(docs.sparkSession, "positions")
-    index = Index.build(docs.select("doc_id", "text"), f"{path}/index")
+    index = Index.build(docs.select("doc_id", "text"), f"{path}/index", with_text=False)
     return matches(index, benchmark, path, index.column("doc_id").cast("long").alias("doc_id")).drop("uid")
 
 
@@ -216,4 +230,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rejected: Column | None = None)
     path = common.shared_dir(docs.sparkSession, "positions")
     index = Index.build(docs, f"{path}/index")
     bad = common.stored(matches(index, benchmark, path).where(verdict() if rejected is None else rejected).select("uid"), f"{path}/bad")
+    common.drop_path(docs.sparkSession, f"{path}/index/postings")
     return index.rows.join(sent_if_small(bad, bad.count()), "uid", "left_anti").select(*[F.col(c).alias(name) for c, name in index.names.items()])
