@@ -34,12 +34,13 @@ from . import common, tokens
 
 #: Window of the rolling hash, and the least, usual and largest ids in a chunk. The mask has log2(usual) bits.
 ROLL, LEAST, USUAL, LARGEST = 16, 128, 512, 2048
-#: Digests of chunks that a task has already emitted with their bytes; it then emits references.
+#: Digests of chunks that a task has already emitted with their bytes; it does not emit those again.
 SEEN = 200_000
 #: Documents, then roots, under one node of the corpus manifest.
 FAN_OUT = 1024
 DIGEST = 16
-CHUNKS = "uid long, doc_id long, ordinal int, n int, digest binary, data binary"
+#: What a task cuts: a row for each document, and one for each chunk that it has not emitted yet.
+CUT = "uid long, doc_id long, digests array<binary>, lengths array<int>, n_tokens long, root binary, digest binary, n int, data binary"
 
 
 def digest(data: bytes) -> bytes:
@@ -55,19 +56,20 @@ def gear(size: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def cuts(ids: np.ndarray, table: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the hash of the last ROLL ids has its top bits zero, within the limits."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marked(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Ends of the runs of ROLL ids whose hash has its top bits zero."""
     h, width = table[ids], 1
     with np.errstate(over="ignore"):
         while width < ROLL:
             h[width:] = h[width:] + (h[:-width] << np.uint64(width))
             width *= 2
-    at = np.flatnonzero((h >> np.uint64(64 - USUAL.bit_length() + 1)) == 0) + 1
+    return np.flatnonzero((h >> np.uint64(64 - USUAL.bit_length() + 1)) == 0) + 1
+
+
+def limited(n: int, at: list[int]) -> list[int]:
+    """Ends of the chunks of n ids: the marked places within the limits, and those that the limits make."""
     ends, start = [], 0
-    for end in at.tolist():
+    for end in at:
         if end - start < LEAST:
             continue
         while end - start > LARGEST:
@@ -84,6 +86,11 @@ def cuts(ids: np.ndarray, table: np.ndarray) -> list[int]:
     return ends
 
 
+def cuts(ids: np.ndarray, table: np.ndarray) -> list[int]:
+    """Ends of the chunks: where the hash of the last ROLL ids has its top bits zero, within the limits."""
+    return limited(len(ids), marked(ids, table).tolist())
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     level = [digest(b"\0" + x) for x in leaves] or [digest(b"")]
     while len(level) > 1:
@@ -95,32 +102,52 @@ def _cutter(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary)
         table = gear(max(len(encode.ends), end_id + 1))
-        end = np.array([end_id], encode.dtype)
         uid, seen = common.task_number() << 33, set()
-        names = ["uid", "doc_id", "ordinal", "n", "digest", "data"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        rows: list[tuple] = []
+        kinds = {
+            "uid": pa.int64(), "doc_id": pa.int64(), "digests": pa.list_(pa.binary()), "lengths": pa.list_(pa.int32()), "n_tokens": pa.int64(), "root": pa.binary(),
+            "digest": pa.binary(), "n": pa.int32(), "data": pa.binary(),
+        }
+        chunks: list[tuple] = []
+        docs: list[tuple] = []
         held = 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            """A row for each document, then one for each chunk."""
+            n_docs, n_chunks = len(docs), len(chunks)
+            columns = [[*c, *[None] * n_chunks] for c in zip(*docs, strict=True)] if docs else [[None] * n_chunks] * 6
+            columns += [[*[None] * n_docs, *c] for c in zip(*chunks, strict=True)] if chunks else [[None] * n_docs] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
         for batch in common.slices(batches):
-            for doc_id, raw in encode.groups(batch["doc_id"].to_pylist(), common.utf8(batch["text"])):
-                ids, start = np.concatenate([raw, end]), 0
-                for k, stop in enumerate(cuts(ids, table)):
-                    data = ids[start:stop].tobytes()
-                    key = digest(data)
-                    rows.append((uid, doc_id, k, stop - start, key, None if key in seen else data))
-                    if len(seen) < SEEN:
-                        seen.add(key)
-                    held += len(data)
-                    start = stop
-                uid += 1
-                if held > 8_000_000:
-                    yield flush()
-                    rows, held = [], 0
-        if rows:
+            doc_ids, texts = batch["doc_id"].to_pylist(), common.utf8(batch["text"])
+            for some in tokens.spans(texts):
+                raw, bounds = encode.joined(texts[some])
+                ids, bounds = np.insert(raw, bounds[1:], end_id), bounds + np.arange(len(bounds))
+                # A hash over another document's ids stands within LEAST of this one's beginning, where no chunk ends.
+                at = marked(ids, table)
+                of = np.searchsorted(at, bounds, "right").tolist()
+                bounds = bounds.tolist()
+                for k, doc_id in enumerate(doc_ids[some]):
+                    base, n, start = bounds[k], bounds[k + 1] - bounds[k], 0
+                    digests, lengths = [], []
+                    for stop in limited(n, (at[of[k] : of[k + 1]] - base).tolist()):
+                        data = ids[base + start : base + stop].tobytes()
+                        key = digest(data)
+                        digests.append(key)
+                        lengths.append(stop - start)
+                        if key not in seen:
+                            chunks.append((key, stop - start, data))
+                            held += len(data)
+                            if len(seen) < SEEN:
+                                seen.add(key)
+                        start = stop
+                    docs.append((uid, doc_id, digests, lengths, n, recipe_root(doc_id, digests, lengths)))
+                    uid += 1
+                    held += 16 * len(digests) + 64
+                    if held > 8_000_000:
+                        yield flush()
+                        docs, chunks, held = [], [], 0
+        if docs:
             yield flush()
 
     return run
@@ -129,24 +156,16 @@ def _cutter(vocabulary: str, end_id: int):
 def write(docs: DataFrame, root: str, vocabulary: str | None = None, end_id: int = 2) -> None:
     """Encodes every document and writes the store's tables under ``root``."""
     spark, vocabulary = docs.sparkSession, vocabulary or tokens.default_vocabulary()
-    cut = common.stored(common.doc_texts(docs).mapInArrow(_cutter(vocabulary, end_id), CHUNKS), f"{root}/cut")
+    cut = common.stored(common.doc_texts(docs).mapInArrow(_cutter(vocabulary, end_id), CUT), f"{root}/cut")
     # A task has each chunk's bytes about once, and keeps one of them before anything is shuffled.
     whole = cut.where(F.col("data").isNotNull()).groupBy("digest").agg(F.first("n").alias("n"), F.first("data").alias("data"))
     whole.write.option("compression", "zstd").parquet(f"{root}/chunks")
-    part = F.struct("ordinal", "n", "digest")
-    by_doc = (
-        cut.select("uid", "doc_id", "ordinal", "n", "digest").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(part)).alias("parts"))
-        .select("doc_id", "uid", F.col("parts.digest").alias("digests"), F.col("parts.n").alias("lengths"), F.aggregate("parts.n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
-    )
-    # Stored first: finding the ranges would otherwise group twice.
-    by_doc = common.stored(by_doc, f"{root}/unordered")
+    by_doc = cut.where(F.col("uid").isNotNull()).select("doc_id", "uid", "digests", "lengths", "n_tokens", "root")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = "seg int, doc_id long, uid long, digests array<binary>, lengths array<int>, n_tokens long, root binary"
     ranged = by_doc.repartitionByRange(n, "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
-    ranged.mapInArrow(_rooted, schema).write.option("compression", "zstd").parquet(f"{root}/recipes")
-    for name in ("cut", "unordered"):
-        common.drop_path(spark, f"{root}/{name}")
-    level, k = nodes(recipes(spark, root).select("seg", "pos", "root"), "pos", 0), 0
+    ranged.select(F.spark_partition_id().alias("seg"), "*").write.option("compression", "zstd").parquet(f"{root}/recipes")
+    common.drop_path(spark, f"{root}/cut")
+    level, k = nodes(_placed(spark.read.parquet(f"{root}/recipes")).select("seg", "pos", "root"), "pos", 0), 0
     while True:
         level.write.mode("append").parquet(f"{root}/manifest")
         done = spark.read.parquet(f"{root}/manifest").where(F.col("level") == k)
@@ -166,12 +185,6 @@ def _roots(batch: pa.RecordBatch) -> pa.Array:
     return pa.array([recipe_root(*x) for x in zip(*(batch[c].to_pylist() for c in ("doc_id", "digests", "lengths")), strict=True)], pa.binary())
 
 
-def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seg = pa.array([common.task_number()] * batch.num_rows, pa.int32())
-        yield pa.RecordBatch.from_arrays([seg, *batch.columns, _roots(batch)], ["seg", *batch.schema.names, "root"])
-
-
 def _hashed(roots: Column) -> Column:
     return F.sha2(F.array_join(F.transform(roots, lambda x: F.hex(x["root"])), "").cast("binary"), 256).cast("binary")
 
@@ -189,14 +202,22 @@ def corpus_root(segments: DataFrame) -> DataFrame:
     return segments.agg(leaves.alias("leaves")).select(F.lit(-1).alias("level"), F.lit(-1).alias("seg"), F.lit(-1).cast("long").alias("block"), _hashed(F.col("leaves")).alias("root"))
 
 
-def recipes(spark: SparkSession, root: str) -> DataFrame:
-    """Recipes in the file's order: pos counts from 1 within a segment, start counts all ids before the document."""
-    rows = spark.read.parquet(f"{root}/recipes")
-    own = Window.partitionBy("seg").orderBy("doc_id", "uid")
+def _in_file():
+    return Window.partitionBy("seg").orderBy("doc_id", "uid")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("pos", F.row_number().over(_in_file()))
+
+
+def recipes(spark: SparkSession, root: str, rows: DataFrame | None = None) -> DataFrame:
+    """Recipes, or rows made of them, in the file's order: pos counts from 1 within a segment, start counts all ids before the document."""
+    kept = spark.read.parquet(f"{root}/recipes")
+    rows = kept if rows is None else rows
     # One row a segment: as many as the file has partitions.
-    totals = rows.groupBy("seg").agg(F.sum("n_tokens").alias("in_seg"))
+    totals = kept.groupBy("seg").agg(F.sum("n_tokens").alias("in_seg"))
     before = totals.select("seg", (F.sum("in_seg").over(Window.orderBy("seg")) - F.col("in_seg")).alias("before"))
-    rows = rows.withColumn("pos", F.row_number().over(own)).withColumn("within", F.sum("n_tokens").over(own) - F.col("n_tokens"))
+    rows = _placed(rows).withColumn("within", F.sum("n_tokens").over(_in_file()) - F.col("n_tokens"))
     return rows.join(before, "seg").withColumn("start", F.col("before") + F.col("within")).drop("before", "within")
 
 
@@ -251,23 +272,32 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk of each recipe, with its length and that of all that follows it."""
     for batch in batches:
-        for uid, digests, lengths in zip(*(batch[c].to_pylist() for c in ("uid", "digests", "lengths")), strict=True):
-            size = np.resize(np.array(lengths, np.int64), len(digests)) if lengths else np.zeros(len(digests), np.int64)
-            after = size[::-1].cumsum()[::-1] - size
-            yield pa.RecordBatch.from_arrays([pa.array([uid] * len(size), pa.int64()), pa.array(digests, pa.binary()), pa.array(size.astype(np.int32)), pa.array(after)], ["uid", "digest", "length", "after"])
+        uids, digests, lengths = batch["uid"], batch["digests"], batch["lengths"]
+        n = digests.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = lengths.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not digests.value_lengths().equals(lengths.value_lengths()):
+            # Lists that were changed: as many lengths as digests.
+            size = np.concatenate([np.resize(np.array(x or [0], np.int64), k) for x, k in zip(lengths.to_pylist(), n.tolist(), strict=True)])
+        end = np.cumsum(n)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        after = np.repeat(upto[end], n) - upto[1:]
+        yield pa.RecordBatch.from_arrays([uids.take(pa.array(np.repeat(np.arange(len(n)), n))), digests.flatten(), pa.array(size.astype(np.int32)), pa.array(after)], ["uid", "digest", "length", "after"])
+
+
+_CHECKED = "seg int, doc_id long, uid long, n_tokens long, n_chunks long, said binary, found_root binary"
 
 
 def _rooted_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["uid"], _roots(batch)], ["uid", "found_root"])
+        n = batch["digests"].value_lengths().fill_null(0).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["seg"], batch["doc_id"], batch["uid"], batch["n_tokens"], n, batch["root"], _roots(batch)], ["seg", "doc_id", "uid", "n_tokens", "n_chunks", "said", "found_root"])
 
 
 def verified(spark: SparkSession, root: str) -> DataFrame:
-    """uid, sound, whole_store: whether a recipe is as written, and so are those of its block; and whether the whole store is."""
-    kept = spark.read.parquet(f"{root}/recipes")
-    again = kept.select("uid", "doc_id", "digests", "lengths").mapInArrow(_rooted_again, "uid long, found_root binary")
-    # A row for each recipe, without its digests: hashed once, and read by all that follows.
-    rows = common.stored(recipes(spark, root).select("uid", "seg", "pos", F.col("root").alias("said")).join(again, "uid"), common.shared_dir(spark, "verified"))
+    """Recipes in order, without their digests. sound: whether one is as written, and so are those of its block; whole_store: whether all are."""
+    again = spark.read.parquet(f"{root}/recipes").select("seg", "doc_id", "uid", "n_tokens", "digests", "lengths", "root").mapInArrow(_rooted_again, _CHECKED)
+    # Hashed and ordered once, and read by all that follows.
+    rows = common.stored(recipes(spark, root, again), common.shared_dir(spark, "verified"))
     manifest = spark.read.parquet(f"{root}/manifest")
     found = nodes(rows.select("seg", "pos", F.col("found_root").alias("root")), "pos", 0)
     said = manifest.where("level = 0").select("seg", "block", F.col("root").alias("node"))
@@ -281,9 +311,9 @@ def verified(spark: SparkSession, root: str) -> DataFrame:
     upper = corpus_root(top.select("seg", "root")).join(last, F.lit(True), "left").agg(F.coalesce(F.bool_and(F.coalesce(F.col("root") == F.col("kept_root"), F.lit(False))), F.lit(False)).alias("upper"))
     # One row.
     whole = same.agg(F.coalesce(F.bool_and("fits"), F.lit(True)).alias("lower")).join(upper, F.lit(True)).select((F.col("lower") & F.col("upper")).alias("whole_store"))
-    block = F.floor((F.col("pos") - 1) / FAN_OUT).alias("block")
-    each = rows.select("uid", "seg", block, (F.col("said") == F.col("found_root")).alias("own")).join(same, ["seg", "block"])
-    return each.select("uid", (F.col("own") & F.col("fits")).alias("sound")).join(F.broadcast(whole), F.lit(True))
+    each = rows.withColumn("block", F.floor((F.col("pos") - 1) / FAN_OUT)).join(same, ["seg", "block"], "left")
+    sound = F.coalesce((F.col("said") == F.col("found_root")) & F.col("fits"), F.lit(False))
+    return each.select("doc_id", "uid", "start", "n_tokens", "n_chunks", sound.alias("sound")).join(F.broadcast(whole), F.lit(True))
 
 
 def read_digests(spark: SparkSession, root: str, vocabulary: str | None = None) -> DataFrame:
@@ -294,16 +324,14 @@ def read_digests(spark: SparkSession, root: str, vocabulary: str | None = None)
     """
     dtype = tokens.encoder(vocabulary or tokens.default_vocabulary()).dtype
     kept = spark.read.parquet(f"{root}/chunks").select("digest", "data").mapInArrow(_verified(dtype), "digest binary, crc long, size int, good boolean")
-    rows = recipes(spark, root)
     parts = spark.read.parquet(f"{root}/recipes").select("uid", "digests", "lengths").mapInArrow(_listed, "uid long, digest binary, length int, after long").join(kept, "digest")
     parts = parts.withColumn("good", F.col("good") & (F.col("length") == F.col("size")))
     sums = parts.select("uid", "crc", "after", "good").mapInArrow(_shifted, "uid long, part long, good boolean").groupBy("uid").agg(
         F.bit_xor("part").alias("ids_crc32"), F.count("*").alias("found"), F.bool_and("good").alias("good")
     )
-    n = F.size("digests").cast("long")
-    whole = F.coalesce(F.col("good") & (F.col("found") == n) & F.col("sound"), F.lit(False))
-    rows = rows.join(sums, "uid", "left").join(verified(spark, root), "uid", "left")
-    return rows.select("doc_id", "start", "n_tokens", "ids_crc32", n.alias("n_chunks"), whole.alias("intact"), F.coalesce("whole_store", F.lit(False)).alias("store_intact"))
+    whole = F.coalesce(F.col("good") & (F.col("found") == F.col("n_chunks")) & F.col("sound"), F.lit(False))
+    rows = verified(spark, root).join(sums, "uid", "left")
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", whole.alias("intact"), F.coalesce("whole_store", F.lit(False)).alias("store_intact"))
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:

@@ -4,7 +4,8 @@ Pre-tokens of these word vocabularies never span white space, so a text's ids
 are the ids of its white-space-separated words in order. Each worker keeps the
 ids of recent words: words of up to 16 bytes in a hash table of arrays whose
 keys are those bytes, longer ones in a dictionary. A word is found by its bytes
-alone; the tokenizers library encodes every word that is not there.
+alone; the tokenizers library encodes every word that is not there. Where the
+vocabulary states the usual pre-tokens, marks after letters are words too.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -30,6 +32,9 @@ BATCH = 4096
 #: Where characters from U+0300 on may combine, or a special token may stand, letters are not lowered beforehand.
 _MAY_COMBINE = re.compile(b"[\\xcc-\\xff]")
 _MARKS = frozenset(".,;:!?")
+#: The pre-tokens and normalizers that make runs of letters words by themselves: what is known of them is used where a vocabulary states just these.
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 
 def default_vocabulary() -> str:
@@ -50,10 +55,30 @@ class WordEncoder:
         ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]
         self.ends = np.zeros(self.n_ids, bool)
         self.ends[ends] = True
+        self.marks, self.letters = self._usual(path) if ends else (None, None)
         self.table_words = table_words
         self.slots = self.first_slots = 1 << (2 * table_words).bit_length()
         self.clear()
 
+    def _usual(self, path: str):
+        """Marks that part words after a letter, and the tokenizer for runs of lower-case letters; neither if pre-tokens are others."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        said = json.loads(self.tokenizer.to_str())
+        pre, norm = said["pre_tokenizer"] or {}, said["normalizer"] or {}
+        steps = pre.get("pretokenizers") or [{}]
+        kinds = [n.get("type") for n in norm.get("normalizers", [])]
+        if [x.get("type") for x in steps] != ["Split", "ByteLevel"] or steps[0]["pattern"] != {"Regex": _PRE_TOKENS} or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or kinds != _NORMALIZERS:
+            return None, None
+        # A special token is never cut.
+        special = {ord(c) for a in said["added_tokens"] for c in a["content"] if c.isascii()}
+        marks = np.zeros(256, bool)
+        marks[[k for k in range(0x21, 0x7F) if not chr(k).isalnum() and k not in special]] = True
+        letters = Tokenizer.from_file(path)
+        letters.normalizer = None
+        letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return marks, letters
+
     def clear(self) -> None:
         self.low, self.high = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64)
         #: Bytes of the word in each slot; 0 where it is free.
@@ -79,9 +104,8 @@ class WordEncoder:
             slot[left] = (slot[left] + 1) & (self.slots - 1)
         return out
 
-    def _append(self, encoded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Keeps ids; where each word's begin, and how many they are."""
-        size = np.array([len(e) for e in encoded], np.int64)
+    def _append(self, encoded: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keeps ids of words of these sizes; where each word's begin, and how many they are."""
         start, total = self.n_used + np.cumsum(size) - size, int(size.sum())
         while self.n_used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -153,6 +177,28 @@ class WordEncoder:
                 out[k] = np.array(encoded.ids, self.dtype)
         return out
 
+    def _encode_new(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes these words and keeps their ids: where each word's begin, and how many they are."""
+        start, size = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        low = words.low_letters[which] if self.letters else np.zeros(len(which), bool)
+        plain = np.flatnonzero(low)
+        for a in range(0, len(plain), BATCH):
+            lines = [plain[b : b + 256] for b in range(a, min(a + BATCH, len(plain)), 256)]
+            texts = [b" ".join([words.whole[s:e] for s, e in zip(words.starts[which[x]].tolist(), words.ends[which[x]].tolist(), strict=True)]).decode() for x in lines]
+            for line, encoded in zip(lines, self.letters.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(encoded.ids, self.dtype)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) != len(line) or cuts[-1] != len(ids):
+                    low[line] = False
+                    continue
+                start[line], size[line] = self._append([ids], np.diff(cuts, prepend=0))
+        other = np.flatnonzero(~low)
+        if len(other):
+            spans = zip(words.starts[which[other]].tolist(), words.ends[which[other]].tolist(), strict=True)
+            encoded = self._encode_words([words.whole[s:e].decode() for s, e in spans])
+            start[other], size[other] = self._append(encoded, np.array([len(e) for e in encoded], np.int64))
+        return start, size
+
     def _short(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of these words of up to 16 bytes begin, and how many they are."""
         length = (words.ends[which] - words.starts[which]).astype(np.uint8)
@@ -165,9 +211,7 @@ class WordEncoder:
             # One word of each home slot at a time; the others that lack are found or come in the next round.
             _, one = np.unique(self._slot(low[miss], high[miss], length[miss]), return_index=True)
             new = miss[one]
-            spans = np.stack([words.starts[which[new]], words.ends[which[new]]], 1).tolist()
-            encoded = self._encode_words([words.whole[s:e].decode() for s, e in spans])
-            self._put(low[new], high[new], length[new], *self._append(encoded))
+            self._put(low[new], high[new], length[new], *self._encode_new(words, which[new]))
             lacking = self._find(low[miss], high[miss], length[miss]) < 0
             miss = miss[lacking]
             if not len(miss):
@@ -179,7 +223,8 @@ class WordEncoder:
         new = list({w for w in each if w not in self.long})
         found = self.long
         if new:
-            start, size = self._append(self._encode_words([w.decode() for w in new]))
+            encoded = self._encode_words([w.decode() for w in new])
+            start, size = self._append(encoded, np.array([len(e) for e in encoded], np.int64))
             places = dict(zip(new, zip(start.tolist(), size.tolist(), strict=True), strict=True))
             kept = {w: p for w, p in places.items() if len(w) <= KEPT_WORD}
             self.long.update(kept)
@@ -192,7 +237,7 @@ class WordEncoder:
         if self.n_words > self.table_words or self.n_used > KEPT_IDS or self.long_bytes > LONG_BYTES:
             self.slots = self.first_slots
             self.clear()
-        words = Words([t if not t.isascii() and _MAY_COMBINE.search(t) or b"<|" in t else t.lower() for t in texts])
+        words = Words([t if not t.isascii() and _MAY_COMBINE.search(t) or b"<|" in t else t.lower() for t in texts], self.marks)
         length = words.ends - words.starts
         start, size = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
         for pick, places in ((length <= 16, self._short), (length > 16, self._longer)):
@@ -201,12 +246,16 @@ class WordEncoder:
                 start[which], size[which] = places(words, which)
         return start, size, words.first
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each UTF-8 text."""
+    def joined(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of UTF-8 texts, one after another, and where each text's begin and the last one's end."""
         start, size, first = self._placed(texts)
         end = np.cumsum(size)
         ids = self.ids[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
-        bounds = np.concatenate([[0], end])[first]
+        return ids, np.concatenate([[0], end])[first]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each UTF-8 text."""
+        ids, bounds = self.joined(texts)
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def counts(self, texts: list[bytes]) -> np.ndarray:
@@ -216,12 +265,18 @@ class WordEncoder:
 
     def groups(self, ids: list, texts: list[bytes]):
         """(id, ids of the text) of each row, encoding a bounded amount of text at a time."""
-        start = size = 0
-        for k, text in enumerate(texts):
-            size += len(text)
-            if size >= GROUP_BYTES or k == len(texts) - 1:
-                yield from zip(ids[start : k + 1], self.encode(texts[start : k + 1]), strict=True)
-                start, size = k + 1, 0
+        for some in spans(texts):
+            yield from zip(ids[some], self.encode(texts[some]), strict=True)
+
+
+def spans(texts: list[bytes]) -> Iterator[slice]:
+    """Which texts to encode at a time."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= GROUP_BYTES or k == len(texts) - 1:
+            yield slice(start, k + 1)
+            start, size = k + 1, 0
 
 
 def encoder(path: str) -> WordEncoder:

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -60,6 +61,36 @@ def test_words_encode_as_whole_texts(tokenizer):
             assert ids.tolist() == encoded(tokenizer, text, 0)[:-1]
 
 
+def test_words_with_marks_are_encoded_once(tokenizer):
+    """A word that comes with many marks goes to the library once, and what it is encoded to is that of whole texts."""
+    rng = random.Random(8)
+    words = ["plain", "élan", "naïve", "straße", "Éclair", "x", "it's", "o'reilly", "ıX", "ab×cd", "e\u0301t", "<|endoftext|>", "a<|endoftext|>b", "c3p0", "日本語", "q" * 40]
+    marks = ["", ".", ",", "!!", "***", "'", "'s", "'S.", "...'re", "=\u0338", "—.", "×", "÷!", "-", "_", "|>", "<", "(", "\u0301.", "\x1c"]
+    small = tokens.WordEncoder(tokens.default_vocabulary(), table_words=200)
+    for _ in range(300):
+        texts = [" ".join(rng.choice(marks) + rng.choice(words) + rng.choice(marks) + rng.choice(["", rng.choice(words)]) for _ in range(12)) for _ in range(3)]
+        for text, ids in zip(texts, small.encode([t.encode() for t in texts]), strict=True):
+            assert ids.tolist() == encoded(tokenizer, text, 0)[:-1], text
+    fresh = tokens.WordEncoder(tokens.default_vocabulary())
+    names = ["".join(rng.choices("abcdefghé", k=6)) for _ in range(50)]
+    fresh.encode([f"{w}{m}".encode() for w in names for m in (".", ",", "!", "***", "")])
+    assert fresh.n_words <= len(names) + 4
+
+
+def test_store_lists_chunks_of_many_recipes_at_once():
+    """One batch of chunks for a batch of recipes, also where a recipe's lists were changed to differ in length."""
+    kind = pa.list_(pa.binary()), pa.list_(pa.int32())
+    same = [(7, [b"a", b"b", b"c"], [5, 3, 2]), (8, [], []), (9, [b"a"], [4])]
+    for rows in (same, [*same, (10, [b"x", b"y"], [6]), (11, [b"z"], []), (12, [b"v"], [1, 2])]):
+        uid, digests, lengths = zip(*rows, strict=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(uid), pa.array(digests, kind[0]), pa.array(lengths, kind[1])], ["uid", "digests", "lengths"])
+        out = list(store._listed(iter([batch])))
+        assert len(out) == 1
+        got = [tuple(r.values()) for r in out[0].to_pylist()]
+        assert got[:4] == [(7, b"a", 5, 5), (7, b"b", 3, 2), (7, b"c", 2, 0), (9, b"a", 4, 0)]
+        assert got[4:] == ([] if rows is same else [(10, b"x", 6, 6), (10, b"y", 6, 0), (11, b"z", 0, 0), (12, b"v", 1, 0)])
+
+
 @pytest.mark.parametrize("which", ["odd", "empty"])
 def test_store(spark, odd, tokenizer, tmp_path, which):
     docs = odd if which == "odd" else odd.limit(0)
