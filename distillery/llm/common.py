@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +99,23 @@ def slices(batches, rows: int = 512):
             yield batch.slice(k, rows)
 
 
+def give_back() -> None:
+    """Returns to the system what earlier stages left in this worker: encoders with their tables, and memory that is free.
+
+    Spark's workers serve one stage after another, and would hold a vocabulary
+    and its table of words through stages that encode nothing. For the start of
+    a task that does not encode.
+    """
+    from . import tokens
+
+    if tokens.forget():
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def task_number() -> int:
     from pyspark import TaskContext
 

@@ -164,6 +164,7 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _sketcher(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
         uid = common.task_number() << 33
         for batch in common.slices(batches):
             texts = [t or b"" for t in common.utf8(batch[text])]
@@ -182,6 +183,7 @@ def _sketcher(text: str):
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.give_back()
     for batch in batches:
         if batch.num_rows:
             keys = band_keys(_registers(batch["registers"]))
@@ -195,6 +197,7 @@ def _registers(column) -> np.ndarray:
 
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
         for batch in batches:
             if batch.num_rows:
                 n = [batch[c].to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")]
@@ -226,6 +229,7 @@ def alike(a: set, b: set, limit: int = 85) -> bool:
 def _confirmed(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order of a, whose set is kept until the next one."""
+        common.give_back()
         held = own = ids = None
         for batch in common.slices(batches, 64):
             good = []
@@ -241,6 +245,7 @@ def _confirmed(limit: int):
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many shingles of a task fall on each counter."""
+    common.give_back()
     total = np.zeros(COUNTERS, np.int64)
     for batch in common.slices(batches):
         texts = common.utf8(batch["text"])
@@ -343,6 +348,7 @@ class Links:
         sent = self.spark.sparkContext.broadcast(seen)
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.give_back()
             for batch in common.slices(batches, 64):
                 if not batch.num_rows:
                     continue

@@ -165,6 +165,7 @@ _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), (
 
 
 def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.give_back()
     for batch in common.slices(batches):
         rows = [[{"kind": k, "start": s, "end": e} for k, s, e in spans(t)] for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, _SPAN_TYPE)], ["doc_id", "spans"])
@@ -194,6 +195,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns with personal data in ``text`` masked; a null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
         for batch in common.slices(batches):
             texts = pa.array([None if t is None else masked(t) for t in batch["text"].to_pylist()], pa.string())
             k = batch.schema.get_field_index("text")

@@ -283,3 +283,10 @@ def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> bool:
+    """Drops the process's encoders, with their vocabularies and tables; whether there were any."""
+    held = bool(_ENCODERS)
+    _ENCODERS.clear()
+    return held

@@ -130,6 +130,7 @@ def learn(flat: np.ndarray, count: np.ndarray, labels: np.ndarray, n_terms: int,
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.give_back()
     for batch in common.slices(batches):
         rows = pa.array([places(t) for t in batch["text"].to_pylist()], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch["toxic"], rows], ["toxic", "places"])
@@ -168,6 +169,7 @@ def score(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame
     text = next(c for c, name in names.items() if name.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
         for batch in common.slices(batches):
             texts = [t or "" for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(texts), pa.float64())], [*batch.schema.names, "score"])

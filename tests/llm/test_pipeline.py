@@ -1,9 +1,11 @@
 """The pipeline's rows against plain versions of its stages."""
 
 import zlib
+from types import SimpleNamespace
 
 import corpus_pipeline
-from distillery.llm import packing, pii, tokens, toxicity
+import pyarrow as pa
+from distillery.llm import neardup, packing, pii, tokens, toxicity
 from test_operators import encoded, plain_groups, plain_hits
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -54,3 +56,18 @@ def test_stages_on_odd_rows(spark, sf):
     assert counts["near_duplicates"] == [-1, 0, 1, 2, 2, 4, 5, 6]
     assert counts["decontamination"] == [-1, -1, 0, 1, 2, 2, 3, 4, 6] and counts["personal_data"] == sorted([-1, -1, 0, 1, 2, 2, 3, 4, 5, 6])
     assert set(counts["packing"]) == {-1, 0, 1, 2, 3, 4, 5, 6}
+
+
+def test_stages_give_back_the_encoder():
+    """Workers go from packing to the other stages, as those of a session that runs the pipeline again do; the encoder must not stay in them."""
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two three four five six", ""], "toxic": pa.array([0, 1], pa.int32()), "registers": [bytes(2 * neardup.REGISTERS)] * 2, "cid": [1, 2]})
+    pairs = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "t_a": ["a b c d e"], "t_b": ["a b c d e"], "n_a": [1], "n_b": [1], "r_a": [bytes(2 * neardup.REGISTERS)], "r_b": [bytes(2 * neardup.REGISTERS)]})
+    redact = pii.redact(SimpleNamespace(mapInArrow=lambda run, schema: run, schema=None))
+    path = tokens.default_vocabulary()
+    before = [list(x) for x in tokens.encoder(path).encode([b"one two three four five six"])]
+    for stage, batch in ((toxicity._placed, rows), (neardup._sketcher("text"), rows), (neardup._banded, rows), (neardup._likely(0.72), pairs), (neardup._confirmed(85), pairs), (neardup._counted, rows), (pii._finder, rows), (redact, rows)):
+        tokens.encoder(path)
+        assert tokens._ENCODERS
+        assert list(stage(iter([batch])))
+        assert not tokens._ENCODERS
+    assert [list(x) for x in tokens.encoder(path).encode([b"one two three four five six"])] == before
