@@ -55,6 +55,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Rounded as SQL engines do it, on the number times a power of ten, halves away from zero; what is below zero keeps its sign as -0."""
+    scaled = c.cast("double") * float(10**digits)
+    return F.round(F.abs(scaled)) * F.signum(scaled) / float(10**digits)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays of distinct words; none where either is empty."""
     return let(F.size(F.array_intersect(a, b)), lambda both: F.when(both == 0, F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import cosine, let, normalize_text, set_cosine, strip, word_set, word_tokens
+from ..functions.text import cosine, let, normalize_text, rounded, set_cosine, strip, word_set, word_tokens
 
 ALIKE = 0.8
 # Weights of the composite score, a raw context's tokens, and the metric of each category.
@@ -154,7 +154,7 @@ def display_name(strategy: Column) -> Column:
 
 
 def percent(c: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f%%", F.round(c.cast("double") * (100 * 10**digits)) / 10**digits)
+    return F.format_string(f"%.{digits}f%%", rounded(c.cast("double") * (100 * 10**digits), 0) / 10**digits)
 
 
 def results_table(rows: DataFrame, plain: list[str], percents: list[str]) -> DataFrame:

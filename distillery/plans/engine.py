@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens
+from ..functions.text import estimate_tokens, rounded
 from ..operators import answers, choose, classify, graphs, score, segment
 
 
@@ -134,7 +134,7 @@ def retrieve(memory: Memory, queries: DataFrame, settings: Settings | None = Non
 
 
 def sizes(rows: DataFrame) -> DataFrame:
-    ratio = F.round(1 - F.length("context") / F.greatest("original_chars", F.lit(1)), 4)
+    ratio = rounded(1 - F.length("context") / F.greatest("original_chars", F.lit(1)), 4)
     return rows.select(
         "document_id", "query_id", "context", "original_sentences", F.size("kept").alias("reduced_sentences"), F.size("selected").alias("selected_sentence_count"),
         "original_chars", F.length("context").alias("reduced_chars"), "original_estimated_tokens", estimate_tokens(F.col("context")).alias("reduced_estimated_tokens"), ratio.alias("reduction_ratio"),
