@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import cosine, let
+from ..functions.text import cosine, let, rounded
 
 # BM25's saturation, length weight, and share of the mean that replaces a negative weight.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -18,20 +18,87 @@ def bm25(lines: DataFrame, queries: DataFrame, pairs: DataFrame | None = None) -
     Weights belong to a document; one of its lines is one text. pairs names
     (document_id, query_id); without it every document is asked everything.
     """
-    each = lines.select("document_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"(?U)\S+"), F.lit(0))).alias("term"))
-    tf = each.groupBy("document_id", "line_no", "term").agg(F.count("*").alias("tf"))
-    size = tf.groupBy("document_id", "line_no").agg(F.sum("tf").alias("size"))
-    n = lines.groupBy("document_id").agg(F.count("*").alias("n"))
-    mean = size.groupBy("document_id").agg(F.sum("size").alias("total")).join(n, "document_id").select("document_id", "n", (F.col("total") / F.col("n")).alias("mean"))
-    df = tf.groupBy("document_id", "term").agg(F.count("*").alias("df")).join(mean, "document_id")
-    idf = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = idf.groupBy("document_id").agg((F.avg("raw") * EPSILON).alias("floor"))
-    idf = idf.join(floor, "document_id").select("document_id", "term", "mean", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("query_id", F.explode(F.regexp_extract_all("query", F.lit(r"(?U)\S+"), F.lit(0))).alias("term"))
-    hits = tf.join(asked, "term") if pairs is None else tf.join(pairs.join(asked, "query_id"), ["document_id", "term"])
-    hits = hits.join(idf, ["document_id", "term"]).join(size, ["document_id", "line_no"])
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return hits.groupBy("document_id", "line_no", "query_id").agg(F.sum(part).alias("score"))
+    rows = scored_lines(lines, queries, pairs).withColumn("lines", F.filter("lines", lambda x: x["score"].isNotNull()))
+    return rows.select("document_id", "query_id", F.explode("lines").alias("x")).select("document_id", "x.line_no", "query_id", "x.score")
+
+
+def scored_lines(lines: DataFrame, queries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """document_id, query_id, lines: all lines of a document in order, each with its bm25 score, null where it holds no word of the question.
+
+    One shuffle, of the lines by document; the rest are expressions over a document's lines.
+    """
+    def split(c: str | Column) -> Column:
+        return F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0))
+
+    rows = lines.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    rows = rows.withColumn("words", F.transform("lines", lambda x: split(x["line"]))).withColumn("n", F.size("lines"))
+    total = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.size(w))
+    rows = rows.select("document_id", "lines", "words", "n", (total / F.col("n")).alias("mean"), _floor(F.col("words"), F.col("n")).alias("floor"))
+    asked = queries.select("query_id", split("query").alias("terms"))
+    if pairs is None:
+        rows = rows.crossJoin(F.broadcast(asked))
+    else:
+        rows = rows.join(pairs.select("document_id", "query_id").join(asked, "query_id"), "document_id")
+
+    def weight(t: Column, own: Column) -> Column:
+        raw = let(F.size(F.filter(own, lambda o: F.array_contains(o, t))), lambda df: _raw(F.col("n"), df))
+        return let(raw, lambda r: F.when(r < 0, F.col("floor")).otherwise(r))
+
+    def score(words: Column, own: Column, weights: Column) -> Column:
+        def part(x: Column) -> Column:
+            tf = F.size(F.filter(words, lambda w: w == x["term"]))
+            return let(tf, lambda tf: x["idf"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(words) / F.col("mean"))))
+
+        held = F.filter(weights, lambda x: F.array_contains(own, x["term"]))
+        return F.when(F.size(own) > 0, F.aggregate(held, F.lit(0.0), lambda s, x: s + part(x)))
+
+    def every(own: Column) -> Column:
+        weights = F.transform("terms", lambda t: F.struct(t.alias("term"), weight(t, own).alias("idf")))
+        return let(weights, lambda w: F.transform("lines", lambda x, k: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), score(F.col("words")[k], own[k], w).alias("score"))))
+
+    own = F.transform("words", lambda w: F.array_intersect(w, F.col("terms")))
+    return rows.select("document_id", "query_id", let(own, every).alias("lines"))
+
+
+def _raw(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def _floor(words: Column, n: Column) -> Column:
+    """A share of the mean weight of a document's words, which stands for negative weights. Words are sorted and counted in their runs."""
+    def mean(own: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (own[i] != own[F.greatest(i - 1, F.lit(0))]))
+        dfs = let(begins, lambda b: F.transform(b, lambda i, j: F.coalesce(F.get(b, j + 1), F.size(own)) - i))
+        return let(dfs, lambda d: F.aggregate(d, F.lit(0.0), lambda s, df: s + _raw(n, df)) / F.size(d) * EPSILON)
+
+    each = F.sort_array(F.flatten(F.transform(words, lambda w: F.array_distinct(w))))
+    return let(each, lambda own: F.when(F.size(own) > 0, mean(own)))
+
+
+def best_lines(rows: DataFrame, n: int, digits: int) -> DataFrame:
+    """document_id, query_id, lines: the n best of rows' lines, best first. Scores are rounded, 0 where there is none; ties by place."""
+    ranked = F.sort_array(F.transform("lines", lambda x: F.struct((-rounded(F.coalesce(x["score"], F.lit(0.0)), digits)).alias("minus"), x["line_no"].alias("line_no"), x["line"].alias("line"))))
+    return rows.select("document_id", "query_id", F.slice(ranked, 1, n).alias("lines"))
+
+
+def joined_lines(rows: DataFrame, by_place: bool = False) -> DataFrame:
+    """document_id, query_id, context: rows' lines as they are ranked (keyword search) or in order of place (vector search)."""
+    own = F.sort_array(F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line")))) if by_place else F.col("lines")
+    return rows.select("document_id", "query_id", F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("context"))
+
+
+def liked_lines(lines: DataFrame, queries: DataFrame, embed) -> DataFrame:
+    """document_id, query_id, lines: all lines of a document with the cosine of their vector and the question's, for each of a few questions.
+
+    embed is as for line_vector_scores; vectors are compared where lines are read, and are not shuffled.
+    """
+    asked = queries.select(F.struct("query_id", embed(F.col("query")).alias("v")).alias("a")).agg(F.sort_array(F.collect_list("a")).alias("asked"))
+    own = lines.select("document_id", "line_no", "line", embed(F.col("line")).alias("v")).crossJoin(F.broadcast(asked))
+    scores = F.transform("asked", lambda a: F.coalesce(cosine(F.col("v"), a["v"]), F.lit(0.0)))
+    rows = own.groupBy("document_id").agg(F.collect_list(F.struct("line_no", "line", scores.alias("scores"))).alias("lines"))
+    names = asked.select(F.posexplode("asked").alias("k", "a")).select("k", "a.query_id")
+    one = F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), x["scores"][F.col("k")].alias("score")))
+    return rows.crossJoin(F.broadcast(names)).select("document_id", "query_id", one.alias("lines"))
 
 
 def with_the_rest(scores: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -34,7 +34,26 @@ def gathered(scored: DataFrame) -> DataFrame:
         "unit_pos", "sentence_index", "score", "text", "render_text", "context_header", identity({c: F.col(c) for c in ("unit_type", "subject", "relation", "object")}).alias("same"),
         word_set(F.col("text")).alias("words"), estimate_tokens(F.col("render_text")).alias("tokens"),
     )
-    return scored.groupBy("document_id", "query_id").agg(F.array_sort(F.collect_list(columns)).alias("units"))
+    return scored.groupBy("document_id", "query_id").agg(F.sort_array(F.collect_list(columns)).alias("units"))
+
+
+def documents(units: DataFrame) -> DataFrame:
+    """document_id, units: all units in order. What stands in a unit's text already is not gathered again."""
+    def unless_text(c: str) -> Column:
+        return F.when(F.col(c) != F.col("text"), F.col(c)).alias(c)
+
+    columns = F.struct("unit_pos", "sentence_index", "text", unless_text("render_text"), "context_header", "unit_type", "subject", "relation", unless_text("object"))
+    rows = units.groupBy("document_id").agg(F.sort_array(F.collect_list(columns)).alias("units"))
+
+    def whole(u: Column) -> Column:
+        render, subject, object_ = F.coalesce(u["render_text"], u["text"]), F.lower(u["subject"]), F.lower(F.coalesce(u["object"], u["text"]))
+        own = {"unit_type": u["unit_type"], "subject": subject, "relation": u["relation"], "object": object_}
+        return F.struct(
+            u["unit_pos"].alias("unit_pos"), u["sentence_index"].alias("sentence_index"), u["text"].alias("text"), F.lower(u["text"]).alias("low"), render.alias("render_text"), u["context_header"].alias("context_header"), u["unit_type"].alias("unit_type"),
+            subject.alias("subject"), object_.alias("object"), identity(own).alias("same"), word_set(u["text"]).alias("words"), estimate_tokens(render).alias("tokens"),
+        )
+
+    return rows.select("document_id", F.transform("units", whole).alias("units"))
 
 
 def greedy(units: Column, max_sentences: int, max_tokens: int | None = None, min_tokens: int = 250) -> Column:
@@ -43,7 +62,7 @@ def greedy(units: Column, max_sentences: int, max_tokens: int | None = None, min
     Repeats are skipped. Choosing ends when there are enough sentences and the
     token floor is met; a unit beyond max_tokens ends it too.
     """
-    ranked = F.array_sort(F.transform(units, lambda u: F.struct((-u["score"]).alias("minus"), u["unit_pos"].alias("pos"), u["words"].alias("words"), u["same"].alias("same"), u["tokens"].alias("tokens"))))
+    ranked = F.sort_array(F.transform(units, lambda u: F.struct((-u["score"]).alias("minus"), u["unit_pos"].alias("pos"), u["words"].alias("words"), u["same"].alias("same"), u["tokens"].alias("tokens"))))
     none = F.array().cast("array<struct<pos:int,words:array<string>,same:string>>")
     start = F.struct(none.alias("chosen"), F.lit(0).alias("tokens"), F.lit(False).alias("done"))
 
@@ -101,7 +120,7 @@ def reasoned(units: Column, chosen: Column, edges: Column) -> Column:
 
 def assembled(units: Column, chosen: Column) -> Column:
     """The context: a sentence's first unit, in order, with its header in brackets where that changes."""
-    own = F.array_sort(F.transform(among(units, chosen), lambda u: F.struct(u["sentence_index"].alias("i"), u["unit_pos"].alias("pos"), u["text"].alias("text"), u["render_text"].alias("render"), u["context_header"].alias("header"))))
+    own = F.sort_array(F.transform(among(units, chosen), lambda u: F.struct(u["sentence_index"].alias("i"), u["unit_pos"].alias("pos"), u["text"].alias("text"), u["render_text"].alias("render"), u["context_header"].alias("header"))))
     start = F.struct(F.lit(-1).alias("i"), F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, u: Column) -> Column:

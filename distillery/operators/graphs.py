@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
 from .classify import WEIGHTS
 
 # Which earlier types a type links back to, how far, and the causal markers.
@@ -29,9 +32,36 @@ def knowledge_edges(units: DataFrame) -> DataFrame:
 
 def connectivity(units: DataFrame) -> DataFrame:
     """document_id, unit_pos, connectivity: sentences that share the unit's nodes, its own included."""
-    sizes = knowledge_edges(units).groupBy("document_id", "node").agg(F.count("*").alias("n"))
-    each = units.select("document_id", "unit_pos", F.explode_outer(_nodes()).alias("node"))
-    return each.join(sizes, ["document_id", "node"], "left").groupBy("document_id", "unit_pos").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("connectivity"))
+    own = F.struct("unit_pos", "sentence_index", "unit_type", F.lower("subject").alias("subject"), F.lower("object").alias("object"))
+    rows = units.groupBy("document_id").agg(F.sort_array(F.collect_list(own)).alias("units"))
+    rows = rows.select("document_id", F.explode(F.arrays_zip(F.transform("units", lambda u: u["unit_pos"]).alias("unit_pos"), connected(F.col("units")).alias("connectivity"))).alias("c"))
+    return rows.select("document_id", "c.unit_pos", "c.connectivity")
+
+
+def connected(units: Column) -> Column:
+    """The connectivity of each unit of one document, in order; units have subject and object in lower case.
+
+    Every unit gives two nodes, blank ones among them, which are sorted, counted in their runs and sorted back.
+    """
+    def nodes(u: Column, k: Column) -> Column:
+        at = F.when(u["unit_type"] != "workflow", u["sentence_index"])
+        second = F.when(u["subject"] == u["object"], F.lit("")).otherwise(u["object"])
+        return F.array(*[F.struct(n.alias("node"), at.alias("at"), k.alias("k")) for n in (u["subject"], second)])
+
+    def counted(own: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(own) - 1)
+        begins = F.filter(places, lambda i: (i == 0) | (own[i]["node"] != own[F.greatest(i - 1, F.lit(0))]["node"]))
+
+        def run(first: Column, end: Column) -> Column:
+            inside = F.slice(own, first + 1, end - first)
+            sentences = F.size(F.array_distinct(F.filter(F.transform(inside, lambda x: x["at"]), lambda at: at.isNotNull())))
+            n = F.when(own[first]["node"] == "", 0).otherwise(sentences).cast("long")
+            return let(n, lambda n: F.transform(inside, lambda x: F.struct(x["k"].alias("k"), n.alias("n"))))
+
+        return let(begins, lambda b: F.flatten(F.transform(b, lambda first, j: run(first, F.coalesce(F.get(b, j + 1), F.size(own))))))
+
+    every = F.sort_array(F.flatten(F.transform(units, nodes)))
+    return let(F.sort_array(let(every, counted)), lambda c: F.transform(units, lambda u, k: c[2 * k]["n"] + c[2 * k + 1]["n"]))
 
 
 def structural_edges(units: DataFrame) -> DataFrame:
@@ -64,6 +94,44 @@ def reasoning_edges(units: DataFrame) -> DataFrame:
     return structural_edges(units).union(lexical_edges(units)).distinct()
 
 
+def edges_of(units: Column) -> Column:
+    """The edges of one document's units, in order, as reasoning_edges has them, some more than once."""
+    def edge(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("source_idx"), b.alias("target_idx"))
+
+    # How many units a sentence has at most: those of FARTHEST sentences lie within so many places.
+    start = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(1).alias("most"))
+
+    def count(acc: Column, u: Column) -> Column:
+        n = F.when(acc["at"] == u["sentence_index"], acc["n"] + 1).otherwise(1)
+        return F.struct(u["sentence_index"].alias("at"), n.alias("n"), F.greatest(acc["most"], n).alias("most"))
+
+    most = F.aggregate(units, start, count, lambda acc: acc["most"])
+    none = F.array().cast("array<int>")
+
+    def targets(u: Column, k: Column, far: Column) -> Column:
+        before = F.slice(units, F.greatest(k - far, F.lit(0)) + 1, F.least(k, far))
+
+        def last(window: Column, kind: str) -> Column:
+            return F.try_element_at(F.filter(window, lambda x: x["unit_type"] == kind), F.lit(-1))["sentence_index"]
+
+        def lasts(back: tuple[str, ...], window: Column) -> Column:
+            return F.array(*[last(window, b) for b in back])
+
+        found = none
+        for kind, back in LOOKS_BACK.items():
+            found = F.when(u["unit_type"] == kind, let(before, functools.partial(lasts, back))).otherwise(found)
+        found = F.filter(found, lambda t: F.abs(t - u["sentence_index"]) <= FARTHEST)
+        near = F.slice(units, F.greatest(k - NEAR_UNITS, F.lit(0)) + 1, F.least(k, F.lit(NEAR_UNITS)) + NEAR_UNITS + 1)
+        close = F.transform(F.filter(near, lambda x: (x["unit_pos"] != u["unit_pos"]) & (F.abs(x["sentence_index"] - u["sentence_index"]) <= NEAR_SENTENCES)), lambda x: x["sentence_index"])
+        return F.concat(found, F.when(F.lower(u["text"]).rlike("|".join(MARKERS)), close).otherwise(none))
+
+    def both(u: Column, k: Column, far: Column) -> Column:
+        return F.flatten(F.transform(targets(u, k, far), lambda t: F.array(edge(u["sentence_index"], t), edge(t, u["sentence_index"]))))
+
+    return let(most * FARTHEST + most, lambda far: F.flatten(F.transform(units, lambda u, k: both(u, k, far))))
+
+
 def graph_nodes(units: DataFrame, edges: DataFrame) -> DataFrame:
     """Sentences at the end of an edge, with a label of at most 120 characters."""
     label = F.when(F.length("text") > 120, F.concat(F.substring("text", 1, 120), F.lit("..."))).otherwise(F.col("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, words
+from ..functions.text import WORD, let, words
 from .classify import weight
 
 # The patterns of hard identifiers, words that ask for a process, pronouns, types worth preserving, and what each part of the score is worth.
@@ -89,12 +89,7 @@ def scored(units: DataFrame, features: DataFrame, connectivity: DataFrame, pairs
     dense gives (document_id, unit_pos, query_id, dense), 0 where absent.
     """
     rows = units.join(connectivity, ["document_id", "unit_pos"]).join(asked_idf(units, features), "document_id", "left")
-    if pairs is None:
-        if len(features.select("query_id").head(MOST_QUESTIONS + 1)) > MOST_QUESTIONS:
-            raise ValueError(f"name the pairs of documents and questions: there are more than {MOST_QUESTIONS} questions")
-        rows = rows.crossJoin(F.broadcast(features))
-    else:
-        rows = rows.join(pairs.select("document_id", "query_id"), "document_id").join(features, "query_id")
+    rows = asked(rows, features, pairs)
     rows = rows.join(dense, ["document_id", "unit_pos", "query_id"], "left").withColumn("dense", F.coalesce("dense", F.lit(0.0))) if dense is not None else rows.withColumn("dense", F.lit(0.0))
     rows = rows.withColumn("idf", F.coalesce("idf", F.create_map().cast("map<string,double>"))).withColumn("low", F.lower("text"))
     low, text = F.col("low"), F.col("text")
@@ -108,3 +103,41 @@ def scored(units: DataFrame, features: DataFrame, connectivity: DataFrame, pairs
     parts = weight(F.col("unit_type")) * TYPE_WORTH + F.col("lexical") + F.col("phrase") + dense_bonus(F.col("dense")) + F.col("entity") + F.col("noun") + near + F.col("intent") + F.col("hard") + F.col("priority")
     # Rounded, so that the order in which a sum was taken decides no tie.
     return rows.withColumn("score", F.round(parts, 9))
+
+
+def scored_units(units: Column, near: Column) -> Column:
+    """The units of one document (choose.documents) with a score for the row's question, as scored gives it without dense scores. near has the connectivity of each."""
+    terms, entities, chunks = F.col("terms"), F.col("entities"), F.col("noun_chunks")
+    hits = F.flatten(F.transform(units, lambda u: F.array_intersect(u["words"], terms)))
+
+    def idf_of(df: Column) -> Column:
+        return F.when(df == 0, 1.0).otherwise(F.log(F.size(units) / (1 + df)) + 1)
+
+    weights = let(hits, lambda own: F.transform(terms, lambda t: F.struct(t.alias("term"), let(F.size(F.filter(own, lambda h: h == t)), idf_of).alias("w"))))
+
+    def lexical(low: Column, known: Column) -> Column:
+        matched = F.filter(known, lambda x: F.contains(low, x["term"]))
+        return let(matched, lambda m: F.aggregate(m, F.lit(0.0), lambda s, x: s + x["w"]) * F.pow(F.lit(FURTHER_TERM), F.greatest(F.size(m) - 1, F.lit(0))))
+
+    def one(u: Column, k: Column, known: Column) -> Column:
+        low = u["low"]
+        own = F.struct(lexical(low, known).alias("lexical"), identifier_boost(u["text"], low, F.col("hard_identifiers")).alias("hard"), entity_bonus(low, entities).alias("entity"), (F.size(F.filter(chunks, lambda n: F.contains(low, n))) * F.lit(NOUN_WORTH)).alias("noun"))
+        links = F.least(near[k] * F.lit(LINK_WORTH), F.lit(MOST_LINKS))
+
+        def total(p: Column) -> Column:
+            related = (p["lexical"] > 0) | (p["entity"] > 0) | (p["noun"] > 0) | (p["hard"] > 0)
+            priority = F.when(u["unit_type"].isin(*PRESERVED) & related, PRIORITY).otherwise(0.0)
+            return F.round(weight(u["unit_type"]) * TYPE_WORTH + p["lexical"] + phrase_bonus(low, F.col("clean_words")) + p["entity"] + p["noun"] + links + intent_bonus(u["unit_type"], terms) + p["hard"] + priority, 9)
+
+        return F.struct(let(own, total).alias("score"), *[u[c].alias(c) for c in ("unit_pos", "sentence_index", "text", "render_text", "context_header", "same", "words", "tokens")])
+
+    return let(weights, lambda known: F.transform(units, lambda u, k: one(u, k, known)))
+
+
+def asked(rows: DataFrame, features: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Rows of documents with the questions that they are asked: those of the pairs, or else each of a few."""
+    if pairs is not None:
+        return rows.join(pairs.select("document_id", "query_id"), "document_id").join(features, "query_id")
+    if len(features.select("query_id").head(MOST_QUESTIONS + 1)) > MOST_QUESTIONS:
+        raise ValueError(f"name the pairs of documents and questions: there are more than {MOST_QUESTIONS} questions")
+    return rows.crossJoin(F.broadcast(features))

@@ -122,9 +122,14 @@ def retrieve(memory: Memory, queries: DataFrame, settings: Settings | None = Non
     """document_id, query_id, context and its sizes, for each asked pair whose document has units."""
     s = settings or Settings()
     features = score.question_features(queries)
-    rows = choose.gathered(score.scored(memory.units, features, graphs.connectivity(memory.units), pairs, dense))
-    edges = memory.reasoning.groupBy("document_id").agg(F.collect_list(F.struct("source_idx", "target_idx")).alias("edges"))
-    rows = rows.join(edges, "document_id", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<source_idx:int,target_idx:int>>")))
+    # Units are gathered once, by document; connectivity and edges follow from them in place, scores for each question too.
+    rows = choose.documents(memory.units)
+    rows = rows.select("document_id", "units", graphs.connected(F.col("units")).alias("near"), graphs.edges_of(F.col("units")).alias("edges"))
+    if dense is None:
+        rows = score.asked(rows, features, pairs).withColumn("units", score.scored_units(F.col("units"), F.col("near")))
+    else:
+        scored = choose.gathered(score.scored(memory.units, features, graphs.connectivity(memory.units), pairs, dense))
+        rows = scored.join(rows.select("document_id", "edges"), "document_id")
     rows = rows.withColumn("selected", choose.greedy(F.col("units"), s.max_sentences, s.max_tokens, s.min_tokens))
     near = choose.adjacent(F.col("units"), F.col("selected"), s.context_window) if s.context_window else F.col("selected")
     rows = rows.withColumn("near", near)

@@ -1,9 +1,11 @@
 """What failed on larger tables: each test fails on the code before."""
 
+import math
+
 import duckdb
 from pyspark.sql import functions as F
 
-from distillery.operators import evaluate
+from distillery.operators import baselines, choose, evaluate, graphs
 from distillery.plans import engine
 
 
@@ -17,3 +19,49 @@ def test_shares_are_rounded_as_in_sql(spark):
     want = [duckdb.sql(f"SELECT {ratio}, printf('%.1f%%', round({ratio} * 1000) / 10) FROM (SELECT {a} AS a, {b} AS b)").fetchall()[0] for a, b in sized]
     assert [(repr(r), p) for r, p in got] == [(repr(r), p) for r, p in want]
     assert got[0][1] == "-0.0%"
+
+
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def plain_bm25(lines: list[str], query: str) -> dict[int, float]:
+    words = [x.split() for x in lines]
+    n, mean = len(words), sum(map(len, words)) / len(words)
+    raw = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t in set(sum(words, [])) for d in [sum(t in w for w in words)]}
+    floor = sum(raw.values()) / len(raw) * baselines.EPSILON
+    idf = {t: floor if r < 0 else r for t, r in raw.items()}
+    part = lambda t, w: idf[t] * w.count(t) * (baselines.K1 + 1) / (w.count(t) + baselines.K1 * (1 - baselines.B + baselines.B * len(w) / mean))
+    return {k: round(sum(part(t, w) for t in query.split() if t in w), 9) for k, w in enumerate(words) if set(query.split()) & set(w)}
+
+
+def test_keyword_scores_shuffle_lines_once(spark):
+    """A word in most lines, one twice in a question, one line alone, words that no line has; and no shuffle but that of lines and of pairs."""
+    texts = {"a": ["the river the town", "the town", "a mill the mill", "nothing here"], "b": ["the only line"]}
+    asked = {"q": "the mill the river", "r": "absent mill"}
+    lines = spark.createDataFrame([(d, k, x) for d, own in texts.items() for k, x in enumerate(own)], "document_id string, line_no int, line string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, query string")
+    pairs = lines.select("document_id").distinct().crossJoin(queries.select("query_id"))
+    want = {(d, q, k): s for d, own in texts.items() for q, x in asked.items() for k, s in plain_bm25(own, x).items()}
+    for named in (None, pairs):
+        got = {(r.document_id, r.query_id, r.line_no): round(r.score, 9) for r in baselines.bm25(lines, queries, named).collect()}
+        assert got == want
+    assert shuffles(baselines.bm25(lines, queries)) == 1
+    top = {(r.document_id, r.query_id): [x.line_no for x in r.lines] for r in baselines.best_lines(baselines.scored_lines(lines, queries), 3, 6).collect()}
+    assert top[("a", "r")] == [2, 0, 1] and top[("b", "r")] == [0]
+
+
+def test_reduction_gathers_documents_once(spark):
+    """Connectivity and edges in place are those of the tables, and a reduction shuffles no unit for each question."""
+    texts = ["# A\nGoal: the mill\n- one\n- two\nDecision: the mill\nWe chose it because it requires water. The mill must never stop.\nReason: Speed\nTask: the mill\n" * k for k in (1, 2, 9)]
+    memory = engine.ingest(spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "document_id string, text string"))
+    units = memory.units.cache()
+    rows = choose.documents(units)
+    edges = rows.select("document_id", F.explode(graphs.edges_of(F.col("units"))).alias("e")).select("document_id", "e.*").distinct()
+    assert sorted(edges.collect()) == sorted(graphs.reasoning_edges(units).collect()) and edges.count() > 100
+    sizes = graphs.knowledge_edges(units).groupBy("document_id", "node").agg(F.count("*").alias("n"))
+    own = units.select("document_id", "unit_pos", F.explode_outer(graphs._nodes()).alias("node")).join(sizes, ["document_id", "node"], "left")
+    want = own.groupBy("document_id", "unit_pos").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    assert sorted(map(tuple, graphs.connectivity(units).collect())) == sorted(map(tuple, want.collect()))
+    asked = spark.createDataFrame([("q", "Why the mill?"), ("r", "Which task?")], "query_id string, query string")
+    assert shuffles(engine.reduce(spark.createDataFrame([(t,) for t in texts], "text string"), asked)) <= 3
