@@ -42,10 +42,14 @@ def unit(kind: Column, subject: Column, relation: Column, obj: Column) -> Column
 
 
 def _mapped(pairs: dict[str, str], key: Column, default: Column) -> Column:
-    out = default
-    for k, v in pairs.items():
-        out = F.when(key == k, F.lit(v)).otherwise(out)
-    return out
+    """The value of the key, which is computed once."""
+    def chain(own: Column) -> Column:
+        out = default
+        for k, v in pairs.items():
+            out = F.when(own == k, F.lit(v)).otherwise(out)
+        return out
+
+    return let(key, chain) if pairs else default
 
 
 def pattern_unit(pattern: str, types: dict[str, str] | None = None, default: str = "fact") -> Extractor:
@@ -63,8 +67,8 @@ def pattern_unit(pattern: str, types: dict[str, str] | None = None, default: str
     def labelled(text: Column) -> Column:
         label = F.lower(F.replace(normalize_text(F.regexp_extract(text, pattern, 1)), F.lit(" "), F.lit("_")))
         value = F.regexp_extract(text, pattern, 2)
-        known = F.when(label.isin(*WEIGHTS), label).otherwise(F.lit("fact"))
-        return F.when(text.rlike(pattern) & (value != ""), unit(_mapped(LABELS, label, known), F.lit(""), F.lit(""), value))
+        kind = let(label, lambda own: _mapped(LABELS, own, F.when(own.isin(*WEIGHTS), own).otherwise(F.lit("fact"))))
+        return F.when(text.rlike(pattern) & (value != ""), unit(kind, F.lit(""), F.lit(""), value))
 
     return tagged if three else labelled
 
@@ -76,11 +80,13 @@ label_unit = pattern_unit(LABEL_PATTERN)
 
 def cue_type(text: Column) -> Column:
     """The first type of which a cue is a substring."""
-    low = F.lower(text)
-    out = F.when(low.endswith("?") | low.contains("open question"), "question").otherwise("fact")
-    for kind, cues in reversed(CUES):
-        out = F.when(low.rlike("|".join(cues)), kind).otherwise(out)
-    return out
+    def typed(low: Column) -> Column:
+        out = F.when(low.endswith("?") | low.contains("open question"), "question").otherwise("fact")
+        for kind, cues in reversed(CUES):
+            out = F.when(low.rlike("|".join(cues)), kind).otherwise(out)
+        return out
+
+    return let(F.lower(text), typed)
 
 
 def cue_unit(text: Column) -> Column:
