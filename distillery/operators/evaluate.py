@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import cosine, let, normalize_text, rounded, set_cosine, strip, word_set, word_tokens
+from ..functions.text import let, normalize_text, rounded, set_cosine, strip, word_set, word_tokens
 
 ALIKE = 0.8
 # Weights of the composite score, a raw context's tokens, and the metric of each category.
@@ -29,14 +29,68 @@ def compression(original: Column, reduced: Column) -> Column:
     return 1 - word_tokens(reduced) / F.greatest(word_tokens(original), F.lit(1e-9))
 
 
+#: Vectors of a block, about.
+BLOCK = 20_000
+
+
+def _any_alike():
+    """A function of two columns of vectors: for each of the first, whether one of the second has a cosine of ALIKE with it, as ``cosine`` computes it."""
+    import pandas as pd
+
+    limit = ALIKE
+
+    def hits(e, f):
+        import numpy as np
+
+        def by_size(vectors):
+            kept = [(k, np.asarray(v, dtype="float64")) for k, v in enumerate(() if vectors is None else vectors) if v is not None]
+            sizes = {len(v) for _, v in kept}
+            return {n: ([k for k, v in kept if len(v) == n], np.stack([v for _, v in kept if len(v) == n])) for n in sizes}
+
+        def dot(a, b):
+            s = 0.0
+            for x, y in zip(a.tolist(), b.tolist()):
+                s += x * y
+            return s
+
+        def found(ours, theirs):
+            out, other = np.zeros(len(ours), dtype=bool), by_size(theirs)
+            for n, (places, a) in by_size(ours).items():
+                b = other.get(n, (None, a[:0]))[1]
+                for i in range(0, len(a), 1024):
+                    x = a[i : i + 1024]
+                    for j in range(0, len(b), 4096):
+                        y = b[j : j + 4096]
+                        norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+                        c = (x @ y.T) / norms
+                        # A sum in another order decides nothing at the limit.
+                        for p, q in np.argwhere(np.abs(c - limit) < 1e-9):
+                            c[p, q] = dot(x[p], y[q]) / (dot(x[p], x[p]) ** 0.5 * dot(y[q], y[q]) ** 0.5)
+                        out[places[i : i + 1024]] |= ((norms != 0) & ~(c < limit)).any(1)
+            return out
+
+        with np.errstate(all="ignore"):
+            return pd.Series([found(x, y) for x, y in zip(e, f)])
+
+    hits.__annotations__ = {"e": pd.Series, "f": pd.Series, "return": pd.Series}
+    return F.pandas_udf(hits, "array<boolean>")
+
+
 def semantic_recall(expected: DataFrame, found: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """question_id, recall: share of expected vectors that some found vector of the question is like; 0 where nothing was found.
 
     questions names all of them: those that expect nothing get 1.
     """
-    pairs = expected.withColumnRenamed("embedding", "e").join(found.withColumnRenamed("embedding", "f"), "question_id", "left")
-    best = pairs.groupBy("question_id", "phrase_no").agg(F.max(cosine(F.col("e"), F.col("f"))).alias("best"))
-    rows = best.groupBy("question_id").agg(F.avg(F.when(F.coalesce("best", F.lit(0.0)) >= ALIKE, 1.0).otherwise(0.0)).alias("recall"))
+    # Blocks of either side meet once, wherever a question has many of both.
+    many = [max(1, rows.count() // BLOCK) for rows in (expected, found)]
+    own = F.struct("phrase_no", F.col("embedding").cast("array<double>").alias("v"))
+    ours = expected.groupBy("question_id", F.pmod(F.xxhash64("phrase_no"), F.lit(many[0])).alias("i")).agg(F.collect_list(own).alias("e"))
+    theirs = found.groupBy("question_id", F.pmod(F.xxhash64("embedding"), F.lit(many[1])).alias("j")).agg(F.collect_list(F.col("embedding").cast("array<double>")).alias("f"))
+    ours = ours.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many[1] - 1).cast("long"))))
+    alike = ours.join(theirs, ["question_id", "j"], "left").withColumn("hit", _any_alike()(F.col("e.v"), "f"))
+    each = alike.select("question_id", F.explode(F.arrays_zip(F.col("e.phrase_no").alias("phrase_no"), F.col("hit").alias("hit"))).alias("x"))
+    best = each.groupBy("question_id", "x.phrase_no").agg(F.max("x.hit").alias("hit"))
+    rows = best.groupBy("question_id").agg(F.avg(F.when(F.col("hit"), 1.0).otherwise(0.0)).alias("recall"))
     if questions is None:
         return rows
     return questions.select("question_id").join(rows, "question_id", "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))

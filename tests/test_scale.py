@@ -65,3 +65,15 @@ def test_reduction_gathers_documents_once(spark):
     assert sorted(map(tuple, graphs.connectivity(units).collect())) == sorted(map(tuple, want.collect()))
     asked = spark.createDataFrame([("q", "Why the mill?"), ("r", "Which task?")], "query_id string, query string")
     assert shuffles(engine.reduce(spark.createDataFrame([(t,) for t in texts], "text string"), asked)) <= 3
+
+
+def test_semantic_recall_compares_blocks(spark, monkeypatch):
+    """One question with several blocks on both sides, vectors at the limit, zero and missing ones, and no row for each pair."""
+    monkeypatch.setattr(evaluate, "BLOCK", 7, raising=False)
+    expected = [(1, k, [1.0, k / 10.0]) for k in range(30)] + [(1, 30, [0.0, 0.0]), (1, 31, None), (2, 32, [1.0, 0.0]), (2, 33, [0.0, 1.0]), (3, 34, [1.0, 1.0])]
+    found = [(1, [1.0, 0.0])] * 20 + [(1, [0.0, 0.0]), (2, [4.0, 3.0])]
+    rows = evaluate.semantic_recall(spark.createDataFrame(expected, "question_id int, phrase_no int, embedding array<double>"), spark.createDataFrame(found, "question_id int, embedding array<double>"))
+    like = lambda a, b: a and any(a) and any(b) and (a[0] * b[0] + a[1] * b[1]) / (math.sqrt(a[0] * a[0] + a[1] * a[1]) * math.sqrt(b[0] * b[0] + b[1] * b[1])) >= 0.8
+    want = {q: sum(bool(any(like(v, f) for n, f in found if n == q)) for p, _, v in expected if p == q) / sum(p == q for p, _, _ in expected) for q in (1, 2, 3)}
+    assert {r.question_id: r.recall for r in rows.collect()} == want
+    assert "phrase_no" in rows.columns or "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()
