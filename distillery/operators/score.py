@@ -83,14 +83,19 @@ def entity_bonus(low: Column, entities: Column) -> Column:
     return found + F.when((F.size(entities) > 0) & pronoun, PRONOUN_WORTH).otherwise(0.0)
 
 
-def scored(units: DataFrame, features: DataFrame, connectivity: DataFrame, pairs: DataFrame | None = None, dense: DataFrame | None = None) -> DataFrame:
+def scored(units: DataFrame, features: DataFrame, connectivity: DataFrame | None = None, pairs: DataFrame | None = None, dense: DataFrame | Column | None = None) -> DataFrame:
     """Units with a score for each question. pairs names (document_id, query_id); without it every document is asked each of a few questions.
 
-    dense gives (document_id, unit_pos, query_id, dense), 0 where absent.
+    dense gives (document_id, unit_pos, query_id, dense), 0 where absent, or is an expression of the unit's and the
+    question's columns, which joins nothing. Units that bring their connectivity and idf (whole.units) join nothing either.
     """
-    rows = units.join(connectivity, ["document_id", "unit_pos"]).join(asked_idf(units, features), "document_id", "left")
-    rows = asked(rows, features, pairs)
-    rows = rows.join(dense, ["document_id", "unit_pos", "query_id"], "left").withColumn("dense", F.coalesce("dense", F.lit(0.0))) if dense is not None else rows.withColumn("dense", F.lit(0.0))
+    if connectivity is not None:
+        units = units.join(connectivity, ["document_id", "unit_pos"]).join(asked_idf(units, features), "document_id", "left")
+    rows = asked(units, features, pairs)
+    if isinstance(dense, Column):
+        rows = rows.withColumn("dense", F.coalesce(dense, F.lit(0.0)))
+    else:
+        rows = rows.join(dense, ["document_id", "unit_pos", "query_id"], "left").withColumn("dense", F.coalesce("dense", F.lit(0.0))) if dense is not None else rows.withColumn("dense", F.lit(0.0))
     rows = rows.withColumn("idf", F.coalesce("idf", F.create_map().cast("map<string,double>"))).withColumn("low", F.lower("text"))
     low, text = F.col("low"), F.col("text")
     rows = rows.withColumn("lexical", lexical_score(matched_terms(low, F.col("terms")), F.col("idf")))
@@ -138,6 +143,13 @@ def asked(rows: DataFrame, features: DataFrame, pairs: DataFrame | None = None)
     """Rows of documents with the questions that they are asked: those of the pairs, or else each of a few."""
     if pairs is not None:
         return rows.join(pairs.select("document_id", "query_id"), "document_id").join(features, "query_id")
-    if len(features.select("query_id").head(MOST_QUESTIONS + 1)) > MOST_QUESTIONS:
-        raise ValueError(f"name the pairs of documents and questions: there are more than {MOST_QUESTIONS} questions")
+    few(features.select("query_id"))
     return rows.crossJoin(F.broadcast(features))
+
+
+def few(features: DataFrame) -> list:
+    """The rows of questions that every document is asked."""
+    rows = features.head(MOST_QUESTIONS + 1)
+    if len(rows) > MOST_QUESTIONS:
+        raise ValueError(f"name the pairs of documents and questions: there are more than {MOST_QUESTIONS} questions")
+    return rows

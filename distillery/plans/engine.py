@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, rounded
-from ..operators import answers, choose, classify, graphs, score, segment
+from ..operators import answers, choose, classify, graphs, score, segment, whole
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,8 @@ class Memory:
     units: DataFrame
     knowledge: DataFrame
     reasoning: DataFrame
+    #: The documents themselves, where nothing was brought to ingest them: they are reduced from their rows.
+    docs: DataFrame | None = None
 
     #: In the order in which they are written. A document is known by its row in meta, so that comes last.
     NAMES = ("units", "knowledge", "reasoning", "meta")
@@ -113,6 +115,9 @@ def document_meta(docs: DataFrame, sentences: DataFrame) -> DataFrame:
 def ingest(docs: DataFrame, settings: Settings | None = None, known: DataFrame | None = None) -> Memory:
     settings = settings or Settings()
     docs = new_documents(docs, known)
+    if tuple(settings.extractors) == classify.LEXICAL and settings.splitter is segment.by_capitals:
+        units = whole.units(docs).drop("connectivity", "idf")
+        return Memory(whole.meta(docs), units, graphs.knowledge_edges(units), graphs.reasoning_edges(units), docs)
     sentences = segment.sentences(docs, settings.splitter)
     units = classify.units(sentences, settings.extractors)
     return Memory(document_meta(docs, sentences), units, graphs.knowledge_edges(units), graphs.reasoning_edges(units))
@@ -122,6 +127,8 @@ def retrieve(memory: Memory, queries: DataFrame, settings: Settings | None = Non
     """document_id, query_id, context and its sizes, for each asked pair whose document has units."""
     s = settings or Settings()
     features = score.question_features(queries)
+    if memory.docs is not None and pairs is None and dense is None:
+        return with_ratio(whole.reduced(memory.docs, score.few(features), s))
     # Units are gathered once, by document; connectivity and edges follow from them in place, scores for each question too.
     rows = choose.documents(memory.units)
     rows = rows.select("document_id", "units", graphs.connected(F.col("units")).alias("near"), graphs.edges_of(F.col("units")).alias("edges"))
@@ -138,10 +145,22 @@ def retrieve(memory: Memory, queries: DataFrame, settings: Settings | None = Non
     return sizes(rows.join(memory.meta, "document_id"))
 
 
+def recalls(docs: DataFrame, queries: DataFrame, kind: str, settings: Settings | None = None) -> DataFrame:
+    """document_id, query_id, recall by kind (evaluate.graph_recall, evaluate.dependency_recall) of what is retrieved for each question; of each document's first half, as question half, and of the whole.
+
+    A document is ingested, reduced, and measured by what its contexts say when they are ingested, all in its own row.
+    """
+    return whole.recalls(new_documents(docs), score.few(score.question_features(queries)), settings or Settings(), kind)
+
+
 def sizes(rows: DataFrame) -> DataFrame:
+    return with_ratio(rows.withColumn("reduced_sentences", F.size("kept")).withColumn("selected_sentence_count", F.size("selected")))
+
+
+def with_ratio(rows: DataFrame) -> DataFrame:
     ratio = rounded(1 - F.length("context") / F.greatest("original_chars", F.lit(1)), 4)
     return rows.select(
-        "document_id", "query_id", "context", "original_sentences", F.size("kept").alias("reduced_sentences"), F.size("selected").alias("selected_sentence_count"),
+        "document_id", "query_id", "context", "original_sentences", "reduced_sentences", "selected_sentence_count",
         "original_chars", F.length("context").alias("reduced_chars"), "original_estimated_tokens", estimate_tokens(F.col("context")).alias("reduced_estimated_tokens"), ratio.alias("reduction_ratio"),
     )
 
@@ -162,5 +181,5 @@ def run(texts: DataFrame, queries: DataFrame, settings: Settings | None = None,
     """
     reduced = reduce(texts, queries, settings)
     sizes_ = F.struct(*[c for c in reduced.columns if c not in ("document_id", "query_id", "context")])
-    packets = answers.answered(reduced.select("document_id", "query_id", "context"), queries, model, parsed)
-    return packets.join(reduced.select("document_id", "query_id", sizes_.alias("metadata")), ["document_id", "query_id"])
+    # Few questions go to all tasks; a context is answered in its own row.
+    return answers.answered(reduced.select("document_id", "query_id", "context", sizes_.alias("metadata")), F.broadcast(queries), model, parsed)

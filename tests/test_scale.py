@@ -5,7 +5,8 @@ import math
 import duckdb
 from pyspark.sql import functions as F
 
-from distillery.operators import baselines, choose, evaluate, graphs
+from distillery import catalog
+from distillery.operators import answers, baselines, choose, classify, evaluate, graphs, segment, whole
 from distillery.plans import engine
 
 
@@ -77,3 +78,73 @@ def test_semantic_recall_compares_blocks(spark, monkeypatch):
     want = {q: sum(bool(any(like(v, f) for n, f in found if n == q)) for p, _, v in expected if p == q) / sum(p == q for p, _, _ in expected) for q in (1, 2, 3)}
     assert {r.question_id: r.recall for r in rows.collect()} == want
     assert "phrase_no" in rows.columns or "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+ODD = [
+    "", "   ", ":", "A:\nB:\nC\nD:\n\nE:\n- one\n- two\n---\n- three\n1. four\nLast. Then more. and so", "# H\n# I #\nGoal:\u3000the mill\n# J\nReason : x\u2028y because it is. So",
+    "Label:\u00a0\nvalue here\n\n[con-01] Limit : must never\n- [DEC-02] Why: we chose it\n-\tnot a tag\n\n\n12.\tstep\nOpen question: is it\u0130 v2.1?", "\u212aelvin: 5\r\nNext:\r\nline\u0085end. \u0085Then\u2003It's \u00dcber_wort 1\u00b2.\x1c",
+    "Head:\n- \"a\" \\ \u00e9 \U0001f600\n- b\x7f\t.\n* c\n\nTask: the mill\nRequirement: the mill requires water. The mill must never stop.\nDecision: the mill\n[REA-01] Why: the mill\n" * 3,
+    "\n\n".join(f"Line {k} tells of the river and town{k % 7} because SOC2 compares. Why the mill?" for k in range(40)),
+]
+
+
+def _by_expressions(docs):
+    sentences = segment.sentences(docs)
+    units = classify.units(sentences).cache()
+    return engine.Memory(engine.document_meta(docs, sentences), units, graphs.knowledge_edges(units), graphs.reasoning_edges(units))
+
+
+def _odd(spark):
+    return spark.createDataFrame([(str(k), t) for k, t in enumerate(ODD)], "document_id string, text string")
+
+
+def _asked(spark):
+    return spark.createDataFrame([("q", "Why the mill and SOC2?"), ("r", "Which task of the workflow, v2.1?"), ("s", "town3 because")], "query_id string, query string")
+
+
+def test_documents_in_their_rows_are_those_of_the_expressions(spark):
+    """Units, sizes, edges, connectivity and reductions of odd texts, and no shuffle but that which finds the first text of an id."""
+    docs, asked = _odd(spark), _asked(spark)
+    memory, plain = engine.ingest(docs), _by_expressions(docs)
+    assert sorted(map(repr, memory.units.collect())) == sorted(map(repr, plain.units.select(*memory.units.columns).collect()))
+    for name in ("meta", "knowledge", "reasoning"):
+        assert sorted(getattr(memory, name).collect()) == sorted(getattr(plain, name).collect())
+    own = whole.units(docs).select("document_id", "unit_pos", "connectivity")
+    assert sorted(own.collect()) == sorted(graphs.connectivity(plain.units).select(*own.columns).collect())
+    for settings in (engine.Settings(), engine.Settings(2, 60, 0, 20), engine.Settings(6, None, 2, 0)):
+        got = engine.retrieve(memory, asked, settings)
+        assert shuffles(got) <= 1
+        assert sorted(got.collect()) == sorted(engine.retrieve(plain, asked, settings).select(*got.columns).collect())
+
+
+def _recalled(spark, kind):
+    """Recalls in place, and by all pairs of units from memories of the contexts."""
+    docs, asked = _odd(spark), _asked(spark)
+    plain = _by_expressions(docs)
+    half = docs.select("document_id", F.lit("half").alias("query_id"), F.expr("substring(text, 1, cast(floor(length(text) / 2) as int))").alias("context"))
+    contexts = engine.retrieve(plain, asked).select("document_id", "query_id", "context").union(half).union(docs.select("document_id", F.lit("whole"), "text"))
+    again = _by_expressions(contexts.select(F.concat_ws("/", "document_id", "query_id").alias("document_id"), F.col("context").alias("text")))
+    named = [x.withColumn("query_id", F.split("document_id", "/")[1]).withColumn("document_id", F.split("document_id", "/")[0]) for x in (again.units, again.reasoning)]
+    whole_ = F.col("query_id") == "whole"
+    if kind == "graph":
+        want = evaluate.graph_recall(plain.units, plain.reasoning, contexts, *named, ["query_id"], whole=whole_)
+    else:
+        want = evaluate.dependency_recall(evaluate.step_pairs(plain.units), evaluate.step_pairs(named[0], ["query_id"]), contexts, ["query_id"], whole=whole_)
+    got = engine.recalls(docs, asked, kind)
+    assert shuffles(got) <= 1
+    return [sorted((r.document_id, r.query_id, repr(r.recall)) for r in rows.collect()) for rows in (got, want)]
+
+
+def test_graph_recall_in_place(spark):
+    got, want = _recalled(spark, "graph")
+    assert got == want and len({r for _, _, r in got}) > 3
+
+
+def test_likest_finds_what_all_pairs_find():
+    """Sets at the limit among them, and equal and empty ones."""
+    sets = [frozenset(f"w{(k * j) % 11}" for j in range(k % 9)) for k in range(200)] + [frozenset("abcde"), frozenset("abcd"), frozenset("abcdefghij"), frozenset("abcdefgh")]
+    like = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b)) if a and b else 0.0
+    found = whole.Likest(sets)
+    for v in [*sets, frozenset("abcdefg"), frozenset("xyz"), *(frozenset("abcdefghijklmnop"[:n]) for n in range(16))]:
+        score, k = max((like(v, b), -k) for k, b in enumerate(sets))
+        assert found.best(v) == (-k if score >= evaluate.ALIKE else None)
