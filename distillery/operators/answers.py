@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import strip, words
+from ..functions.text import let, strip, words
 
 # Fixed value: the answer where there is no context.
 UNKNOWN = "I cannot determine that from the context."
@@ -26,10 +26,13 @@ def question_word(query: Column) -> Column:
     return F.regexp_extract(F.lower(query), r"\b(who|what|where|when|why)\b", 1)
 
 
-def context_lines(contexts: DataFrame) -> DataFrame:
+def lines_of(context: Column) -> Column:
     """Each non-blank line of a context, without a leading [Sn]."""
-    lines = F.filter(F.transform(F.split("context", "\n", -1), lambda s: F.regexp_replace(strip(s), r"^\[S\d+\]\s*", "")), lambda s: s != "")
-    return contexts.select("document_id", "query_id", F.posexplode(lines).alias("line_no", "line"))
+    return F.filter(F.transform(F.split(context, "\n", -1), lambda s: F.regexp_replace(strip(s), r"^\[S\d+\]\s*", "")), lambda s: s != "")
+
+
+def context_lines(contexts: DataFrame) -> DataFrame:
+    return contexts.select("document_id", "query_id", F.posexplode(lines_of(F.col("context"))).alias("line_no", "line"))
 
 
 #: What a parser may say of a line, as columns of the parsed lines: its terms, entities, root, and the phrases that answers are taken from.
@@ -62,6 +65,30 @@ def _reason(line: Column) -> Column:
     return strip(F.split(F.regexp_replace(strip(first), r"\.+$", ""), ",")[0])
 
 
+def _extracted(queries: DataFrame) -> Column:
+    """The answer from a row's context to its query, as extractive gives it without parsed lines, in place."""
+    root = F.lower(F.trim(F.coalesce("root", F.lit("")))) if "root" in queries.columns else F.lit("")
+    asked = content_terms(F.col("query"))
+    wanted = F.coalesce("terms", asked) if "terms" in queries.columns else asked
+    why = question_word(F.col("query")) == "why"
+
+    def ranked(own: Column, wanted: Column) -> Column:
+        def one(line: Column, k: Column) -> Column:
+            def score(terms: Column) -> Column:
+                rooted = F.when((root != "") & F.array_contains(terms, root), ROOT_AMONG_TERMS).otherwise(0.0)
+                return F.size(F.array_intersect(terms, wanted)) + rooted
+
+            minus = -let(content_terms(line), score)
+            return F.struct(minus.alias("minus"), k.alias("k"), line.alias("line"), F.when(why & F.contains(F.lower(line), F.lit("because")), _reason(line)).alias("taken"))
+
+        return F.transform(own, one)
+
+    def best(rows: Column) -> Column:
+        return F.coalesce(F.array_min(F.filter(rows, lambda x: x["taken"].isNotNull()))["taken"], F.array_min(rows)["line"], F.lit(UNKNOWN))
+
+    return let(let(wanted, lambda w: ranked(lines_of(F.col("context")), w)), best)
+
+
 def extractive(contexts: DataFrame, queries: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """document_id, query_id, answer, from the lines in order of their score.
 
@@ -70,6 +97,10 @@ def extractive(contexts: DataFrame, queries: DataFrame, parsed: DataFrame | None
     follows the first because. Otherwise, and where there is none, the best
     line answers.
     """
+    if parsed is None:
+        known = queries.select("query_id", "query", *[c for c in ("terms", "root") if c in queries.columns])
+        rows = contexts.select("document_id", "query_id", "context").join(known, "query_id", "left")
+        return rows.select("document_id", "query_id", F.coalesce(_extracted(queries), F.lit(UNKNOWN)).alias("answer"))
     ranked = line_scores(context_lines(contexts), queries, parsed).withColumn("wh", question_word(F.col("query")))
     order = Window.partitionBy("document_id", "query_id").orderBy(F.desc("score"), "line_no")
     blank = F.lit("")
@@ -87,11 +118,13 @@ def prompt(query: Column, context: Column) -> Column:
 
 
 def answered(contexts: DataFrame, queries: DataFrame, model=None, parsed: DataFrame | None = None) -> DataFrame:
-    """Answer packets. model maps a column of prompts to answers (a pandas UDF, say); without it answers are extractive."""
-    asked = contexts.join(queries.select("query_id", "query"), "query_id")
-    if model is None:
+    """Answer packets, with the contexts' metadata if they have any. model maps a column of prompts to answers (a pandas UDF, say); without it answers are extractive."""
+    asked = contexts.join(queries.select("query_id", "query", *[c for c in ("terms", "root") if c in queries.columns]), "query_id")
+    if model is None and parsed is None:
+        rows, mode = asked.withColumn("answer", F.coalesce(_extracted(queries), F.lit(UNKNOWN))), "extractive"
+    elif model is None:
         rows = asked.join(extractive(contexts, queries, parsed), ["document_id", "query_id"])
         mode = "extractive"
     else:
         rows, mode = asked.withColumn("answer", F.trim(model(prompt(F.col("query"), F.col("context"))))), "model"
-    return rows.select("document_id", "query_id", F.col("query").alias("question"), F.col("context").alias("reduced_context"), F.struct(F.lit(mode).alias("mode"), "answer").alias("answer"))
+    return rows.select("document_id", "query_id", F.col("query").alias("question"), F.col("context").alias("reduced_context"), F.struct(F.lit(mode).alias("mode"), "answer").alias("answer"), *[c for c in ("metadata",) if c in contexts.columns])

@@ -117,6 +117,16 @@ def test_documents_in_their_rows_are_those_of_the_expressions(spark):
         assert sorted(got.collect()) == sorted(engine.retrieve(plain, asked, settings).select(*got.columns).collect())
 
 
+def test_run_reduces_once(spark):
+    """One shuffle of texts, and answers as they are from contexts dealt out by line."""
+    texts, asked = _odd(spark).select("text"), _asked(spark)
+    rows = engine.run(texts, asked)
+    assert shuffles(rows) <= 1 and set(rows.columns) == {"document_id", "query_id", "question", "reduced_context", "answer", "metadata"}
+    nothing = spark.createDataFrame([], "document_id string, query_id string, line_no int, subject string")
+    want = answers.extractive(engine.reduce(texts, asked), asked, nothing)
+    assert sorted(rows.select("document_id", "query_id", "answer.answer").collect()) == sorted(want.collect())
+
+
 def _recalled(spark, kind):
     """Recalls in place, and by all pairs of units from memories of the contexts."""
     docs, asked = _odd(spark), _asked(spark)
