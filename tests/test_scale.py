@@ -150,6 +150,11 @@ def test_graph_recall_in_place(spark):
     assert got == want and len({r for _, _, r in got}) > 3
 
 
+def test_dependency_recall_in_place(spark):
+    got, want = _recalled(spark, "dependency")
+    assert got == want and {r for _, _, r in got} > {"None", "1.0"}
+
+
 def test_likest_finds_what_all_pairs_find():
     """Sets at the limit among them, and equal and empty ones."""
     sets = [frozenset(f"w{(k * j) % 11}" for j in range(k % 9)) for k in range(200)] + [frozenset("abcde"), frozenset("abcd"), frozenset("abcdefghij"), frozenset("abcdefgh")]
