@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import cosine, let, rounded
+from ..functions.text import cosine, dot, let, rounded
 
 # BM25's saturation, length weight, and share of the mean that replaces a negative weight.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -25,17 +25,21 @@ def bm25(lines: DataFrame, queries: DataFrame, pairs: DataFrame | None = None) -
 def scored_lines(lines: DataFrame, queries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """document_id, query_id, lines: all lines of a document in order, each with its bm25 score, null where it holds no word of the question.
 
-    One shuffle, of the lines by document; the rest are expressions over a document's lines.
+    One shuffle, of the lines by document; the rest are expressions over a document's lines. None where lines has
+    a row for each document (segment.lines_of), and no further one where that names its question in query_id.
     """
     def split(c: str | Column) -> Column:
         return F.regexp_extract_all(c, F.lit(r"(?U)\S+"), F.lit(0))
 
-    rows = lines.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    rows = _gathered(lines)
+    own_question = ["query_id"] if "query_id" in rows.columns else []
     rows = rows.withColumn("words", F.transform("lines", lambda x: split(x["line"]))).withColumn("n", F.size("lines"))
     total = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.size(w))
-    rows = rows.select("document_id", "lines", "words", "n", (total / F.col("n")).alias("mean"), _floor(F.col("words"), F.col("n")).alias("floor"))
+    rows = rows.select("document_id", *own_question, "lines", "words", "n", (total / F.col("n")).alias("mean"), _floor(F.col("words"), F.col("n")).alias("floor"))
     asked = queries.select("query_id", split("query").alias("terms"))
-    if pairs is None:
+    if own_question:
+        rows = rows.join(F.broadcast(asked), "query_id")
+    elif pairs is None:
         rows = rows.crossJoin(F.broadcast(asked))
     else:
         rows = rows.join(pairs.select("document_id", "query_id").join(asked, "query_id"), "document_id")
@@ -60,6 +64,11 @@ def scored_lines(lines: DataFrame, queries: DataFrame, pairs: DataFrame | None =
     return rows.select("document_id", "query_id", let(own, every).alias("lines"))
 
 
+def _gathered(lines: DataFrame) -> DataFrame:
+    """document_id, lines, in order; each document once."""
+    return lines if "lines" in lines.columns else lines.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+
+
 def _raw(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
@@ -90,12 +99,19 @@ def joined_lines(rows: DataFrame, by_place: bool = False) -> DataFrame:
 def liked_lines(lines: DataFrame, queries: DataFrame, embed) -> DataFrame:
     """document_id, query_id, lines: all lines of a document with the cosine of their vector and the question's, for each of a few questions.
 
-    embed is as for line_vector_scores; vectors are compared where lines are read, and are not shuffled.
+    embed is as for line_vector_scores; vectors are compared where lines are read, and are not shuffled. Nothing is
+    where lines has a row for each document (segment.lines_of); embed is then a function of an array's elements too.
     """
     asked = queries.select(F.struct("query_id", embed(F.col("query")).alias("v")).alias("a")).agg(F.sort_array(F.collect_list("a")).alias("asked"))
-    own = lines.select("document_id", "line_no", "line", embed(F.col("line")).alias("v")).crossJoin(F.broadcast(asked))
-    scores = F.transform("asked", lambda a: F.coalesce(cosine(F.col("v"), a["v"]), F.lit(0.0)))
-    rows = own.groupBy("document_id").agg(F.collect_list(F.struct("line_no", "line", scores.alias("scores"))).alias("lines"))
+    def likes(v: Column) -> Column:
+        return let(F.sqrt(dot(v, v)), lambda own: F.transform("asked", lambda a: F.coalesce(F.try_divide(dot(v, a["v"]), own * F.sqrt(dot(a["v"], a["v"]))), F.lit(0.0))))
+
+    if "lines" in lines.columns:
+        each = F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), let(embed(x["line"]), likes).alias("scores")))
+        rows = lines.crossJoin(F.broadcast(asked)).select("document_id", each.alias("lines"))
+    else:
+        own = lines.select("document_id", "line_no", "line", embed(F.col("line")).alias("v")).crossJoin(F.broadcast(asked))
+        rows = own.groupBy("document_id").agg(F.collect_list(F.struct("line_no", "line", likes(F.col("v")).alias("scores"))).alias("lines"))
     names = asked.select(F.posexplode("asked").alias("k", "a")).select("k", "a.query_id")
     one = F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), x["scores"][F.col("k")].alias("score")))
     return rows.crossJoin(F.broadcast(names)).select("document_id", "query_id", one.alias("lines"))

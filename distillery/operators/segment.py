@@ -55,7 +55,16 @@ def sentences(docs: DataFrame, splitter=by_capitals) -> DataFrame:
     return texts.select("document_id", F.posexplode(pieces).alias("sentence_index", "text"))
 
 
+def _plain():
+    return F.filter(F.transform(F.split("text", "\n", -1), strip), lambda s: s != "")
+
+
 def plain_lines(docs: DataFrame) -> DataFrame:
     """document_id, line_no, line: the non-blank lines that the retrieval baselines search."""
-    lines = F.filter(F.transform(F.split("text", "\n", -1), strip), lambda s: s != "")
-    return docs.select("document_id", F.posexplode(lines).alias("line_no", "line"))
+    return docs.select("document_id", F.posexplode(_plain()).alias("line_no", "line"))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """The documents that have such lines, with an array of them, lines, in place of their text. A document has one row."""
+    lines = F.transform(_plain(), lambda s, k: F.struct(k.alias("line_no"), s.alias("line")))
+    return docs.select(*[c for c in docs.columns if c != "text"], lines.alias("lines")).where(F.size("lines") > 0)
