@@ -26,7 +26,12 @@ def phrases(section: Column) -> Column:
 
 def compression(original: Column, reduced: Column) -> Column:
     """Share of the words that went."""
-    return 1 - word_tokens(reduced) / F.greatest(word_tokens(original), F.lit(1e-9))
+    return share_gone(word_tokens(original), word_tokens(reduced))
+
+
+def share_gone(original: Column, reduced: Column) -> Column:
+    """The same, of sizes."""
+    return 1 - reduced / F.greatest(original, F.lit(1e-9))
 
 
 #: Vectors of a block, about.

@@ -170,5 +170,10 @@ def test_strategies_shuffle_texts_once(spark, sf):
     assert shuffles(catalog._strategies(spark, sf)) <= 1
 
 
+def test_strategies_are_compared_by_sizes(spark, sf):
+    """Texts are dealt out once, to find the first of an id; the rest are two sizes that meet, and their means."""
+    assert shuffles(catalog.strategy_compare(spark, sf)) <= 4
+
+
 def test_hooked_scores_shuffle_nothing(spark, sf):
     assert shuffles(catalog.score_hooks(spark, sf)) == 0
