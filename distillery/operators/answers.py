@@ -18,7 +18,11 @@ STOP_WORDS = tuple("a an and are as at be been but by do does for from had has h
 
 def content_terms(c: Column) -> Column:
     """Words of content in order, repeats included."""
-    return F.filter(words(c), lambda w: ~w.isin(*STOP_WORDS) & ~w.rlike("^[0-9]+$"))
+    return F.filter(words(c), is_content)
+
+
+def is_content(w: Column) -> Column:
+    return ~w.isin(*STOP_WORDS) & ~w.rlike("^[0-9]+$")
 
 
 def question_word(query: Column) -> Column:
@@ -74,11 +78,11 @@ def _extracted(queries: DataFrame) -> Column:
 
     def ranked(own: Column, wanted: Column) -> Column:
         def one(line: Column, k: Column) -> Column:
-            def score(terms: Column) -> Column:
-                rooted = F.when((root != "") & F.array_contains(terms, root), ROOT_AMONG_TERMS).otherwise(0.0)
-                return F.size(F.array_intersect(terms, wanted)) + rooted
+            def score(own: Column) -> Column:
+                rooted = F.when((root != "") & is_content(root) & F.array_contains(own, root), ROOT_AMONG_TERMS).otherwise(0.0)
+                return F.size(F.filter(wanted, lambda t: F.array_contains(own, t))) + rooted
 
-            minus = -let(content_terms(line), score)
+            minus = -let(words(line), score)
             return F.struct(minus.alias("minus"), k.alias("k"), line.alias("line"), F.when(why & F.contains(F.lower(line), F.lit("because")), _reason(line)).alias("taken"))
 
         return F.transform(own, one)
@@ -86,7 +90,8 @@ def _extracted(queries: DataFrame) -> Column:
     def best(rows: Column) -> Column:
         return F.coalesce(F.array_min(F.filter(rows, lambda x: x["taken"].isNotNull()))["taken"], F.array_min(rows)["line"], F.lit(UNKNOWN))
 
-    return let(let(wanted, lambda w: ranked(lines_of(F.col("context")), w)), best)
+    # Few words are asked for: those that carry no content count in no line.
+    return let(let(F.filter(F.array_distinct(wanted), is_content), lambda w: ranked(lines_of(F.col("context")), w)), best)
 
 
 def extractive(contexts: DataFrame, queries: DataFrame, parsed: DataFrame | None = None) -> DataFrame:

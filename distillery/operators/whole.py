@@ -131,6 +131,7 @@ class Document:
                 self.units.append(Unit(k, own[k], heads[k], None, None))
                 k += 1
 
+    @functools.cached_property
     def edges(self) -> set[tuple[int, int]]:
         """Reasoning edges, in both directions."""
         out, last, units = set(), {}, self.units
@@ -223,7 +224,7 @@ class Reduction:
         self.doc, self.same, self.at = doc, [u.same for u in doc.units], [u.at for u in doc.units]
         self.tokens = [tokens(u.render) for u in doc.units]
         self.next = defaultdict(set)
-        for a, b in doc.edges():
+        for a, b in doc.edges:
             self.next[a].add(b)
 
     def greedy(self, scores: list[float], s) -> list[int]:
@@ -250,11 +251,11 @@ class Reduction:
                 return True
         return False
 
-    def kept(self, chosen: list[int], window: int) -> list[int]:
-        """After neighbours and two hops along the edges."""
+    def kept(self, chosen: tuple[int, ...], window: int) -> list[int]:
+        """Of the chosen, in order, after neighbours and two hops along the edges."""
         if not chosen:
             return []
-        own, at = sorted(chosen), self.at
+        own, at = list(chosen), self.at
         if window:
             seen = {self.same[k] for k in own}
             for k in sorted({k for c in own for k in range(bisect_left(at, at[c] - window), bisect_right(at, at[c] + window))}):
@@ -283,15 +284,17 @@ class Reduction:
         return "\n".join(out).strip(WS)
 
 
-def reductions(text: str, asked: Asked, s) -> Iterator[tuple[str, str, int, int, int]]:
+def reductions(doc: Document, asked: Asked, s) -> Iterator[tuple[str, str, int, int, int]]:
     """query_id, context, and how many sentences there were, were kept and were chosen, for each question; nothing for a text without units."""
-    doc = Document(text)
     if doc.units:
-        own = Reduction(doc)
+        own, known = Reduction(doc), {}
         for row, scores in zip(asked.rows, asked.scores(doc)):
-            chosen = own.greedy(scores, s)
-            kept = own.kept(chosen, s.context_window)
-            yield row["query_id"], own.context(kept), doc.n_sentences, len(kept), len(chosen)
+            chosen = tuple(sorted(own.greedy(scores, s)))
+            if chosen not in known:
+                kept = own.kept(chosen, s.context_window)
+                known[chosen] = own.context(kept), len(kept)
+            context, n = known[chosen]
+            yield row["query_id"], context, doc.n_sentences, n, len(chosen)
 
 
 class Likest:
@@ -326,7 +329,7 @@ class Likest:
 
 def graph_recalls(doc: Document, contexts: list[Document | None]) -> list[float | None]:
     """As evaluate.graph_recall, of each context; None is the document itself."""
-    edges = doc.edges()
+    edges = doc.edges
     if not edges:
         return [None] * len(contexts)
     own, memo, out = Likest([u.words for u in doc.units]), {}, []
@@ -334,7 +337,7 @@ def graph_recalls(doc: Document, contexts: list[Document | None]) -> list[float
         if c is None:
             out.append(1.0)
             continue
-        to, found = {}, c.edges()
+        to, found = {}, c.edges
         ends = {x for e in found for x in e}
         for u in c.units:
             if u.at in ends:
@@ -403,7 +406,7 @@ def reduced(docs: DataFrame, features: list, s) -> DataFrame:
 
     def each(document_id, text):
         chars, size = len(text), tokens(text)
-        return [(document_id, q, context, n, kept, chosen, chars, size) for q, context, n, kept, chosen in reductions(text, asked, s)]
+        return [(document_id, q, context, n, kept, chosen, chars, size) for q, context, n, kept, chosen in reductions(Document(text), asked, s)]
 
     return mapped(docs.where("document_id is not null and text is not null").select("document_id", "text"), each, "document_id string, query_id string, context string, original_sentences int, reduced_sentences int, selected_sentence_count int, original_chars int, original_estimated_tokens int")
 
@@ -435,8 +438,11 @@ def recalls(docs: DataFrame, features: list, s, kind: str) -> DataFrame:
     asked, measure = Asked([r.asDict() for r in features]), RECALLS[kind]
 
     def each(document_id, text):
-        own = [*((q, context) for q, context, *_ in reductions(text, asked, s)), ("half", text[: len(text) // 2])]
-        found = measure(Document(text), [*(Document(context) for _, context in own), None])
-        return [(document_id, q, recall) for (q, _), recall in zip([*own, ("whole", text)], found)]
+        doc = Document(text)
+        own = [*((q, context) for q, context, *_ in reductions(doc, asked, s)), ("half", text[: len(text) // 2])]
+        contexts = list(dict.fromkeys(context for _, context in own))  # those of several questions may be one
+        *each_, all_ = measure(doc, [*map(Document, contexts), None])
+        found = dict(zip(contexts, each_))
+        return [*((document_id, q, found[context]) for q, context in own), (document_id, "whole", all_)]
 
     return mapped(docs.select("document_id", F.coalesce("text", F.lit("")).alias("text")), each, "document_id string, query_id string, recall double")
