@@ -32,7 +32,10 @@ def question_word(query: Column) -> Column:
 
 def lines_of(context: Column) -> Column:
     """Each non-blank line of a context, without a leading [Sn]."""
-    return F.filter(F.transform(F.split(context, "\n", -1), lambda s: F.regexp_replace(strip(s), r"^\[S\d+\]\s*", "")), lambda s: s != "")
+    def unmarked(s: Column) -> Column:
+        return F.when(s.startswith("[S"), F.regexp_replace(s, r"^\[S\d+\]\s*", "")).otherwise(s)
+
+    return F.filter(F.transform(F.split(context, "\n", -1), lambda s: let(strip(s), unmarked)), lambda s: s != "")
 
 
 def context_lines(contexts: DataFrame) -> DataFrame:

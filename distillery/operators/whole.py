@@ -187,16 +187,26 @@ class Asked:
         self.known = frozenset(self.terms)
         self.own = [(frozenset(r["terms"]), [(h, h.lower()) for h in r["hard_identifiers"]], " ".join(r["clean_words"]), r["entities"], r["noun_chunks"], bool(set(r["terms"]) & set(score.PROCESS_WORDS))) for r in self.rows]
         self.kinds = [{t: score.INTENT_WORTH * bool(set(t.split("_")) & own[0]) + score.INTENT_WORTH * (t == "workflow" and own[5]) for t in {*classify.WEIGHTS, *classify.TAGS.values(), "workflow"}} for own in self.own]
+        self.plain = not any(own[3] or own[4] for own in self.own)
+        self.phrases, self.ids = [own[2] for own in self.own if len(own[2]) > 4], [x for own in self.own for x in own[1]]
 
     def scores(self, doc: Document) -> list[list[float]]:
         """For each question the score of each unit, as score.scored has it without dense scores."""
         df, n = doc.frequencies(self.known), len(doc.units)
         weights = {t: idf(n, df[t]) for t in self.terms}
         out: list[list[float]] = [[] for _ in self.own]
+        known: dict[tuple, list[float]] = {}  # where nothing but type, links and terms counts
         for u, links in zip(doc.units, doc.connectivity()):
             low, text, kind = u.low, u.text, u.kind
             worth, near, kept = classify.WEIGHTS.get(kind, classify.OTHER_WEIGHT) * score.TYPE_WORTH, min(links * score.LINK_WORTH, score.MOST_LINKS), kind in score.PRESERVED
             hits = [t for t in self.terms if t in low]
+            key = None
+            if self.plain and not any(p in low for p in self.phrases) and not any(h in text or x in low for h, x in self.ids):
+                key = kind, near, *hits
+                if key in known:
+                    for own, x in zip(out, known[key]):
+                        own.append(x)
+                    continue
             for k, (terms, ids, phrase, entities, chunks, _) in enumerate(self.own):
                 m, lexical = 0, 0.0
                 for t in hits:
@@ -214,6 +224,8 @@ class Asked:
                 said = score.PHRASE_WORTH if len(phrase) > 4 and phrase in low else 0.0
                 priority = score.PRIORITY if kept and (lexical > 0 or entity > 0 or noun > 0 or hard > 0) else 0.0
                 out[k].append(_rounded(worth + lexical + said + entity + noun + near + self.kinds[k][kind] + hard + priority))
+            if key:
+                known[key] = [own[-1] for own in out]
         return out
 
 
