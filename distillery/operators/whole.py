@@ -25,6 +25,8 @@ from . import choose, classify, evaluate, graphs, score
 WS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _S, _DOT = r"[ \t\n\x0b\f\r]", r"[^\n\r\x85\u2028\u2029]"
 _item = re.compile(rf"(?:[0-9]+\.|[*-]){_S}").match
+# Where a list item could start: the marks of one at a line's start, but for tags. A sentence that is one starts there.
+_marks = re.compile(rf"(?:\A|\n)[{WS.replace('\n', '')}]*(?:[0-9]+\.|\*|-(?![ \t]*\[[A-Z]+-[0-9]+\]))(?={_S}|\Z)")
 _split = re.compile(rf"(?<=[.!?]){_S}+(?=[A-Z])").split
 _tag_start = re.compile(rf"(?:-{_S}*)?\[[A-Z]+-[0-9]+\]").match
 _rule = re.compile(r"[-*=_ \t\n\x0b\f\r]{3,}").fullmatch
@@ -59,6 +61,34 @@ def sentences(text: str) -> list[str]:
     return [s for s in (s.strip(WS) for s in out) if s]
 
 
+def _grouped(own: list[str]) -> Iterator[tuple[int, int, int]]:
+    """For each unit of sentences, where it and its steps start, and where both end; what has no steps ends where they would start."""
+    listed, k = [bool(_item(s)) and not _tag_start(s) for s in own], 0
+    while k < len(own):
+        end = begin = k if listed[k] else k + 1
+        if listed[k] or (begin < len(own) and listed[begin] and not _rule(own[k])):
+            while end < len(own) and listed[end]:
+                end += 1
+        yield k, begin, end
+        k = end
+
+
+def _neighbours(own: list[str], groups: Iterable[tuple[int, int, int]]) -> list[tuple[frozenset, frozenset]]:
+    """The words of either of neighbouring steps."""
+    words = [[frozenset(_words(s.lower())) for s in own[begin:end]] for _, begin, end in groups if end > begin + 1]
+    return [pair for steps in words for pair in zip(steps, steps[1:])]
+
+
+def _may_have_pairs(text: str) -> bool:
+    marks = _marks.finditer(text)
+    return bool(next(marks, None) and next(marks, None))
+
+
+def step_pairs(text: str) -> list[tuple[frozenset, frozenset]]:
+    """The words of either of neighbouring steps, of each workflow."""
+    return _neighbours(own := sentences(text), _grouped(own)) if _may_have_pairs(text) else []
+
+
 def _typed(text: str, low: str) -> tuple[str, str, str]:
     """Type, subject and object of a sentence."""
     if m := _tag(text):
@@ -109,8 +139,7 @@ class Document:
     def __init__(self, text: str):
         own, self.units = sentences(text), []
         self.n_sentences = len(own)
-        listed = [bool(_item(s)) and not _tag_start(s) for s in own]
-        k, headers, header, was = 0, [], "", False
+        headers, header, was = [], "", False
         heads = []
         for s in own:
             if first := s.startswith("# "):
@@ -118,18 +147,12 @@ class Document:
                 header = " | ".join(headers)
             was = first
             heads.append(header)
-        while k < len(own):
-            end = begin = k if listed[k] else k + 1
-            if listed[k] or (begin < len(own) and listed[begin] and not _rule(own[k])):
-                while end < len(own) and listed[end]:
-                    end += 1
-                steps, led = own[begin:end], begin > k
-                name = own[k].rstrip(":").strip(WS) if led else "Unnamed Workflow"
-                self.units.append(Unit(k, "\n".join(own[k:end]), heads[k], steps, name))
-                k = end
+        for k, begin, end in _grouped(own):
+            if end > begin:
+                name = own[k].rstrip(":").strip(WS) if begin > k else "Unnamed Workflow"
+                self.units.append(Unit(k, "\n".join(own[k:end]), heads[k], own[begin:end], name))
             else:
                 self.units.append(Unit(k, own[k], heads[k], None, None))
-                k += 1
 
     @functools.cached_property
     def edges(self) -> set[tuple[int, int]]:
@@ -162,10 +185,6 @@ class Document:
         """In how many units each of the terms is a word."""
         return Counter(t for u in self.units for t in u.words & terms)
 
-    def step_pairs(self) -> list[tuple[frozenset, frozenset]]:
-        words = [[frozenset(_words(s.lower())) for s in u.steps] for u in self.units if u.steps]
-        return [(a, b) for own in words for a, b in zip(own, own[1:])]
-
 
 def idf(n: int, df: int) -> float:
     return math.log(n / (1 + df)) + 1 if df else 1.0
@@ -361,28 +380,43 @@ def graph_recalls(doc: Document, contexts: list[Document | None]) -> list[float
     return out
 
 
-def dependency_recalls(doc: Document, contexts: list[Document | None]) -> list[float | None]:
-    """As evaluate.dependency_recall, of each context; None is the document itself."""
-    pairs = Counter(doc.step_pairs())
-    n, out = pairs.total(), []
-    for c in contexts:
-        if not n or c is None:
-            out.append(1.0 if n else None)
-            continue
-        found = set(c.step_pairs())
-        firsts = Likest(list({a for a, _ in found}))
-        seconds = defaultdict(list)
-        for a, b in found:
-            seconds[a].append(b)
-        hit = 0
-        for (a, b), times in pairs.items():
-            if a and b and ((a, b) in found or any(len(b & y) / math.sqrt(len(b) * len(y)) >= evaluate.ALIKE for _, k in firsts.alike(a) for y in seconds[firsts.sets[k]] if y)):
-                hit += times
-        out.append(hit / n)
-    return out
-
-
-RECALLS = {"graph": graph_recalls, "dependency": dependency_recalls}
+def dependency_recalls(text: str, asked: Asked, s) -> list[tuple[str, float | None]]:
+    """query_id and recall, as evaluate.dependency_recall, of what is retrieved for each question, and of the first half and the whole of a text.
+
+    A text is reduced only if its contexts can have steps at all: without neighbouring steps there is nothing to recall, and
+    a context is made of sentences that are no workflow's, headers, and workflows as JSON, whose lines are no list items.
+    """
+    own = sentences(text) if _may_have_pairs(text) else []
+    groups = list(_grouped(own))
+    pairs = Counter(_neighbours(own, groups))
+    if pairs and _may_list(own, groups):
+        contexts = [(q, context) for q, context, *_ in reductions(Document(text), asked, s)]
+    else:
+        contexts = [(r["query_id"], "") for r in asked.rows if text.strip(WS)]
+    n, known, out = pairs.total(), {}, []
+    for q, context in [*contexts, ("half", text[: len(text) // 2])]:
+        if context not in known:  # those of several questions may be one
+            known[context] = _preserved(pairs, set(step_pairs(context))) / n if n else None
+        out.append((q, known[context]))
+    return [*out, ("whole", 1.0 if n else None)]
+
+
+def _may_list(own: list[str], groups: list[tuple[int, int, int]]) -> bool:
+    """Whether a list item could start in a sentence outside of workflows, or in a header as contexts show it."""
+    return any(end == begin and _marks.search(own[k]) for k, begin, end in groups) or any(_marks.search("[" + _header_ends("", x)) for x in own if x.startswith("# "))
+
+
+def _preserved(pairs: Counter, found: set) -> int:
+    """How many of the pairs are like a found one in both steps."""
+    if not found:
+        return 0
+    firsts, seconds, hit = Likest(list({a for a, _ in found})), defaultdict(list), 0
+    for a, b in found:
+        seconds[a].append(b)
+    for (a, b), times in pairs.items():
+        if a and b and ((a, b) in found or any(len(b & y) / math.sqrt(len(b) * len(y)) >= evaluate.ALIKE for _, k in firsts.alike(a) for y in seconds[firsts.sets[k]] if y)):
+            hit += times
+    return hit
 
 
 def mapped(rows: DataFrame, each, schema: str, at_once: int = 2000) -> DataFrame:
@@ -447,13 +481,15 @@ def meta(docs: DataFrame) -> DataFrame:
 
 def recalls(docs: DataFrame, features: list, s, kind: str) -> DataFrame:
     """document_id, query_id, recall of what is retrieved for each question, and of the first half and the whole of each document."""
-    asked, measure = Asked([r.asDict() for r in features]), RECALLS[kind]
+    asked = Asked([r.asDict() for r in features])
 
     def each(document_id, text):
+        if kind == "dependency":
+            return [(document_id, *x) for x in dependency_recalls(text, asked, s)]
         doc = Document(text)
         own = [*((q, context) for q, context, *_ in reductions(doc, asked, s)), ("half", text[: len(text) // 2])]
         contexts = list(dict.fromkeys(context for _, context in own))  # those of several questions may be one
-        *each_, all_ = measure(doc, [*map(Document, contexts), None])
+        *each_, all_ = graph_recalls(doc, [*map(Document, contexts), None])
         found = dict(zip(contexts, each_))
         return [*((document_id, q, found[context]) for q, context in own), (document_id, "whole", all_)]
 

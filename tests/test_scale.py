@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from distillery import catalog
-from distillery.operators import answers, baselines, choose, classify, evaluate, graphs, segment, whole
+from distillery.operators import answers, baselines, choose, classify, evaluate, graphs, score, segment, whole
 from distillery.plans import engine
 
 
@@ -155,6 +155,29 @@ def test_dependency_recall_in_place(spark):
     assert got == want and {r for _, _, r in got} > {"None", "1.0"}
 
 
+def test_dependency_recall_reduces_where_steps_can_come_back(spark, monkeypatch):
+    """A text is reduced only if its contexts can have list items; where headers bring some, the recall is that of all contexts, measured one by one."""
+    no_steps, steps = ["", " \n", "The mill. No list", "- one step\n\nThe mill", "- [CON-01] Limit: x\n- [CON-02] Limit: y"], "Head:\n- the mill\n- B\n- C\n\n"
+    plain = [steps, f"# A\n\n{steps}Why the mill?\n\n- [CON-01] Limit: the mill", f"# A\n-b\n\n{steps}It is\n-5 or 1.5"]
+    back = [f"# A\n-\n\n# B\n-\n\n# C\n\nWhy the mill?\n\n{steps}", f"# A\n*\n\n# B\n*\n\n# C\n\n{steps}Why the mill?"]
+    asked, s = score.few(score.question_features(_asked(spark))), engine.Settings()
+    monkeypatch.setattr(whole, "mapped", lambda rows, each, schema: each)
+    each, reductions, reduced = whole.recalls(_odd(spark), asked, s, "dependency"), whole.reductions, []
+    monkeypatch.setattr(whole, "reductions", lambda doc, *more: reduced.append(doc) or reductions(doc, *more))
+    words = lambda x: frozenset(whole._words(x.lower()))
+    like = lambda a, b: bool(a and b) and len(a & b) / math.sqrt(len(a) * len(b)) >= evaluate.ALIKE
+    pairs = lambda text: [(words(a), words(b)) for u in whole.Document(text).units if u.steps for a, b in zip(u.steps, u.steps[1:])]
+    for text in [*no_steps, *plain, *back, *ODD]:
+        own = pairs(text)
+        contexts = [*((q, c) for q, c, *_ in reductions(whole.Document(text), whole.Asked([r.asDict() for r in asked]), s)), ("half", text[: len(text) // 2])]
+        want = [(q, sum(any(like(a, x) and like(b, y) for x, y in pairs(c)) for a, b in own) / len(own) if own else None) for q, c in contexts]
+        before = len(reduced)
+        got = list(each("d", text))
+        assert got == [("d", *x) for x in want] + [("d", "whole", 1.0 if own else None)]
+        assert text not in [*no_steps, *plain] or len(reduced) == before
+        assert text not in back or (len(reduced) > before and got[0][2] == 0.5)
+
+
 def test_likest_finds_what_all_pairs_find():
     """Sets at the limit among them, and equal and empty ones."""
     sets = [frozenset(f"w{(k * j) % 11}" for j in range(k % 9)) for k in range(200)] + [frozenset("abcde"), frozenset("abcd"), frozenset("abcdefghij"), frozenset("abcdefgh")]
